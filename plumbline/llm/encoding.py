@@ -1,20 +1,22 @@
 """Token ids by the tokenizers library, remembered for each distinct unit of text.
 
-A unit is the longest stretch that the tokenizer's pre-tokenizer can never join
-with its neighbours, so the ids of a text are those of its units in order. Units
-repeat often; the library sees each of them once per memory.
+A unit is a stretch that the tokenizer's pre-tokenizer can never join with its
+neighbours, so the ids of a text are those of its units in order. Units repeat
+often: Arrow finds the distinct ones of a batch, the library encodes those that
+are not known yet, and numpy puts the ids of the texts together.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Where a cut before a single space would not be exact: white space beside a
 #: space, and white space other than space and line feed.
-UNSAFE = re.compile(r"[^\S \n]|  | \n|\n ")
+UNSAFE = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|  | \n|\n "
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -27,46 +29,85 @@ def tokenizer_path(name_or_path: str) -> str:
 
 
 class UnitEncoder:
-    """Encodes whole texts to little-endian unsigned 32-bit ids.
+    """Encodes whole texts to unsigned 32-bit ids.
 
     ``spaced``: units keep the space before them (byte-level vocabularies);
     otherwise the tokenizer drops white space and units are words.
     ``most``: entries kept before the memory starts anew.
     """
 
-    def __init__(self, name_or_path: str, spaced: bool, most: int = 400_000):
+    def __init__(self, name_or_path: str, spaced: bool, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name_or_path))
+        special = max((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
+        self.mark_id, self.mark = special  # never joins with what stands beside it
         self.spaced, self.most = spaced, most
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of each text, without the memory."""
+        """The library's ids of each text, as little-endian bytes, without the memory."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: set[str]) -> None:
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of many short units: runs of them share a call, a special token between each two."""
+        out: list[bytes] = []
+        runs = [units[lo : lo + 64] for lo in range(0, len(units), 64)]
+        joined = [None if any(self.mark in u for u in run) else self.mark.join(run) for run in runs]
+        coded = iter(self.tokenizer.encode_batch_fast([j for j in joined if j is not None], add_special_tokens=False))
+        for run, text in zip(runs, joined):
+            if text is None:
+                out += self.whole(run)
+                continue
+            ids = np.array(next(coded).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            data = ids.tobytes()
+            lo = 0
+            for hi in [*(4 * cuts).tolist(), len(data)]:
+                out.append(data[lo:hi])
+                lo = hi + 4
+        return out
+
+    def _ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units, from the memory where it has them."""
         new = [u for u in units if u not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list(units)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            self.known.update(zip(part, self.whole([" " + u for u in part] if self.spaced else part)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.spaced:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            self.learn(set().union(*split))
-            get = self.known.__getitem__
-            return [b"".join(map(get, units)) for units in split]
-        odd = [bool(UNSAFE.search(t)) for t in texts]
-        split = [[] if bad else t.split(" ") for t, bad in zip(texts, odd)]
-        self.learn(set().union(*(u[1:] for u in split)))
-        heads = iter(self.whole([t if bad else u[0] for t, u, bad in zip(texts, split, odd)]))
-        get = self.known.__getitem__
-        return [next(heads) if bad else b"".join([next(heads), *map(get, u[1:])]) for u, bad in zip(split, odd)]
+            new = units
+        prefix = " " if self.spaced else ""
+        for lo in range(0, len(new), 100_000):
+            part = new[lo : lo + 100_000]
+            self.known.update(zip(part, self._encode_units([prefix + u for u in part])))
+        return list(map(self.known.__getitem__, units))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]. Null is empty."""
+        texts = pc.fill_null(texts, "")
+        plain = texts
+        odd = np.zeros(len(texts), bool)
+        if self.spaced:
+            odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+            if odd.any():
+                plain = pc.if_else(pa.array(odd), "", texts)
+        else:
+            plain = pc.replace_substring(texts, "\n", " ")
+        units = pc.split_pattern(plain, " ")
+        firsts = units.offsets.to_numpy()
+        coded = units.flatten().dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        parts = self._ids_of(coded.dictionary.to_pylist())
+        if self.spaced:  # the first unit of a text has no space before it
+            heads = [t.as_py() if bad else u for t, bad, u in zip(texts, odd, units.flatten().take(pa.array(firsts[:-1])).to_pylist())]
+            index[firsts[:-1]] = np.arange(len(parts), len(parts) + len(heads))
+            parts += self.whole(heads)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        places = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        own = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = pool[np.repeat(places[index] - ends[:-1], own) + np.arange(ends[-1])]
+        return ids, ends[firsts]
 
 
 _ENCODERS: dict[tuple, UnitEncoder] = {}
@@ -80,13 +121,14 @@ def encoder(name_or_path: str, spaced: bool) -> UnitEncoder:
     return _ENCODERS[key]
 
 
-def slices(texts: list[str | None], most_chars: int = 2_000_000):
-    """(first, texts) runs of bounded size; null texts become empty."""
+def runs(texts: pa.Array, most_bytes: int = 16 << 20):
+    """(first, texts) slices of bounded size, one text at least."""
+    texts = texts.cast(pa.large_string())
     lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most_chars:
-            yield lo, [x or "" for x in texts[lo : i + 1]]
-            lo, size = i + 1, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size and size + n > most_bytes:
+            yield lo, texts.slice(lo, i - lo)
+            lo, size = i, 0
+        size += n
     if lo < len(texts):
-        yield lo, [x or "" for x in texts[lo:]]
+        yield lo, texts.slice(lo)

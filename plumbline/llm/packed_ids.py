@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder, slices
+from .encoding import encoder, runs
 from .shared import Rows, fresh_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -151,9 +151,10 @@ def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id"
                 sink = store.open_output_stream(draft)
                 enc, writer = encoder(tokenizer, spaced=True), IdWriter(sink, bits)
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in slices(batch.column(1).to_pylist()):
-                for i, ids in enumerate(enc.encode(texts)):
-                    writer.add(doc_ids[first + i], np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+            for first, texts in runs(batch.column(1)):
+                ids, offsets = enc.encode(texts)
+                for i in range(len(texts)):
+                    writer.add(doc_ids[first + i], np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)))
         if writer is not None:
             writer.close()
             sink.close()

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder, slices
+from .encoding import encoder, runs
 from .shared import Rows
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,7 +46,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     kind = docs.schema[id_col].dataType
-    end = int(end_id).to_bytes(4, "little")
+    end = np.uint32(end_id)
 
     def run(batches):
         enc = encoder(tokenizer, spaced=False)
@@ -54,12 +55,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             if rows is None:
                 rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]))
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in slices(batch.column(1).to_pylist()):
-                for i, ids in enumerate(enc.encode(texts)):
-                    ids += end
-                    start, n = 0, len(ids) // 4
-                    for length in piece_lengths(n, max_tokens):
-                        rows.add(doc_ids[first + i], start, length, ids[4 * start : 4 * (start + length)], n, size=4 * length + 64)
+            for first, texts in runs(batch.column(1)):
+                ids, offsets = enc.encode(texts)
+                for i in range(len(texts)):
+                    own = np.append(ids[offsets[i] : offsets[i + 1]], end).astype("<u4")
+                    data, start = own.tobytes(), 0
+                    for length in piece_lengths(len(own), max_tokens):
+                        rows.add(doc_ids[first + i], start, length, data[4 * start : 4 * (start + length)], len(own), size=4 * length + 64)
                         start += length
                         if rows.full:
                             yield rows.batch()
