@@ -28,8 +28,10 @@ from .shared import Rows
 
 THRESHOLD = 0.3
 #: Bounds of the training sample: documents of each class, and characters of a document.
-SAMPLE_DOCS = 3_000
-SAMPLE_CHARS = 12_000
+SAMPLE_DOCS = 2_500
+SAMPLE_CHARS = 8_000
+#: A form marks toxic tokens if chance alone gives it so many toxic documents less often than exp(-SURPRISE).
+SURPRISE = 14.0
 SEGMENT = 64
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 TOKEN = re.compile(r"\S+")
@@ -52,6 +54,12 @@ def forms(word: str) -> list[str]:
     return ["=" + word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n), *(["-" + word[-3:]] if len(word) > 3 else [])]
 
 
+def surprise(a: int, n: int, share: float) -> float:
+    """Minus the log of (about) the chance that so many of n documents are toxic where each is with that share."""
+    part = a / n
+    return n * (part * math.log(part / share) + ((1 - part) * math.log((1 - part) / (1 - share)) if a < n else 0)) if part > share else 0.0
+
+
 def marginals(weights: np.ndarray, first: np.ndarray, last: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Exact forward-backward over a stream of two-state chains.
 
@@ -163,7 +171,7 @@ def train(toxic: list[str], clean: list[str], rounds: int = 60) -> Model:
         for text in texts:
             seen[y].update({f for t in set(text.split()) for f in forms(core(t)) if f[0] != "-"})
     n1, n0 = len(fit_toxic), len(fit_clean)
-    marks = {f for f, a in seen[1].items() if a >= max(4, 0.002 * n1) and (a / n1) > 25 * ((seen[0][f] + 0.5 * (n0 < 400)) / n0) and a / n1 > 4 * math.sqrt(seen[0][f] + 1) / n0}
+    marks = {f for f, a in seen[1].items() if a / n1 > 25 * seen[0][f] / n0 and surprise(a, a + seen[0][f], n1 / (n1 + n0)) > SURPRISE}
     split = [t.split() for t in fit_toxic + fit_clean]
     offsets = _offsets(split)
     first, last = _ends(offsets)
