@@ -49,7 +49,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     try:
         return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_WORDS) > 1_000_000:
+        if len(_WORDS) > 300_000:
             _WORDS.clear()
         for w in set(words).difference(_WORDS):
             _WORDS[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
@@ -234,7 +234,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 name = class_of(s)
                 parts = None
                 if name not in seen:  # a class needs its parts from a task once
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(name)
                     parts = signatures(s, num, den, edges).view(np.int64)
@@ -268,7 +268,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                     yield rows.batch()
             yield rows.batch()
 
-    texts = tagged.join(placed, tagged["mark"].eqNullSafe(placed["of"]) & tagged["doc_id"].eqNullSafe(placed["id"])).select("class", "group", "blocks", "text")
+    texts = tagged.join(placed.hint("merge"), tagged["mark"].eqNullSafe(placed["of"]) & tagged["doc_id"].eqNullSafe(placed["id"])).select("class", "group", "blocks", "text")
     sets = texts.mapInArrow(tuples, "class long, group long, blocks int, set binary")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
