@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, ngram_join, packed_ids, packing, token_counts, toxicity, url_rules
+from . import decontamination, line_dedup, near_vectors, ngram_join, packed_ids, packing, token_counts, toxicity, url_rules
 from .shared import table
 
 
@@ -13,6 +13,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return deduped.select("doc_id", "text", F.col("__n_removed").cast("long").alias("n_removed_lines"))
@@ -45,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_line_dedup, op5_decontamination, op6_ngram_join, op7_toxicity, op8_url_filters, op9_token_ids, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_vectors, op4_line_dedup, op5_decontamination, op6_ngram_join, op7_toxicity, op8_url_filters, op9_token_ids, op10_packing)}
 
 ORACLES = {
     "op8_url_filters": r"""
