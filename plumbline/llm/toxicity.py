@@ -28,7 +28,7 @@ from .shared import Rows
 
 THRESHOLD = 0.3
 #: Bounds of the training sample: documents of each class, and characters of a document.
-SAMPLE_DOCS = 2_500
+SAMPLE_DOCS = 1_500
 SAMPLE_CHARS = 8_000
 #: A form marks toxic tokens if chance alone gives it so many toxic documents less often than exp(-SURPRISE).
 SURPRISE = 14.0
