@@ -37,6 +37,7 @@ UNSHOWN = {"script", "style", "head", "title", "noscript", "template", "svg", "i
 #: Their content is no markup.
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr picture source area map param track embed".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("img hr input link meta base col".split())
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 TAGS = ["article", "main", "section", "p", "heading", "div", "list", "li", "nav", "header", "footer", "aside", "form", "table", "cell", "quote", "figure", "control", "body", "run", "other"]
@@ -162,7 +163,7 @@ class Page:
                 continue
             if end:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
+                    if stack[i][0] == name or name in HEADINGS and stack[i][0] in HEADINGS:
                         del stack[i:]
                         break
                 continue
@@ -306,7 +307,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 24) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24) -> Trees:
     """Gradient-boosted trees for logistic loss, cut at quantiles of the features."""
     n, m = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(m)]
@@ -404,9 +405,12 @@ def compose(rnd: random.Random) -> str:
     """A page of random parts; boilerplate carries the attribute y."""
     vocabulary = ["".join(rnd.choice("etaoinshrdlucmfwypvbgk") for _ in range(rnd.randint(1, 9))) for _ in range(150)]
     word = lambda: rnd.choice(vocabulary)
-    sentence = lambda lo=4, hi=22: " ".join(word() for _ in range(rnd.randint(lo, hi))).capitalize() + rnd.choice([".", ".", ".", "!", "?"])
+    dotted = rnd.choice([0, 0, 0.05, 0.15, 0.3])  # punctuation is no sign of anything by itself
+    mark = lambda: rnd.choice(".,.;:!") if rnd.random() < dotted else ""
+    ends = rnd.choice([".", ".", ".!?", " ", ". "])
+    sentence = lambda lo=4, hi=22: " ".join(word() + mark() for _ in range(rnd.randint(lo, hi))).capitalize() + rnd.choice(ends).strip()
     prose = lambda lo=1, hi=7: " ".join(sentence() for _ in range(rnd.randint(lo, hi)))
-    link = lambda: f'<a href="/{word()}">{" ".join(word() for _ in range(rnd.randint(1, 3)))}</a>'
+    link = lambda: f'<a href="/{word()}">{" ".join(word() + mark() for _ in range(rnd.randint(1, 3)))}</a>'
 
     def attribute(*names):
         own = rnd.choice(names + ("",) * 1 + (word(),))
@@ -509,7 +513,7 @@ def examples(seed: int, pages: int) -> tuple[np.ndarray, np.ndarray, list[Page]]
 
 
 @lru_cache(maxsize=1)
-def trained(seed: int = 5, pages: int = 700) -> Trees:
+def trained(seed: int = 5, pages: int = 1_500) -> Trees:
     """Trees fitted to composed pages."""
     x, y, _ = examples(seed, pages)
     return boost(x, y)

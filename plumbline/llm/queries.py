@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, near_vectors, ngram_join, packed_ids, packing, token_counts, toxicity, url_rules
+from . import decontamination, html_text, line_dedup, near_vectors, ngram_join, packed_ids, packing, token_counts, toxicity, url_rules
 from .shared import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_vectors, op4_line_dedup, op5_decontamination, op6_ngram_join, op7_toxicity, op8_url_filters, op9_token_ids, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_near_vectors, op4_line_dedup, op5_decontamination, op6_ngram_join, op7_toxicity, op8_url_filters, op9_token_ids, op10_packing)}
 
 ORACLES = {
     "op8_url_filters": r"""

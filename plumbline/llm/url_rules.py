@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, stored
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -105,7 +105,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
 def _judge_by_key(base: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """As judge(), for rules of any number: a join on the key of each suffix of a host."""
     own = rules.groupBy(ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("rule_verdict")).withColumn("key", key_of(F.col("rule_host")))
-    pages = base.withColumn("row", F.monotonically_increasing_id())
+    pages = stored(base.withColumn("row", F.monotonically_increasing_id()), "urls")  # a row's number must stay the same
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(F.reverse(labels), 1, i), "."), F.lit(".")))
     hits = pages.select("row", "path", F.explode(suffixes).alias("key")).join(own, "key").where(F.startswith(F.col("path"), F.col("rule_path")))
