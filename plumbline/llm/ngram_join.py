@@ -5,18 +5,20 @@ radix trees. A set traverses the tree: overlaps of shared paths are counted once
 for all sets below, and a subtree is left when what remains of it, or of the
 set, can't reach the overlap that its sizes need.
 
-Which sets meet in a tree: documents with equal sets are one class. By the
-pigeonhole principle, two sets that link differ in fewer elements than the
-parts of a fixed split of all hashes, so they agree in one part whole. Classes
-that agree in a part are joined to groups; every true link lies within a group.
-Groups are read part by part, and large groups in pairs of blocks, so no task
-holds an unbounded group and no link is lost.
+Which sets meet in a tree: documents with equal sets are one class. All hashes
+are split into parts, more of them than two linking sets can differ in elements;
+by the pigeonhole principle such sets agree in a part that is not empty. Classes
+that agree in a part are compared by the parities of their elements' cells, of
+which no two differ in more cells than in elements; those that may link form
+groups. Every true link lies within a group. Groups are read one by one, and
+large groups in pairs of blocks, so no task holds an unbounded group and no link
+is lost.
 """
 
 from __future__ import annotations
 
 import bisect
-import zlib
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -30,6 +32,10 @@ from .shared import LOWER, Rows, dropped, stored, words_of
 
 #: Sets of a tree at most; a group with more is compared in pairs of blocks of half as many.
 MOST_SETS = 2_000
+#: Cells whose parities tell classes that can't link apart.
+CELLS = 1_024
+#: Classes that agree in a part and are compared so; more are all taken to be near.
+MOST_NEAR = 100_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _WORDS: dict[str, int] = {}
@@ -87,32 +93,79 @@ def band(size: int, num: int, den: int, edges: list[int]) -> int:
     return bisect.bisect_right(edges, size) - 1
 
 
-def part_count(top: int, num: int, den: int) -> int:
-    """One more than the most elements in which two linking sets of at most ``top`` elements each differ."""
-    return int(Fraction(2 * top * (den - num), den + num)) + 1
+def differing(a: int, b: int, num: int, den: int) -> int:
+    """The most elements in which sets of sizes a and b that link can differ."""
+    return a + b - 2 * needed(a, b, num, den)
 
 
-def signatures(own: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray:
-    """A hash for each part of the set, in the splits that its size band shares with either neighbour."""
+def split_of(low: int, num: int, den: int, edges: list[int], known: dict) -> tuple[int, int]:
+    """(parts, most): parts that the sets of band ``low`` and the next are split into, and the most elements that two differ in.
+
+    So many parts that nearly all sets have elements in more than ``most`` of them.
+    """
+    if low not in known:
+        while len(edges) <= low + 2:
+            edges.append(edges[-1] * den // num + 1)
+        most = int(Fraction(2 * (edges[low + 2] - 1) * (den - num), den + num))
+        parts = most + 1
+        while parts < 2 * most + 3 and most:
+            empty = math.exp(-edges[low] / parts)
+            if parts * (1 - empty) - 2 * math.sqrt(parts * empty) >= most + 1:
+                break
+            parts += 1
+        known[low] = parts, most
+    return known[low]
+
+
+def signatures(own: np.ndarray, num: int, den: int, edges: list[int], known: dict) -> np.ndarray:
+    """A hash for each part of the set, in the splits that its size band shares with either neighbour.
+
+    Empty parts count only for a set with too few others to be sure of an agreement.
+    """
     b = band(len(own), num, den, edges)
     out = []
     scrambled = mix(own * _M2 + _M3)
     for low in (b - 1, b):
         if low < 0:
             continue
-        while len(edges) <= low + 2:
-            edges.append(edges[-1] * den // num + 1)
-        parts = part_count(edges[low + 2] - 1, num, den)
+        parts, most = split_of(low, num, den, edges, known)
         which = ((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(which)) + 1  # own ascends, so parts are runs of it
-        starts = np.concatenate([[0], cuts])
-        sums = np.zeros(parts, np.uint64)
-        sums[which[starts]] = np.add.reduceat(scrambled, starts)
-        place = np.arange(parts, dtype=np.uint64) * _M1 + np.full(1, low, np.uint64) * _M2
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1])  # own ascends, so parts are runs of it
+        filled, sums = which[starts], np.add.reduceat(scrambled, starts)
+        if len(filled) <= most:
+            every = np.zeros(parts, np.uint64)
+            every[filled] = sums
+            filled, sums = np.arange(parts), every
+        place = filled.astype(np.uint64) * _M1 + np.full(1, low, np.uint64) * _M2
         out.append(mix(sums ^ mix(place)))
     return np.concatenate(out)
 
 
+def parities(own: np.ndarray) -> bytes:
+    """The parity of the number of elements in each of CELLS cells."""
+    odd = np.bincount((mix(own ^ _M3) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(names: list[int], sizes: list[int], cells: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect at least the classes that link; pairs that are connected already are not compared."""
+    n = len(names)
+    size, bits = np.array(sizes), np.frombuffer(b"".join(cells), np.uint64).reshape(n, -1)
+    own, out = np.arange(n), []
+    for i in range(n - 1):
+        rest = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+        if not len(rest):
+            continue
+        total = size[rest] + size[i]
+        most = total - 2 * -(-num * total // (num + den))
+        near = rest[(np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= most) & (np.abs(size[rest] - size[i]) <= most)]
+        for j in near.tolist():
+            if own[j] != own[i]:
+                out.append((names[i], names[j]))
+                own[own == own[j]] = own[i]
+    return out
+
+
 class Node:
     """A path of hashes shared by the sets below, whose sizes are between low and high."""
 
@@ -203,7 +256,7 @@ def links(names: list[int], sets: list[tuple], num: int, den: int, sides: list[i
     return out
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, similarity: tuple[int, int] = (90, 100), most_sets: int = MOST_SETS) -> DataFrame:
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, similarity: tuple[int, int] = (90, 100), most_sets: int = MOST_SETS, most_near: int = MOST_NEAR) -> DataFrame:
     """Every document: doc_id, n_shingles, component_id.
 
     A document's set has the distinct n-grams of its words, lower-cased in A-Z;
@@ -223,33 +276,70 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     tagged = own.withColumn("mark", F.xxhash64("text"))
 
     def sign(batches):
-        edges, seen = [1], set()
+        edges, seen, known = [1], set(), {}
         for batch in batches:
-            rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("parts", pa.list_(pa.int64()))]))
+            rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("parts", pa.list_(pa.int64())), ("cells", pa.binary())]))
             for doc_id, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = shingles(text, n)
                 if not len(s):
-                    rows.add(doc_id, mark, 0, None, None)
+                    rows.add(doc_id, mark, 0, None, None, None)
                     continue
                 name = class_of(s)
-                parts = None
+                parts = cells = None
                 if name not in seen:  # a class needs its parts from a task once
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(name)
-                    parts = signatures(s, num, den, edges).view(np.int64)
-                rows.add(doc_id, mark, len(s), name, parts, size=64 + 8 * (0 if parts is None else len(parts)))
+                    parts, cells = signatures(s, num, den, edges, known).view(np.int64), parities(s)
+                rows.add(doc_id, mark, len(s), name, parts, cells, size=64 + 8 * (0 if parts is None else len(parts)))
                 if rows.full:
                     yield rows.batch()
             yield rows.batch()
 
-    signed = stored(tagged.mapInArrow(sign, f"doc_id {kind.simpleString()}, mark long, n_shingles long, class long, parts array<long>"), "signed")
+    signed = stored(tagged.mapInArrow(sign, f"doc_id {kind.simpleString()}, mark long, n_shingles long, class long, parts array<long>, cells binary"), "signed")
 
-    # classes that agree in a part, as chains
+    # classes that agree in a part with others
     by_part = signed.where("parts IS NOT NULL").select("class", F.explode("parts").alias("part"))
-    before = F.lag("class").over(Window.partitionBy("part").orderBy("class"))
-    near = by_part.select("class", before.alias("other")).where("other IS NOT NULL AND other <> class")
-    groups = connected(near.select(F.col("class").alias("src"), F.col("other").alias("dst")))  # node, root
+    alike = Window.partitionBy("part")
+    before = F.lag("class").over(alike.orderBy("class"))
+    met = by_part.select("part", "class", before.alias("before"), (F.min("class").over(alike) != F.max("class").over(alike)).alias("several"))
+    met = stored(met.where("several AND (before IS NULL OR before <> class)").select("part", "class"), "met")
+    about = signed.where("parts IS NOT NULL").select("class", "n_shingles", "cells")
+    dealt = met.join(about, "class").repartition("part").sortWithinPartitions("part", "class")
+
+    def compare(batches):
+        key, last, many = None, None, False
+        names, sizes, cells, chain = [], [], [], []
+
+        def edges(found):
+            return pa.RecordBatch.from_pydict({"src": pa.array([f[0] for f in found], pa.int64()), "dst": pa.array([f[1] for f in found], pa.int64())})
+
+        for batch in batches:
+            for part, name, size, own in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "class", "n_shingles", "cells"))):
+                if part != key:
+                    if len(names) > 1:
+                        yield edges(may_link(names, sizes, cells, num, den))
+                    key, last, many, names, sizes, cells = part, None, False, [], [], []
+                if name == last:  # a class that several tasks gave
+                    continue
+                if many:
+                    chain.append((last, name))
+                elif len(names) == most_near:  # too many to compare: all are taken to be near
+                    many = True
+                    chain += [*zip(names, names[1:]), (last, name)]
+                    names, sizes, cells = [], [], []
+                else:
+                    names.append(name)
+                    sizes.append(size)
+                    cells.append(own)
+                last = name
+            yield edges(chain)
+            chain = []
+        if len(names) > 1:
+            yield edges(may_link(names, sizes, cells, num, den))
+
+    near = dealt.mapInArrow(compare, "src long, dst long")
+    groups = connected(near)  # node, root
 
     # one document stands for each class of a group
     spokes = signed.select("doc_id", "mark", "class").join(groups.select(F.col("node").alias("class"), F.col("root").alias("group")), "class")
@@ -302,5 +392,12 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     rooted = signed.select("doc_id", "n_shingles", "class").join(linked.select(F.col("node").alias("class"), "root"), "class", "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
     rooted = stored(rooted, "rooted")
     firsts = stored(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1").drop("members"), "firsts")
-    dropped(signed, chosen, placed)
+    dropped(signed, met, chosen, placed)
     return rooted.join(firsts, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of docs, all columns, without those of a group's documents that don't have its smallest id. Rows with a null id stay."""
+    found = clusters(docs, id_col, text_col, n, similarity)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -57,6 +57,7 @@ def test_equals_all_pairs(spark, seed):
 def test_blocks_of_large_groups_lose_no_link(spark):
     rows = varied(3)
     assert run(spark, rows, most_sets=6) == brute(rows)
+    assert run(spark, rows, most_near=3, most_sets=40) == brute(rows)
 
 
 def test_other_threshold(spark):
@@ -77,7 +78,7 @@ def test_extra_columns_and_no_rows(spark):
 
 def test_sets_that_link_agree_in_a_part():
     rnd = np.random.default_rng(5)
-    edges = [1]
+    edges, known = [1], {}
     for _ in range(300):
         size = int(rnd.integers(1, 120))
         own = np.unique(rnd.integers(0, 2**64, size, np.uint64))
@@ -85,7 +86,7 @@ def test_sets_that_link_agree_in_a_part():
         other = np.unique(np.concatenate([own[rnd.permutation(len(own))[cut:]], rnd.integers(0, 2**64, more, np.uint64)]))
         same = len(np.intersect1d(own, other))
         if len(other) and Fraction(same, len(own) + len(other) - same) >= Fraction(9, 10):
-            assert set(J.signatures(own, 90, 100, edges).tolist()) & set(J.signatures(other, 90, 100, edges).tolist())
+            assert set(J.signatures(own, 90, 100, edges, known).tolist()) & set(J.signatures(other, 90, 100, edges, known).tolist())
 
 
 def test_components_of_chains_stars_and_loops(spark):
