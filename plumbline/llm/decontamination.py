@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Rows, words_of
+from .shared import LOWER, Rows, rows_where, words_of
 
 #: Aligned words that are compared, and how many in a hundred must be equal.
 WINDOW = 13
@@ -122,6 +122,24 @@ class Index:
         return found
 
 
+class Search:
+    """Searches whole texts; remembers the words that it has seen."""
+
+    def __init__(self, index: Index):
+        self.index, self.raw = index, {}
+
+    def __call__(self, text: str) -> list[tuple[int, int, int, int, int]]:
+        words = words_of(text)
+        if len(self.raw) > 1_000_000:
+            self.raw.clear()
+        for w in set(words).difference(self.raw):
+            bare = w.translate(LOWER).strip(PUNCTUATION)
+            self.raw[w] = self.index.words.get(bare, 0) if bare else -1
+        ids = np.fromiter(map(self.raw.__getitem__, words), np.int64, len(words))
+        ids = ids[ids >= 0]  # words of punctuation alone don't count
+        return self.index.search(ids) if ids.any() else []
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
     """Items in runs of bounded size, in the order of their ids."""
     block, size = [], 0
@@ -158,26 +176,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            index = Index(sent.value, window, share)
-            raw: dict[str, int] = {}  # words as they stand in texts
-            get = index.words.get
+            find = Search(Index(sent.value, window, share))
             for batch in batches:
                 rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("item_id", item_type), *((c, pa.int64()) for c in ("doc_start", "item_start", "n_words", "n_equal"))]))
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    words = words_of(text or "")
-                    if len(raw) > 1_000_000:
-                        raw.clear()
-                    for w in set(words).difference(raw):
-                        bare = w.translate(LOWER).strip(PUNCTUATION)
-                        raw[w] = get(bare, 0) if bare else -1
-                    ids = np.fromiter(map(raw.__getitem__, words), np.int64, len(words))
-                    ids = ids[ids >= 0]
-                    if np.count_nonzero(ids) < 1:
-                        continue
-                    for item, doc_start, item_start, n, equal in index.search(ids):
-                        rows.add(doc_id, index.names[item], doc_start, item_start, n, equal)
+                    for item, doc_start, item_start, n, equal in find(text or ""):
+                        rows.add(doc_id, find.index.names[item], doc_start, item_start, n, equal)
                 yield rows.batch()
 
         part = own.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns, that overlap with no benchmark item. Rows are judged one by one, whatever their ids."""
+    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def decide(sent=sent):
+            find = Search(Index(sent.value, window, share))
+            return lambda texts: [not find(t) for t in texts]
+
+        docs = rows_where(docs, text_col, decide)
+    return docs

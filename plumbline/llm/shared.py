@@ -77,6 +77,18 @@ def words_of(text: str) -> list[str]:
     return [w for w in words if w] if "" in words else words
 
 
+def rows_where(docs: DataFrame, text_col: str, decide) -> DataFrame:
+    """The rows of docs for whose text decide()(texts) is true; null texts are judged as empty. Nothing is shuffled."""
+
+    def run(batches):
+        keep = decide()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Rows:
     """Collects output columns and gives Arrow batches of bounded size."""
 

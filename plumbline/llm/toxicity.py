@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rows
+from .shared import Rows, rows_where
 
 THRESHOLD = 0.3
 #: Bounds of the training sample: documents of each class, and characters of a document.
@@ -276,34 +276,53 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("score", pa.float64()), ("predicted", pa.int32()), ("n_toxic", pa.float64()), ("spans", span)]))
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi = size = lo
-                size = 0
-                while hi < len(texts) and (hi == lo or size < 4_000_000):
-                    size += len(texts[hi])
-                    hi += 1
-                if len(known) > 1_000_000:
-                    known.clear()
-                split = [t.split() for t in texts[lo:hi]]
-                offsets, odds = _offsets(split), _odds(sent.value, split, known)
-                x = doc_features(odds, offsets)
-                scores = 1 / (1 + np.exp(-np.clip(x @ sent.value.calibration, -30, 30)))
-                hot = odds >= 1
-                marked = np.add.reduceat(np.append(hot, False).astype(int), np.minimum(offsets[:-1], len(odds))) * (np.diff(offsets) > 0)
-                for i in range(hi - lo):
+            for lo, scores, x, odds, offsets in _scored(sent.value, texts, known):
+                marked = np.concatenate([[0], np.cumsum(odds >= 1)])
+                for i in range(len(scores)):
                     spans = []
-                    if marked[i]:
-                        own = odds[offsets[i] : offsets[i + 1]]
-                        spans = [{"start": m.start(), "end": m.end(), "probability": float(o / (1 + o))} for m, o in zip(TOKEN.finditer(texts[lo + i]), own) if o >= 1]
+                    if marked[offsets[i + 1]] > marked[offsets[i]]:
+                        own = odds[offsets[i] : offsets[i + 1]].tolist()
+                        places = TOKEN.finditer(texts[lo + i])
+                        spans = [{"start": m.start(), "end": m.end(), "probability": o / (1 + o)} for m, o in zip(places, own) if o >= 1]
                     rows.add(ids[lo + i], float(scores[i]), int(scores[i] >= threshold), float(np.expm1(x[i, 2])), spans)
-                lo = hi
             yield rows.batch()
 
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return out.mapInArrow(run, f"doc_id {kind.simpleString()}, score double, predicted int, n_toxic double, spans array<struct<start: long, end: long, probability: double>>")
 
 
+def _scored(model: Model, texts: list[str], known: dict[str, float]):
+    """(first, scores, features, odds, offsets) of runs of texts of bounded size."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size < 4_000_000):
+            size += len(texts[hi])
+            hi += 1
+        if len(known) > 1_000_000:
+            known.clear()
+        split = [t.split() for t in texts[lo:hi]]
+        offsets, odds = _offsets(split), _odds(model, split, known)
+        x = doc_features(odds, offsets)
+        yield lo, 1 / (1 + np.exp(-np.clip(x @ model.calibration, -30, 30))), x, odds, offsets
+        lo = hi
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold. Rows are judged one by one, whatever their ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        known: dict[str, float] = {}
+
+        def mask(texts: list[str]) -> list[bool]:
+            return [bool(s < threshold) for _, scores, *_ in _scored(sent.value, texts, known) for s in scores]
+
+        return mask
+
+    return rows_where(docs, text_col, decide)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Learns from the labelled documents among docs and scores all of them; see score()."""
     return score(docs, train(*sample(docs, labels)), **options)
