@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = chunks.join(repeated, ["key", "own"]).where(~F.struct("id", "mark", "start").eqNullSafe(F.col("first"))).select("id", "mark", "start", "stop")
     ranges = stored(later.groupBy("id", "mark").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("__ranges")), "ranges")
     dropped(chunks)
-    joined = docs.withColumn("__mark", F.xxhash64(text)).join(ranges.select(F.col("id").alias("__id"), F.col("mark").alias("__of"), "__ranges"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of")), "left")
+    joined = docs.withColumn("__mark", F.xxhash64(text)).join(ranges.select(F.col("id").alias("__id"), F.col("mark").alias("__of"), "__ranges").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of")), "left")
     split = F.split(text, "\n", -1)
     left = F.filter(split, lambda line, i: ~F.exists(F.col("__ranges"), lambda r: (i >= r["start"]) & (i < r["stop"])))
     out = joined.withColumn("__n_removed", F.when(F.col("__ranges").isNull(), 0).otherwise(F.size(split) - F.size(left)))
