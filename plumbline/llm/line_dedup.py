@@ -42,7 +42,7 @@ def gaps_of(lines: Column, hashes: Column, cuttings: int = CUTTINGS, window: int
 
     Cuttings 2 k look at a rolling hash of the window after the gap, 2 k + 1 before it.
     """
-    long = F.transform(lines, lambda x: F.length(x) - F.length(F.translate(x, " ", "")) >= long_words - 1)
+    long = F.transform(lines, lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) >= long_words - 1)
     around = F.arrays_zip(long.alias("long"), shifted(long, 1).alias("after_long"), *(shifted(hashes, -j).alias(f"a{j}") for j in range(window)), *(shifted(hashes, j + 1).alias(f"b{j}") for j in range(window)))
 
     def bits(x):
@@ -62,10 +62,23 @@ def chunks_of(gaps: Column, hashes: Column, cuttings: int = CUTTINGS) -> Column:
     for k in range(2 * cuttings):
         bit = F.lit(1 << k).cast("long")
         starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(gaps, i).bitwiseAND(bit) != 0))
-        found.append(F.zip_with(F.slice(starts, F.lit(1), F.size(starts) - 1), F.slice(starts, F.lit(2), F.size(starts) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("stop"))))
+        found.append(F.zip_with(F.slice(starts, F.lit(1), F.size(starts) - 1), F.slice(starts, F.lit(2), F.size(starts) - 1), span))
     every = F.array_distinct(F.concat(*found))
-    kept = F.filter(every, lambda c: (c["stop"] - c["start"] > 1) | (F.get(gaps, c["start"]) >= 1 << 62))
-    return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.slice(hashes, c["start"] + 1, c["stop"] - c["start"]).alias("own")))
+    kept = F.filter(every, lambda c: (stop_of(c) - start_of(c) > 1) | (F.get(gaps, start_of(c)) >= 1 << 62))
+    return F.transform(kept, lambda c: F.struct(start_of(c).alias("start"), stop_of(c).alias("stop"), F.slice(hashes, start_of(c) + 1, stop_of(c) - start_of(c)).alias("own")))
+
+
+def span(start: Column, stop: Column) -> Column:
+    """Start and stop in one long, which arrays are deduplicated by in linear time."""
+    return F.shiftleft(start.cast("long"), 32) + stop
+
+
+def start_of(c: Column) -> Column:
+    return F.shiftright(c, 32).cast("int")
+
+
+def stop_of(c: Column) -> Column:
+    return c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT, cuttings: int = CUTTINGS, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
@@ -98,11 +111,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         repeated = repeated.join(bad, ["key", "own"], "left_anti")
 
     later = chunks.join(repeated, ["key", "own"]).where(~F.struct("id", "mark", "start").eqNullSafe(F.col("first"))).select("id", "mark", "start", "stop")
-    ranges = stored(later.groupBy("id", "mark").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("__ranges")), "ranges")
+    ranges = stored(later.groupBy("id", "mark").agg(F.collect_set(span(F.col("start"), F.col("stop"))).alias("__ranges")), "ranges")
     dropped(chunks)
     joined = docs.withColumn("__mark", F.xxhash64(text)).join(ranges.select(F.col("id").alias("__id"), F.col("mark").alias("__of"), "__ranges").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of")), "left")
-    split = F.split(text, "\n", -1)
-    left = F.filter(split, lambda line, i: ~F.exists(F.col("__ranges"), lambda r: (i >= r["start"]) & (i < r["stop"])))
-    out = joined.withColumn("__n_removed", F.when(F.col("__ranges").isNull(), 0).otherwise(F.size(split) - F.size(left)))
-    out = out.withColumn(text_col, F.when(F.col("__ranges").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
+    joined = joined.withColumn("__lines", F.when(F.col("__ranges").isNotNull(), F.split(text, "\n", -1)))
+    gone = F.flatten(F.transform("__ranges", lambda r: F.sequence(start_of(r), stop_of(r) - 1)))
+    joined = joined.withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone))
+    out = joined.withColumn("__n_removed", F.when(F.col("__ranges").isNull(), 0).otherwise(F.size("__lines") - F.size("__left")))
+    out = out.withColumn(text_col, F.when(F.col("__ranges").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")))
     return out.select(*docs.columns, "__n_removed")
