@@ -67,3 +67,25 @@ def contained(texts: DataFrame, text_id: str, text: str, quotes: DataFrame, quot
         return hits.join(F.broadcast(q), "__seed").where(F.contains("__text", F.col("__quote"))).select(text_id, quote_id)
     ids = hits.select(text_id, "__seed").join(seeds, "__seed", "left_semi").join(q, "__seed").select(text_id, quote_id, "__quote")
     return ids.join(own, text_id).where(F.contains("__text", F.col("__quote"))).select(text_id, quote_id)
+
+
+def seal_states(cards: DataFrame, source: str, body: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
+    """Cards with seal: whether the body stands in the text of the card's source.
+
+    sealed: as one block, white space aside; split-block: all its lines are there
+    but not together; mismatch; fragment: one word at most; empty; unavailable:
+    there is no such text, so nothing was checked. Joined on the source, so
+    only one text is searched for each card.
+    """
+    own = texts.select(F.col(text_id).alias("__source"), ws_normalize(F.col(text)).alias("__text"), F.lit(True).alias("__there"))
+    quote = ws_normalize(F.coalesce(F.col(body), F.lit("")))
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(body), F.lit("")), "\n"), ws_normalize), lambda x: x != "")
+    state = (
+        F.when(quote == "", "empty")
+        .when(F.col("__there").isNull() | F.col("__text").isNull(), "unavailable")
+        .when(~F.contains(quote, F.lit(" ")), "fragment")
+        .when(F.contains("__text", quote), "sealed")
+        .when(F.forall(lines, lambda x: F.contains("__text", x)), "split-block")
+        .otherwise("mismatch")
+    )
+    return cards.join(own, F.col(source) == F.col("__source"), "left").select(*cards.columns, state.alias("seal"))

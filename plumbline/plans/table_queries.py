@@ -58,20 +58,23 @@ def examined(spark, d):
     return counts.tallies(quotes.join(hits, "item_id", "left"), sealed=F.col("n") > 0, failed=F.col("n").isNull())
 
 
+CARDS_SQL = """
+cards AS (SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN -1 ELSE doc_id END AS source, CASE doc_id % 7 WHEN 0 THEN l[1] || chr(10) || l[2] WHEN 1 THEN l[1] || chr(10) || l[3] WHEN 2 THEN l[3] || chr(10) || l[1] WHEN 3 THEN 'not in it at all'
+  WHEN 4 THEN '' WHEN 5 THEN 'word' ELSE l[1] END AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) >= 3)"""
+
+
 @query(f"""
-WITH lines AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-q AS (SELECT item_id, text, unnest(list_distinct(string_split(text, chr(10)))) AS line, len(list_distinct(string_split(text, chr(10)))) AS n FROM benchmark WHERE contains(text, chr(10))),
-found AS (SELECT q.item_id, l.doc_id, any_value(q.text) AS quote, any_value(n) AS n FROM q JOIN lines l USING (line) GROUP BY 1, 2 HAVING count(*) = any_value(n))
-SELECT item_id, doc_id, CASE WHEN contains({WS_SQL.format('d.text')}, {WS_SQL.format('quote')}) THEN 'sealed' ELSE 'split-block' END AS state
-FROM found JOIN documents d USING (doc_id)""")
+WITH {CARDS_SQL}, n AS (SELECT c.doc_id, {WS_SQL.format('c.body')} AS q, {WS_SQL.format('d.text')} AS t, c.body FROM cards c LEFT JOIN documents d ON d.doc_id = c.source)
+SELECT doc_id, CASE WHEN q = '' THEN 'empty' WHEN t IS NULL THEN 'unavailable' WHEN NOT contains(q, ' ') THEN 'fragment' WHEN contains(t, q) THEN 'sealed'
+  WHEN len(list_filter(string_split(body, chr(10)), lambda x: NOT contains(t, {WS_SQL.format('x')}))) = 0 THEN 'split-block' ELSE 'mismatch' END AS seal FROM n""")
 def seal_split_block(spark, d):
-    """Quotes all of whose lines a text has; whether they stand together."""
-    docs, quotes = table(spark, d, "documents"), table(spark, d, "benchmark").where(F.contains("text", F.lit("\n")))
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    parts = quotes.select("item_id", F.array_distinct(F.split("text", "\n")).alias("ls")).select("item_id", F.size("ls").alias("n"), F.explode("ls").alias("line"))
-    found = lines.join(parts, "line").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("got")).where("got = n").select("item_id", "doc_id")
-    sealed = references.contained(docs, "doc_id", "text", quotes, "item_id", "text").withColumn("hit", F.lit(True))
-    return found.join(sealed, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.when(F.col("hit"), "sealed").otherwise("split-block").alias("state"))
+    """Cards that quote two lines of their text, together or apart, and cards that fail otherwise."""
+    docs = table(spark, d, "documents")
+    line, kind = F.split("text", "\n"), F.col("doc_id") % 7
+    two = lambda i, j: F.concat_ws("\n", F.get(line, F.lit(i)), F.get(line, F.lit(j)))
+    body = F.when(kind == 0, two(0, 1)).when(kind == 1, two(0, 2)).when(kind == 2, two(2, 0)).when(kind == 3, "not in it at all").when(kind == 4, "").when(kind == 5, "word").otherwise(F.get(line, F.lit(0)))
+    cards = docs.where(F.size(line) >= 3).select("doc_id", F.when(kind == 6, -1).otherwise(F.col("doc_id")).alias("source"), body.alias("body"))
+    return references.seal_states(cards, "source", "body", docs, "doc_id", "text").select("doc_id", "seal")
 
 
 @query("SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'en')")
@@ -117,14 +120,13 @@ def coverage_crosscheck(spark, d):
 
 
 @query("""
-WITH cited AS (SELECT conv_id, turn, unnest(list_transform(regexp_extract_all(text, '\\b([0-9]+)\\b', 1), lambda x: lpad(x, CAST(greatest(3, length(x)) AS INTEGER), '0'))) AS ref FROM conversations)
-SELECT conv_id, turn, ref FROM cited WHERE length(ref) < 10 AND ref NOT IN (SELECT lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(3, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') FROM part)""")
+WITH cited AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{1,4})(?:$|[^0-9])', 1), lambda x: lpad(x, CAST(greatest(3, length(x)) AS INTEGER), '0'))) AS ref FROM documents)
+SELECT doc_id, ref FROM cited WHERE ref NOT IN (SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(3, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') FROM supplier)""")
 def cited_resolves(spark, d):
-    """Numbers cited in texts, in their canonical spelling, that name no part."""
+    """Numbers cited in texts, padded to their canonical length, that name no supplier."""
     pad = lambda c: F.lpad(c, F.greatest(F.lit(3), F.length(c)), F.lit("0"))
-    found = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"\b([0-9]+)\b"), 1)).alias("x"))
-    cited = found.select("conv_id", "turn", pad(F.col("x")).alias("ref")).where("length(ref) < 10")
-    return references.unresolved(cited, "ref", table(spark, d, "part").select(pad(F.col("p_partkey").cast("string")).alias("id")), "id")
+    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?:^|[^0-9])([0-9]{1,4})(?:$|[^0-9])"), 1)).alias("x"))
+    return references.unresolved(found.select("doc_id", pad(F.col("x")).alias("ref")), "ref", table(spark, d, "supplier").select(pad(F.col("s_suppkey").cast("string")).alias("id")), "id")
 
 
 @query("""
