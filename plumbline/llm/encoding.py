@@ -36,7 +36,7 @@ class UnitEncoder:
     ``most``: entries kept before the memory starts anew.
     """
 
-    def __init__(self, name_or_path: str, spaced: bool, most: int = 1_000_000):
+    def __init__(self, name_or_path: str, spaced: bool, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,7 +121,7 @@ def encoder(name_or_path: str, spaced: bool) -> UnitEncoder:
     return _ENCODERS[key]
 
 
-def runs(texts: pa.Array, most_bytes: int = 16 << 20):
+def runs(texts: pa.Array, most_bytes: int = 4 << 20):
     """(first, texts) slices of bounded size, one text at least."""
     texts = texts.cast(pa.large_string())
     lo = size = 0
