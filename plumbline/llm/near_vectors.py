@@ -3,11 +3,11 @@
 Unit vectors are put into the inverted list of their nearest coarse centroid;
 what remains is cut into subspaces, each coded by its nearest codeword. A query
 looks up its distances to all codewords once and adds them up along a list's
-codes. All bounds are of the triangle inequality, so nothing is lost: a list is
-probed when the query's distance to its centroid is at most the distance to the
-query's own centroid and twice the linking distance, and a coded vector is a
-candidate when its distance less its own coding error is within the linking
-distance. Candidates are ranked by their exact cosine in double precision.
+codes. All bounds are exact, so nothing is lost: a list is probed when the plane
+that lies midway between its centroid and the query's own is within the linking
+distance of the query, as the list's vectors are all behind it; and a coded
+vector is a candidate when its distance less its own coding error is within the
+linking distance. Candidates are ranked by their exact cosine in double precision.
 
 Centroids and codewords are fitted to a bounded sample; every vector is indexed.
 """
@@ -26,13 +26,14 @@ from .shared import Rows, dropped, stored
 
 #: Vectors that centroids and codewords are fitted to, at most.
 SAMPLE = 8_000
-LISTS = 64
+#: Inverted lists: the root of the number of vectors, within these bounds and an eighth of the sample.
+LISTS = (64, 1_024)
 SUBSPACES = 16
 CODEWORDS = 64
 #: Vectors of a list compared at once; longer lists are compared in pairs of blocks.
 BLOCK = 2_048
 #: Slack for rounding in the bounds.
-SLACK = 1e-6
+SLACK = 1e-5
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -54,6 +55,9 @@ class Quantiser:
 
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codewords: int):
         self.centres = kmeans(sample, max(1, min(lists, len(sample) // 8 + 1)))
+        c2 = (self.centres**2).sum(1)
+        #: Distances between centroids.
+        self.apart = np.sqrt(np.maximum(1e-12, c2[:, None] + c2 - 2 * self.centres @ self.centres.T))
         near = self.lists_of(sample)[0]
         residual = sample - self.centres[near]
         self.cuts = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
@@ -94,7 +98,7 @@ def compare(q: Quantiser, centre: int, x: np.ndarray, codes: np.ndarray, errors:
             yield ia[keep], ja[keep]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.98, sample: int = SAMPLE, lists: int = LISTS, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.98, sample: int = SAMPLE, lists: int | None = None, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, block: int = BLOCK) -> DataFrame:
     """Every vector: vec_id, n_links, component_id, kept.
 
     Two vectors link when their labels are equal and not null (any two, without
@@ -124,6 +128,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     by_size: dict[int, list] = {}
     for r in picked:
         by_size.setdefault(len(r.x), []).append(r.x)
+    if lists is None:
+        lists = max(LISTS[0], min(LISTS[1], math.isqrt(classes.count())))
     fitted = {n: Quantiser(unit(np.array(own)), lists, subspaces, codewords) for n, own in by_size.items()}
     sent = spark.sparkContext.broadcast(fitted)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
@@ -145,7 +151,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     continue
                 home, d = q.lists_of(y)
                 for k, i in enumerate(at):
-                    for c in np.flatnonzero(d[k] <= d[k, home[k]] + 2 * reach):
+                    plane = (d[k] ** 2 - d[k, home[k]] ** 2) / (2 * q.apart[home[k]])
+                    plane[home[k]] = 0
+                    for c in np.flatnonzero(plane <= reach):
                         out.add(names[i], labels[i], size, int(c), int(c != home[k]), y[k].tobytes(), copies[i])
             yield out.batch()
 
