@@ -147,14 +147,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 q = sent.value.get(size)
                 if q is None:  # a length that the sample doesn't hold: one list
                     for k, i in enumerate(at):
-                        out.add(names[i], labels[i], size, 0, 0, y[k].tobytes(), copies[i])
+                        out.add(names[i], labels[i], size, 0, 0, y[k].tobytes(), copies[i], size=8 * int(size))
+                        if out.full:
+                            yield out.batch()
                     continue
                 home, d = q.lists_of(y)
                 for k, i in enumerate(at):
                     plane = (d[k] ** 2 - d[k, home[k]] ** 2) / (2 * q.apart[home[k]])
                     plane[home[k]] = 0
                     for c in np.flatnonzero(plane <= reach):
-                        out.add(names[i], labels[i], size, int(c), int(c != home[k]), y[k].tobytes(), copies[i])
+                        out.add(names[i], labels[i], size, int(c), int(c != home[k]), y[k].tobytes(), copies[i], size=8 * int(size))
+                    if out.full:
+                        yield out.batch()
             yield out.batch()
 
     spread = stored(classes.select("class", "label", "x", "copies").mapInArrow(probe, "class long, label string, size long, list long, role int, x binary, copies long"), "spread")
