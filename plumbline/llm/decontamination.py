@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Rows, rows_where, words_of
+from .shared import LOWER, Rows, pieces, rows_where, words_of
 
 #: Aligned words that are compared, and how many in a hundred must be equal.
 WINDOW = 13
@@ -177,7 +177,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
         def run(batches, sent=sent):
             find = Search(Index(sent.value, window, share))
-            for batch in batches:
+            for batch in pieces(batches):
                 rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("item_id", item_type), *((c, pa.int64()) for c in ("doc_start", "item_start", "n_words", "n_equal"))]))
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for item, doc_start, item_start, n, equal in find(text or ""):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rows
+from .shared import Rows, pieces
 
 MARKUP = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^"'>]++)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*+>?""", re.S)
 UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
@@ -385,7 +385,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kinds = pages.schema[id_col].dataType.simpleString(), pages.schema[url_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids, urls, sources = batch.column(0), batch.column(1), batch.column(2)
             texts: list[str] = []
             lo, n = 0, len(sources)

@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .components import connected
-from .shared import LOWER, Rows, dropped, stored, words_of
+from .shared import LOWER, Rows, dropped, pieces, stored, words_of
 
 #: Sets of a tree at most; a group with more is compared in pairs of blocks of half as many.
 MOST_SETS = 2_000
+#: Elements of a tree's sets at most (twice that in a pair of blocks).
+MOST_ELEMENTS = 1_500_000
 #: Cells whose parities tell classes that can't link apart.
 CELLS = 1_024
 #: Classes that agree in a part and are compared so; more are all taken to be near.
@@ -55,7 +57,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     try:
         return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_WORDS) > 300_000:
+        if len(_WORDS) > 200_000:
             _WORDS.clear()
         for w in set(words).difference(_WORDS):
             _WORDS[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
@@ -277,7 +279,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     def sign(batches):
         edges, seen, known = [1], set(), {}
-        for batch in batches:
+        for batch in pieces(batches):
             rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("parts", pa.list_(pa.int64())), ("cells", pa.binary())]))
             for doc_id, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = shingles(text, n)
@@ -342,13 +344,15 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     groups = connected(near)  # node, root
 
     # one document stands for each class of a group
-    spokes = signed.select("doc_id", "mark", "class").join(groups.select(F.col("node").alias("class"), F.col("root").alias("group")), "class")
-    chosen = stored(spokes.groupBy("class").agg(F.min("group").alias("group"), F.min(F.struct("doc_id", "mark")).alias("k")).select("class", "group", F.col("k.doc_id").alias("id"), F.col("k.mark").alias("of")), "chosen")
-    sizes = chosen.groupBy("group").agg(F.count("*").alias("size"))
-    placed = stored(chosen.join(sizes, "group").withColumn("blocks", F.when(F.col("size") <= most_sets, 1).otherwise(F.ceil(2 * F.col("size") / most_sets)).cast("int")), "placed")
+    spokes = signed.select("doc_id", "mark", "n_shingles", "class").join(groups.select(F.col("node").alias("class"), F.col("root").alias("group")), "class")
+    chosen = stored(spokes.groupBy("class").agg(F.min("group").alias("group"), F.max("n_shingles").alias("n"), F.min(F.struct("doc_id", "mark")).alias("k")).select("class", "group", "n", F.col("k.doc_id").alias("id"), F.col("k.mark").alias("of")), "chosen")
+    sizes = stored(chosen.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("elements")), "sizes")
+    small = (F.col("size") <= most_sets) & (F.col("elements") <= MOST_ELEMENTS)
+    blocks = F.when(small, 1).otherwise(F.ceil(2 * F.greatest(F.col("size") / most_sets, F.col("elements") / MOST_ELEMENTS)))
+    placed = stored(chosen.join(sizes, "group").withColumn("blocks", F.least(blocks, F.col("size")).cast("int")), "placed")
 
     def tuples(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             cols = [batch.column(i).to_pylist() for i in range(4)]
             rows = Rows(pa.schema([("class", pa.int64()), ("group", pa.int64()), ("blocks", pa.int32()), ("set", pa.binary())]))
             for name, group, blocks, text in zip(*cols):
@@ -392,7 +396,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     rooted = signed.select("doc_id", "n_shingles", "class").join(linked.select(F.col("node").alias("class"), "root"), "class", "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
     rooted = stored(rooted, "rooted")
     firsts = stored(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1").drop("members"), "firsts")
-    dropped(signed, met, chosen, placed)
+    dropped(signed, met, chosen, sizes, placed)
     return rooted.join(firsts, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

@@ -82,13 +82,20 @@ def rows_where(docs: DataFrame, text_col: str, decide) -> DataFrame:
 
     def run(batches):
         keep = decide()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(keep(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def pieces(batches, rows: int = 1_000):
+    """The batches in slices of so many rows, so that few rows at a time are Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 class Rows:
     """Collects output columns and gives Arrow batches of bounded size."""
 

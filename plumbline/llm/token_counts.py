@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import tokenizer_path
-from .shared import Rows
+from .shared import Rows, pieces
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -119,7 +119,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if vocabulary not in _COUNTERS:
             _COUNTERS[vocabulary] = Counter(pieces_of(vocabulary))
         counter, rows = _COUNTERS[vocabulary], None
-        for batch in batches:
+        for batch in pieces(batches):
             rows = rows or Rows(pa.schema([("doc_id", batch.schema.types[0]), ("n_tokens", pa.int64())]))
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows.add(doc_id, counter.count(text or ""))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rows, rows_where
+from .shared import Rows, pieces, rows_where
 
 THRESHOLD = 0.3
 #: Bounds of the training sample: documents of each class, and characters of a document.
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("score", pa.float64()), ("predicted", pa.int32()), ("n_toxic", pa.float64()), ("spans", span)]))
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo, scores, x, odds, offsets in _scored(sent.value, texts, known):
