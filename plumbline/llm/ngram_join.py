@@ -40,7 +40,6 @@ CELLS = 1_024
 MOST_NEAR = 100_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_WORDS: dict[str, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,26 +49,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each word; ``known`` remembers some."""
     import xxhash
 
     try:
-        return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_WORDS) > 200_000:
-            _WORDS.clear()
-        for w in set(words).difference(_WORDS):
-            _WORDS[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+        if len(known) > 200_000:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
+def shingles(text: str | None, n: int, known: dict[str, int] | None = None) -> np.ndarray:
     """The distinct hashes of a text's word n-grams, ascending; of all its words if they are fewer."""
     words = words_of((text or "").translate(LOWER) if text and not text.islower() else text or "")
     if not words:
         return np.zeros(0, np.uint64)
-    h = word_hashes(words)
+    h = word_hashes(words, {} if known is None else known)
     k = min(n, len(h))
     total = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
     for i in range(k):
@@ -278,11 +277,11 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     tagged = own.withColumn("mark", F.xxhash64("text"))
 
     def sign(batches):
-        edges, seen, known = [1], set(), {}
+        edges, seen, known, heard = [1], set(), {}, {}
         for batch in pieces(batches):
             rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("parts", pa.list_(pa.int64())), ("cells", pa.binary())]))
             for doc_id, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                s = shingles(text, n)
+                s = shingles(text, n, heard)
                 if not len(s):
                     rows.add(doc_id, mark, 0, None, None, None)
                     continue
@@ -352,11 +351,12 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     placed = stored(chosen.join(sizes, "group").withColumn("blocks", F.least(blocks, F.col("size")).cast("int")), "placed")
 
     def tuples(batches):
+        heard: dict[str, int] = {}
         for batch in pieces(batches):
             cols = [batch.column(i).to_pylist() for i in range(4)]
             rows = Rows(pa.schema([("class", pa.int64()), ("group", pa.int64()), ("blocks", pa.int32()), ("set", pa.binary())]))
             for name, group, blocks, text in zip(*cols):
-                data = shingles(text, n).tobytes()
+                data = shingles(text, n, heard).tobytes()
                 rows.add(name, group, blocks, data, size=len(data) + 32)
                 if rows.full:
                     yield rows.batch()
