@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Units that a worker remembers; about 200 bytes each.
+REMEMBER = 1_000_000
 #: Where a cut before a single space would not be exact: white space beside a
 #: space, and white space other than space and line feed.
 UNSAFE = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|  | \n|\n "
@@ -36,7 +38,7 @@ class UnitEncoder:
     ``most``: entries kept before the memory starts anew.
     """
 
-    def __init__(self, name_or_path: str, spaced: bool, most: int = 700_000):
+    def __init__(self, name_or_path: str, spaced: bool, most: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -113,11 +115,11 @@ class UnitEncoder:
 _ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(name_or_path: str, spaced: bool) -> UnitEncoder:
+def encoder(name_or_path: str, spaced: bool, most: int = REMEMBER) -> UnitEncoder:
     """One encoder for each Python worker and tokenizer."""
-    key = (name_or_path, spaced)
+    key = (name_or_path, spaced, most)
     if key not in _ENCODERS:
-        _ENCODERS[key] = UnitEncoder(name_or_path, spaced)
+        _ENCODERS[key] = UnitEncoder(name_or_path, spaced, most)
     return _ENCODERS[key]
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder, runs
+from .encoding import REMEMBER, encoder, runs
 from .shared import Rows
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,7 +31,7 @@ def piece_lengths(n: int, most: int) -> Iterator[int]:
         n -= piece
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, remember: int = REMEMBER) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset.
 
     ``ids`` holds little-endian unsigned 32-bit ids, ``start`` counts the
@@ -39,6 +39,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ``bucket`` equals the length; ``offset`` is 0, as a sequence is one piece.
     ``sequence_id`` is unique and follows the input's partitions and row order.
 
+    ``remember`` bounds the units whose ids a worker keeps; it changes no result.
+
     A null or empty text is one piece that holds the end id. Rows are documents:
     null and repeated ids stay as they are. No rows give no rows. Other input
     columns are not carried, so their names can't clash. Nothing is shuffled.
@@ -49,7 +51,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     end = np.uint32(end_id)
 
     def run(batches):
-        enc = encoder(tokenizer, spaced=False)
+        enc = encoder(tokenizer, spaced=False, most=remember)
         rows = None
         for batch in batches:
             if rows is None:
