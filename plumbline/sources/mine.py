@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -129,6 +130,10 @@ class Mine:
         return self.spark.createDataFrame(rows, schema)
 
 
+#: The cards of each mine that is kept in memory; reading it again lets the earlier ones go.
+_OPEN: dict[str, DataFrame] = {}
+
+
 def _canon(col):
     from .. import functions
 
@@ -174,9 +179,9 @@ def open_mine(spark: SparkSession, root: str) -> Mine:
     prefix = "file:" + mine.root.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(mine.root)
     mine.files = found.select(F.substring(F.col("path"), len(prefix) + 1, 1_000_000).alias("path"), "content", "length")
-    paths = mine.paths
+    paths, opened = mine.paths, uuid.uuid4().hex
 
-    def parse(batches):
+    def parse(batches, opened=opened):  # a name of its own: Spark must not take an earlier reading of these files for this one
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -191,7 +196,9 @@ def open_mine(spark: SparkSession, root: str) -> Mine:
             columns = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-    mine.cards = mine.files.select("path", "content").mapInArrow(parse, CARD_SCHEMA).cache()
+    if earlier := _OPEN.pop(mine.root, None):
+        earlier.unpersist()
+    mine.cards = _OPEN[mine.root] = mine.files.select("path", "content").mapInArrow(parse, CARD_SCHEMA).cache()
     return mine
 
 
