@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, stored
+from .shared import dropped, stored, trimmed
 
 #: Nodes that a task's forest holds before it is given out and started anew.
 MOST_NODES = 2_000_000
@@ -51,7 +51,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 yield from given()
         yield from given()
 
-    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").mapInArrow(run, "src long, dst long")
+    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").mapInArrow(trimmed(run), "src long, dst long")
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Rows, pieces, rows_where, words_of
+from .shared import LOWER, Rows, pieces, rows_where, trimmed, words_of
 
 #: Aligned words that are compared, and how many in a hundred must be equal.
 WINDOW = 13
@@ -184,7 +184,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                         rows.add(doc_id, find.index.names[item], doc_start, item_start, n, equal)
                 yield rows.batch()
 
-        part = own.mapInArrow(run, schema)
+        part = own.mapInArrow(trimmed(run), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 

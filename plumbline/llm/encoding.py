@@ -116,7 +116,9 @@ _ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
 def encoder(name_or_path: str, spaced: bool, most: int = REMEMBER) -> UnitEncoder:
-    """One encoder for each Python worker and tokenizer."""
+    """One encoder for each Python worker and tokenizer; one of its own for each task if it remembers less."""
+    if most < REMEMBER:
+        return UnitEncoder(name_or_path, spaced, most)
     key = (name_or_path, spaced, most)
     if key not in _ENCODERS:
         _ENCODERS[key] = UnitEncoder(name_or_path, spaced, most)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import Rows, dropped, stored
+from .shared import Rows, dropped, stored, trimmed
 
 #: Vectors that centroids and codewords are fitted to, at most.
 SAMPLE = 8_000
@@ -161,7 +161,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                         yield out.batch()
             yield out.batch()
 
-    spread = stored(classes.select("class", "label", "x", "copies").mapInArrow(probe, "class long, label string, size long, list long, role int, x binary, copies long"), "spread")
+    spread = stored(classes.select("class", "label", "x", "copies").mapInArrow(trimmed(probe), "class long, label string, size long, list long, role int, x binary, copies long"), "spread")
     key = ["label", "size", "list"]
     counts = stored(spread.groupBy(*key).agg(F.count_if(F.col("role") == 0).alias("homes"), F.count("*").alias("all")), "counts")
     dealt = spread.join(counts, key)
@@ -213,7 +213,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 sides.append(side)
         yield from done()
 
-    found = stored(blocks.mapInArrow(search, "class long, links long, dst long"), "found")
+    found = stored(blocks.mapInArrow(trimmed(search), "class long, links long, dst long"), "found")
     linked = connected(found.where("dst IS NOT NULL").select(F.col("class").alias("src"), "dst"))
     counted = found.groupBy("class").agg(F.sum("links").alias("others"))
     about = stored(classes.select("class", "copies").join(counted, "class", "left").join(linked.select(F.col("node").alias("class"), "root"), "class", "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("root")), "about")

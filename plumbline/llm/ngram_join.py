@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .components import connected
-from .shared import LOWER, Rows, dropped, pieces, stored, words_of
+from .shared import LOWER, Rows, dropped, pieces, stored, trimmed, words_of
 
 #: Sets of a tree at most; a group with more is compared in pairs of blocks of half as many.
 MOST_SETS = 2_000
@@ -297,7 +297,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                     yield rows.batch()
             yield rows.batch()
 
-    signed = stored(tagged.mapInArrow(sign, f"doc_id {kind.simpleString()}, mark long, n_shingles long, class long, parts array<long>, cells binary"), "signed")
+    signed = stored(tagged.mapInArrow(trimmed(sign), f"doc_id {kind.simpleString()}, mark long, n_shingles long, class long, parts array<long>, cells binary"), "signed")
 
     # classes that agree in a part with others
     by_part = signed.where("parts IS NOT NULL").select("class", F.explode("parts").alias("part"))
@@ -339,7 +339,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         if len(names) > 1:
             yield edges(may_link(names, sizes, cells, num, den))
 
-    near = dealt.mapInArrow(compare, "src long, dst long")
+    near = dealt.mapInArrow(trimmed(compare), "src long, dst long")
     groups = connected(near)  # node, root
 
     # one document stands for each class of a group
@@ -363,7 +363,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             yield rows.batch()
 
     texts = tagged.join(placed.hint("merge"), tagged["mark"].eqNullSafe(placed["of"]) & tagged["doc_id"].eqNullSafe(placed["id"])).select("class", "group", "blocks", "text")
-    sets = texts.mapInArrow(tuples, "class long, group long, blocks int, set binary")
+    sets = texts.mapInArrow(trimmed(tuples), "class long, group long, blocks int, set binary")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("class", "set", "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -390,7 +390,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 sides.append(side)
         yield from done()
 
-    linked = connected(dealt.mapInArrow(walk, "src long, dst long"))
+    linked = connected(dealt.mapInArrow(trimmed(walk), "src long, dst long"))
 
     # classes to components: the smallest id among all documents of all their classes
     rooted = signed.select("doc_id", "n_shingles", "class").join(linked.select(F.col("node").alias("class"), "root"), "class", "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder, runs
-from .shared import Rows, fresh_path
+from .shared import Rows, fresh_path, trimmed
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = 50_257
@@ -162,7 +162,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}.plbits"], "n_docs": [len(writer.docs)], "n_tokens": [writer.ids]})
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = [r.asDict() for r in ordered.mapInArrow(run, "part long, path string, n_docs long, n_tokens long").collect()]  # a row for each partition
+    files = [r.asDict() for r in ordered.mapInArrow(trimmed(run), "part long, path string, n_docs long, n_tokens long").collect()]  # a row for each partition
     first = 0
     for f in sorted(files, key=lambda f: f["part"]):
         f["first"] = first
@@ -204,4 +204,4 @@ def read_ids(spark, files: list[dict], ids: bool = False) -> DataFrame:
             yield rows.batch()
 
     listing = spark.createDataFrame([(f["path"], f["first"]) for f in files], "path string, first long")
-    return listing.repartition(max(1, len(files))).mapInArrow(run, schema)
+    return listing.repartition(max(1, len(files))).mapInArrow(trimmed(run), schema)

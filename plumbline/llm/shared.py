@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -86,7 +89,22 @@ def rows_where(docs: DataFrame, text_col: str, decide) -> DataFrame:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(keep(texts), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
+
+
+def trimmed(run):
+    """run(batches) that gives unused memory back when a task ends; workers outlive their tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def pieces(batches, rows: int = 1_000):

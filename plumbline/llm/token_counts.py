@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import tokenizer_path
-from .shared import Rows, pieces
+from .shared import Rows, pieces, trimmed
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -125,4 +125,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.add(doc_id, counter.count(text or ""))
             yield rows.batch()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id {kind.simpleString()}, n_tokens long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rows, pieces, rows_where
+from .shared import Rows, pieces, rows_where, trimmed
 
 THRESHOLD = 0.3
 #: Bounds of the training sample: documents of each class, and characters of a document.
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield rows.batch()
 
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, f"doc_id {kind.simpleString()}, score double, predicted int, n_toxic double, spans array<struct<start: long, end: long, probability: double>>")
+    return out.mapInArrow(trimmed(run), f"doc_id {kind.simpleString()}, score double, predicted int, n_toxic double, spans array<struct<start: long, end: long, probability: double>>")
 
 
 def _scored(model: Model, texts: list[str], known: dict[str, float]):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stored
+from .shared import ascii_lower, stored, trimmed
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -99,7 +99,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     keyed = base.withColumn("key", key_of(F.col("host"))).repartitionByRange("key", "page_id").sortWithinPartitions("key")
-    return keyed.mapInArrow(run, f"page_id {kind.simpleString()}, host string, path string, rule string, verdict string")
+    return keyed.mapInArrow(trimmed(run), f"page_id {kind.simpleString()}, host string, path string, rule string, verdict string")
 
 
 def _judge_by_key(base: DataFrame, rules: DataFrame, default: str) -> DataFrame:
