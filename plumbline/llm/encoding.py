@@ -125,7 +125,7 @@ def encoder(name_or_path: str, spaced: bool, most: int = REMEMBER) -> UnitEncode
     return _ENCODERS[key]
 
 
-def runs(texts: pa.Array, most_bytes: int = 4 << 20):
+def runs(texts: pa.Array, most_bytes: int = 8 << 20):
     """(first, texts) slices of bounded size, one text at least."""
     texts = texts.cast(pa.large_string())
     lo = size = 0

@@ -8,12 +8,12 @@ import pytest
 from plumbline.llm import packed_ids, packing, token_counts
 from plumbline.llm.encoding import UnitEncoder, runs, tokenizer_path
 
-ODD = ["", " ", "a", " a", "a ", "a  b", "x\n\ny", "x \ny", "<|endoftext|> b", "a<|endoftext|> <|startoftext|>x", "don't I'll", "日本 語", "a\tb c", "é \u0301x", "A B c", None, "\x1c a", "Σ ΑΣ", "it 's", "12 34", " \n a"]
+ODD = ["", " ", "a", " a", "a ", "a  b", "x\n\ny", "x \ny", "<|endoftext|> b", "a<|endoftext|> <|startoftext|>x", "don't I'll", "日本 語", "a\tb c", "é \u0301x", "A B c", None, "\x1c a", "Σ ΑΣ", "it 's", "12 34", " \n a", "a. b, c.\nD,\ne", "a.. b.,", ". , .\n,", "a\n\n.b", "x\r, y", "İ, i̇."]
 
 
 def odd_texts(n=1500):
     rnd = random.Random(1)
-    return ODD + ["".join(rnd.choice("ab \n\t'é1!😀<|>") for _ in range(rnd.randint(0, 30))) for _ in range(n)]
+    return ODD + ["".join(rnd.choice("ab .,\n.,\r\t'éßİ1!😀<|>") for _ in range(rnd.randint(0, 30))) for _ in range(n)]
 
 
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
