@@ -34,7 +34,7 @@ from .shared import LOWER, Rows, dropped, pieces, stored, trimmed, words_of
 MOST_SETS = 2_000
 #: Elements of a tree's sets at most (twice that in a pair of blocks).
 MOST_ELEMENTS = 1_500_000
-#: Cells whose parities tell classes that can't link apart.
+#: Cells, at least, whose parities tell classes that can't link apart.
 CELLS = 1_024
 #: Classes that agree in a part and are compared so; more are all taken to be near.
 MOST_NEAR = 100_000
@@ -143,27 +143,53 @@ def signatures(own: np.ndarray, num: int, den: int, edges: list[int], known: dic
 
 
 def parities(own: np.ndarray) -> bytes:
-    """The parity of the number of elements in each of CELLS cells."""
-    odd = np.bincount((mix(own ^ _M3) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    """The parity of the number of elements in each cell; so many cells that unlike sets of this size differ in enough of them."""
+    cells = CELLS
+    while cells < 0.75 * len(own):
+        cells *= 2
+    odd = np.bincount((mix(own ^ _M3) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities with fewer cells: of both halves together, again and again."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
 def may_link(names: list[int], sizes: list[int], cells: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
     """Edges that connect at least the classes that link; pairs that are connected already are not compared."""
     n = len(names)
-    size, bits = np.array(sizes), np.frombuffer(b"".join(cells), np.uint64).reshape(n, -1)
-    own, out = np.arange(n), []
+    size, own, out = np.array(sizes), np.arange(n), []
+    words = np.array([len(c) // 8 for c in cells])
+    #: for each number of cells the members that have so many or more, at that number
+    levels = {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words >= w)
+        table = np.zeros((n, w), np.uint64)
+        for v in np.unique(words[at]).tolist():
+            same = np.flatnonzero(words == v)
+            table[same] = folded(np.frombuffer(b"".join(cells[i] for i in same), np.uint64).reshape(len(same), v), w)
+        levels[w] = table
     for i in range(n - 1):
         rest = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
         if not len(rest):
             continue
         total = size[rest] + size[i]
         most = total - 2 * -(-num * total // (num + den))
-        near = rest[(np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= most) & (np.abs(size[rest] - size[i]) <= most)]
-        for j in near.tolist():
-            if own[j] != own[i]:
-                out.append((names[i], names[j]))
-                own[own == own[j]] = own[i]
+        close = np.abs(size[rest] - size[i]) <= most
+        rest, most = rest[close], most[close]
+        for w, table in levels.items():
+            some = np.minimum(words[rest], words[i]) == w
+            if not some.any():
+                continue
+            near = rest[some][np.bitwise_count(table[rest[some]] ^ table[i]).sum(1) <= most[some]]
+            for j in near.tolist():
+                if own[j] != own[i]:
+                    out.append((names[i], names[j]))
+                    own[own == own[j]] = own[i]
     return out
 
 

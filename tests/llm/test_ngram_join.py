@@ -95,3 +95,14 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(a, b) for a, b in zip(nodes[:100], nodes[1:100])] + [(nodes[100], x) for x in nodes[101:200]] + [(x, x) for x in nodes[200:210]] + [(nodes[250], None)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "src long, dst long").repartition(16)).collect()}
     assert len({got[n] for n in nodes[:100]}) == 1 and len({got[n] for n in nodes[100:200]}) == 1 and len(got) == 200
+
+
+def test_parities_never_part_sets_that_link():
+    rng = np.random.default_rng(9)
+    for size in (5, 300, 1_300, 1_400, 5_000, 12_000):
+        own = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        near = np.unique(np.concatenate([own[: int(0.93 * len(own))], rng.integers(0, 2**64, int(0.03 * size), np.uint64)]))
+        far = np.unique(np.concatenate([own[: len(own) // 4], rng.integers(0, 2**64, 3 * size // 4, np.uint64)]))
+        sets = [own, near, far]
+        found = J.may_link([1, 2, 3], [len(s) for s in sets], [J.parities(s) for s in sets], 80, 100)
+        assert (1, 2) in found and (size < 1_000 or len(found) == 1)
