@@ -155,7 +155,7 @@ def _classify(path: str, paths: dict[str, str]) -> tuple[str, str]:
     return "other", ""
 
 
-def open_mine(spark: SparkSession, root: str) -> Mine:
+def open_mine(spark: SparkSession, root: str, version: int = SCHEMA_VERSION) -> Mine:
     """Reads a mine. Refuses one of another version, and one whose configured folders are not there."""
     mine = Mine(spark, os.path.abspath(root))
     text, read = mine.text("config.yaml")
@@ -169,8 +169,8 @@ def open_mine(spark: SparkSession, root: str) -> Mine:
     versions = {str(mine.config.get("version", "")), mine.project.fields.get("version", "")}
     if len(versions) > 1:
         raise MineError("VERSION-MISMATCH", " and ".join(sorted(versions)))
-    if versions != {str(SCHEMA_VERSION)}:
-        raise MineError("VER-V2-UPGRADE", f"version {versions.pop()}; only {SCHEMA_VERSION} is judged")
+    if versions != {str(version)}:
+        raise MineError("VER-V2-UPGRADE", f"version {versions.pop()}; only {version} is judged")
     own = mine.config.get("paths", {})
     mine.paths = {k: os.path.normpath(own.get(k, v)) for k, v in PATHS.items()} if isinstance(own, dict) else dict(PATHS)
     for name, folder in mine.paths.items():
