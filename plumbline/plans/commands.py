@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import functions as R
 from ..core import registers as G
 from ..core import state as S
-from ..core.markdown import scan, section
+from ..core.markdown import section
 from ..operators import counts, ids, ledgers, references
 from ..sources.mine import DIAGNOSTIC, Mine, register
 
@@ -146,6 +146,7 @@ def single_checks(mine: Mine) -> list[DataFrame]:
     listed: list[tuple] = []  # code, path, family, ref
     bad = lambda code, path, subject="", detail="", severity="error": out.append((code, path, str(subject), str(detail), severity))
     truths_dir, counters = mine.paths["truths"], {}
+    sectioned: dict[str, set[str]] = {}
 
     text, read = mine.text("catalog.md")
     if text is None:
@@ -167,6 +168,8 @@ def single_checks(mine: Mine) -> list[DataFrame]:
         for number, material, element, refs, fit in G.coverage_rows(scanned):
             if not fit:
                 bad("COVERAGE-MALFORMED", path, material, f"line {number}")
+            if material != "legacy" and fit:
+                sectioned.setdefault(S.canon_id(material), set()).update(map(S.canon_id, refs))
             if material != "legacy":
                 mentions.append(("COVERAGE-DANGLING", path, material, f"line {number}", "material", S.canon_id(material)))
             mentions += [("COVERAGE-DANGLING", path, t, f"line {number}", "truth", S.canon_id(t)) for t in refs]
@@ -203,6 +206,8 @@ def single_checks(mine: Mine) -> list[DataFrame]:
                 mentions += [("CONF-SOURCE-DANGLING", name, e["id"], c["source"], "material", c["source"]) for c in e["candidates"]]
         else:
             counters = found
+    for code, detail, severity in config_findings(mine.config):
+        bad(code, "config.yaml", "", detail, severity)
     documents = mine.place(mine.paths["documents"])
     finals = False
     for doc in sorted(os.listdir(documents)):
@@ -226,6 +231,10 @@ def single_checks(mine: Mine) -> list[DataFrame]:
     if mentions:
         rows = mine.lines_table(mentions, "code string, path string, subject string, detail string, family string, ref string")
         parts.append(_diag(rows.join(units, (F.col("family") == F.col("f")) & (F.col("ref") == F.col("u")), "left_anti"), F.col("code"), "subject", F.col("detail")))
+    if sectioned:  # a material that has a section lists all its truths there
+        have = mine.lines_table([(m, t) for m, ts in sectioned.items() for t in ts], "m string, t string")
+        own = mine.truths.select("id", "source", F.lit(f"{truths_dir}/coverage.md").alias("path")).where(F.col("source").isin(*sectioned))
+        parts.append(_diag(own.join(have, (F.col("source") == F.col("m")) & (F.col("id") == F.col("t")), "left_anti"), "COVERAGE-UNLISTED", "id", F.col("source")))
     if listed:
         rows = mine.lines_table(listed, "code string, path string, family string, ref string")
         heads = rows.select("code", "path", "family").distinct()
@@ -243,6 +252,46 @@ def single_checks(mine: Mine) -> list[DataFrame]:
     return parts
 
 
+#: Keys of the configuration by section, with the values or the range that each may have.
+CONFIG = {
+    "paths": {"inbox": None, "materials": None, "truths": None, "documents": None},
+    "fidelity": {"completeness": ("off", "required")},
+    "conflicts": {"detection": None, "attribution": None},
+    "verify": {"strength": (1, 5), "scale": ("small", "medium", "large"), "repeat": None, "max_rounds": (1, 99)},
+    "review": {"strength": (1, 5), "max_rounds": (1, 99)},
+    "gaps": {"markers": None},
+}
+
+
+def config_findings(config: dict) -> list[tuple[str, str, str]]:
+    """(code, detail, severity): values outside their range are errors, unknown keys warnings."""
+    out = []
+    for name, own in config.items():
+        if name in ("version", "authority"):
+            continue
+        known = CONFIG.get(name)
+        if known is None or not isinstance(own, dict):
+            out.append(("CFG-UNKNOWN-KEY", name, "warning"))
+            continue
+        for key, value in own.items():
+            rule = known.get(key)
+            if key not in known:
+                if not (name == "verify" and value.isdigit()):  # members of repeat
+                    out.append(("CFG-UNKNOWN-KEY", f"{name}.{key}", "warning"))
+            elif rule and isinstance(rule[0], int):
+                if not value.isdigit() or not rule[0] <= int(value) <= rule[1]:
+                    out.append(("CFG-RANGE", f"{name}.{key}: {value}", "error"))
+            elif rule and value not in rule:
+                out.append(("CFG-VALUE", f"{name}.{key}: {value}", "error"))
+    own = config.get("gaps", {})
+    if isinstance(own, dict) and own.get("markers"):
+        try:
+            re.compile(own["markers"])
+        except re.error:
+            out.append(("CFG-MARKERS", own["markers"], "error"))
+    return out
+
+
 def _completeness(mine: Mine) -> str:
     own = mine.config.get("fidelity", {})
     return own.get("completeness", "off") if isinstance(own, dict) else "off"
@@ -497,4 +546,26 @@ def ghosts(mine: Mine) -> list[str]:
     return [r[0] for r in ledgers.ghosts(seen, "id", units, "id").orderBy("id").collect()]
 
 
-__all__ = ["scan"]
+def conflict_list(mine: Mine) -> list[tuple[str, list[str], list[str]]]:
+    """(id, targets, claims) of the open conflicts."""
+    text, read = mine.text("conflicts.json")
+    if text is None:
+        raise S.Refused("STATE-MISSING", read)
+    return [(e["id"], e["targets"], [c["claim"] for c in e["candidates"]]) for e in S.read_conflicts(text)]
+
+
+def quotations(mine: Mine) -> DataFrame:
+    """All quotations of converted texts with their state."""
+    from ..operators import quotes
+
+    return quotes.judged(quotes.quote_spans(mine.materials), quotes.raw_sources(mine.files, mine.paths["materials"]))
+
+
+def fingerprint() -> str:
+    """A digest over this package's own files."""
+    import hashlib
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parent.parent
+    rows = sorted((str(p.relative_to(home)), hashlib.sha256(p.read_bytes()).hexdigest()) for p in home.rglob("*.py") if "llm" not in p.relative_to(home).parts)
+    return hashlib.sha256("".join(f"{n}\0{d}\n" for n, d in rows).encode()).hexdigest()
