@@ -38,7 +38,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids that do not cross documents."""
-    return packing.pack(docs, remember=250_000)  # workers still hold memory of the stages before
+    return packing.pack(docs, remember=100_000, run_bytes=2 << 20)  # workers still hold memory of the stages before
 
 
 STAGES = [

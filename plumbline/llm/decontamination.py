@@ -130,7 +130,7 @@ class Search:
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int, int]]:
         words = words_of(text)
-        if len(self.raw) > 1_000_000:
+        if len(self.raw) > 300_000:
             self.raw.clear()
         for w in set(words).difference(self.raw):
             bare = w.translate(LOWER).strip(PUNCTUATION)

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Units that a worker remembers; about 200 bytes each.
 REMEMBER = 1_000_000
+#: Bytes of text that are encoded at once; a worker needs about 20 times as much meanwhile.
+RUN_BYTES = 8 << 20
 #: Where a cut before a single space would not be exact: white space beside a
 #: space, and white space other than space and line feed.
 UNSAFE = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|  | \n|\n "
@@ -125,7 +127,7 @@ def encoder(name_or_path: str, spaced: bool, most: int = REMEMBER) -> UnitEncode
     return _ENCODERS[key]
 
 
-def runs(texts: pa.Array, most_bytes: int = 8 << 20):
+def runs(texts: pa.Array, most_bytes: int = RUN_BYTES):
     """(first, texts) slices of bounded size, one text at least."""
     texts = texts.cast(pa.large_string())
     lo = size = 0

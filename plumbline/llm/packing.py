@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import REMEMBER, encoder, runs
+from .encoding import REMEMBER, RUN_BYTES, encoder, runs
 from .shared import Rows, trimmed
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,7 +31,7 @@ def piece_lengths(n: int, most: int) -> Iterator[int]:
         n -= piece
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, remember: int = REMEMBER) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, remember: int = REMEMBER, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset.
 
     ``ids`` holds little-endian unsigned 32-bit ids, ``start`` counts the
@@ -39,7 +39,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ``bucket`` equals the length; ``offset`` is 0, as a sequence is one piece.
     ``sequence_id`` is unique and follows the input's partitions and row order.
 
-    ``remember`` bounds the units whose ids a worker keeps; it changes no result.
+    ``remember`` bounds the units whose ids a worker keeps, ``run_bytes`` the text
+    that it encodes at once; neither changes a result.
 
     A null or empty text is one piece that holds the end id. Rows are documents:
     null and repeated ids stay as they are. No rows give no rows. Other input
@@ -57,7 +58,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             if rows is None:
                 rows = Rows(pa.schema([("doc_id", batch.schema.types[0]), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]))
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in runs(batch.column(1)):
+            for first, texts in runs(batch.column(1), run_bytes):
                 ids, offsets = enc.encode(texts)
                 for i in range(len(texts)):
                     own = np.append(ids[offsets[i] : offsets[i + 1]], end).astype("<u4")

@@ -299,7 +299,7 @@ def _scored(model: Model, texts: list[str], known: dict[str, float]):
         while hi < len(texts) and (hi == lo or size < 4_000_000):
             size += len(texts[hi])
             hi += 1
-        if len(known) > 1_000_000:
+        if len(known) > 300_000:
             known.clear()
         split = [t.split() for t in texts[lo:hi]]
         offsets, odds = _offsets(split), _odds(model, split, known)
