@@ -56,6 +56,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_near_vectors, op4_line_dedup, op5_decontamination, op6_ngram_join, op7_toxicity, op8_url_filters, op9_token_ids, op10_packing)}
 
 ORACLES = {
+    "op3_near_vectors": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(vec_id, root) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT links.w, reach.root FROM reach JOIN links ON links.u = reach.vec_id
+), component AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY 1),
+counted AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN component USING (vec_id) LEFT JOIN counted USING (vec_id)""",
+    "op6_ngram_join": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words
+), elements AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sets),
+pairs AS (
+    SELECT a.doc_id AS u, b.doc_id AS v FROM elements a JOIN elements b ON a.x = b.x AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), links AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.v, reach.root FROM reach JOIN links ON links.u = reach.doc_id),
+component AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN component USING (doc_id)""",
     "op8_url_filters": r"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (
     VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')

@@ -5,34 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these white-space characters.
-WORD_GAP = r"[\x20\x09-\x0D]+"
+from ..sources import shared_dir, table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of a folder that the driver and all executors see.
-
-    The session's ``spark.checkpoint.dir`` names it. Only a local master may
-    leave that unset; then a folder of this machine is used.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "plumbline")
-    return where if "://" in where else f"file://{where}"
+__all__ = ["LOWER", "Rows", "ascii_lower", "dropped", "fresh_path", "pieces", "rows_where", "shared_dir", "stored", "table", "trimmed", "words_of"]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
