@@ -6,6 +6,7 @@ Exit codes: 0 all right, 1 the mine does not fit, 2 refused or misused.
 from __future__ import annotations
 
 import json
+import locale
 import re
 import sys
 
@@ -30,6 +31,8 @@ COMMANDS = {
     "seal-review": (1, 1, set()),
     "consecrate": (1, 1, set()),
     "upgrade": (0, 0, {"--check", "--apply"}),
+    "lang": (0, 0, set()),
+    "locale": (0, 0, set()),
     "version": (0, 0, set()),
 }
 
@@ -66,6 +69,9 @@ def _run(spark, command, root, arguments, options, say) -> int:
     if command == "version":
         say(f"fingerprint {commands.fingerprint()}")
         return 0
+    if command == "locale":
+        say(str(locale.getlocale()[0]))
+        return 0
     if command == "upgrade":
         todo = upgrade.upgrade(spark, root, apply="--apply" in options)
         say(f"keep {len(todo.keep)} · delete {len(todo.delete)} · move {len(todo.move)} into {len(todo.entries)} · blocked {len(todo.blocks)}")
@@ -118,6 +124,7 @@ def _run(spark, command, root, arguments, options, say) -> int:
             "impact": lambda: commands.impact(mine, arguments[0]),
             "gaps": lambda: commands.gaps(mine, *arguments),
             "status": lambda: commands.status(mine),
+            "lang": lambda: mine.project.fields.get("language", ""),
             "reindex": lambda: writers.reindex(mine),
             "retag": lambda: writers.retag(mine, *arguments, dry="--dry" in options),
             "attest": lambda: writers.attest(mine, *arguments[:3], arguments[3:]),

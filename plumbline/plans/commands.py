@@ -420,10 +420,24 @@ def intake_split(mine: Mine) -> DataFrame:
 
 
 def scope(mine: Mine) -> DataFrame:
-    """family, id, evidence: every material and truth with its class."""
+    """family, id, evidence: every material and truth with its class.
+
+    A truth that no ledger row names and that the Verified units section lists
+    is legacy-unbound; a damaged row never falls back to that.
+    """
     rows = mine.verify_rows()[0].where("id IS NOT NULL")
     units = mine.truths.select(F.lit("truth").alias("family"), "id", "digest").unionByName(mine.materials.select(F.lit("material").alias("family"), "id", F.col("copy_digest").alias("digest")))
-    return ledgers.scope(units, "id", "digest", rows, "id", ["row_ord"], "word", "digest").select("family", "id", "evidence")
+    judged = ledgers.scope(units, "id", "digest", rows, "id", ["row_ord"], "word", "digest").select("family", "id", "evidence")
+    scanned, _ = register(mine, mine.paths["truths"], "verify.md")
+    listed = G.verified_units(scanned)[0] if scanned is not None else []
+    spans = [(x[0], int(lo), int(hi or lo)) for x in listed for lo, hi in [(x.split("-")[0][1:], x.split("-")[1][1:] if "-" in x else "")] if len(lo) <= 15 and len(hi) <= 15]
+    if not spans:
+        return judged
+    table = mine.lines_table(spans, "letter string, lo long, hi long")
+    old = ids.expand_ranges(table, "lo", "hi").select(R.canon_id(F.concat("letter", F.col("n").cast("string"))).alias("old")).distinct()
+    old = references.unresolved(old, "old", rows, "id").withColumn("legacy", F.lit(True))
+    joined = judged.join(old, F.col("id") == F.col("old"), "left")
+    return joined.select("family", "id", F.when(F.col("legacy") & (F.col("family") == "truth") & (F.col("evidence") == "unverified"), "legacy-unbound").otherwise(F.col("evidence")).alias("evidence"))
 
 
 def scope_counts(mine: Mine) -> dict[tuple[str, str], int]:

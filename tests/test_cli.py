@@ -35,7 +35,7 @@ def test_commands(spark, tmp_path):
     assert call("conflict", "list") == 0 and said == ["c001 [] x"]
     assert call("validate") == 1 and call("conflict", "remove", "c1") == 0 and call("conflict", "remove", "c1") == 2
     assert call("attest", "verified", "1", "s", "t9") == 2 and call("gaps", "(") == 2
-    assert call("version") == 0
+    assert call("version") == 0 and call("locale") == 0 and call("lang") == 0 and said == ['"en"']
     edit(root, "truths/coverage.md", "t001", "none, skipped")
     assert call("validate") == 1 and "[COVERAGE-UNLISTED] truths/coverage.md t001 m001" in said
     edit(root, "project.md", "version: 3", "version: 1")

@@ -162,3 +162,12 @@ def test_coverage_and_verified_units():
     assert [(m, e, t, ok) for _, m, e, t, ok in rows] == [("m001", "rent", ["t1", "t002"], True), ("m001", "notice", [], True), ("m001", "- bare", [], False), ("legacy", "m002", [], True)]
     ids, prose = G.verified_units(M.scan("## Verified units\n\n- t001 by hand verified\n| t003-t004 | verified |\n- t005 unverified\nt006 was verified once\n"))
     assert ids == ["t001", "t003-t004"] and len(prose) == 2
+
+
+def test_pointer_blocks():
+    from plumbline.core.pointer import block_state
+
+    own = "<!-- a -->\nread this\n<!-- z -->"
+    states = [block_state(t, own, "<!-- a -->", "<!-- z -->") for t in (None, "x", f"x\r\n{own}\r\ny".replace("this\n", "this\r\n"), own.replace("this", "that"), own * 2, "<!-- a --> x", "<!-- z --> <!-- a -->")]
+    assert states == ["none", "none", "ok", "stale", "many", "broken", "broken"]
+    assert block_state(own, None, "<!-- a -->", "<!-- z -->") == "no-template"

@@ -179,6 +179,13 @@ def test_attest_and_scope(spark, root):
         writers.attest(mine, "verified", "1", "two\tfields", ["t1"])
 
 
+def test_legacy_evidence(spark, root):
+    edit(root, "truths/verify.md", "## Verified units\n", "## Verified units\n\n- t001-t003 verified\n- m001 verified\n")
+    assert commands.scope_counts(open_mine(spark, root)) == {("truth", "legacy-unbound"): 1, ("material", "unverified"): 1}
+    put(root, "truths/verify-ledger.tsv", "t1\t-\tperhaps\t1\ts\t2026-01-01\n")
+    assert commands.scope_counts(open_mine(spark, root))[("truth", "unverified")] == 1
+
+
 def test_intake(spark, root):
     os.unlink(os.path.join(root, "materials/intake-ledger.tsv"))
     put(root, "materials/m002/converted.md", material(2, "x y\n"))
