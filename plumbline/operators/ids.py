@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import dropped, stored
+
 #: Ids that a range may cover; a larger one covers nothing and is named.
 RANGE_CAP = 1_000
 
@@ -39,11 +41,6 @@ def tag_tree(rows: DataFrame, key: str, tags: str) -> DataFrame:
     return rows.select(F.col(key), F.explode(tags).alias("tag")).distinct().groupBy("tag").agg(F.array_sort(F.collect_list(key)).alias("members"))
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def groups(edges: DataFrame, a: str, b: str, shared: str, most_rounds: int = 50) -> DataFrame:
     """node, root: each node of the edges with the smallest node that it is connected to.
 
@@ -51,19 +48,36 @@ def groups(edges: DataFrame, a: str, b: str, shared: str, most_rounds: int = 50)
     ones, then the smaller. Each round is written to a new folder under
     ``shared``, which all executors see, so no round is computed twice.
     """
-    home = f"{shared}/groups-{uuid.uuid4().hex}"
-    now = _stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), f"{home}/0")
-    nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
+    spark, home = edges.sparkSession, f"{shared}/groups-{uuid.uuid4().hex}"
+    now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), f"{home}/edges-0")
+    nodes = stored(now.select(F.col("u").alias("node")).union(now.select("v")).distinct(), f"{home}/nodes")
     before = None
     for turn in range(1, most_rounds + 1):
+        # joins read written tables on both sides, so that a node with very many edges can be split among tasks
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{home}/{turn}-large")
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{home}/least-{turn}")
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{home}/large-{turn}")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        now = _stored(down.join(least, "u").select("v", "m").union(least.select("u", "m")).where("v <> m").toDF("u", "v").distinct(), f"{home}/{turn}")
+        lower = stored(down.groupBy("u").agg(F.min("v").alias("m")), f"{home}/lower-{turn}")
+        now = stored(down.join(lower, "u").select("v", "m").union(lower.select("u", "m")).where("v <> m").toDF("u", "v").distinct(), f"{home}/edges-{turn}")
+        for name in (f"edges-{turn - 1}", f"least-{turn}", f"large-{turn}", f"lower-{turn}"):
+            dropped(spark, f"{home}/{name}")
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if after == before:
             return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         before = after
     raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
+
+
+def places(rows: DataFrame, name: str, order: list, shared: str) -> DataFrame:
+    """Rows with their place (from 1) in the order of all, without a task that sees them all.
+
+    Rows are ranged by the order and numbered within each range; the ranges'
+    sizes, one number for each partition, give where each begins.
+    """
+    path = f"{shared}/places-{uuid.uuid4().hex}"
+    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    own = stored(ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(*order))), path)
+    sizes = own.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))
+    return own.join(F.broadcast(starts), "__range").select(*rows.columns, (F.col("__start") + F.col("__own")).cast("long").alias(name))

@@ -324,9 +324,10 @@ def continuation(spark, d):
 @query("""
 SELECT id, row_number() OVER (ORDER BY length(id), id) AS numeric_place, row_number() OVER (ORDER BY id) AS byte_place FROM (SELECT 't' || CAST(s_suppkey AS VARCHAR) AS id FROM supplier)""")
 def ordered_output(spark, d):
-    """Ids in the order of their numbers and in the order of their bytes; the register of suppliers is small by nature."""
+    """Ids in the order of their numbers and in the order of their bytes."""
     rows = table(spark, d, "supplier").select(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("id"))
-    return rows.select("id", F.row_number().over(Window.orderBy(F.length("id"), "id")).cast("long").alias("numeric_place"), F.row_number().over(Window.orderBy("id")).cast("long").alias("byte_place"))
+    numeric = ids.places(rows, "numeric_place", [F.length("id"), F.col("id")], shared_dir(spark))
+    return ids.places(numeric, "byte_place", [F.col("id")], shared_dir(spark))
 
 
 @query("""

@@ -24,3 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "plumbline")
     return where if "://" in where else f"file://{where}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows of df, written to a folder that all executors see and read back; cuts the lineage."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of stored rows that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 
 from ..operators.ledgers import last_row_wins
@@ -27,7 +29,7 @@ def fold_into_table(rows: DataFrame, key: str, order: list[str], table: str, che
         every = batch if before is None else batch.unionByName(before)
         last_row_wins(every, key, *order).select(*batch.columns).write.mode("overwrite").parquet(f"{table}/version={number}")
 
-    return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/stream-{abs(hash(table))}").trigger(**(trigger or {"availableNow": True})).start()
+    return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/stream-{hashlib.sha256(table.encode()).hexdigest()[:16]}").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current(spark, table: str, newest: int | None = None) -> DataFrame | None:
