@@ -75,15 +75,19 @@ class UnitEncoder:
 
     def _ids_of(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units, from the memory where it has them."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > self.most:
+        if len(self.known) > self.most:
             self.known.clear()
-            new = units
+        out = list(map(self.known.get, units))
+        missing = [i for i, ids in enumerate(out) if ids is None]
         prefix = " " if self.spaced else ""
-        for lo in range(0, len(new), 100_000):
-            part = new[lo : lo + 100_000]
-            self.known.update(zip(part, self._encode_units([prefix + u for u in part])))
-        return list(map(self.known.__getitem__, units))
+        for lo in range(0, len(missing), 100_000):
+            part = missing[lo : lo + 100_000]
+            names = [units[i] for i in part]
+            found = self._encode_units([prefix + u for u in names] if prefix else names)
+            self.known.update(zip(names, found))
+            for i, ids in zip(part, found):
+                out[i] = ids
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]. Null is empty."""

@@ -67,6 +67,9 @@ class IdWriter:
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         self.docs.append((doc_id, len(ids)))
+        self._put(ids)
+
+    def _put(self, ids: np.ndarray) -> None:
         self.waiting.append(ids)
         self.held += len(ids)
         self.ids += len(ids)
@@ -77,6 +80,11 @@ class IdWriter:
                 self._block(every[lo : lo + self.block])
             self.waiting, self.held = [every[whole:]], len(every) - whole
 
+    def add_all(self, doc_ids: list, sizes: list[int], ids: np.ndarray) -> None:
+        """As add(), for documents whose ids follow one another in one array."""
+        self.docs += zip(doc_ids, sizes)
+        self._put(ids)
+
     def _block(self, ids: np.ndarray) -> None:
         data = pack_bits(ids, self.bits)
         self.offsets.append(self.at)
@@ -153,8 +161,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id"
             doc_ids = batch.column(0).to_pylist()
             for first, texts in runs(batch.column(1)):
                 ids, offsets = enc.encode(texts)
-                for i in range(len(texts)):
-                    writer.add(doc_ids[first + i], np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)))
+                writer.add_all(doc_ids[first : first + len(texts)], (np.diff(offsets) + 1).tolist(), np.insert(ids, offsets[1:], np.uint32(end_id)))
         if writer is not None:
             writer.close()
             sink.close()
@@ -185,19 +192,21 @@ def read_ids(spark, files: list[dict], ids: bool = False) -> DataFrame:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, place = fs.FileSystem.from_uri(path)
                 with store.open_input_file(place) as source:
-                    reader, b, block = IdReader(source), -1, None
-                    for i, doc in enumerate(reader.docs):
-                        lo, hi, crc, parts = int(reader.starts[i]), int(reader.starts[i + 1]), 0, []
-                        while lo < hi:  # each block is unpacked once
-                            if lo // reader.block != b:
-                                b = lo // reader.block
-                                block = next(reader.blocks(b * reader.block, min((b + 1) * reader.block, reader.ids)))
-                            data = block[lo - b * reader.block : hi - b * reader.block]
+                    reader, b, block, begin = IdReader(source), -1, None, 0
+                    starts, size = reader.starts.tolist(), reader.block
+                    for (doc_id, null, n), lo in zip(reader.docs.tolist(), starts):
+                        at, hi, crc, parts = lo, lo + n, 0, []
+                        while at < hi:  # each block is unpacked once
+                            if at // size != b:
+                                b = at // size
+                                begin = b * size
+                                block = next(reader.blocks(begin, min(begin + size, reader.ids)))
+                            data = block[at - begin : hi - begin]
                             crc = zlib.crc32(data, crc)
-                            lo += len(data)
+                            at += len(data)
                             if ids:
                                 parts.append(data.tobytes())
-                        rows.add(None if doc["null"] else int(doc["doc_id"]), first + int(reader.starts[i]), int(doc["n"]), crc, *[b"".join(parts)] * ids, size=32 + 4 * int(doc["n"]) * ids)
+                        rows.add(None if null else doc_id, first + lo, n, crc, *[b"".join(parts)] * ids, size=32 + 4 * n * ids)
                         if rows.full:
                             yield rows.batch()
         if rows.columns[0]:
