@@ -71,5 +71,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if rows is not None and rows.columns[0]:
             yield rows.batch()
 
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long")
+    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run if remember >= REMEMBER else trimmed(run), f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long")
     return pieces.select("*", F.col("length").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
