@@ -1,14 +1,13 @@
-"""Line dedup by content-defined chunks of lines; DataFrame functions only.
+"""Line dedup by overlapping chunks of lines; DataFrame functions only.
 
-A document's lines are cut into chunks where a hash over the window of lines
-after a gap, or before it, says so; that depends on the lines alone, so a shared
-passage is cut alike wherever it stands. Several cuttings with hashes of their
-own overlap, so that a passage's ends are found by one if not by another. A line
-of many words is a chunk of its own.
+A chunk is two neighbouring lines with text and the blank lines between them,
+wherever they stand. Every passage of two lines or more consists of such chunks,
+so a passage is found whole wherever it is repeated: no boundary can be missed,
+and none depends on lines outside it. A line of many words is a chunk as well.
 
-Chunks of several lines (or of such a long line) that occur more than once in
-all documents are removed except where they come first, by document id, then
-place. Chunks are equal if their lines' hashes are, and their bytes: a line hash
+Chunks that occur more than once in all documents are removed except where they
+come first, by document id, then place; the first place of a line's text always
+stays. Chunks are equal if their lines' hashes are, and their bytes: a line hash
 that stands for different bytes anywhere makes its chunks stay.
 """
 
@@ -19,57 +18,31 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, stored
 
-#: Cuttings by the lines after a gap, and as many by those before it.
-CUTTINGS = 3
-WINDOW = 1
+#: A character that isn't white space: ASCII's, Unicode's separators and the next-line character.
+INK = r"[^\s\p{Z}\x85]"
 LONG_WORDS = 50
 #: Hashes sent to every task at most; more are joined.
 MOST_SENT = 2_000_000
 
 
-def shifted(array: Column, by: int) -> Column:
-    """The array moved by so many places, to later places if positive, with nulls where nothing comes from."""
-    n = F.size(array)
-    gap = F.array_repeat(F.element_at(array, 1), F.least(F.lit(abs(by)), n))  # any values of the right type
-    gap = F.transform(gap, lambda x: F.nullif(x, x))
-    if by >= 0:
-        return F.concat(gap, F.slice(array, F.lit(1), F.greatest(n - by, F.lit(0))))
-    return F.concat(F.slice(array, F.lit(1 - by), F.greatest(n + by, F.lit(0))), gap)
+def gaps_of(lines: Column, hashes: Column | None = None, long_words: int = LONG_WORDS) -> Column:
+    """array<long>: for each line 0 if it is blank, else 1; bit 62 marks a long line. Hashes aren't looked at."""
+    long = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) >= long_words - 1
+    return F.transform(lines, lambda x: F.when(F.rlike(x, F.lit(INK)), 1).otherwise(0) + F.when(long(x), 1 << 62).otherwise(0))
 
 
-def gaps_of(lines: Column, hashes: Column, cuttings: int = CUTTINGS, window: int = WINDOW, long_words: int = LONG_WORDS) -> Column:
-    """array<long>: for the gap before each line, bit k is set where cutting k has a boundary; bit 62 marks a long line.
-
-    Cuttings 2 k look at a rolling hash of the window after the gap, 2 k + 1 before it.
-    """
-    long = F.transform(lines, lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) >= long_words - 1)
-    around = F.arrays_zip(long.alias("long"), shifted(long, 1).alias("after_long"), *(shifted(hashes, -j).alias(f"a{j}") for j in range(window)), *(shifted(hashes, j + 1).alias(f"b{j}") for j in range(window)))
-
-    def bits(x):
-        out = F.lit(0).cast("long")
-        for k in range(2 * cuttings):
-            seen = [x[f"{'b' if k % 2 else 'a'}{j}"] for j in range(window)]
-            out = out + F.when(x["long"] | F.coalesce(x["after_long"], F.lit(False)) | (F.xxhash64(*seen, F.lit(k)) % 2 == 0), 1 << k).otherwise(0)
-        return out + F.when(x["long"], 1 << 62).otherwise(0)
-
-    return F.transform(around, bits)
-
-
-def chunks_of(gaps: Column, hashes: Column, cuttings: int = CUTTINGS) -> Column:
-    """array<struct<start, stop, own>>: the repeatable chunks of all cuttings, own being their lines' hashes."""
-    n = F.size(gaps)
-    found = []
-    for k in range(2 * cuttings):
-        bit = F.lit(1 << k).cast("long")
-        starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(gaps, i).bitwiseAND(bit) != 0))
-        found.append(F.zip_with(F.slice(starts, F.lit(1), F.size(starts) - 1), F.slice(starts, F.lit(2), F.size(starts) - 1), span))
-    every = F.array_distinct(F.concat(*found))
-    kept = F.filter(every, lambda c: (stop_of(c) - start_of(c) > 1) | (F.get(gaps, start_of(c)) >= 1 << 62))
-    return F.transform(kept, lambda c: F.struct(start_of(c).alias("start"), stop_of(c).alias("stop"), F.slice(hashes, start_of(c) + 1, stop_of(c) - start_of(c)).alias("own")))
+def chunks_of(gaps: Column, hashes: Column) -> Column:
+    """array<struct<start, stop, own>>: the repeatable chunks, own being their lines' hashes."""
+    every = F.sequence(F.lit(0), F.size(gaps) - 1)
+    inked = F.filter(every, lambda i: F.get(gaps, i).bitwiseAND(F.lit(1).cast("long")) != 0)
+    n = F.greatest(F.size(inked) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(inked, F.lit(1), n), F.slice(inked, F.lit(2), n), lambda a, b: span(a, b + 1))
+    long = F.transform(F.filter(every, lambda i: F.get(gaps, i) >= 1 << 62), lambda i: span(i, i + 1))
+    return F.transform(F.concat(pairs, long), lambda c: F.struct(start_of(c).alias("start"), stop_of(c).alias("stop"), F.slice(hashes, start_of(c) + 1, stop_of(c) - start_of(c)).alias("own")))
 
 
 def span(start: Column, stop: Column) -> Column:
-    """Start and stop in one long, which arrays are deduplicated by in linear time."""
+    """Start and stop in one long."""
     return F.shiftleft(start.cast("long"), 32) + stop
 
 
@@ -81,7 +54,7 @@ def stop_of(c: Column) -> Column:
     return c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT, cuttings: int = CUTTINGS, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT, long_words: int = LONG_WORDS) -> DataFrame:
     """All documents with their columns; text without the lines of chunks that came before, and __n_removed.
 
     Where a chunk comes first is kept: the smallest id (null before all), then
@@ -92,8 +65,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.split(text, "\n", -1).alias("lines")).where(F.size("lines") > 0)
     hashed = own.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    gapped = hashed.select("id", "mark", "hashes", gaps_of(F.col("lines"), F.col("hashes"), cuttings, window, long_words).alias("gaps"))
-    cut = gapped.select("id", "mark", F.explode(chunks_of(F.col("gaps"), F.col("hashes"), cuttings)).alias("c"))
+    gapped = hashed.select("id", "mark", "hashes", gaps_of(F.col("lines"), long_words=long_words).alias("gaps"))
+    cut = gapped.select("id", "mark", F.explode(chunks_of(F.col("gaps"), F.col("hashes"))).alias("c"))
     chunks = stored(cut.select("id", "mark", F.col("c.start").alias("start"), F.col("c.stop").alias("stop"), F.col("c.own").alias("own"), F.xxhash64("c.own").alias("key")), "chunks")
 
     place = F.struct("id", "mark", "start")

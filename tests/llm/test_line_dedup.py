@@ -90,3 +90,29 @@ def test_without_sending_hashes(spark):
 def test_only_dataframe_functions(spark):
     plan = L.dedup_lines(spark.createDataFrame([(1, "a\nb"), (2, "a\nb")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_planted_passages_are_found_whole(spark):
+    rnd = random.Random(6)
+    rows, want, n = [], {}, 0
+    for copies in (2, 10):
+        for length in range(2, 9):
+            for _ in range(6):
+                passage = sentences(rnd, length)
+                if length == 5:
+                    passage[2] += " " + sentences(rnd, 1, 60)[0]  # short lines beside a long one
+                if length == 7:
+                    passage[3:3] = ["", " \t"]  # blank lines inside
+                for copy in range(copies):
+                    before, after = sentences(rnd, 3), sentences(rnd, 2)
+                    kept = before + (passage if copy == 0 else []) + after
+                    rows.append((n, "\n".join(before + passage + after)))
+                    want[n] = ("\n".join(kept), len(before + passage + after) - len(kept))
+                    n += 1
+    assert run(spark, rows) == want
+
+
+def test_a_common_line_before_a_blank_one_stays(spark):
+    rnd = random.Random(7)
+    rows = [(i, "\n\n".join([*sentences(rnd, 2), "a common line", *sentences(rnd, 2)])) for i in range(20)]
+    assert run(spark, rows) == {i: (t, 0) for i, t in rows}
