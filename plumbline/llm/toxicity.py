@@ -8,7 +8,8 @@ toxic; a logistic model turns a document's marginals into its score.
 Labels are of documents, so token labels are derived: within toxic documents a
 token counts as toxic when a form of it (word or prefix) is found in many of
 them and in hardly any clean one. Training is deterministic and uses a bounded
-sample of labelled documents; scoring covers every whole text.
+sample of labelled documents, weighted to the classes' shares among all of them;
+scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -155,12 +156,15 @@ def _unlike(texts: list[str]) -> list[str]:
     return out
 
 
-def train(toxic: list[str], clean: list[str], rounds: int = 60) -> Model:
+def train(toxic: list[str], clean: list[str], counts: tuple[int, int] | None = None, rounds: int = 60) -> Model:
     """A model from the texts of toxic and of clean documents; either list may be empty.
 
-    Without toxic texts every score is the (smoothed) share of toxic documents.
+    counts: how many texts of each class they were sampled from, if not all;
+    scores are probabilities at the shares that the classes have there. Without
+    toxic texts every score is the (smoothed) share of toxic documents.
     """
-    share = (len(toxic) + 0.5) / (len(toxic) + len(clean) + 1)
+    n_toxic, n_clean = counts or (len(toxic), len(clean))
+    share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
     prior = np.array([math.log(share / (1 - share)), 0, 0, 0])
     moves = np.zeros((2, 2))
     fit_toxic, fit_clean = _unlike(toxic), _unlike(clean)
@@ -214,14 +218,16 @@ def train(toxic: list[str], clean: list[str], rounds: int = 60) -> Model:
         theta = theta + 0.25 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     weights = {f: round(float(theta[i]), 4) for f, i in kept.items() if abs(theta[i]) > 0.02}
     model = Model(weights, float(theta[len(kept)]), theta[-4:].reshape(2, 2), prior)
-    # the score's weights, from all sampled documents with the shares of the classes that they have there
+    # the score's weights, from all sampled documents, weighted to the shares that the classes have in all documents
     every = [t.split() for t in toxic + clean]
     x = doc_features(_odds(model, every, {}), _offsets(every))
     target = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
+    n = len(every)
+    each = np.where(target == 1, n_toxic / len(toxic), n_clean / len(clean)) * n / (n_toxic + n_clean)
     c = np.zeros(4)
     for _ in range(30):  # Newton steps, with a ridge
         q = 1 / (1 + np.exp(-x @ c))
-        c += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 0.3, 0.3, 0.3]), x.T @ (target - q) - np.array([1e-3, 0.3, 0.3, 0.3]) * c)
+        c += np.linalg.solve((x * (each * q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 0.3, 0.3, 0.3]), x.T @ (each * (target - q)) - np.array([1e-3, 0.3, 0.3, 0.3]) * c)
     model.calibration = c
     return model
 
@@ -238,12 +244,13 @@ def _odds(model: Model, split: list[list[str]], known: dict[str, float]) -> np.n
     return a * b
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Texts of labelled toxic and clean documents that may be learnt from.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str], tuple[int, int]]:
+    """Texts of labelled toxic and clean documents that may be learnt from, and how many there are of each class in all.
 
     At most ``most_docs`` ids of each class, the smallest by a hash of the id;
     of their documents those of at most ``most_chars`` characters. A document
-    with several labels has the largest. Null ids and labels are left out.
+    with several labels has the largest. Null ids and labels are left out. Equal
+    texts of a class count once, told apart by 64-bit hashes where all are counted.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     once = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
@@ -256,7 +263,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got: dict[int, set] = defaultdict(set)
     for y, text in rows:
         got[y].add(text)
-    return [sorted(got[y], key=lambda s: (zlib.crc32(s.encode()), s)) for y in (1, 0)]
+    marks = texts.select("__id", F.xxhash64("__text").alias("__mark")).join(once, "__id").select("__y", "__mark").distinct()
+    counts = {r["__y"]: r["count"] for r in marks.groupBy("__y").count().collect()}
+    return *(sorted(got[y], key=lambda s: (zlib.crc32(s.encode()), s)) for y in (1, 0)), (counts.get(1, 0), counts.get(0, 0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

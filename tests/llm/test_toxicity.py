@@ -71,3 +71,21 @@ def test_odd_rows(spark):
     assert len(got) == 205 and all(math.isfinite(r.score) for r in got)
     assert T.toxicity(docs.limit(0), marks).count() == 0
     assert {round(r.score, 3) for r in T.toxicity(docs, marks.limit(0)).collect()} == {0.5}
+
+
+def test_scores_do_not_depend_on_the_sample(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 8)))
+    text = lambda bad: " ".join([*(word() for _ in range(30)), *(["zgrok"] if bad else [])])
+    toxic, clean = [text(True) for _ in range(100)], [text(i // 9 % 33 == 0) for i in range(900)]
+    seen = [text(True) for _ in range(20)]
+    score = lambda model: np.concatenate([s for _, s, *_ in T._scored(model, seen, {})]).mean()
+    whole, sampled = T.train(toxic, clean), T.train(toxic, clean[::9], (100, 900))
+    assert abs(score(whole) - score(sampled)) < 0.1 < score(T.train(toxic, clean[::9])) - score(whole)
+
+    rows, labels = corpus(400)
+    docs, marks = spark.createDataFrame([*rows, (900, rows[1][1])], "doc_id long, text string"), spark.createDataFrame([*labels, (900, 0)], "doc_id long, toxic int")
+    usable = [(t, y) for (i, t), (_, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 4 != 2]
+    many, few = T.sample(docs, marks), T.sample(docs, marks, most_docs=40)
+    assert many[2] == few[2] == tuple(len({t for t, y in usable if y == k}) for k in (1, 0))
+    assert (len(few[0]), len(few[1])) == (40, 40) and (len(many[0]), len(many[1])) == many[2]
