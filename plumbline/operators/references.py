@@ -10,6 +10,8 @@ from ..functions import ws_normalize
 #: Quotes sent to every task at most; beyond it, quotes are joined by their seeds in a shuffle.
 MOST_QUOTES = 50_000
 SEED_WORDS = 3
+#: Characters that quotes of one word or two are looked up by.
+START = 4
 
 
 def unresolved(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
@@ -50,23 +52,59 @@ def _seeds(words: Column) -> Column:
     return F.when(F.size(words) >= SEED_WORDS, F.array_distinct(runs)).otherwise(F.array())
 
 
-def contained(texts: DataFrame, text_id: str, text: str, quotes: DataFrame, quote_id: str, quote: str, most_quotes: int = MOST_QUOTES) -> DataFrame:
+def contained(texts: DataFrame, text_id: str, text: str, quotes: DataFrame, quote_id: str, quote: str, most_quotes: int = MOST_QUOTES, short: bool = False) -> DataFrame:
     """text_id, quote_id: pairs where the white-space normalised quote occurs in the normalised text as one block.
 
     A quote's seed is a run of its inner words, which are whole words wherever the
     quote occurs; texts are joined to seeds by equality and then compared. Quotes
-    with too few words for a seed are fragments and match nothing here.
+    with too few words for a seed are fragments and match nothing here, unless
+    ``short`` asks for them; see _short_candidates(). Every row of texts and of
+    quotes counts by itself, whatever its id.
     """
-    q = quotes.select(F.col(quote_id), ws_normalize(F.col(quote)).alias("__quote")).withColumn("__words", F.split("__quote", " "))
-    q = q.where(F.size("__words") >= SEED_WORDS + 2).select(quote_id, "__quote", F.array_join(F.slice("__words", 2, SEED_WORDS), " ").alias("__seed"))
+    q = quotes.select(F.col(quote_id), ws_normalize(F.col(quote)).alias("__quote")).where("__quote IS NOT NULL").withColumn("__words", F.split("__quote", " "))
+    long = q.where(F.size("__words") >= SEED_WORDS + 2).select(quote_id, "__quote", F.array_join(F.slice("__words", 2, SEED_WORDS), " ").alias("__seed"))
     own = texts.select(F.col(text_id), ws_normalize(F.col(text)).alias("__text"))
-    seeds = q.select("__seed").distinct()
-    few = q.limit(most_quotes + 1).count() <= most_quotes
-    hits = own.select(text_id, "__text", F.explode(_seeds(F.split("__text", " "))).alias("__seed"))
-    if few:
-        return hits.join(F.broadcast(q), "__seed").where(F.contains("__text", F.col("__quote"))).select(text_id, quote_id)
-    ids = hits.select(text_id, "__seed").join(seeds, "__seed", "left_semi").join(q, "__seed").select(text_id, quote_id, "__quote")
-    return ids.join(own, text_id).where(F.contains("__text", F.col("__quote"))).select(text_id, quote_id)
+    keyed = own.withColumn("__key", F.xxhash64("__text"))
+    if long.limit(most_quotes + 1).count() <= most_quotes:
+        hits = own.select(text_id, "__text", F.explode(_seeds(F.split("__text", " "))).alias("__seed"))
+        found = hits.join(F.broadcast(long), "__seed").where(F.contains("__text", F.col("__quote"))).select(text_id, quote_id)
+    else:
+        hits = keyed.select("__key", F.explode(_seeds(F.split("__text", " "))).alias("__seed"))
+        found = _compared(keyed, text_id, hits.join(long.select("__seed", "__quote").distinct(), "__seed"), long, quote_id)
+    few = q.where(F.size("__words") < SEED_WORDS + 2)
+    if not short or few.isEmpty():
+        return found
+    return found.unionByName(_compared(keyed, text_id, _short_candidates(keyed, few.select("__quote", "__words").distinct()), few, quote_id))
+
+
+def _compared(keyed: DataFrame, text_id: str, candidates: DataFrame, q: DataFrame, quote_id: str) -> DataFrame:
+    """text_id, quote_id from candidates (__key, __quote): texts of a key are all compared, so equal keys of different texts do no harm."""
+    hits = candidates.select("__key", "__quote").distinct().join(keyed, "__key").where(F.contains("__text", F.col("__quote")))
+    return hits.select(text_id, "__quote").join(q.select(quote_id, "__quote"), "__quote").select(text_id, quote_id)
+
+
+def _short_candidates(keyed: DataFrame, quotes: DataFrame) -> DataFrame:
+    """__key, __quote: texts that may hold a quote of few words.
+
+    Three words or more have a whole inner word. One word or two may be parts of
+    the text's words: they are looked up by their first START characters in all
+    different words, or pairs of words, of the texts.
+    """
+    n, words = F.size("__words"), F.split("__text", " ")
+    parts = quotes.where(n >= 3).select("__quote", F.get("__words", F.lit(1)).alias("__gram"))
+    found = keyed.select("__key", F.explode(F.array_distinct(words)).alias("__gram")).join(parts, "__gram").select("__key", "__quote")
+    for size in (1, 2):
+        own = quotes.where(n == size).select("__quote", F.substring("__quote", 1, START).alias("__start"))
+        if own.isEmpty():
+            continue
+        pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+        runs = words if size == 1 else F.when(F.size(words) > 1, pairs).otherwise(F.array())
+        grams = keyed.select("__key", F.explode(F.array_distinct(runs)).alias("__gram"))
+        starts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__gram"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(START)), lambda k: F.substring("__gram", i, k))))
+        cut = grams.select("__gram").distinct().select("__gram", F.explode(F.array_distinct(starts)).alias("__start"))
+        held = cut.join(own, "__start").where(F.contains("__gram", F.col("__quote"))).select("__gram", "__quote")
+        found = found.unionByName(grams.join(held, "__gram").select("__key", "__quote"))
+    return found
 
 
 def seal_states(cards: DataFrame, source: str, body: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:

@@ -44,7 +44,7 @@ LABEL_WORDS = ["verified", "failed"]
 SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b
   ON contains({WS_SQL.format('d.text')}, {WS_SQL.format('b.text')})""")
 def verbatim_seal(spark, d):
-    return references.contained(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+    return references.contained(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", short=True)
 
 
 @query(f"""

@@ -29,6 +29,15 @@ def test_contained_equals_brute_force(spark):
     assert len(want) > 20
 
 
+def test_contained_finds_short_quotes_and_keeps_rows(spark):
+    texts = [(1, "alpha beta  gamma delta epsilon zeta"), (1, "alpha beta gamma delta epsilon"), (None, "xalpha betax gamma"), (4, ""), (5, None)]
+    quotes = [(1, "alpha"), (2, "pha be"), (2, "pha be"), (3, "ha beta ga"), (4, "a\tbeta gamma d"), (5, ""), (6, None), (7, "alpha beta gamma delta eps"), (8, "eta"), (9, "amma"), (10, "zz yy")]
+    want = sorted(((i, j) for i, t in texts if t is not None for j, q in quotes if q is not None and norm(q) in norm(t)), key=str)
+    a, b = spark.createDataFrame(texts, "i long, t string"), spark.createDataFrame(quotes, "j long, q string")
+    for most in (references.MOST_QUOTES, 0):
+        assert sorted((tuple(r) for r in references.contained(a, "i", "t", b, "j", "q", most, short=True).collect()), key=str) == want
+
+
 def test_groups_of_a_chain_and_a_star(spark):
     n = list(range(150))
     random.Random(1).shuffle(n)
