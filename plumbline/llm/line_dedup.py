@@ -20,14 +20,19 @@ from .shared import dropped, stored
 
 #: A character that isn't white space: ASCII's, Unicode's separators and the next-line character.
 INK = r"[^\s\p{Z}\x85]"
+GAP = r"[\s\p{Z}\x85]"
 LONG_WORDS = 50
 #: Hashes sent to every task at most; more are joined.
 MOST_SENT = 2_000_000
 
 
 def gaps_of(lines: Column, hashes: Column | None = None, long_words: int = LONG_WORDS) -> Column:
-    """array<long>: for each line 0 if it is blank, else 1; bit 62 marks a long line. Hashes aren't looked at."""
-    long = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) >= long_words - 1
+    """array<long>: for each line 0 if it is blank, else 1; bit 62 marks a long line. Hashes aren't looked at.
+
+    Words are runs of characters that aren't white space.
+    """
+    words = f"^{GAP}*+(?:{INK}++{GAP}++){{{long_words - 1}}}{INK}"
+    long = lambda x: (F.octet_length(x) >= 2 * long_words - 1) & F.rlike(x, F.lit(words))
     return F.transform(lines, lambda x: F.when(F.rlike(x, F.lit(INK)), 1).otherwise(0) + F.when(long(x), 1 << 62).otherwise(0))
 
 

@@ -116,3 +116,16 @@ def test_a_common_line_before_a_blank_one_stays(spark):
     rnd = random.Random(7)
     rows = [(i, "\n\n".join([*sentences(rnd, 2), "a common line", *sentences(rnd, 2)])) for i in range(20)]
     assert run(spark, rows) == {i: (t, 0) for i, t in rows}
+
+
+def test_words_of_a_long_line(spark):
+    rnd = random.Random(9)
+    lines = [gap.join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for gap, n in (("\t", 50), ("\u00a0", 50), (" \t ", 50), (" ", 49))] + ["short" + " " * 80 + "line"]
+    rows, want = [], {}
+    for i, line in enumerate(lines):
+        for copy in range(2):
+            own = sentences(rnd, 2)
+            gone = copy and i < 3
+            rows.append((2 * i + copy, "\n".join([own[0], line, own[1]])))
+            want[2 * i + copy] = ("\n".join(own), 1) if gone else (rows[-1][1], 0)
+    assert run(spark, rows) == want
