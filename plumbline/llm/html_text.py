@@ -36,6 +36,8 @@ WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 UNSHOWN = {"script", "style", "head", "title", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "audio", "video", "select", "textarea", "datalist"}
 #: Their content is no markup.
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe"}
+#: What can stand in a head; any other start tag ends it.
+IN_HEAD = set("html head title meta link base basefont bgsound style script noscript noframes template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr picture source area map param track embed".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("img hr input link meta base col".split())
@@ -128,11 +130,14 @@ class Page:
             if hidden:
                 if name == unshown and name not in VOID:
                     hidden += -1 if end else 1
-                elif unshown == "head" and name == "body":
-                    hidden = 0
-                if hidden:
-                    continue
-                if name != "body":
+                elif unshown == "head" and (name == "body" or not end and name not in IN_HEAD):
+                    hidden, unshown = 0, ""
+                elif unshown == "head" and not end and name in RAW:
+                    close = re.compile(f"</{name}", re.I).search(source, at)
+                    skip = at = close.start() if close else len(source)
+                elif unshown == "head" and not end and name == "template":
+                    unshown = name  # what can follow it in the head isn't shown anyway
+                if hidden or unshown:
                     continue
             if name in UNSHOWN:
                 if end or attributes.endswith("/") and name in ("svg", "iframe"):

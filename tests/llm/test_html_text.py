@@ -77,3 +77,11 @@ def test_query_rows(spark, trees):
 def test_very_long_and_deep_pages(trees):
     assert len(texts(trees, "<article>" + f"<p>{LONG}</p>" * 5000 + "</article>")[0]) > 400_000
     assert isinstance(texts(trees, "<div>" * 3000 + LONG)[0], str)
+
+
+def test_head_that_is_not_ended(trees):
+    article = "".join(f"<p>Sentence {i} of a long article that says a good deal about the river and its town.</p>" for i in range(8))
+    head = "<head><title>x <p> y</title><script>document.write('<p>no</p>')</script><template><p>hidden</p></template><meta charset=utf-8>"
+    open_, closed = texts(trees, f"<html>{head}{article}", f"<html>{head}</head><body>{article}")
+    assert open_ == closed and "Sentence 0" in open_ and "Sentence 7" in open_
+    assert not any(x in open_ for x in ("hidden", "no</p>", "x <p>"))
