@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ws_normalize
 
-#: Quotes sent to every task at most; beyond it, quotes are joined by their seeds in a shuffle.
-MOST_QUOTES = 50_000
+#: Bytes of quotes sent to every task at most; beyond it, quotes are joined by their seeds in a shuffle.
+MOST_SENT = 16 << 20
 SEED_WORDS = 3
-#: Characters that quotes of one word or two are looked up by.
+#: Characters at either side of a space that quotes of two words are looked up by.
 START = 4
 
 
@@ -46,65 +48,78 @@ def uncovered(required: DataFrame, word: str, rows: DataFrame, words: str) -> Da
     return unresolved(required, word, rows.select(F.explode(words).alias("__word")).distinct(), "__word")
 
 
-def _seeds(words: Column) -> Column:
-    """Every run of SEED_WORDS words, once."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - SEED_WORDS + 1), lambda i: F.array_join(F.slice(words, i, SEED_WORDS), " "))
-    return F.when(F.size(words) >= SEED_WORDS, F.array_distinct(runs)).otherwise(F.array())
-
-
-def contained(texts: DataFrame, text_id: str, text: str, quotes: DataFrame, quote_id: str, quote: str, most_quotes: int = MOST_QUOTES, short: bool = False) -> DataFrame:
+def contained(texts: DataFrame, text_id: str, text: str, quotes: DataFrame, quote_id: str, quote: str, most_sent: int = MOST_SENT) -> DataFrame:
     """text_id, quote_id: pairs where the white-space normalised quote occurs in the normalised text as one block.
 
-    A quote's seed is a run of its inner words, which are whole words wherever the
-    quote occurs; texts are joined to seeds by equality and then compared. Quotes
-    with too few words for a seed are fragments and match nothing here, unless
-    ``short`` asks for them; see _short_candidates(). Every row of texts and of
-    quotes counts by itself, whatever its id.
+    A quote's inner words are whole words wherever it occurs, so a run of them
+    is its seed: texts are joined to seeds by equality, and what meets is
+    compared. A quote of two words has none; its first word ends a word of the
+    text and its second begins the next, so START characters of either are its
+    seed. One word may stand within a word, and is looked up by its first START
+    characters; whether such a fragment counts is the caller's rule. An empty
+    quote is in every text, and null ones match nothing.
+
+    Every row of texts and of quotes counts by itself, whatever its id. Texts
+    meet their candidates again by their hash, so no row that is multiplied holds
+    a text. Seeds are sent to every task if they have at most ``most_sent`` bytes,
+    and joined by shuffle otherwise; the rows are the same.
     """
-    q = quotes.select(F.col(quote_id), ws_normalize(F.col(quote)).alias("__quote")).where("__quote IS NOT NULL").withColumn("__words", F.split("__quote", " "))
-    long = q.where(F.size("__words") >= SEED_WORDS + 2).select(quote_id, "__quote", F.array_join(F.slice("__words", 2, SEED_WORDS), " ").alias("__seed"))
-    own = texts.select(F.col(text_id), ws_normalize(F.col(text)).alias("__text"))
-    keyed = own.withColumn("__key", F.xxhash64("__text"))
-    if long.limit(most_quotes + 1).count() <= most_quotes:
-        hits = own.select(text_id, "__text", F.explode(_seeds(F.split("__text", " "))).alias("__seed"))
-        found = hits.join(F.broadcast(long), "__seed").where(F.contains("__text", F.col("__quote"))).select(text_id, quote_id)
+    q = quotes.where(F.col(quote).isNotNull()).select(F.col(quote_id), ws_normalize(F.col(quote)).alias("__quote")).withColumn("__words", F.split("__quote", " "))
+    keyed = texts.where(F.col(text).isNotNull()).select(F.col(text_id), ws_normalize(F.col(text)).alias("__text")).withColumn("__key", F.xxhash64("__text"))
+    sizes = q.agg(F.sum(F.octet_length("__quote") + 16).alias("bytes"), F.array_sort(F.collect_set(F.least(F.size("__words") - 2, F.lit(SEED_WORDS)))).alias("runs")).first()
+    seeds = q.select("__quote", _seed_of(F.col("__words")).alias("__seed")).distinct()
+    if (sizes["bytes"] or 0) <= most_sent:
+        seeds = F.broadcast(seeds)
+    words = keyed.select("__key", F.split("__text", " ").alias("__words"))  # a column: what a lambda is given is worked out again for each member
+    runs = [_text_seeds(words, k).join(seeds, "__seed").select("__key", "__quote") for k in sizes["runs"] or [1]]
+    hits = reduce(DataFrame.unionByName, runs).distinct()
+    found = hits.join(keyed, "__key").where(F.contains("__text", F.col("__quote")))
+    return found.select(text_id, "__quote").join(q.select(quote_id, "__quote"), "__quote").select(text_id, quote_id)
+
+
+def _seed_of(words: Column) -> Column:
+    """A quote's seed: of all runs of inner words that with the most characters, as long words are rare."""
+    inner = F.size(words) - 2
+    run = F.least(inner, F.lit(SEED_WORDS))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 1 - run, F.lit(1)))
+    ranked = F.transform(starts, lambda i: F.struct(F.length(F.array_join(F.slice(words, i + 1, F.greatest(run, F.lit(1))), "")).alias("chars"), (-i).alias("at")))
+    at = -F.array_max(ranked)["at"]
+    a, b = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    seed = F.when(inner == -1, F.xxhash64(F.lit(-1), F.left(a, F.lit(START)))).when(inner == 0, _edge(a, b, F.least(F.length(a), F.lit(START)), F.least(F.length(b), F.lit(START))))
+    for n in range(1, SEED_WORDS + 1):
+        seed = seed.when(run == n, F.xxhash64(F.lit(n), *(F.get(words, at + k) for k in range(n))))
+    return seed
+
+
+def _edge(before: Column, after: Column, x: Column, y: Column) -> Column:
+    """The hash of the last x characters of a word and the first y of the next."""
+    return F.xxhash64(x, y, F.right(before, x), F.left(after, y))
+
+
+def _text_seeds(texts: DataFrame, inner: int) -> DataFrame:
+    """__key, __seed: what texts (__key, __words) hold for quotes with so many inner words; 0: of two words, -1: of one."""
+    words = F.col("__words")
+    n = F.size(words)
+    if inner > 0:  # neighbours side by side, so that no lambda is evaluated for each word
+        zipped = F.arrays_zip(words, *(F.slice(words, k + 1, F.greatest(n, F.lit(1))) for k in range(1, inner)))
+        rows = texts.select("__key", F.explode(zipped).alias("__run")) if inner > 1 else texts.select("__key", F.explode(words).alias("__word"))
+        parts = [F.col("__run")[name] for name in rows.schema["__run"].dataType.names] if inner > 1 else [F.col("__word")]
+        return rows.where(parts[-1].isNotNull()).select("__key", F.xxhash64(F.lit(inner), *parts).alias("__seed"))
+
+    def edges(i):
+        a, b = F.get(words, i), F.get(words, i + 1)
+        lengths = [(x, y) for x in range(1, START + 1) for y in range(1, START + 1)]
+        return F.array(*(F.when((F.length(a) >= x) & (F.length(b) >= y), _edge(a, b, F.lit(x), F.lit(y))) for x, y in lengths))
+
+    def starts(w):
+        places = F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)))
+        return F.flatten(F.transform(places, lambda i: F.array(*(F.xxhash64(F.lit(-1), F.substring(w, i, F.lit(k))) for k in range(START + 1)))))
+
+    if inner == 0:
+        seeds = F.when(n > 1, F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), edges))))
     else:
-        hits = keyed.select("__key", F.explode(_seeds(F.split("__text", " "))).alias("__seed"))
-        found = _compared(keyed, text_id, hits.join(long.select("__seed", "__quote").distinct(), "__seed"), long, quote_id)
-    few = q.where(F.size("__words") < SEED_WORDS + 2)
-    if not short or few.isEmpty():
-        return found
-    return found.unionByName(_compared(keyed, text_id, _short_candidates(keyed, few.select("__quote", "__words").distinct()), few, quote_id))
-
-
-def _compared(keyed: DataFrame, text_id: str, candidates: DataFrame, q: DataFrame, quote_id: str) -> DataFrame:
-    """text_id, quote_id from candidates (__key, __quote): texts of a key are all compared, so equal keys of different texts do no harm."""
-    hits = candidates.select("__key", "__quote").distinct().join(keyed, "__key").where(F.contains("__text", F.col("__quote")))
-    return hits.select(text_id, "__quote").join(q.select(quote_id, "__quote"), "__quote").select(text_id, quote_id)
-
-
-def _short_candidates(keyed: DataFrame, quotes: DataFrame) -> DataFrame:
-    """__key, __quote: texts that may hold a quote of few words.
-
-    Three words or more have a whole inner word. One word or two may be parts of
-    the text's words: they are looked up by their first START characters in all
-    different words, or pairs of words, of the texts.
-    """
-    n, words = F.size("__words"), F.split("__text", " ")
-    parts = quotes.where(n >= 3).select("__quote", F.get("__words", F.lit(1)).alias("__gram"))
-    found = keyed.select("__key", F.explode(F.array_distinct(words)).alias("__gram")).join(parts, "__gram").select("__key", "__quote")
-    for size in (1, 2):
-        own = quotes.where(n == size).select("__quote", F.substring("__quote", 1, START).alias("__start"))
-        if own.isEmpty():
-            continue
-        pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-        runs = words if size == 1 else F.when(F.size(words) > 1, pairs).otherwise(F.array())
-        grams = keyed.select("__key", F.explode(F.array_distinct(runs)).alias("__gram"))
-        starts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__gram"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(START)), lambda k: F.substring("__gram", i, k))))
-        cut = grams.select("__gram").distinct().select("__gram", F.explode(F.array_distinct(starts)).alias("__start"))
-        held = cut.join(own, "__start").where(F.contains("__gram", F.col("__quote"))).select("__gram", "__quote")
-        found = found.unionByName(grams.join(held, "__gram").select("__key", "__quote"))
-    return found
+        seeds = F.flatten(F.transform(F.array_distinct(words), starts))
+    return texts.select("__key", F.explode(F.array_distinct(seeds)).alias("__seed"))
 
 
 def seal_states(cards: DataFrame, source: str, body: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:

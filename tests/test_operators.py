@@ -15,18 +15,21 @@ def test_contained_equals_brute_force(spark):
     rnd = random.Random(1)
     words = [f"w{i}" for i in range(30)]
     text = lambda n: "".join(rnd.choice(words) + rnd.choice([" ", "  ", "\n", "\t", " "]) for _ in range(n))
-    texts = [(i, text(rnd.randint(0, 60))) for i in range(40)] + [(100, None), (101, "")]
+    texts = [(i // 3, text(rnd.randint(0, 60))) for i in range(60)] + [(100, None), (101, ""), (None, text(30))]
+    texts += texts[:5]  # repeated rows, and ids that several texts have
     quotes = []
-    for j in range(60):
-        own = rnd.choice(texts[:40])[1]
+    for j in range(120):
+        own = rnd.choice(texts[:60])[1]
         lo = rnd.randrange(max(1, len(own) - 10))
-        quotes.append((j, own[lo : lo + rnd.choice([5, 25, 60])]))
-    quotes += [(900, None), (901, ""), (902, "zz yy xx ww vv uu")]
-    want = {(i, j) for i, t in texts if t is not None for j, q in quotes if q is not None and len(norm(q).split(" ")) >= references.SEED_WORDS + 2 and norm(q) in norm(t)}
+        quotes.append((j // 2, own[lo : lo + rnd.choice([2, 4, 7, 10, 25, 60])]))
+    quotes += [(900, None), (902, "zz yy xx ww vv uu"), (903, "w1 w2"), (904, "w1"), *quotes[:4]]
+    want = sorted(((i, j) for i, t in texts if t is not None for j, q in quotes if q is not None and norm(q) in norm(t)), key=str)
     a, b = spark.createDataFrame(texts, "i long, t string"), spark.createDataFrame(quotes, "j long, q string")
-    for most in (references.MOST_QUOTES, 0):
-        assert {tuple(r) for r in references.contained(a, "i", "t", b, "j", "q", most).collect()} == want
-    assert len(want) > 20
+    for most in (references.MOST_SENT, 0):
+        assert sorted((tuple(r) for r in references.contained(a, "i", "t", b, "j", "q", most).collect()), key=str) == want
+    lengths = {len(norm(q).split(" ")) for _, q in quotes if q is not None}
+    assert len(want) > 100 and {1, 2, 3, 4, 5} <= lengths
+    assert references.contained(a.limit(0), "i", "t", b, "j", "q").count() == references.contained(a, "i", "t", b.limit(0), "j", "q").count() == 0
 
 
 def test_contained_finds_short_quotes_and_keeps_rows(spark):
@@ -34,8 +37,15 @@ def test_contained_finds_short_quotes_and_keeps_rows(spark):
     quotes = [(1, "alpha"), (2, "pha be"), (2, "pha be"), (3, "ha beta ga"), (4, "a\tbeta gamma d"), (5, ""), (6, None), (7, "alpha beta gamma delta eps"), (8, "eta"), (9, "amma"), (10, "zz yy")]
     want = sorted(((i, j) for i, t in texts if t is not None for j, q in quotes if q is not None and norm(q) in norm(t)), key=str)
     a, b = spark.createDataFrame(texts, "i long, t string"), spark.createDataFrame(quotes, "j long, q string")
-    for most in (references.MOST_QUOTES, 0):
-        assert sorted((tuple(r) for r in references.contained(a, "i", "t", b, "j", "q", most, short=True).collect()), key=str) == want
+    for most in (references.MOST_SENT, 0):
+        assert sorted((tuple(r) for r in references.contained(a, "i", "t", b, "j", "q", most).collect()), key=str) == want
+
+
+def test_multiplied_rows_hold_no_text(spark):
+    a, b = spark.createDataFrame([(1, "a b c d e f")], "i long, t string"), spark.createDataFrame([(1, "a b c d e")], "j long, q string")
+    plan = references.contained(a, "i", "t", b, "j", "q")._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(x for x in plan.split("\n") if "Generate" in x)
+    assert "__text" not in generate.split("false, [")[-1] and "split" not in generate
 
 
 def test_groups_of_a_chain_and_a_star(spark):
