@@ -32,7 +32,11 @@ THRESHOLD = 0.3
 SAMPLE_DOCS = 1_500
 SAMPLE_CHARS = 8_000
 #: A form marks toxic tokens if chance alone gives it so many toxic documents less often than exp(-SURPRISE).
-SURPRISE = 14.0
+SURPRISE = 10.0
+#: ... and if it is so many times as frequent in toxic documents as in clean ones.
+RATIO = 6
+#: Letters of the prefixes that are features of a word.
+PREFIXES = (4, 5, 6, 7, 8)
 SEGMENT = 64
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 TOKEN = re.compile(r"\S+")
@@ -49,10 +53,10 @@ def core(token: str) -> str:
 
 
 def forms(word: str) -> list[str]:
-    """Feature names of a word: itself, its prefixes of 4 to 6 letters, its last 3 letters."""
+    """Feature names of a word: itself, its prefixes of 4 to 8 letters, its last 3 letters."""
     if not word:
         return []
-    return ["=" + word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n), *(["-" + word[-3:]] if len(word) > 3 else [])]
+    return ["=" + word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n), *(["-" + word[-3:]] if len(word) > 3 else [])]
 
 
 def surprise(a: int, n: int, share: float) -> float:
@@ -110,7 +114,11 @@ class Model:
     weights: dict[str, float]
     bias: float
     moves: np.ndarray
-    calibration: np.ndarray
+    #: Weights of doc_features; none: nothing was learnt.
+    calibration: np.ndarray | None
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros(len(x)) if self.calibration is None else 1 / (1 + np.exp(-np.clip(x @ self.calibration, -30, 30)))
 
     def weight(self, token: str) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in forms(core(token)))
@@ -161,21 +169,20 @@ def train(toxic: list[str], clean: list[str], counts: tuple[int, int] | None = N
 
     counts: how many texts of each class they were sampled from, if not all;
     scores are probabilities at the shares that the classes have there. Without
-    toxic texts every score is the (smoothed) share of toxic documents.
+    texts of both classes nothing can be told apart: every score is 0, so that
+    nothing is predicted toxic and no document is rejected.
     """
     n_toxic, n_clean = counts or (len(toxic), len(clean))
-    share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
-    prior = np.array([math.log(share / (1 - share)), 0, 0, 0])
     moves = np.zeros((2, 2))
     fit_toxic, fit_clean = _unlike(toxic), _unlike(clean)
     if not fit_toxic or not fit_clean:
-        return Model({}, -4.0, moves, prior)
+        return Model({}, -4.0, moves, None)
     seen = [Counter(), Counter()]
     for y, texts in ((1, fit_toxic), (0, fit_clean)):
         for text in texts:
             seen[y].update({f for t in set(text.split()) for f in forms(core(t)) if f[0] != "-"})
     n1, n0 = len(fit_toxic), len(fit_clean)
-    marks = {f for f, a in seen[1].items() if a / n1 > 25 * seen[0][f] / n0 and surprise(a, a + seen[0][f], n1 / (n1 + n0)) > SURPRISE}
+    marks = {f for f, a in seen[1].items() if a / n1 > RATIO * seen[0][f] / n0 and surprise(a, a + seen[0][f], n1 / (n1 + n0)) > SURPRISE}
     split = [t.split() for t in fit_toxic + fit_clean]
     offsets = _offsets(split)
     first, last = _ends(offsets)
@@ -217,7 +224,7 @@ def train(toxic: list[str], clean: list[str], counts: tuple[int, int] | None = N
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         theta = theta + 0.25 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     weights = {f: round(float(theta[i]), 4) for f, i in kept.items() if abs(theta[i]) > 0.02}
-    model = Model(weights, float(theta[len(kept)]), theta[-4:].reshape(2, 2), prior)
+    model = Model(weights, float(theta[len(kept)]), theta[-4:].reshape(2, 2), None)
     # the score's weights, from all sampled documents, weighted to the shares that the classes have in all documents
     every = [t.split() for t in toxic + clean]
     x = doc_features(_odds(model, every, {}), _offsets(every))
@@ -248,8 +255,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Texts of labelled toxic and clean documents that may be learnt from, and how many there are of each class in all.
 
     At most ``most_docs`` ids of each class, the smallest by a hash of the id;
-    of their documents those of at most ``most_chars`` characters. A document
-    with several labels has the largest. Null ids and labels are left out. Equal
+    of their documents those of at most ``most_chars`` characters, and at most
+    ``most_docs`` different texts of each class. A document with several labels has the largest. Null ids and labels are left out. Equal
     texts of a class count once, told apart by 64-bit hashes where all are counted.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -259,10 +266,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = once.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.length("__text") <= most_chars)
-    rows = texts.join(F.broadcast(chosen), "__id").select("__y", "__text").collect()  # most_docs of each class at most, where ids are unique
+    rows = texts.join(F.broadcast(chosen), "__id").select("__y", "__text").distinct()
     got: dict[int, set] = defaultdict(set)
-    for y, text in rows:
-        got[y].add(text)
+    for y in (1, 0):  # an id may have many texts
+        got[y].update(r[0] for r in rows.where(F.col("__y") == y).select("__text").orderBy(F.xxhash64("__text"), "__text").limit(most_docs).collect())
     marks = texts.select("__id", F.xxhash64("__text").alias("__mark")).join(once, "__id").select("__y", "__mark").distinct()
     counts = {r["__y"]: r["count"] for r in marks.groupBy("__y").count().collect()}
     return *(sorted(got[y], key=lambda s: (zlib.crc32(s.encode()), s)) for y in (1, 0)), (counts.get(1, 0), counts.get(0, 0))
@@ -313,7 +320,7 @@ def _scored(model: Model, texts: list[str], known: dict[str, float]):
         split = [t.split() for t in texts[lo:hi]]
         offsets, odds = _offsets(split), _odds(model, split, known)
         x = doc_features(odds, offsets)
-        yield lo, 1 / (1 + np.exp(-np.clip(x @ model.calibration, -30, 30))), x, odds, offsets
+        yield lo, model.scores(x), x, odds, offsets
         lo = hi
 
 
