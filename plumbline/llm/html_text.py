@@ -28,17 +28,21 @@ from pyspark.sql import functions as F
 from .shared import Rows, pieces, trimmed
 
 MARKUP = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^"'>]++)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*+>?""", re.S)
+#: As MARKUP, but a quote in a tag is like any other character.
+PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|(?!)()()()|<!--.*?(?:-->|\Z)|<[!?/][^>]*+>?""", re.S)
+#: Tags whose quotes don't end are read without them; where reading them has cost so many times the page (and so many characters more), quotes count no longer.
+PATIENCE = 20, 1_000_000
 UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 #: Elements whose text is never shown as text.
-UNSHOWN = {"script", "style", "head", "title", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "audio", "video", "select", "textarea", "datalist"}
+UNSHOWN = {"script", "style", "head", "title", "noscript", "template", "svg", "iframe", "object", "annotation", "annotation-xml", "canvas", "audio", "video", "select", "textarea", "datalist"}
 #: Their content is no markup.
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe"}
 #: What can stand in a head; any other start tag ends it.
 IN_HEAD = set("html head title meta link base basefont bgsound style script noscript noframes template".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr picture source area map param track embed".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr picture source area map param track embed math mi mn mo ms mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtext mspace mstyle mtable mtr mtd mpadded mphantom menclose mfenced mmultiscripts semantics".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("img hr input link meta base col".split())
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -97,10 +101,16 @@ class Page:
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
+        """One pass: each character is read a bounded number of times, however the markup is broken."""
         stack: list[tuple[str, int]] = [("html", 0)]
+        places: dict[str, list[int]] = {}  # of the open elements of each name, in the stack
+        unclosed: set[str] = set()  # names without an end tag in the rest of the page
         parts: list[str] = []
-        at = skip = links = linked = hidden = 0
+        at = links = linked = hidden = 0
         unshown = ""
+        stop = source.rfind(">") + 1  # no tag ends behind it
+        patience = PATIENCE[0] * len(source) + PATIENCE[1]
+        markup = MARKUP
 
         def flush():
             nonlocal linked
@@ -111,10 +121,26 @@ class Page:
                 parts.clear()
             linked = 0
 
-        for m in MARKUP.finditer(source):
+        def leave(i: int):
+            for name, _ in stack[i:]:
+                places[name].pop()
+            del stack[i:]
+
+        def nearest(names) -> int:
+            """The place of the innermost open element of these names, or 0."""
+            return max((own[-1] for n in names if (own := places.get(n))), default=0)
+
+        def end_of(name: str) -> int:
+            """Where the next end tag of that name begins, or nowhere (-1)."""
+            if name in unclosed:
+                return -1
+            found = re.compile(f"</{name}(?![a-z0-9-])", re.I).search(source, at)
+            if not found:
+                unclosed.add(name)
+            return found.start() if found else -1
+
+        while m := markup.search(source, at, stop):
             start = m.start()
-            if start < skip:
-                continue
             if start > at and not hidden:
                 text = source[at:start]
                 if "&" in text:
@@ -123,18 +149,32 @@ class Page:
                 if links:
                     linked += len(text.strip())
             at = m.end()
-            end, name, attributes = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
+            if m.group(2):
+                end, name, attributes = m.group(1, 2, 3)
+            else:
+                end, name, attributes = m.group(4, 5, 6)
+                if name and markup is MARKUP:
+                    patience -= len(source) - start
+                    if patience < 0:
+                        markup = PLAIN
             if not name:
+                if source.startswith("<!--", start) and not (at - start > 6 and source.endswith("-->", start, at)):
+                    at = len(source)
+                    break
                 continue
             name = name.lower()
             if hidden:
                 if name == unshown and name not in VOID:
                     hidden += -1 if end else 1
+                    if end and hidden and end_of(name) < 0:
+                        hidden = 0
                 elif unshown == "head" and (name == "body" or not end and name not in IN_HEAD):
                     hidden, unshown = 0, ""
                 elif unshown == "head" and not end and name in RAW:
-                    close = re.compile(f"</{name}", re.I).search(source, at)
-                    skip = at = close.start() if close else len(source)
+                    close = end_of(name)
+                    at = close if close >= 0 else len(source)
+                    if close < 0:
+                        break
                 elif unshown == "head" and not end and name == "template":
                     unshown = name  # what can follow it in the head isn't shown anyway
                 if hidden or unshown:
@@ -142,14 +182,16 @@ class Page:
             if name in UNSHOWN:
                 if end or attributes.endswith("/") and name in ("svg", "iframe"):
                     continue
-                if name in RAW:
-                    close = re.compile(f"</{name}", re.I).search(source, at)
-                    skip = at = close.start() if close else len(source)
-                    continue
                 if name == "select":
                     self.controls[stack[-1][1]] += 1
-                hidden, unshown = 1, name
-                continue
+                close = end_of(name)
+                if name in RAW:
+                    at = close if close >= 0 else len(source)
+                    if close < 0:
+                        break
+                elif close >= 0 or name == "head":
+                    hidden, unshown = 1, name
+                continue  # an element that nothing ends hides nothing but its own tag
             if name == "br":
                 parts.append(" ")
                 continue
@@ -167,10 +209,8 @@ class Page:
             if name in VOID:
                 continue
             if end:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name or name in HEADINGS and stack[i][0] in HEADINGS:
-                        del stack[i:]
-                        break
+                if i := nearest(HEADINGS if name in HEADINGS else (name,)):
+                    leave(i)
                 continue
             links = 0
             if name in ("html", "body"):
@@ -178,20 +218,18 @@ class Page:
                 self.bits[0] |= bits & 1 << N_GROUPS
                 continue
             if name in CLOSED_BY_SAME:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in CLOSED_BY_SAME[name]:
-                        break
+                i = nearest((name,))
+                if i > nearest(CLOSED_BY_SAME[name]):
+                    leave(i)
             else:
                 for i in range(len(stack) - 1, max(0, len(stack) - 3), -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        leave(i)
                         break
             bits, marked = groups_of(attributes) if attributes else (0, False)
             if name == "button":
                 self.controls[stack[-1][1]] += 1
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, self._node(stack[-1][1], TAG_NUMBER[TAG_OF.get(name, "other")], bits, marked)))
         if at < len(source) and not hidden:
             rest = UNENDED.sub("", source[at:])
@@ -425,6 +463,8 @@ def compose(rnd: random.Random) -> str:
         k = rnd.random()
         if kind == "nav":
             inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rnd.randint(2, 12))) + "</ul>" if k < 0.75 else " | ".join(link() for _ in range(rnd.randint(3, 9)))
+            if rnd.random() < 0.05:
+                return f"<table y=1 width=100%><tr><td{attribute('nav', 'menu')}>{inner}</td></tr></table>"
             return f"<nav y=1{attribute('menu', 'main-nav')}>{inner}</nav>" if rnd.random() < 0.6 else f'<div y=1 class="{rnd.choice(["menu", "navbar", "breadcrumb", "pagination", "top-nav"])}">{inner}</div>'
         if kind == "header":
             inner = rnd.choice(["", f"<h1>{word()}</h1>", f"<p>{sentence(2, 6)}</p>", f"<div>{link()} {link()}</div>"]) + rnd.choice(["", boiler("nav"), f"<span>{word()}</span>"])
@@ -456,7 +496,8 @@ def compose(rnd: random.Random) -> str:
     def block():
         k = rnd.random()
         if k < 0.62:
-            return f"<p>{prose()}{rnd.choice(['</p>', '</p>', ''])}"
+            own = prose() if rnd.random() < 0.93 else f"{word().capitalize()}."
+            return f"<p>{own}{rnd.choice(['</p>', '</p>', ''])}"
         if k < 0.70:
             return f"<p><b>{prose(1, 4)}<br>"
         if k < 0.78:

@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,3 +87,65 @@ def test_head_that_is_not_ended(trees):
     open_, closed = texts(trees, f"<html>{head}{article}", f"<html>{head}</head><body>{article}")
     assert open_ == closed and "Sentence 0" in open_ and "Sentence 7" in open_
     assert not any(x in open_ for x in ("hidden", "no</p>", "x <p>"))
+
+
+def test_broken_markup_takes_linear_time():
+    shapes = ["<a" * 200_000, "<a" * 100_000 + ">", "<div>" * 20_000 + "</p>" * 50_000, "<div>" * 20_000 + "<li>x" * 30_000, "<li><ul>" + "<div>" * 20_000 + "<li>x</div>" * 20_000, '<a ">"' * 60_000, "<a '" * 60_000 + ">" * 60_000]
+    shapes += ["<!--" * 100_000 + ">", "<svg>" * 60_000 + "</svg>", "<script>" * 60_000, "<svg></svg>" * 60_000, "<" * 300_000, "&amp" * 100_000, "<h1>" * 30_000 + "</h2>" * 30_000, "<p>" * 60_000]
+    for source in shapes:
+        began = time.process_time()
+        H.Page(source)
+        assert time.process_time() - began < 2, source[:20]
+
+
+def test_elements_that_nothing_ends(trees):
+    article = f"<article><h1>On rivers</h1><p>{LONG}</p><svg viewBox=x><path d=y><p>After {LONG}</p><p>Last {LONG}</p></article>"
+    assert texts(trees, article)[0].endswith(f"After {LONG} Last {LONG}")
+    assert texts(trees, f"<article><p>{LONG}</p><svg><svg><text>no</text></svg><p>{LONG}</p></article>") == [f"{LONG} {LONG}"]
+    assert texts(trees, f"<article><p>{LONG} <svg><text>no</text></svg></p><p>x<sup>2</sup> is <math><mi>y</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math>. {LONG}</p></article>") == [f"{LONG} x2 is y+1. {LONG}"]
+
+
+def test_a_script_does_not_swallow_what_follows(trees):
+    page = f"""<article><p>{LONG}</p><script>var a = b<c ? "it's" : 1;</script><p>Don't {LONG}</p><p title="x">Can't {LONG}</p></article>"""
+    assert texts(trees, page) == [f"{LONG} Don't {LONG} Can't {LONG}"]
+
+
+#: Pages written by hand, with the article that each holds.
+BY_HAND = [
+    (
+        """<!doctype html><html lang=en><head><meta charset=utf-8><title>Bridge reopens - Valley Herald</title><link rel=stylesheet href=a.css></head><body>
+<a class="skip-link" href="#c">Skip to content</a><header class="site-header"><div class=logo>Valley Herald</div><nav><a href=/>Home</a> <a href=/sport>Sport</a></nav></header>
+<main id=c><article><header><h1>Bridge reopens after eight months</h1><p>By a staff writer, Monday</p></header>
+<p>The old stone bridge at Lower Mill opened to traffic again this morning, eight months after a flood took away two of its piers.</p>
+<p>Engineers said that the new piers stand on rock, and that the road surface was laid twice because of the frost in March.</p>
+<div class="ad-slot">Advertisement</div>
+<blockquote><p>We drove nine miles round every day, said the baker, and the bread was cold when it came.</p></blockquote>
+<p>Lorries of more than twelve tonnes still have to use the bypass until the autumn, the county said.</p></article></main>
+<aside class="related"><h2>More on this</h2><ul><li><a href=/1>Flood money runs out</a></li><li><a href=/2>Mill for sale</a></li></ul></aside>
+<section class="comments"><h2>2 comments</h2><div class=comment><p>About time!</p></div><div class=comment><p>It was the council's fault.</p></div></section>
+<footer><p>&copy; Valley Herald. All rights reserved.</p></footer></body></html>""",
+        "Bridge reopens after eight months By a staff writer, Monday The old stone bridge at Lower Mill opened to traffic again this morning, eight months after a flood took away two of its piers. Engineers said that the new piers stand on rock, and that the road surface was laid twice because of the frost in March. We drove nine miles round every day, said the baker, and the bread was cold when it came. Lorries of more than twelve tonnes still have to use the bypass until the autumn, the county said.",
+    ),
+    (
+        """<HTML><HEAD><TITLE>Sourdough</TITLE></HEAD><BODY BGCOLOR=white><TABLE WIDTH=100%><TR><TD CLASS=nav><A HREF=i.html>Index</A> | <A HREF=b.html>Breads</A> | <A HREF=c.html>Cakes</A></TD></TR></TABLE>
+<DIV ID=content><H1>Sourdough, slowly</H1><P>Feed the starter the evening before you mean to bake, with as much flour as water by weight.<P>In the morning it should have doubled. Mix it with the rest of the flour, the water and the salt, and leave the dough alone for an hour.
+<OL><LI>Fold the dough four times in two hours.<LI>Shape it and put it in a basket.<LI>Bake it in a closed pot for forty minutes.</OL><P>Let the loaf cool down before you cut it, however hard that is.</DIV>
+<FORM ACTION=/search CLASS=search><INPUT NAME=q><INPUT TYPE=submit VALUE=Search></FORM><DIV CLASS=footer>Copyright Aunt Mary</DIV></BODY></HTML>""",
+        "Sourdough, slowly Feed the starter the evening before you mean to bake, with as much flour as water by weight. In the morning it should have doubled. Mix it with the rest of the flour, the water and the salt, and leave the dough alone for an hour. Fold the dough four times in two hours. Shape it and put it in a basket. Bake it in a closed pot for forty minutes. Let the loaf cool down before you cut it, however hard that is.",
+    ),
+    (
+        """<body><div id="cookie-banner"><p>This site uses cookies to count visits.</p><button>Fine</button><button>No</button></div><div class="navbar"><ul><li><a href="/">Start</a></li><li><a href="/docs">Docs</a></li><li><a href="/blog">Blog</a></li></ul></div>
+<div class="post"><h1>Why the build was slow</h1><p>For three weeks our builds took twice as long as before, and nobody could say why.</p><p>It turned out that a cache was keyed by the name of the machine, which changes with every run.</p><pre>cache-key: $(hostname)-deps</pre><p>With the lock file as the key, the builds are back at four minutes.</p><div class="share-buttons"><a href=#>Share</a> <a href=#>Post</a></div></div>
+<div class="sidebar"><h3>Popular</h3><p><a href=/p1>Ten tips</a></p><p><a href=/p2>Our stack</a></p></div><div id="footer">Made with care &middot; <a href=/imprint>Imprint</a></div></body>""",
+        "Why the build was slow For three weeks our builds took twice as long as before, and nobody could say why. It turned out that a cache was keyed by the name of the machine, which changes with every run. cache-key: $(hostname)-deps With the lock file as the key, the builds are back at four minutes.",
+    ),
+]
+
+
+def test_pages_written_by_hand(trees):
+    for source, article in BY_HAND:
+        got, want = Counter(texts(trees, source)[0].split()), Counter(article.split())
+        both = sum((got & want).values())
+        assert both >= 0.95 * sum(want.values()) and both >= 0.95 * sum(got.values()), texts(trees, source)
+    exact = sum(texts(trees, source) == [article] for source, article in BY_HAND)
+    assert exact >= 2
