@@ -18,8 +18,8 @@ from .shared import ascii_lower, stored, trimmed
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: More rules than this are joined by key instead of being sent to each task.
-MOST_SENT = 100_000
+#: Characters of rules sent to each task at most; more are dealt to the key ranges that they cover.
+MOST_SENT = 8 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -36,8 +36,48 @@ def key_of(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _key(host: str) -> str:
-    return ".".join(reversed(host.split("."))) + "."
+class Paths:
+    """The rules of one host: (path, host + path, verdict); finds the longest that a path starts with."""
+
+    def __init__(self):
+        self.rules: dict[str, tuple[str, str]] = {}
+        self.sizes: list[int] = []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        if path not in self.rules and len(path) not in self.sizes:
+            bisect.insort(self.sizes, len(path))
+        self.rules[path] = rule, verdict
+
+    def longest(self, path: str):
+        """(length of host and path, length of path, rule, verdict), or nothing."""
+        for n in reversed(self.sizes):
+            if n <= len(path) and (found := self.rules.get(path[:n])):
+                return len(found[0]), n, *found
+        return None
+
+
+class Sweep:
+    """A pass over hosts in key order with a stack of the rules whose intervals are open."""
+
+    def __init__(self, default: str):
+        self.stack: list[tuple[str, Paths]] = []
+        self.default = default
+
+    def _leave(self, key: str) -> None:
+        while self.stack and not key.startswith(self.stack[-1][0]):
+            self.stack.pop()
+
+    def rule(self, key: str, path: str, rule: str, verdict: str) -> None:
+        self._leave(key)
+        if not self.stack or self.stack[-1][0] != key:
+            self.stack.append((key, Paths()))
+        self.stack[-1][1].add(path, rule, verdict)
+
+    def judge(self, key: str, path: str) -> tuple[str | None, str]:
+        self._leave(key)
+        fits = [x for _, own in self.stack if (x := own.longest(path))]
+        best = max(fits, key=lambda x: x[:2], default=None)
+        return (best[2], best[3]) if best else (None, self.default)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_sent: int = MOST_SENT) -> DataFrame:
@@ -45,69 +85,100 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
 
     A rule (host, path, verdict) fits its host and all subdomains when the url's
     path starts with the rule's. The longest fitting rule wins (host and path
-    together; on equal length the longer path, then the smaller verdict). Without
-    one, rule is null and verdict is ``default``. Rules with equal host and path
-    count once, with the smaller verdict.
+    together; on equal length the longer path). Without one, rule is null and
+    verdict is ``default``. Hosts of rules are lower-cased in A-Z, as those of
+    urls; rules with a null are ignored; of rules with equal host and path the
+    smaller verdict counts.
 
     A null url or one without ``://`` has empty host and path and fits no rule
     but one of an empty host. Repeated and null ids stay rows of their own; no
     rows give no rows; other columns are not carried. Pages are ranged by key
-    and id together, so one host may span many partitions. Up to ``most_sent``
-    rules go to each task; more are joined by the keys of a host's suffixes.
+    and id together, so one host may span many partitions.
+
+    Rules of up to ``most_sent`` characters go to each task. More are dealt as
+    rows to the ranges that their intervals meet, and every range is swept in
+    the same way; the rows are the same.
     """
-    kind = pages.schema[id_col].dataType
+    spark = pages.sparkSession
+    kind = pages.schema[id_col].dataType.simpleString()
+    schema = f"page_id {kind}, host string, path string, rule string, verdict string"
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
-    if isinstance(rules, DataFrame):
-        some = rules.select("host", "path", "verdict").limit(most_sent + 1).collect()
-        if len(some) > most_sent:
-            return _judge_by_key(base, rules, default)
-        rules = [tuple(r) for r in some]
-    once: dict[tuple[str, str], str] = {}
-    for host, path, verdict in sorted(rules, key=lambda r: (r[0], r[1], r[2])):
-        once.setdefault((host.lower() if host.isascii() else host, path), verdict)
-    by_key: dict[str, list] = {}
-    for (host, path), verdict in once.items():
-        by_key.setdefault(_key(host), []).append((-len(host) - len(path), -len(path), verdict, path, host + path))
-    keys = sorted(by_key, key=lambda k: k.encode())
-    order = [k.encode() for k in keys]
-    fits = [sorted(by_key[k]) for k in keys]
+    keyed = base.withColumn("key", key_of(F.col("host"))).repartitionByRange("key", "page_id")
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
+    once = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.min("verdict").alias("verdict"))
+    once = once.select(key_of(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")
+    if (once.agg(F.sum(F.length("rule") + F.length("verdict") + 8)).first()[0] or 0) > most_sent:
+        return _dealt(keyed, once, default, kind, schema)
+    every = sorted((tuple(r) for r in once.collect()), key=lambda r: (r[0].encode(), r[1]))
+    order = [r[0].encode() for r in every]
 
     def run(batches):
-        at, stack = None, []
+        at, sweep = None, Sweep(default)
         for batch in batches:
             found, verdicts = [], []
             for key, path in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
-                if at is None:  # the intervals that were opened before this partition
-                    at = bisect.bisect_left(order, key.encode())
-                    labels = key.split(".")[:-1]
-                    for i in range(1, len(labels)):
-                        prefix = ".".join(labels[:i]) + "."
-                        if prefix in by_key:
-                            stack.append((prefix, sorted(by_key[prefix])))
                 code = key.encode()
+                if at is None:  # the intervals that were opened before this partition: prefixes of its first key
+                    parts = key.split(".")[:-1]
+                    for i in range(1, len(parts)):
+                        prefix = ".".join(parts[:i]) + "."
+                        for k in range(bisect.bisect_left(order, prefix.encode()), bisect.bisect_right(order, prefix.encode())):
+                            sweep.rule(*every[k])
+                    at = bisect.bisect_left(order, code)
                 while at < len(order) and order[at] <= code:
-                    while stack and not keys[at].startswith(stack[-1][0]):
-                        stack.pop()
-                    stack.append((keys[at], fits[at]))
+                    sweep.rule(*every[at])
                     at += 1
-                while stack and not key.startswith(stack[-1][0]):
-                    stack.pop()
-                best = min((r for _, own in stack for r in own if path.startswith(r[3])), default=None)
-                found.append(best and best[4])
-                verdicts.append(best[2] if best else default)
+                rule, verdict = sweep.judge(key, path)
+                found.append(rule)
+                verdicts.append(verdict)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    keyed = base.withColumn("key", key_of(F.col("host"))).repartitionByRange("key", "page_id").sortWithinPartitions("key")
-    return keyed.mapInArrow(trimmed(run), f"page_id {kind.simpleString()}, host string, path string, rule string, verdict string")
+    return keyed.sortWithinPartitions("key").mapInArrow(trimmed(run), schema)
+
+
+def _dealt(keyed: DataFrame, rules: DataFrame, default: str, kind: str, schema: str) -> DataFrame:
+    """As judge(), for rules of any number: each range of pages is swept together with the rules that meet it."""
+    placed = stored(keyed.withColumn("range", F.spark_partition_id()), "urls")
+    ends = [(r[0], r[1].encode(), r[2].encode()) for r in placed.groupBy("range").agg(F.min("key"), F.max("key")).collect()]  # a row for each partition
+    ends.sort(key=lambda e: e[1])
+    lows, highs = [e[1] for e in ends], [e[2] for e in ends]
+
+    def deal(batches):
+        """A rule in each range that holds keys between its own and the last one that it is a prefix of."""
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            at, where = [], []
+            for i, key in enumerate(keys):
+                code = key.encode()
+                for k in range(bisect.bisect_left(highs, code), bisect.bisect_left(lows, code + b"\xff")):
+                    at.append(i)
+                    where.append(ends[k][0])
+            out = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *out.columns], names=["range", "key", "path", "rule", "verdict"])
 
+    dealt = rules.mapInArrow(trimmed(deal), "range int, key string, path string, rule string, verdict string")
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    both = dealt.select("range", "key", F.lit(0).alias("side"), none(kind, "page_id"), none("string", "host"), "path", "rule", "verdict")
+    both = both.unionByName(placed.select("range", "key", F.lit(1).alias("side"), "page_id", "host", "path", none("string", "rule"), none("string", "verdict")))
 
-def _judge_by_key(base: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """As judge(), for rules of any number: a join on the key of each suffix of a host."""
-    own = rules.groupBy(ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("rule_verdict")).withColumn("key", key_of(F.col("rule_host")))
-    pages = stored(base.withColumn("row", F.monotonically_increasing_id()), "urls")  # a row's number must stay the same
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(F.reverse(labels), 1, i), "."), F.lit(".")))
-    hits = pages.select("row", "path", F.explode(suffixes).alias("key")).join(own, "key").where(F.startswith(F.col("path"), F.col("rule_path")))
-    best = hits.groupBy("row").agg(F.min(F.struct(-F.length("rule_host") - F.length("rule_path"), -F.length("rule_path"), "rule_verdict", F.concat("rule_host", "rule_path").alias("rule"))).alias("best"))
-    return pages.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    def run(batches):
+        now, sweep = None, None
+        for batch in batches:
+            ranges, keys, sides, paths, rules_, verdicts_ = (batch.column(i).to_pylist() for i in (0, 1, 2, 5, 6, 7))
+            at, found, verdicts = [], [], []
+            for i, (where, key, side, path) in enumerate(zip(ranges, keys, sides, paths)):
+                if where != now:
+                    now, sweep = where, Sweep(default)
+                if side:
+                    rule, verdict = sweep.judge(key, path)
+                    at.append(i)
+                    found.append(rule)
+                    verdicts.append(verdict)
+                else:
+                    sweep.rule(key, path, rules_[i], verdicts_[i])
+            out = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([out.column(3), out.column(4), out.column(5), pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+
+    return both.repartition("range").sortWithinPartitions("range", "key", "side").mapInArrow(trimmed(run), schema)

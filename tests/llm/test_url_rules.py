@@ -21,7 +21,7 @@ def urls():
     return [f"{rnd.choice(['http', 'https', ''])}://{rnd.choice(hosts)}{rnd.choice(paths)}" for _ in range(400)] + [None, "", "no scheme", "a://b://c/en/", "mailto:x@com/en/", "https://é.com/en/ü"]
 
 
-RULES = U.RULES + [("", "", "block"), ("b.example.net", "/", "allow"), ("example.net", "/de/8", "allow"), ("x.org", "", "block")]
+RULES = U.RULES + [("é.com", "/en/", "allow"), ("", "", "block"), ("b.example.net", "/", "allow"), ("example.net", "/de/8", "allow"), ("x.org", "", "block")]
 
 
 def run(spark, rules, **kw):
@@ -34,11 +34,29 @@ def test_equals_brute_force(spark):
         assert run(spark, rules) == {i: brute(u, rules) for i, u in enumerate(urls())}
 
 
-def test_rules_by_key(spark):
-    table = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    want = {i: brute(u, RULES) for i, u in enumerate(urls())}
+def test_rules_as_rows(spark):
+    upper = [(h.replace("com", "CoM"), p, v) for h, p, v in RULES] + [("É.com", "/en/", "block")]
+    table = spark.createDataFrame([*upper, (None, "/", "block"), ("com", None, "block"), ("org", "/es/", None)], "host string, path string, verdict string")
+    lower = [(h.lower() if h.isascii() else h.replace("CoM", "com"), p, v) for h, p, v in upper]
+    want = {i: brute(u, lower) for i, u in enumerate(urls())}
     assert run(spark, table) == want
-    assert run(spark, table, most_sent=2) == want
+    assert run(spark, table, most_sent=0) == want
+
+
+def test_many_rules_and_one_hot_host(spark):
+    rnd = random.Random(4)
+    hosts = ["hot.com", "www.hot.com", "a.b.hot.com", "x.hot.com.", "net", "q.net", "com", "", "hot.co", "hot.com-x"]
+    rules = [(rnd.choice(hosts), "/" + "".join(rnd.choice("ab/") for _ in range(rnd.randint(0, 4))), rnd.choice(["allow", "block"])) for _ in range(300)]
+    once = {}
+    for h, p, v in rules:
+        once[h, p] = min(v, once.get((h, p), v))
+    pages = [(i, f"http://{'hot.com' if i % 3 == 0 else rnd.choice(hosts)}/{''.join(rnd.choice('ab/') for _ in range(6))}") for i in range(900)]
+    df = spark.createDataFrame(pages, "page_id long, url string").repartition(5)
+    want = {i: brute(u, [(*k, v) for k, v in once.items()]) for i, u in pages}
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for most in (U.MOST_SENT, 0):
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge(df, table, most_sent=most).collect()} == want
+    assert U.judge(df.limit(0), table, most_sent=0).count() == 0
 
 
 def test_no_rows_and_repeated_rows(spark):
