@@ -10,9 +10,9 @@ are split into parts, more of them than two linking sets can differ in elements;
 by the pigeonhole principle such sets agree in a part that is not empty. Classes
 that agree in a part are compared by the parities of their elements' cells, of
 which no two differ in more cells than in elements; those that may link form
-groups. Every true link lies within a group. Groups are read one by one, and
-large groups in pairs of blocks, so no task holds an unbounded group and no link
-is lost.
+groups. Every true link lies within a group. Parts and groups are read one by
+one, and large ones in pairs of blocks, so no task holds an unbounded group and
+no link is lost.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ from .components import connected
 from .shared import LOWER, Rows, dropped, pieces, stored, trimmed, words_of
 
 #: Sets of a tree at most; a group with more is compared in pairs of blocks of half as many.
-MOST_SETS = 2_000
+MOST_SETS = 1_000
 #: Elements of a tree's sets at most (twice that in a pair of blocks).
 MOST_ELEMENTS = 1_500_000
 #: Cells, at least, whose parities tell classes that can't link apart.
 CELLS = 1_024
-#: Classes that agree in a part and are compared so; more are all taken to be near.
-MOST_NEAR = 100_000
+#: Classes that agree in a part and are compared so in one task; more are compared in pairs of blocks of half as many.
+MOST_NEAR = 2_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -159,9 +159,13 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def may_link(names: list[int], sizes: list[int], cells: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that connect at least the classes that link; pairs that are connected already are not compared."""
+def may_link(names: list[int], sizes: list[int], cells: list[bytes], num: int, den: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect at least the classes that link; pairs that are connected already are not compared.
+
+    With ``sides``, pairs within a side are compared elsewhere.
+    """
     n = len(names)
+    side = None if sides is None else np.array(sides)
     size, own, out = np.array(sizes), np.arange(n), []
     words = np.array([len(c) // 8 for c in cells])
     #: for each number of cells the members that have so many or more, at that number
@@ -174,7 +178,10 @@ def may_link(names: list[int], sizes: list[int], cells: list[bytes], num: int, d
             table[same] = folded(np.frombuffer(b"".join(cells[i] for i in same), np.uint64).reshape(len(same), v), w)
         levels[w] = table
     for i in range(n - 1):
-        rest = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+        apart = own[i + 1 :] != own[i]
+        if side is not None:
+            apart &= side[i + 1 :] != side[i]
+        rest = i + 1 + np.flatnonzero(apart)
         if not len(rest):
             continue
         total = size[rest] + size[i]
@@ -283,20 +290,8 @@ def links(names: list[int], sets: list[tuple], num: int, den: int, sides: list[i
     return out
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, similarity: tuple[int, int] = (90, 100), most_sets: int = MOST_SETS, most_near: int = MOST_NEAR) -> DataFrame:
-    """Every document: doc_id, n_shingles, component_id.
-
-    A document's set has the distinct n-grams of its words, lower-cased in A-Z;
-    with fewer words, all of them as one; without any, none. Documents link when
-    their sets' Jaccard similarity is ``similarity`` or more; component_id is the
-    smallest id reachable by links, the document's own included.
-
-    Null texts count as empty; empty sets link with nothing. Rows with a null id
-    take part and are no one's smallest id; a component of such alone has null.
-    Rows with the same id are documents of their own. No rows give no rows;
-    other columns are not carried. Sets are compared by 64-bit hashes of their
-    n-grams and told apart by 64-bit hashes of sets.
-    """
+def linked(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: tuple[int, int], most_sets: int = MOST_SETS, most_near: int = MOST_NEAR) -> DataFrame:
+    """Every row: doc_id, mark (hash of the text), n_shingles, root; rows with one root are connected by links, null is an empty set."""
     num, den = similarity
     kind = docs.schema[id_col].dataType
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -329,41 +324,35 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     by_part = signed.where("parts IS NOT NULL").select("class", F.explode("parts").alias("part"))
     alike = Window.partitionBy("part")
     before = F.lag("class").over(alike.orderBy("class"))
-    met = by_part.select("part", "class", before.alias("before"), (F.min("class").over(alike) != F.max("class").over(alike)).alias("several"))
-    met = stored(met.where("several AND (before IS NULL OR before <> class)").select("part", "class"), "met")
+    met = by_part.select("part", "class", before.alias("before"), (F.min("class").over(alike) != F.max("class").over(alike)).alias("several"), F.count("*").over(alike).alias("many"))
+    blocks = F.when(F.col("many") <= most_near, 1).otherwise(F.ceil(2 * F.col("many") / most_near)).cast("int")
+    met = stored(met.where("several AND (before IS NULL OR before <> class)").select("part", "class", blocks.alias("blocks")), "met")
     about = signed.where("parts IS NOT NULL").select("class", "n_shingles", "cells")
-    dealt = met.join(about, "class").repartition("part").sortWithinPartitions("part", "class")
+    dealt = in_pairs(met.join(about, "class"), "part").select("part", "low", "high", "class", "block", "n_shingles", "cells")
+    dealt = dealt.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high", "class")
 
     def compare(batches):
-        key, last, many = None, None, False
-        names, sizes, cells, chain = [], [], [], []
+        key, last = None, None
+        names, sizes, cells, sides = [], [], [], []
 
-        def edges(found):
+        def edges():
+            found = may_link(names, sizes, cells, num, den, sides if key[1] != key[2] else None) if len(names) > 1 else []
             return pa.RecordBatch.from_pydict({"src": pa.array([f[0] for f in found], pa.int64()), "dst": pa.array([f[1] for f in found], pa.int64())})
 
         for batch in batches:
-            for part, name, size, own in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "class", "n_shingles", "cells"))):
-                if part != key:
-                    if len(names) > 1:
-                        yield edges(may_link(names, sizes, cells, num, den))
-                    key, last, many, names, sizes, cells = part, None, False, [], [], []
-                if name == last:  # a class that several tasks gave
-                    continue
-                if many:
-                    chain.append((last, name))
-                elif len(names) == most_near:  # too many to compare: all are taken to be near
-                    many = True
-                    chain += [*zip(names, names[1:]), (last, name)]
-                    names, sizes, cells = [], [], []
-                else:
+            for part, low, high, name, side, size, own in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (part, low, high) != key:
+                    if names:
+                        yield edges()
+                    key, last, names, sizes, cells, sides = (part, low, high), None, [], [], [], []
+                if name != last:  # a class may come from several tasks
+                    last = name
                     names.append(name)
                     sizes.append(size)
                     cells.append(own)
-                last = name
-            yield edges(chain)
-            chain = []
-        if len(names) > 1:
-            yield edges(may_link(names, sizes, cells, num, den))
+                    sides.append(side)
+        if names:
+            yield edges()
 
     near = dealt.mapInArrow(trimmed(compare), "src long, dst long")
     groups = connected(near)  # node, root
@@ -390,9 +379,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     texts = tagged.join(placed.hint("merge"), tagged["mark"].eqNullSafe(placed["of"]) & tagged["doc_id"].eqNullSafe(placed["id"])).select("class", "group", "blocks", "text")
     sets = texts.mapInArrow(trimmed(tuples), "class long, group long, blocks int, set binary")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "set", "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = in_pairs(sets, "group").select("class", "set", "group", "block", "low", "high")
     dealt = dealt.repartition(F.col("group"), F.col("low"), F.col("high")).sortWithinPartitions("group", "low", "high")
 
     def walk(batches):
@@ -416,18 +403,60 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 sides.append(side)
         yield from done()
 
-    linked = connected(dealt.mapInArrow(trimmed(walk), "src long, dst long"))
+    found = connected(dealt.mapInArrow(trimmed(walk), "src long, dst long"))
+    rooted = signed.select("doc_id", "mark", "n_shingles", "class").join(found.select(F.col("node").alias("class"), "root"), "class", "left")
+    rooted = stored(rooted.select("doc_id", "mark", "n_shingles", F.coalesce("root", "class").alias("root")), "rooted")
+    dropped(signed, met, chosen, sizes, placed, groups, found)
+    return rooted
+
 
-    # classes to components: the smallest id among all documents of all their classes
-    rooted = signed.select("doc_id", "n_shingles", "class").join(linked.select(F.col("node").alias("class"), "root"), "class", "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
-    rooted = stored(rooted, "rooted")
+def in_pairs(rows: DataFrame, of: str) -> DataFrame:
+    """Rows (class, blocks) with block, and once for each pair (low, high) of blocks of their group that theirs is in."""
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, similarity: tuple[int, int] = (90, 100), most_sets: int = MOST_SETS, most_near: int = MOST_NEAR) -> DataFrame:
+    """Every document: doc_id, n_shingles, component_id.
+
+    A document's set has the distinct n-grams of its words, lower-cased in A-Z;
+    with fewer words, all of them as one; without any, none. Documents link when
+    their sets' Jaccard similarity is ``similarity`` or more; component_id is the
+    smallest id reachable by links, the document's own included.
+
+    Null texts count as empty; empty sets link with nothing. Rows with a null id
+    take part and are no one's smallest id; a component of such alone has null.
+    Rows with the same id are documents of their own. No rows give no rows;
+    other columns are not carried. Sets are compared by 64-bit hashes of their
+    n-grams and told apart by 64-bit hashes of sets.
+    """
+    rooted = linked(docs, id_col, text_col, n, similarity, most_sets, most_near)
+    # the smallest id among all documents of a component
     firsts = stored(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1").drop("members"), "firsts")
-    dropped(signed, met, chosen, sizes, placed)
     return rooted.join(firsts, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs, all columns, without those of a group's documents that don't have its smallest id. Rows with a null id stay."""
-    found = clusters(docs, id_col, text_col, n, similarity)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """Rows of docs, all columns: of each group of linked rows the one with the smallest id.
+
+    Rows are documents, whatever their ids: of rows with one id and different
+    texts each stays if it is its group's, and of repeated rows one stays. Among
+    equal ids the smaller hash of the text comes first, null ids before others.
+    Rows whose text has no words link with nothing, so all of them stay.
+    """
+    rooted = linked(docs, id_col, text_col, n, similarity).where("root IS NOT NULL")
+    own = F.struct("doc_id", "mark")
+    firsts = stored(rooted.groupBy("root").agg(F.min(own).alias("first"), F.count("*").alias("members")).where("members > 1").drop("members"), "firsts")
+    known = rooted.join(firsts, "root").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.first(own.eqNullSafe(F.col("first"))).alias("stays"))
+    known = stored(known.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__hash"), "stays"), "known")
+    mark = "__mark"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
+    same = marked[id_col].eqNullSafe(F.col("__gone")) & (marked[mark] == F.col("__hash"))
+    out = marked.join(known.select("__gone", "__hash"), same, "left_anti")
+    repeated = known.where("stays").select("__gone", "__hash")
+    if not repeated.isEmpty():
+        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates([id_col, mark]))
+    return out.select(*docs.columns)

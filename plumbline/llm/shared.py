@@ -23,24 +23,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as a table to the shared folder and read back.
 
-    Cuts the lineage: a lost executor costs the running stage only.
+    Cuts the lineage: a lost executor costs the running stage only. The files go
+    with dropped(), or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    store, target = _place(spark, path)
+    store.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes the files of stored() tables that nothing reads any more."""
     for df in frames:
         spark, path = df.sparkSession, getattr(df, "_plumbline_path", None)
         if path:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            store, target = _place(spark, path)
+            store.delete(target, True)
 
 
 def ascii_lower(col: Column) -> Column:

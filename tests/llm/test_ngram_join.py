@@ -58,6 +58,7 @@ def test_blocks_of_large_groups_lose_no_link(spark):
     rows = varied(3)
     assert run(spark, rows, most_sets=6) == brute(rows)
     assert run(spark, rows, most_near=3, most_sets=40) == brute(rows)
+    assert run(spark, rows, most_near=5, most_sets=6) == brute(rows)
 
 
 def test_other_threshold(spark):
@@ -106,3 +107,19 @@ def test_parities_never_part_sets_that_link():
         sets = [own, near, far]
         found = J.may_link([1, 2, 3], [len(s) for s in sets], [J.parities(s) for s in sets], 80, 100)
         assert (1, 2) in found and (size < 1_000 or len(found) == 1)
+
+
+def test_one_of_each_row(spark):
+    rnd = random.Random(12)
+    a, b, c = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (9, b + " more", 4), (9, b + " more", 5), (7, c, 6), (7, c, 7), (7, c, 8), (2, "", 9), (2, "", 10), (3, None, 11), (None, c + " end", 12), (None, None, 13), (4, "x y", 14), (4, "X y", 15)]
+    df = spark.createDataFrame([(i, t, k, k, k) for i, t, k in rows], "doc_id long, text string, k long, __mark long, mark long")
+    got = J.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted((r.k, r.doc_id, r.text) for r in got.collect())
+    # of a's rows 1, of b's 5, of c's the one without an id, all rows without words, and one spelling of x y
+    assert [k for k, _, _ in kept if k in (1, 2, 3, 4, 5, 9, 10, 11, 12, 13)] == [1, 3, 9, 10, 11, 12, 13]
+    assert sum(k in (6, 7, 8) for k, _, _ in kept) == 0 and sum(k in (14, 15) for k, _, _ in kept) == 1
+    again = J.one_of_each(df.where("k IN (6, 7, 8)"))
+    assert [r.text for r in again.collect()] == [c]
+    assert J.one_of_each(df.limit(0)).count() == 0
