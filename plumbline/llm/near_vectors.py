@@ -9,7 +9,9 @@ distance of the query, as the list's vectors are all behind it; and a coded
 vector is a candidate when its distance less its own coding error is within the
 linking distance. Candidates are ranked by their exact cosine in double precision.
 
-Centroids and codewords are fitted to a bounded sample; every vector is indexed.
+Vectors of unlike labels never link, so each label has lists of its own, as many
+as its vectors fill. Centroids and codewords are fitted to one bounded sample, for
+each power of two of lists that is in use; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .components import connected
 from .shared import Rows, dropped, stored, trimmed
 
 #: Vectors that centroids and codewords are fitted to, at most.
 SAMPLE = 8_000
-#: Inverted lists: the root of the number of vectors, within these bounds and an eighth of the sample.
-LISTS = (64, 1_024)
+#: Inverted lists of a label: one for so many vectors, as a power of two up to the most (and an eighth of the sample).
+LIST_SIZE = 1_000
+MOST_LISTS = 1_024
 SUBSPACES = 16
 CODEWORDS = 64
 #: Vectors of a list compared at once; longer lists are compared in pairs of blocks.
@@ -98,7 +102,7 @@ def compare(q: Quantiser, centre: int, x: np.ndarray, codes: np.ndarray, errors:
             yield ia[keep], ja[keep]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.98, sample: int = SAMPLE, lists: int | None = None, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.98, sample: int = SAMPLE, lists: int | None = None, list_size: int = LIST_SIZE, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, block: int = BLOCK) -> DataFrame:
     """Every vector: vec_id, n_links, component_id, kept.
 
     Two vectors link when their labels are equal and not null (any two, without
@@ -128,41 +132,46 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     by_size: dict[int, list] = {}
     for r in picked:
         by_size.setdefault(len(r.x), []).append(r.x)
-    if lists is None:
-        lists = max(LISTS[0], min(LISTS[1], math.isqrt(classes.count())))
-    fitted = {n: Quantiser(unit(np.array(own)), lists, subspaces, codewords) for n, own in by_size.items()}
+    # the tier of a label: the power of two of lists that it has
+    sized = classes.groupBy("label").agg(F.count("*").alias("vectors"))
+    tier = F.lit(lists.bit_length() - 1) if lists else F.least(F.floor(F.log2(F.greatest(F.lit(1.0), F.col("vectors") / list_size))), F.lit(MOST_LISTS.bit_length() - 1))
+    tiers = stored(sized.select("label", tier.cast("int").alias("tier")), "tiers")
+    used = [r[0] for r in tiers.select("tier").distinct().collect()]  # eleven at most
+    fitted = {(n, t): Quantiser(unit(np.array(own)), 1 << t, subspaces, codewords) for n, own in by_size.items() for t in used}
     sent = spark.sparkContext.broadcast(fitted)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    own_type = pa.schema([("class", pa.int64()), ("label", pa.string()), ("size", pa.int64()), ("list", pa.int64()), ("role", pa.int32()), ("x", pa.binary()), ("copies", pa.int64())])
+    single = isinstance(vectors.schema[vector_col].dataType, ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
+    packed = np.dtype(np.float32 if single else np.float64)  # as given, so nothing is lost
+    own_type = pa.schema([("class", pa.int64()), ("label", pa.string()), ("size", pa.int64()), ("tier", pa.int32()), ("list", pa.int64()), ("role", pa.int32()), ("x", pa.binary()), ("copies", pa.int64())])
 
     def probe(batches):
         """A row in the vector's own list, and one in each further list that it must probe."""
         for batch in batches:
             out = Rows(own_type)
-            names, labels, xs, copies = (batch.column(i).to_pylist() for i in range(4))
-            sizes = np.array([len(v) for v in xs])
-            for size in set(sizes.tolist()):
-                at = np.flatnonzero(sizes == size)
-                y = unit(np.array([xs[i] for i in at]))
-                q = sent.value.get(size)
+            names, labels, xs, copies, tiers_ = (batch.column(i).to_pylist() for i in range(5))
+            kinds: dict[tuple, list[int]] = {}
+            for i, (v, t) in enumerate(zip(xs, tiers_)):
+                kinds.setdefault((len(v), t), []).append(i)
+            for (size, t), at in kinds.items():
+                given = np.array([xs[i] for i in at])
+                q = sent.value.get((size, t))
                 if q is None:  # a length that the sample doesn't hold: one list
-                    for k, i in enumerate(at):
-                        out.add(names[i], labels[i], size, 0, 0, y[k].tobytes(), copies[i], size=8 * int(size))
-                        if out.full:
-                            yield out.batch()
-                    continue
-                home, d = q.lists_of(y)
+                    home, meets = np.zeros(len(at), np.int64), np.ones((len(at), 1), bool)
+                else:
+                    home, d = q.lists_of(unit(given))
+                    plane = (d**2 - d[np.arange(len(at)), home, None] ** 2) / (2 * q.apart[home])
+                    plane[np.arange(len(at)), home] = 0
+                    meets = plane <= reach
                 for k, i in enumerate(at):
-                    plane = (d[k] ** 2 - d[k, home[k]] ** 2) / (2 * q.apart[home[k]])
-                    plane[home[k]] = 0
-                    for c in np.flatnonzero(plane <= reach):
-                        out.add(names[i], labels[i], size, int(c), int(c != home[k]), y[k].tobytes(), copies[i], size=8 * int(size))
+                    data = given[k].astype(packed).tobytes()
+                    for c in np.flatnonzero(meets[k]).tolist():
+                        out.add(names[i], labels[i], size, t, c, int(c != home[k]), data, copies[i], size=len(data) + 48)
                     if out.full:
                         yield out.batch()
             yield out.batch()
 
-    spread = stored(classes.select("class", "label", "x", "copies").mapInArrow(trimmed(probe), "class long, label string, size long, list long, role int, x binary, copies long"), "spread")
-    key = ["label", "size", "list"]
+    spread = stored(classes.join(tiers, "label").select("class", "label", "x", "copies", "tier").mapInArrow(trimmed(probe), "class long, label string, size long, tier int, list long, role int, x binary, copies long"), "spread")
+    key = ["label", "size", "tier", "list"]
     counts = stored(spread.groupBy(*key).agg(F.count_if(F.col("role") == 0).alias("homes"), F.count("*").alias("all")), "counts")
     dealt = spread.join(counts, key)
     many, other = F.ceil(F.col("homes") / block).cast("int"), F.ceil(F.col("all") / block).cast("int")
@@ -181,9 +190,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             side = np.array(sides)
             if task is None or not (side == 0).any() or not (side == 1).any():
                 return
-            data, name, n = np.array(xs), np.array(names, np.int64), np.array(copies, np.int64)
+            data, name, n = unit(np.frombuffer(b"".join(xs), packed).reshape(len(xs), -1).astype(float)), np.array(names, np.int64), np.array(copies, np.int64)
             base, ask = side == 0, side == 1
-            q, centre = sent.value.get(task[1]), task[2]
+            q, centre = sent.value.get((task[1], task[2])), task[3]
             if q is None:
                 q = Quantiser(data[base][:SAMPLE], 1, subspaces, codewords)
                 centre = 0
@@ -203,12 +212,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             yield got.batch()
 
         for batch in batches:
-            for *where, name, data, count, side in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 7, 8, 3, 4, 5, 6))):
+            for *where, name, data, count, side in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 8, 9, 4, 5, 6, 7))):
                 if where != task:
                     yield from done()
                     task, names, xs, copies, sides = where, [], [], [], []
                 names.append(name)
-                xs.append(np.frombuffer(data))
+                xs.append(data)
                 copies.append(count)
                 sides.append(side)
         yield from done()
@@ -219,7 +228,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     about = stored(classes.select("class", "copies").join(counted, "class", "left").join(linked.select(F.col("node").alias("class"), "root"), "class", "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("root")), "about")
     rooted = stored(tagged.select("vec_id", "class").join(about, "class", "left").select("vec_id", "n_links", "root"), "rooted")
     firsts = stored(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least")), "firsts")
-    dropped(tagged, classes, spread, counts, found, about)
+    dropped(tagged, classes, tiers, spread, counts, found, about, linked)
     component = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least"))
     return rooted.join(firsts, "root", "left").select(F.col("vec_id").cast(kind), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
