@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from plumbline.llm import decontamination as D
 
 
@@ -12,7 +10,7 @@ def brute(docs, items, window=D.WINDOW, share=D.SHARE):
         own = D.tokens(text)
         for i, item in items:
             theirs = D.tokens(item)
-            w = min(window, len(theirs))
+            w = min(window, len(theirs)) if len(theirs) >= D.MIN_WORDS else 0
             for p in range(len(own) - w + 1):
                 for q in range(len(theirs) - w + 1):
                     if w and 100 * sum(a == b for a, b in zip(own[p : p + w], theirs[q : q + w])) >= share * w:
@@ -23,7 +21,7 @@ def brute(docs, items, window=D.WINDOW, share=D.SHARE):
 def planted(seed):
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 3, 5, 8, 12, 13, 20, 40])))) for i in range(12)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 3, 7, 8, 9, 10, 12, 13, 20, 40])))) for i in range(12)]
     docs = []
     for d in range(50):
         own = [rnd.choice(words) for _ in range(rnd.randint(0, 60))]
@@ -45,15 +43,36 @@ def run(spark, docs, items, **kw):
 def test_masks_are_lossless():
     assert D.lossless(D.MASKS, D.WINDOW, D.allowed(D.WINDOW))
     for n in range(1, D.WINDOW):
+        assert D.masks_of(n, D.WINDOW, D.SHARE) == D.masks_for(n)
         assert D.lossless(D.masks_for(n), n, D.allowed(n)), n
 
 
-@pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 30])
-def test_equals_brute_force(spark, block_words):
+def test_equals_brute_force(spark):
     for seed in (1, 2):
         docs, items = planted(seed)
-        got = {(r.doc_id, r.item_id, r.doc_start - r.item_start) for r in run(spark, docs, items, block_words=block_words)}
-        assert got == brute(docs, items)
+        docs += docs[:5]
+        one, two = (run(spark, docs, items, most_sent=most) for most in (D.MOST_SENT, 0))
+        assert {(r.doc_id, r.item_id, r.doc_start - r.item_start) for r in one} == brute(docs, items)
+        assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_documents_without_overlaps(spark):
+    docs, items = planted(3)
+    docs = [(i, t, k) for k, (i, t) in enumerate([*docs, (None, None), (None, docs[1][1]), docs[1]])]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string, mark long"), spark.createDataFrame(items, "item_id short, text string")
+    hit = {d for d, _, _ in brute([(k, t) for _, t, k in docs], items)}
+    for most in (D.MOST_SENT, 0):
+        got = D.without_overlaps(a, b, most_sent=most)
+        assert got.columns == a.columns and {r.mark for r in got.collect()} == {k for _, _, k in docs} - hit
+        assert {r.item_id for r in D.overlaps(a, b, most_sent=most).collect()} == {i for _, i, _ in brute([(k, t) for _, t, k in docs], items)}
+        assert D.without_overlaps(a, b.limit(0), most_sent=most).count() == len(docs)
+        assert D.without_overlaps(a.limit(0), b, most_sent=most).count() == 0
+
+
+def test_short_items_hit_nothing(spark):
+    docs, items = [(1, "w1 w2 w3 w4 w5 w6 w7 w8")], [(1, "w7"), (2, "w1 w2 w3 w4 w5 w6 w7"), (3, "W1 w2, w3 w4 w5 w6 w7 x")]
+    assert [(r.item_id, r.n_words, r.n_equal) for r in run(spark, docs, items)] == [(3, 8, 7)]
+    assert len(run(spark, docs, items, min_words=1)) == 3
 
 
 def test_odd_rows(spark):
