@@ -22,8 +22,8 @@ from .shared import dropped, stored
 INK = r"[^\s\p{Z}\x85]"
 GAP = r"[\s\p{Z}\x85]"
 LONG_WORDS = 50
-#: Hashes sent to every task at most; more are joined.
-MOST_SENT = 2_000_000
+#: Bytes of hashes sent to every task at most; more are joined.
+MOST_SENT = 8 << 20
 
 
 def gaps_of(lines: Column, hashes: Column | None = None, long_words: int = LONG_WORDS) -> Column:
@@ -59,17 +59,23 @@ def stop_of(c: Column) -> Column:
     return c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT, long_words: int = LONG_WORDS, hash_of=F.xxhash64) -> DataFrame:
     """All documents with their columns; text without the lines of chunks that came before, and __n_removed.
 
+    Input columns may have any names but __n_removed; ``hash_of`` hashes a line.
+
     Where a chunk comes first is kept: the smallest id (null before all), then
     the place. Rows with equal id and text count as one document, so they don't
     remove each other. Null and empty texts stay as they are; a text that loses
     all lines becomes empty. No rows give no rows. Lines end at a line feed.
     """
+    if "__n_removed" in docs.columns:
+        raise ValueError("__n_removed is a column of the result")
+    free = lambda name: name if name not in docs.columns else free(name + "_")
+    mark, of, other, ranges_, lines_, left = map(free, ("__mark", "__of", "__id", "__ranges", "__lines", "__left"))
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.split(text, "\n", -1).alias("lines")).where(F.size("lines") > 0)
-    hashed = own.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    hashed = own.withColumn("hashes", F.transform("lines", lambda x: hash_of(x).cast("long")))
     gapped = hashed.select("id", "mark", "hashes", gaps_of(F.col("lines"), long_words=long_words).alias("gaps"))
     cut = gapped.select("id", "mark", F.explode(chunks_of(F.col("gaps"), F.col("hashes"))).alias("c"))
     chunks = stored(cut.select("id", "mark", F.col("c.start").alias("start"), F.col("c.stop").alias("stop"), F.col("c.own").alias("own"), F.xxhash64("c.own").alias("key")), "chunks")
@@ -80,7 +86,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # byte comparison: each line hash in a repeated chunk must stand for one sequence of bytes
     marks = repeated.select(F.explode("own").alias("h")).distinct()
     marks = stored(marks, "marks")
-    sent = F.broadcast(marks) if marks.count() <= most_sent else marks
+    sent = F.broadcast(marks) if 16 * marks.count() <= most_sent else marks
     lines = hashed.select(F.explode(F.arrays_zip("hashes", "lines")).alias("l")).select(F.col("l.hashes").alias("h"), F.col("l.lines").alias("line"))
     unequal = lines.join(sent, "h", "left_semi").groupBy("h", "line").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
     unequal = stored(unequal, "unequal")
@@ -90,11 +96,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     later = chunks.join(repeated, ["key", "own"]).where(~F.struct("id", "mark", "start").eqNullSafe(F.col("first"))).select("id", "mark", "start", "stop")
     ranges = stored(later.groupBy("id", "mark").agg(F.collect_set(span(F.col("start"), F.col("stop"))).alias("__ranges")), "ranges")
-    dropped(chunks)
-    joined = docs.withColumn("__mark", F.xxhash64(text)).join(ranges.select(F.col("id").alias("__id"), F.col("mark").alias("__of"), "__ranges").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of")), "left")
-    joined = joined.withColumn("__lines", F.when(F.col("__ranges").isNotNull(), F.split(text, "\n", -1)))
-    gone = F.flatten(F.transform("__ranges", lambda r: F.sequence(start_of(r), stop_of(r) - 1)))
-    joined = joined.withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone))
-    out = joined.withColumn("__n_removed", F.when(F.col("__ranges").isNull(), 0).otherwise(F.size("__lines") - F.size("__left")))
-    out = out.withColumn(text_col, F.when(F.col("__ranges").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")))
+    dropped(chunks, repeated, marks, unequal)
+    places = ranges.select(F.col("id").alias(other), F.col("mark").alias(of), F.col("__ranges").alias(ranges_))
+    joined = docs.withColumn(mark, F.xxhash64(text)).join(places.hint("merge"), F.col(id_col).eqNullSafe(F.col(other)) & (F.col(mark) == F.col(of)), "left")
+    joined = joined.withColumn(lines_, F.when(F.col(ranges_).isNotNull(), F.split(text, "\n", -1)))
+    gone = F.flatten(F.transform(ranges_, lambda r: F.sequence(start_of(r), stop_of(r) - 1)))
+    joined = joined.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), gone))
+    out = joined.withColumn("__n_removed", F.when(F.col(ranges_).isNull(), 0).otherwise(F.size(lines_) - F.size(left)))
+    out = out.withColumn(text_col, F.when(F.col(ranges_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines_, i)), "\n")))
     return out.select(*docs.columns, "__n_removed")
+
+
+def without_emptied(deduped: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of dedup_lines() without documents that lost lines and have no other text left: all of it stands elsewhere."""
+    return deduped.where((F.col("__n_removed") == 0) | F.rlike(F.col(text_col), F.lit(INK)))

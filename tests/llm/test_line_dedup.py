@@ -14,21 +14,20 @@ def run(spark, rows, **kw):
     return {r.doc_id: (r.text, r["__n_removed"]) for r in L.dedup_lines(df, **kw).collect()}
 
 
-def brute(spark, rows):
-    """Removal from the chunks' texts, compared as text, one document after the other."""
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.split("text", "\n", -1))
-    df = df.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("gaps", L.gaps_of(F.col("lines"), F.col("hashes")))
-    cut = {r.doc_id: r.c for r in df.select("doc_id", L.chunks_of(F.col("gaps"), F.col("hashes")).alias("c")).collect()}
-    first, out = {}, {}
-    for doc_id, text in sorted(rows):
-        for c in cut[doc_id]:
-            body = tuple(text.split("\n")[c.start : c.stop])
-            first[body] = min(first.get(body, (doc_id, c.start)), (doc_id, c.start))
+def brute(rows):
+    """Removal from the chunks' texts in plain Python: neighbouring lines with text, and lines of fifty words."""
+    first, cut = {}, {}
+    for doc_id, text in sorted(set(rows)):
+        lines = text.split("\n")
+        inked = [i for i, x in enumerate(lines) if x.strip()]
+        cut[doc_id] = [(a, b + 1) for a, b in zip(inked, inked[1:])] + [(i, i + 1) for i in inked if len(lines[i].split()) >= 50]
+        for a, b in cut[doc_id]:
+            body = tuple(lines[a:b])
+            first[body] = min(first.get(body, (doc_id, a)), (doc_id, a))
+    out = {}
     for doc_id, text in rows:
-        lines, gone = text.split("\n"), set()
-        for c in cut[doc_id]:
-            if first[tuple(lines[c.start : c.stop])] != (doc_id, c.start):
-                gone.update(range(c.start, c.stop))
+        lines = text.split("\n")
+        gone = {i for a, b in cut[doc_id] if first[tuple(lines[a:b])] != (doc_id, a) for i in range(a, b)}
         out[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
     return out
 
@@ -49,7 +48,7 @@ def corpus(seed=1, docs=40):
 def test_equals_brute_force(spark):
     rows, _ = corpus()
     rows += [(100, "\n".join(["same"] * 30)), (101, "a\na\na\na"), (102, "\n\n\n"), (103, rows[4][1])]
-    assert run(spark, rows) == brute(spark, rows)
+    assert run(spark, rows) == brute(rows)
 
 
 def test_passages_stay_once_and_unshared_lines_stay(spark):
@@ -84,7 +83,7 @@ def test_odd_rows(spark):
 
 def test_without_sending_hashes(spark):
     rows, _ = corpus(5)
-    assert run(spark, rows, most_sent=0) == brute(spark, rows)
+    assert run(spark, rows, most_sent=0) == brute(rows)
 
 
 def test_only_dataframe_functions(spark):
@@ -118,6 +117,28 @@ def test_a_common_line_before_a_blank_one_stays(spark):
     assert run(spark, rows) == {i: (t, 0) for i, t in rows}
 
 
+def test_lines_are_compared_by_their_bytes(spark):
+    rows, _ = corpus(8)
+    got = run(spark, rows, hash_of=F.length)  # nearly every hash stands for many lines
+    want = brute(rows)
+    assert all(got[i] in ((text, 0), want[i]) for i, text in rows)
+    few = run(spark, rows, hash_of=lambda x: F.when(F.rlike(x, F.lit("^w[1-4]")), 7).otherwise(F.xxhash64(x)))
+    assert any(few[i] != want[i] for i, _ in rows) and any(few[i][1] for i, _ in rows)
+    whole = dict(rows)
+    for i, (text, n) in few.items():  # what is removed stands elsewhere, what would have been unequal stays
+        assert n <= want[i][1] and set(text.split("\n")) <= set(whole[i].split("\n"))
+
+
+def test_clashing_names_and_emptied_documents(spark):
+    body = "\n".join(sentences(random.Random(10), 5))
+    names = ["__mark", "__of", "__id", "__lines", "__ranges", "__left", "lines", "hashes", "key", "own"]
+    df = spark.createDataFrame([(i, t, *[i] * len(names)) for i, t in ((1, body), (2, body), (3, ""), (4, None), (5, body + "\nmore of it"))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = L.dedup_lines(df)
+    assert out.columns == [*df.columns, "__n_removed"]
+    assert {r.doc_id: r.text for r in out.collect()} == {1: body, 2: "", 3: "", 4: None, 5: "more of it"}
+    assert {r.doc_id for r in L.without_emptied(out).collect()} == {1, 3, 4, 5}
+
+
 def test_words_of_a_long_line(spark):
     rnd = random.Random(9)
     lines = [gap.join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for gap, n in (("\t", 50), ("\u00a0", 50), (" \t ", 50), (" ", 49))] + ["short" + " " * 80 + "line"]
