@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from plumbline.llm import decontamination, line_dedup, packing, toxicity
+from plumbline.llm import packing, toxicity
 from plumbline.llm.encoding import tokenizer_path
 
 from .test_decontamination import brute as overlaps_by_hand
@@ -33,7 +33,7 @@ def folder(spark, tmp_path_factory):
             lines.insert(1, "so " + item + " end")
         docs.append((i, "\n".join(lines), "en", f"src{i % 3}", 0))
         labels.append((i, 1, int(i % 5 == 0 and i % 11 != 2)))
-    docs += [(900, None, None, None, None), (901, "", "en", "src0", 0)]
+    docs += [(900, None, None, None, None), (901, "", "en", "src0", 0), (950, next(d[1] for d in docs if d[0] == 6), "en", "src0", 0)]
     home = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{home}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{home}/labels.parquet")
@@ -65,8 +65,10 @@ def test_each_stage_equals_brute_force(spark, folder):
 
     first = rows(kept["toxicity"])
     second = rows(kept["line_dedup"])
-    by_hand = dedup_by_hand(spark, [(i, t) for i, t in first.items() if t is not None])
-    assert second == {i: by_hand[i][0] if t is not None else None for i, t in first.items()}
+    by_hand = dedup_by_hand([(i, t) for i, t in first.items() if t is not None])
+    emptied = {i for i, (text, n) in by_hand.items() if n and not text.strip()}
+    assert second == {i: by_hand[i][0] if t is not None else None for i, t in first.items() if i not in emptied}
+    assert emptied == {950} and second[901] == "" and second[900] is None
     assert all(r.n_chars == len(r.text) for r in kept["line_dedup"].collect() if r.text != first[r.doc_id])
 
     groups = groups_by_hand(list(second.items()), 5, 80, 100)
@@ -95,4 +97,35 @@ def test_run_is_the_stages_in_turn(spark, folder):
     assert {"doc_id", "start", "length", "ids", "sequence_id", "offset"} <= set(out.columns)
     assert out.count() == out.select("sequence_id").distinct().count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontamination", "packing"]
-    assert line_dedup.CUTTINGS and decontamination.WINDOW
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def put(spark, home, docs, labels, benchmark, schema=FIELDS):
+    spark.createDataFrame(docs, schema).write.parquet(f"{home}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{home}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{home}/benchmark.parquet")
+    return str(home)
+
+
+def ids_of(df):
+    return sorted((r.doc_id for r in df.select("doc_id").distinct().collect()), key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = [(i, f"document {i} speaks of its own number {i} and of nothing else at all", "en", "s", 1) for i in range(6)]
+    assert ids_of(corpus_pipeline.run(spark, put(spark, tmp_path / "a", docs, [], []))) == list(range(6))
+    assert ids_of(corpus_pipeline.run(spark, put(spark, tmp_path / "b", docs, [(i, 1, None) for i in range(6)], [(1, None), (2, "number")]))) == list(range(6))
+    assert corpus_pipeline.run(spark, put(spark, tmp_path / "c", [], [(1, 1, 1), (2, 1, 0)], [(1, "x " * 20)])).count() == 0
+
+
+def test_repeated_rows_and_ids(spark, tmp_path):
+    """No text is lost where rows share an id, and of repeated rows one stays."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = [(1, a), (1, a), (5, a), (5, b), (9, b + " more"), (9, b + " more"), (None, "one of a kind")]
+    home = put(spark, tmp_path / "d", docs, [], [], "doc_id long, text string")  # without n_chars and the rest
+    out = corpus_pipeline.run(spark, home)
+    assert ids_of(out) == [1, 5, None]
+    got = [(r.doc_id, r.doc_tokens) for r in out.where("start = 0").collect()]
+    assert len(got) == 3
