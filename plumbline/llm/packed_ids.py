@@ -141,7 +141,8 @@ def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id"
     n_docs, n_tokens and first (ids in the files before); there is one for each
     partition, whatever the number of documents.
 
-    Null ids come first, repeated ids in order of their text; null text counts
+    Null ids come first, repeated ids in order of the hash of their text, so that
+    one id with very many rows can span files; null text counts
     as empty and gives the end id alone. No rows give no files.
     """
     spark = docs.sparkSession
@@ -168,7 +169,8 @@ def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id"
             store.move(draft, path)
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}.plbits"], "n_docs": [len(writer.docs)], "n_tokens": [writer.ids]})
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     files = [r.asDict() for r in ordered.mapInArrow(run, "part long, path string, n_docs long, n_tokens long").collect()]  # a row for each partition
     first = 0
     for f in sorted(files, key=lambda f: f["part"]):
