@@ -50,7 +50,7 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "batch_id", "batch_row")
 
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_near_vectors, op4_line_dedup, op5_decontamination, op6_ngram_join, op7_toxicity, op8_url_filters, op9_token_ids, op10_packing)}

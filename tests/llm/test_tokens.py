@@ -1,11 +1,13 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import packed_ids, packing, token_counts
+from plumbline.llm import packed_ids, packing, queries, token_counts
 from plumbline.llm.encoding import UnitEncoder, runs, tokenizer_path
 
 ODD = ["", " ", "a", " a", "a ", "a  b", "x\n\ny", "x \ny", "<|endoftext|> b", "a<|endoftext|> <|startoftext|>x", "don't I'll", "日本 語", "a\tb c", "é \u0301x", "A B c", None, "\x1c a", "Σ ΑΣ", "it 's", "12 34", " \n a", "a. b, c.\nD,\ne", "a.. b.,", ". , .\n,", "a\n\n.b", "x\r, y", "İ, i̇."]
@@ -82,7 +84,8 @@ def test_packed_ids_round_trip(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, start long").repartition(3)
     files = packed_ids.write_ids(df)
     got = sorted(packed_ids.read_ids(spark, files, ids=True).collect(), key=lambda r: r.start)
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    marks = dict(df.select("start", F.xxhash64("text")).collect())
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, marks[r[2]]))
     start = 0
     for r, (doc_id, text, _) in zip(got, order, strict=True):
         ids = library_ids("byte_bpe_50k.json", text, 0)
@@ -118,23 +121,44 @@ def test_bits_for():
     assert [packed_ids.bits_for(n) for n in (1, 2, 3, 256, 257, 50_257, 65_536, 65_537)] == [1, 1, 2, 8, 9, 16, 16, 17]
 
 
-def test_packing_covers_each_id_once(spark):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string, start long").repartition(3)
+def by_hand(rows):
+    """(doc_id, start, length, ids, doc_tokens) of each piece, from the library's ids and the digits of their number."""
+    out = Counter()
+    for doc_id, text, _ in rows:
+        data, start = library_ids("word_bpe_49k.json", text, 2).tobytes(), 0
+        n = len(data) // 4
+        digits = [1 << k for k in range(11, -1, -1) if n % 4096 >> k & 1]
+        for length in [4096] * (n // 4096) + digits:
+            out[doc_id, start, length, data[4 * start : 4 * (start + length)], n] += 1
+            start += length
+    return out
+
+
+def test_packing_gives_just_these_pieces(spark):
+    rows = [*ROWS, ROWS[0], ROWS[-1], *((20 + i, "word " * n, 0) for i, n in enumerate((1, 126, 127, 128, 4094, 4095, 4096)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start long").repartition(3)
     got = packing.pack(df).collect()
-    assert len({r.sequence_id for r in got}) == len(got)
-    pieces = {}
-    for r in got:
-        assert r.length == r.bucket <= 4096 and r.length & (r.length - 1) == 0 and r.offset == 0 and len(r.ids) == 4 * r.length
-        pieces.setdefault((r.doc_id, r.doc_tokens), []).append(r)
-    for doc_id, text, _ in ROWS:
-        ids = library_ids("word_bpe_49k.json", text, 2)
-        own = sorted(pieces[doc_id, len(ids)], key=lambda r: r.start)
-        joined = b"".join(r.ids for r in own if own.count(r) == 1)
-        assert ids.tobytes() in joined or joined == ids.tobytes() or len(own) > 1
-        assert sum(r.length for r in own) % len(ids) == 0
+    assert Counter((r.doc_id, r.start, r.length, r.ids, r.doc_tokens) for r in got) == by_hand(rows)
+    assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 and r.bucket == r.length for r in got)
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_batches_hold_one_bucket(spark):
+    df = spark.createDataFrame([(i, "word " * (i % 50), 0) for i in range(300)], "doc_id long, text string, batch_id long").repartition(3)
+    batches = {}
+    for r in packing.pack(df, batch_tokens=64).collect():
+        batches.setdefault(r.batch_id, []).append(r)
+    assert all(len({r.bucket for r in own}) == 1 and sorted(r.batch_row for r in own) == list(range(len(own))) and len(own) <= 64 // own[0].bucket for own in batches.values())
+    full = Counter(own[0].bucket for own in batches.values() if len(own) < 64 // own[0].bucket)
+    assert max(full.values()) <= 3  # one short batch for each task
+
+
+def test_the_packing_query_gives_the_digests(spark, tmp_path):
+    spark.createDataFrame(ROWS, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in queries.op10_packing(spark, str(tmp_path)).collect())
+    assert got == Counter({(d, s, n, zlib.crc32(ids), all_): c for (d, s, n, ids, all_), c in by_hand(ROWS).items()})
+
+
 def test_piece_lengths():
     for n in range(1, 3000):
         own = list(packing.piece_lengths(n, 256))
