@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+#: The file that points into a mine, the block that it should hold, and the markers of the block.
+POINTER = "CLAUDE.md"
+TEMPLATE = "templates/claude-block.md"
+BEGIN, END = "<!-- mine:begin -->", "<!-- mine:end -->"
+
 
 def block_state(text: str | None, template: str | None, begin: str, end: str) -> str:
     """none, ok, stale, many, broken (a marker without its partner), or no-template."""

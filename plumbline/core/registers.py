@@ -18,10 +18,10 @@ INVISIBLE = re.compile("[​‌‍⁠﻿]")
 UNENDED = {"unterminated-frontmatter": "FRONTMATTER", "unterminated-fence": "FENCE", "unterminated-comment": "COMMENT"}
 
 
-def queue_items(scanned: Scan) -> list[tuple[int, str, str, str]]:
+def queue_items(scanned: Scan, title: str = QUEUE) -> list[tuple[int, str, str, str]]:
     """(line, state, ownership, text) of every entry of every Human queue section; ownership is empty without a valid tag."""
     out = []
-    for own in section(scanned, QUEUE):
+    for own in section(scanned, title):
         for e in entries(own, [QUEUE_STATES, OWNERSHIP])[0]:
             if e.words[0][0] == "known":
                 tag = e.words[1][1] if len(e.words) > 1 and e.words[1][0] == "known" else ""
@@ -79,12 +79,36 @@ def spelled(text: str) -> list[str]:
     return found
 
 
+#: An entry, heading or plain line that begins with a slot of which neither template text nor nothing is made.
+WORDED = re.compile(r"^(?:[-*+>|#]|\d+[.)]|\s)*\[([^\[\]{}<>]*[^\s\[\]{}<>][^\[\]{}<>]*)\]")
+
+
+def _ends_of_gates(scanned: Scan) -> dict[int, str]:
+    """Line and code of headings that end a gate section and hold a slot: they were met while the gate was open."""
+    out, level = {}, 0
+    for line in scanned.lines:
+        if not line.level:
+            continue
+        if line.title == GATE:
+            level = line.level
+        elif level and (line.level <= level or line.title in REVIEW_SECTIONS):
+            if line.title not in REVIEW_SECTIONS:
+                if WORDED.match(line.title) and not spelled(line.title):
+                    out[line.number] = "REVIEW-KIND-UNKNOWN"
+                elif spelled(line.title) or re.match(r"^\[[^\[\]]*\]", line.title):
+                    out[line.number] = "GATE-OPEN"
+            level = 0
+    return out
+
+
 def gate_findings(text: str) -> list[tuple[int, str]]:
     """(line, code) of all that keeps a review's gate from passing.
 
     In the gate section any entry blocks, whatever its shape, and so does a
-    bracketed slot that is not template text; outside it a bracketed violation
-    kind does. Comments archive entries if their end is the end of the line.
+    bracketed slot that is not template text; one with a word that is no kind is
+    named as such. The heading that ends the section is still judged by it.
+    Outside, a bracketed violation kind blocks. Comments archive entries if their
+    end is the end of the line.
     """
     scanned = scan(text)
     out = [(n, f"REVIEW-UNTERMINATED-{UNENDED[p]}" if p in UNENDED else "GATE-COMMENT") for n, p in scanned.problems]
@@ -92,18 +116,24 @@ def gate_findings(text: str) -> list[tuple[int, str]]:
     if len(gates) != 1:
         out.append((0, "GATE-MISSING" if not gates else "GATE-DUPLICATE"))
     inside = {x.number for own in gates for x in own}
+    ends = _ends_of_gates(scanned)
     for line in scanned.lines:
         live = line.raw if line.context in ("fence", "frontmatter") else line.live
         bare = live.strip()
         if not bare or line.context == "comment":
             continue
+        if line.number in ends:
+            out.append((line.number, ends[line.number]))
+            continue
         if line.number in inside and line.context in ("text", "fence"):
             shape = re.match(r"^(?:[-*+>|]|\d+[.)]|\*\*|__|\[)", bare)
             if line.level:
                 if spelled(line.title):
                     out.append((line.number, "GATE-OPEN"))
+                elif WORDED.match(line.title):
+                    out.append((line.number, "REVIEW-KIND-UNKNOWN"))
             elif spelled(bare) or (shape and not is_noise(re.sub(r"^(?:[-*+>|]|\d+[.)])+\s*", "", bare)) and not re.fullmatch(r"[|:\-\s]+|```.*|~~~.*", bare) and bare not in ("(none)", "- (none)")):
-                out.append((line.number, "GATE-OPEN"))
+                out.append((line.number, "REVIEW-KIND-UNKNOWN" if WORDED.match(bare) and not spelled(bare) else "GATE-OPEN"))
         elif spelled(live):
             out.append((line.number, "GATE-ZONE"))
     return out
@@ -131,11 +161,11 @@ def coverage_rows(scanned: Scan) -> list[tuple[int, str, str, list[str], bool]]:
     return out
 
 
-def verified_units(scanned: Scan, title: str = "Verified units") -> tuple[list[str], list[str]]:
-    """(ids whose entry ends in the marker, entries that cover nothing); ranges are written t003-t004."""
+def verified_units(scanned: Scan, title: str = "Verified units", siblings: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """(ids whose entry ends in the marker, entries that cover nothing); ranges are written t003-t004. A sibling section ends this one at any depth."""
     ids: list[str] = []
     prose: list[str] = []
-    for own in section(scanned, title, levels=range(1, 3)):
+    for own in section(scanned, title, levels=range(1, 3), siblings=siblings):
         for line in own:
             if line.context != "text" or not line.live.strip() or line.level:
                 continue

@@ -67,6 +67,27 @@ def intake_row_ok(fields: list[str], fit: bool) -> bool:
     return all(ok or f == "-" for ok, f in zip(digests, (fields[1], fields[4])))
 
 
+#: Versions that are judged.
+SUPPORTED = (3,)
+
+
+def negotiate(project: str, config: str) -> tuple[int | None, str, str]:
+    """(version, code, reason) from what the project and the configuration say; no side wins where they differ."""
+    for own in (project, config):
+        if own == "":
+            return None, "VERSION-MISMATCH", "missing"
+        if not re.fullmatch(r"\d+", own, re.ASCII):
+            return None, "VERSION-MISMATCH", "not-integer"
+    if int(project) != int(config):
+        return None, "VERSION-MISMATCH", "disagree"
+    version = int(project)
+    if version > max(SUPPORTED):
+        return None, "VERSION-MISMATCH", "future"
+    if version < min(SUPPORTED):  # each has its own way up
+        return None, "VERSION-BELOW-FLOOR", "upgrade" if version == min(SUPPORTED) - 1 else "bridge"
+    return version, "", ""
+
+
 class Refused(ValueError):
     """A state file or a change to it that its contract does not allow; code names the rule."""
 
@@ -180,3 +201,31 @@ def contract(text: str) -> dict[str, list[str]]:
                 members.pop()
             out[key] = members if all(members) and len(set(members)) == len(members) else []
     return out
+
+
+#: The lists of a schema file that are read, as they are where a mine brings no file. Fixed values of the format.
+CONTRACT = {
+    "verify.sections": ["Verified units", "Adjudications", "Human queue"],
+    "gaps.sections": ["Open", "Accepted"],
+    "gaps.enum.kind": ["declared", "reference", "enumeration", "symmetry"],
+}
+
+
+def read_contract(text: str | None, read: str) -> tuple[dict[str, list[str]], list[tuple[str, str]]]:
+    """(lists, findings as code and key). A list that doesn't hold is empty, so nothing is judged by a shifted role.
+
+    Roles are positions: verify.sections has three, gaps.sections two members, all different.
+    """
+    if text is None and read == "absent":
+        return dict(CONTRACT), []
+    lists = contract(text or "")
+    out, findings = {}, []
+    for key, usual in CONTRACT.items():
+        own = lists.get(key, [])
+        fit = bool(own) if key == "gaps.enum.kind" else len(own) == len(usual)
+        out[key] = own if fit else []
+        if not fit:
+            findings.append(("SCHEMA-VERIFY-SECTIONS" if key == "verify.sections" and text is not None else "SCHEMA-UNREADABLE", key))
+    if not out["gaps.sections"] or not out["gaps.enum.kind"]:
+        out["gaps.sections"] = []
+    return out, findings

@@ -11,6 +11,7 @@ import functools
 import json
 import os
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from .. import functions as R
 from ..core import registers as G
 from ..core import state as S
 from ..core.markdown import section
+from ..core.pointer import BEGIN, END, POINTER, TEMPLATE, block_state
 from ..operators import counts, ids, ledgers, references
 from ..sources.mine import DIAGNOSTIC, Mine, register
 
@@ -35,7 +37,6 @@ ENUMS = {
     ("plan", "audience"): ("internal", "external"),
 }
 DATES = {"material": ("added", "dated", "retrieved_at"), "truth": ("as_of",)}
-VERIFY_SECTIONS = ("Verified units", "Adjudications", "Human queue")
 SEAL_CODES = {"empty": "TRUTH-BODY-EMPTY", "fragment": "TRUTH-BODY-FRAGMENT", "split-block": "SEAL-SPLIT-BLOCK", "mismatch": "SEAL-QUOTE-MISSING", "unavailable": "SEAL-UNCHECKED"}
 
 
@@ -91,7 +92,7 @@ def reference_checks(mine: Mine) -> list[DataFrame]:
     tid = truths.select("id")
     out = [
         _diag(references.unresolved(truths, "source", materials, "id"), "TRUTH-SOURCE-DANGLING", "id", F.col("source")),
-        _diag(references.resolved(truths, "source", materials.where("status = 'retracted'"), "id"), "TRUTH-SOURCE-DANGLING", "id", F.concat(F.col("source"), F.lit(" is retracted"))),
+        _diag(references.resolved(truths, "source", materials.where("status = 'retracted'"), "id"), "SEAL-RETRACTED", "id", F.concat(F.lit(mine.paths["materials"] + "/"), F.col("source"), F.lit("/converted.md"))),
         _diag(references.resolved(truths.where("provenance = 'stated'"), "source", materials.where("origin = 'research'"), "id"), "TRUTH-RESEARCH-STATED", "id"),
         _diag(references.unresolved(truths.select("path", "id", F.explode(F.transform(F.coalesce(F.col("lists")["derived_from"], F.array()), lambda x: F.coalesce(R.canon_id(x), x))).alias("ref")), "ref", tid.withColumnRenamed("id", "t"), "t"), "TRUTH-DERIVED-DANGLING", "id", F.col("ref")),
         _diag(truths.where(F.array_contains(F.coalesce(F.col("lists")["derived_from"], F.array()), F.col("id"))), "TRUTH-SELF", "id"),
@@ -156,10 +157,10 @@ def single_checks(mine: Mine) -> list[DataFrame]:
         listed += [("CAT-ORPHAN", "catalog.md", "material", S.canon_id(r[0])) for r in rows if S.canon_id(r[0])] or [("CAT-ORPHAN", "catalog.md", "material", None)]
     text, read = mine.text(truths_dir, "index.md")
     if text is not None:
-        found = [S.canon_id(x) for x in re.findall(r"(?m)^- (t\d+):", text)]
-        for t in sorted({x for x in found if found.count(x) > 1}):
+        found = Counter(S.canon_id(x) for x in re.findall(r"(?m)^- (t\d+):", text))
+        for t in sorted(x for x, n in found.items() if n > 1):
             bad("INDEX-DUPLICATE", f"{truths_dir}/index.md", t)
-        listed += [("INDEX-OUT-OF-SYNC", f"{truths_dir}/index.md", "truth", t) for t in set(found)] or [("INDEX-OUT-OF-SYNC", f"{truths_dir}/index.md", "truth", None)]
+        listed += [("INDEX-OUT-OF-SYNC", f"{truths_dir}/index.md", "truth", t) for t in found] or [("INDEX-OUT-OF-SYNC", f"{truths_dir}/index.md", "truth", None)]
     elif read == "unreadable":
         bad("INDEX-UNREADABLE", f"{truths_dir}/index.md")
     scanned, read = register(mine, truths_dir, "coverage.md")
@@ -178,13 +179,14 @@ def single_checks(mine: Mine) -> list[DataFrame]:
     scanned, read = register(mine, truths_dir, "verify.md")
     if scanned is not None:
         path = f"{truths_dir}/verify.md"
-        for name in VERIFY_SECTIONS:
+        roles = mine.roster("verify.sections")
+        for name in roles:
             if not section(scanned, name):
                 bad("VERIFY-SECTION", path, name)
         for number, what in scanned.problems:
             if what in G.UNENDED:
                 bad(f"HQ-UNTERMINATED-{G.UNENDED[what]}", path, number)
-        for number, st, owner, _ in G.queue_items(scanned):
+        for number, st, owner, _ in G.queue_items(scanned, roles[2]) if roles else ():
             if st == "open" and not owner:
                 bad("HQ-UNTAGGED", path, number)
     elif read == "unreadable":
@@ -208,6 +210,14 @@ def single_checks(mine: Mine) -> list[DataFrame]:
             counters = found
     for code, detail, severity in config_findings(mine.config):
         bad(code, "config.yaml", "", detail, severity)
+    for code, key in mine.contract[1]:
+        bad(code, "schema", "", key)
+    block = block_state(mine.text(POINTER)[0], mine.text(TEMPLATE)[0], BEGIN, END)
+    if block not in ("none", "ok"):  # a stale pointer is no fault of the mine
+        bad("CLAUDE-BLOCK-NOTEMPLATE" if block == "no-template" else "CLAUDE-BLOCK-STALE", POINTER, "", block, "warning")
+    for name in sorted(os.listdir(mine.place(truths_dir))):
+        if re.fullmatch(r"t\d+\.md", name) and os.path.isdir(mine.place(truths_dir, name)):
+            bad("TRUTH-DIR", f"{truths_dir}/{name}", name.removesuffix(".md"))
     documents = mine.place(mine.paths["documents"])
     finals = False
     for doc in sorted(os.listdir(documents)):
@@ -215,15 +225,17 @@ def single_checks(mine: Mine) -> list[DataFrame]:
         finals |= "final" in own or "final.md" in own
         if left := [x for x in own if x.startswith((".consecrate-in-flight", ".consecrate-backup"))]:
             bad("CONSEC-INTERRUPTED", f"{mine.paths['documents']}/{doc}", doc, left[0])
-    if _completeness(mine) == "required" and finals:
+    for doc, read in unread_reviews(mine).items():
+        bad("REVIEW-UNREADABLE", f"{mine.paths['documents']}/{doc}/review.md", doc, read)
+    if _completeness(mine) == "required" and finals and mine.roster("gaps.sections"):
         scanned, read = register(mine, "gaps.md")
         if scanned is None:
             bad("COMP-NO-REGISTER", "gaps.md", read)
         else:
-            for number, name, kind, detail in G.gap_register(scanned):
+            for number, name, kind, detail in _gap_register(mine, scanned):
                 if kind == "malformed":
                     bad("COMP-MALFORMED", "gaps.md", number, detail)
-                elif name == G.OPEN_GAPS:
+                elif name == mine.roster("gaps.sections")[0]:
                     bad("COMP-OPEN-GAPS", "gaps.md", number, kind)
 
     units = mine.cards.where(F.col("family").isin("truth", "material")).select(F.col("family").alias("f"), R.canon_id(F.col("unit")).alias("u"))
@@ -292,6 +304,22 @@ def config_findings(config: dict) -> list[tuple[str, str, str]]:
     return out
 
 
+def unread_reviews(mine: Mine) -> dict[str, str]:
+    """Documents whose review is there but can't be read; it is unknown, not absent."""
+    out = {}
+    for doc in sorted(os.listdir(mine.place(mine.paths["documents"]))):
+        place = mine.place(mine.paths["documents"], doc, "review.md")
+        if os.path.lexists(place) and not (os.path.isfile(place) and os.access(place, os.R_OK)):
+            out[doc] = "a folder" if os.path.isdir(place) else "unreadable"
+    return out
+
+
+def _gap_register(mine: Mine, scanned) -> list:
+    """The gap register by the mine's own sections and kinds; nothing where these don't hold."""
+    names = mine.roster("gaps.sections")
+    return G.gap_register(scanned, tuple(mine.roster("gaps.enum.kind")), tuple(names)) if names else []
+
+
 def _completeness(mine: Mine) -> str:
     own = mine.config.get("fidelity", {})
     return own.get("completeness", "off") if isinstance(own, dict) else "off"
@@ -342,16 +370,15 @@ def document_checks(mine: Mine) -> list[DataFrame]:
     code = (
         F.when(legacy & (n > 0), "GATE-SEAL-MARKER")
         .when(legacy, None)
-        .when(n == 0, "GATE-UNSEALED")
-        .when((n < 3) | ~kind.isin("draft", "final"), "GATE-SEAL-PARTIAL")
+        .when((n < 3) | ~kind.isin("draft", "final"), "GATE-UNSEALED")
         .when(f["reviewed_digest"] != F.col("now"), "GATE-FINAL-DIGEST")
         .when(~f["review_context_digest"].eqNullSafe(F.col("context_digest")), "GATE-CONTEXT-DIGEST")
     )
     return [
-        _diag(references.unresolved(finals, "doc", reviews, "doc"), "GATE-NO-REVIEW", "doc"),
+        _diag(references.unresolved(finals, "doc", reviews, "doc").where(~F.col("doc").isin(*unread_reviews(mine))), "GATE-NO-REVIEW", "doc"),
         _diag(finals.where("kinds > 1"), "GATE-DUAL-FINAL", "doc"),
         _diag(found, F.col("code"), "doc", F.concat(F.lit("line "), F.col("number").cast("string"))),
-        _diag(seal.withColumn("code", code).where("code IS NOT NULL"), F.col("code"), "doc"),
+        _diag(seal.withColumn("code", code).where("code IS NOT NULL"), F.col("code"), "doc", F.when(F.col("code") != "GATE-UNSEALED", "").when(n == 0, "no seal").when(n < 3, "part of a seal").otherwise(F.concat(F.lit("of an unknown kind: "), kind))),
     ]
 
 
@@ -429,7 +456,8 @@ def scope(mine: Mine) -> DataFrame:
     units = mine.truths.select(F.lit("truth").alias("family"), "id", "digest").unionByName(mine.materials.select(F.lit("material").alias("family"), "id", F.col("copy_digest").alias("digest")))
     judged = ledgers.scope(units, "id", "digest", rows, "id", ["row_ord"], "word", "digest").select("family", "id", "evidence")
     scanned, _ = register(mine, mine.paths["truths"], "verify.md")
-    listed = G.verified_units(scanned)[0] if scanned is not None else []
+    roles = mine.roster("verify.sections")
+    listed = G.verified_units(scanned, roles[0], tuple(roles[1:]))[0] if scanned is not None and roles else []
     spans = [(x[0], int(lo), int(hi or lo)) for x in listed for lo, hi in [(x.split("-")[0][1:], x.split("-")[1][1:] if "-" in x else "")] if len(lo) <= 15 and len(hi) <= 15]
     if not spans:
         return judged
@@ -495,9 +523,12 @@ def gaps(mine: Mine, markers: str | None = None) -> dict[str, int]:
     lines = mine.cards.where(F.col("family").isin("material", "truth")).select(F.explode(R.eol_lines(F.col("body"))).alias("line"))
     got = counts.tallies(lines, markers=F.regexp_like("line", F.lit(pattern)), unchecked=F.regexp_like("line", F.lit(r"^[ \t]*[-*] \[ \]"))).first()
     scanned, _ = register(mine, "gaps.md")
-    found = G.gap_register(scanned) if scanned is not None else []
-    accepted = [x for x in found if x[1] == G.ACCEPTED_GAPS]
-    return {"markers": got.markers, "unchecked": got.unchecked, "accepted": sum(x[2] != "malformed" for x in accepted), "malformed": sum(x[2] == "malformed" for x in accepted), "open": sum(x[1] == G.OPEN_GAPS and x[2] != "malformed" for x in found)}
+    names = mine.roster("gaps.sections")
+    if not names:  # no tally by sections whose roles are unknown
+        return {"markers": got.markers, "unchecked": got.unchecked, "accepted": None, "malformed": None, "open": None}
+    found = _gap_register(mine, scanned) if scanned is not None else []
+    accepted = [x for x in found if x[1] == names[1]]
+    return {"markers": got.markers, "unchecked": got.unchecked, "accepted": sum(x[2] != "malformed" for x in accepted), "malformed": sum(x[2] == "malformed" for x in accepted), "open": sum(x[1] == names[0] and x[2] != "malformed" for x in found)}
 
 
 def status_open(mine: Mine) -> list[tuple[str, str]]:
@@ -514,13 +545,17 @@ def status_open(mine: Mine) -> list[tuple[str, str]]:
     elif read == "unreadable":
         out.append(("question", "unknown (unreadable)"))
     scanned, _ = register(mine, mine.paths["truths"], "verify.md")
-    if scanned is not None:
-        out += [("human-queue", f"[{o or 'untagged'}] {t}") for _, s, o, t in G.queue_items(scanned) if s == "open"]
+    if scanned is not None and (roles := mine.roster("verify.sections")):
+        out += [("human-queue", f"[{o or 'untagged'}] {t}") for _, s, o, t in G.queue_items(scanned, roles[2]) if s == "open"]
+    out += [("violation", f"{doc}: unknown (the review is {read})") for doc, read in unread_reviews(mine).items()]
     for r in mine.family("review").select("unit", "body").orderBy("unit").toLocalIterator():
-        out += [("violation", f"{r.unit}: line {n}") for n, code in G.gate_findings(r.body) if code in ("GATE-OPEN", "GATE-ZONE")]
+        out += [("violation", f"{r.unit}: line {n}") for n, code in G.gate_findings(r.body) if code in ("GATE-OPEN", "GATE-ZONE", "REVIEW-KIND-UNKNOWN")]
     scanned, _ = register(mine, "gaps.md")
-    if scanned is not None:
-        out += [("gap", f"[{k}] {t}") for _, name, k, t in G.gap_register(scanned) if name == G.OPEN_GAPS]
+    names = mine.roster("gaps.sections")
+    if not names:
+        out.append(("gap", "unknown (the schema's sections don't hold)"))
+    elif scanned is not None:
+        out += [("gap", f"[{k}] {t}") for _, name, k, t in _gap_register(mine, scanned) if name == names[0]]
     return out
 
 
@@ -528,7 +563,8 @@ def status(mine: Mine) -> dict:
     """Documents by stage, materials, the queue by ownership, the completeness setting."""
     stage = mine.plans.select("doc", F.coalesce(F.col("fields")["status"], F.lit("")).alias("stage")).orderBy("doc").collect()
     scanned, _ = register(mine, mine.paths["truths"], "verify.md")
-    items = [x for x in G.queue_items(scanned) if x[1] == "open"] if scanned is not None else []
+    roles = mine.roster("verify.sections")
+    items = [x for x in G.queue_items(scanned, roles[2]) if x[1] == "open"] if scanned is not None and roles else []
     return {"documents": {r.doc: r.stage for r in stage}, "materials": mine.family("material").count(), "queue": {o: sum(x[2] == o for x in items) for o in (*G.OWNERSHIP, "")}, "completeness": _completeness(mine)}
 
 

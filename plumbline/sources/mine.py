@@ -7,6 +7,7 @@ and empty are told apart: every table of one file has a state beside it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -86,6 +87,14 @@ class Mine:
         except OSError:
             return None, "unreadable"
 
+    @functools.cached_property
+    def contract(self) -> tuple[dict[str, list[str]], list[tuple[str, str]]]:
+        """The lists of the mine's schema file, and what is wrong with it."""
+        return state.read_contract(*self.text("schema"))
+
+    def roster(self, key: str) -> list[str]:
+        return self.contract[0][key]
+
     def family(self, name: str) -> DataFrame:
         return self.cards.where(F.col("family") == name)
 
@@ -166,11 +175,12 @@ def open_mine(spark: SparkSession, root: str, version: int = SCHEMA_VERSION) ->
     if project is None:
         raise MineError("PROJ-" + read.upper(), "project.md")
     mine.project = C.read_card(project)
-    versions = {str(mine.config.get("version", "")), mine.project.fields.get("version", "")}
-    if len(versions) > 1:
-        raise MineError("VERSION-MISMATCH", " and ".join(sorted(versions)))
-    if versions != {str(version)}:
-        raise MineError("VER-V2-UPGRADE", f"version {versions.pop()}; only {version} is judged")
+    says, configured = mine.project.fields.get("version", ""), str(mine.config.get("version", ""))
+    if {says, configured} != {str(version)}:  # an upgrade opens an earlier version
+        _, code, reason = state.negotiate(says, configured)
+        if code == "VERSION-BELOW-FLOOR":
+            raise MineError(*(("VER-V2-UPGRADE", f"version {says}: upgrade it; only {version} is judged") if reason == "upgrade" else ("VER-V1-BRIDGE", f"version {says}: an earlier release must bring it to version 2 before it can be upgraded")))
+        raise MineError(code or "VERSION-MISMATCH", f"{reason or 'other'}: project {says or 'none'}, configuration {configured or 'none'}")
     own = mine.config.get("paths", {})
     mine.paths = {k: os.path.normpath(own.get(k, v)) for k, v in PATHS.items()} if isinstance(own, dict) else dict(PATHS)
     for name, folder in mine.paths.items():

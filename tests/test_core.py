@@ -106,6 +106,26 @@ def test_gate_passes_prose(text):
     assert G.gate_findings(f"## Fidelity violations\n\n- [{{kind}}] {{what}}\n\n## Findings\n\n{text}\n") == []
 
 
+@pytest.mark.parametrize(("line", "codes"), [("## [typo] open", ["REVIEW-KIND-UNKNOWN"]), ("# [typo] open", ["REVIEW-KIND-UNKNOWN"]), ("--> [typo] open", ["REVIEW-KIND-UNKNOWN"]), ("- [typo] open", ["REVIEW-KIND-UNKNOWN"]), ("# Part [contradiction] open", ["GATE-OPEN"]), ("# [{kind}] {what}", ["GATE-OPEN"]), ("- [Contradiction] open", ["GATE-OPEN"]), ("- [ ] open", ["GATE-OPEN"]), ("- [{kind}] {what}", [])])
+def test_gate_names_unknown_kinds(line, codes):
+    assert [c for _, c in G.gate_findings(f"# Fidelity violations\n\n{line}\n\n# Findings\n\n[note] x\n")] == codes
+
+
+def test_versions():
+    wanted = {("", "3"): "missing", ("3", ""): "missing", ("x", "3"): "not-integer", ("3.0", "3.0"): "not-integer", ("2", "3"): "disagree", ("3", "2"): "disagree", ("99", "99"): "future"}
+    assert {k: S.negotiate(*k) for k in wanted} == {k: (None, "VERSION-MISMATCH", v) for k, v in wanted.items()}
+    assert [S.negotiate(v, v) for v in ("3", "2", "1", "0")] == [(3, "", ""), (None, "VERSION-BELOW-FLOOR", "upgrade"), (None, "VERSION-BELOW-FLOOR", "bridge"), (None, "VERSION-BELOW-FLOOR", "bridge")]
+
+
+def test_schema_lists():
+    whole = "verify.sections: A|B|C\ngaps.sections: O|P\ngaps.enum.kind: k\n"
+    assert S.read_contract(None, "absent") == (S.CONTRACT, []) and S.read_contract(whole, "ok") == ({"verify.sections": ["A", "B", "C"], "gaps.sections": ["O", "P"], "gaps.enum.kind": ["k"]}, [])
+    for old, new, code in (("A|B|C", "|B|C", "SCHEMA-VERIFY-SECTIONS"), ("A|B|C", "A|B", "SCHEMA-VERIFY-SECTIONS"), ("O|P", "O|O", "SCHEMA-UNREADABLE"), ("O|P", "|P", "SCHEMA-UNREADABLE"), ("O|P", "O|P|Q", "SCHEMA-UNREADABLE"), ("gaps.enum.kind: k\n", "", "SCHEMA-UNREADABLE")):
+        lists, found = S.read_contract(whole.replace(old, new), "ok")
+        assert [c for c, _ in found] == [code] and (lists["verify.sections"] == []) == (code == "SCHEMA-VERIFY-SECTIONS") and (lists["gaps.sections"] == []) == (code == "SCHEMA-UNREADABLE")
+    assert {c for c, _ in S.read_contract(None, "unreadable")[1]} == {"SCHEMA-UNREADABLE"}
+
+
 def test_ids_and_days():
     assert [S.canon_id(x) for x in ("t1", "t001", "t0001", "m12", "c1000", "t" + "9" * 30, "x1", "t", "t-1")] == ["t001", "t001", "t001", "m012", "c1000", "t" + "9" * 30, None, None, None]
     assert [S.is_day(x) for x in ("2024-02-29", "2023-02-29", "2026-7-3", "", "٢٠٢٤-01-01")] == [True, False, False, False, False]

@@ -97,6 +97,12 @@ BREAKS = {
     "GATE-DUAL-FINAL": lambda r: put(r, "documents/d1/final/one.md", "x"),
     "REVIEW-UNTERMINATED-FENCE": lambda r: edit(r, "documents/d1/review.md", "Fine.", "```\nFine."),
     "REVIEW-UNTERMINATED-COMMENT": lambda r: edit(r, "documents/d1/review.md", "Fine.", "<!-- Fine."),
+    "REVIEW-KIND-UNKNOWN": lambda r: edit(r, "documents/d1/review.md", "- [{kind}] {what}", "- [{kind}] {what}\n### [typo] still open"),
+    "REVIEW-UNREADABLE": lambda r: (os.unlink(os.path.join(r, "documents/d1/review.md")), os.makedirs(os.path.join(r, "documents/d1/review.md"))),
+    "SEAL-RETRACTED": lambda r: edit(r, "materials/m001/converted.md", "status: used", "status: retracted"),
+    "TRUTH-DIR": lambda r: os.makedirs(os.path.join(r, "truths/t009.md")),
+    "SCHEMA-UNREADABLE": lambda r: put(r, "schema", "verify.sections: Verified units|Adjudications|Human queue\ngaps.sections: Open|Open\ngaps.enum.kind: declared|reference\n"),
+    "SCHEMA-VERIFY-SECTIONS": lambda r: put(r, "schema", "verify.sections: |Human queue|Adjudications\ngaps.sections: Open|Accepted\ngaps.enum.kind: declared\n"),
     "CONSEC-INTERRUPTED": lambda r: put(r, "documents/d1/.consecrate-in-flight", "d1"),
     "COMP-NO-REGISTER": lambda r: edit(r, "config.yaml", "completeness: off", "completeness: required"),
     "COMP-OPEN-GAPS": lambda r: (edit(r, "config.yaml", "completeness: off", "completeness: required"), put(r, "gaps.md", "## Open\n\n- [declared] no deposit\n\n## Accepted\n")),
@@ -109,9 +115,10 @@ ROUNDS = [
     "TRUTH-SOURCE-DANGLING DATE-INVALID PLAN-LABELS MAT-NO-CONVERTED CAT-MISSING INDEX-DUPLICATE COVERAGE-DANGLING VERIFY-SECTION STATE-MISSING GATE-OPEN LEDGER-MALFORMED REQTAG-EMPTY COMP-NO-REGISTER CONSEC-INTERRUPTED",
     "SEAL-QUOTE-MISSING MAT-RESEARCH PLAN-CITED-DANGLING CAT-ORPHAN INDEX-OUT-OF-SYNC COVERAGE-MALFORMED HQ-UNTAGGED STATE-MALFORMED GATE-ZONE LEDGER-VERDICT COMP-OPEN-GAPS",
     "SEAL-SPLIT-BLOCK MAT-ROLE IDSEQ-BEHIND GATE-MISSING MAT-INTAKE-LEDGER COMP-MALFORMED",
-    "TRUTH-BODY-FRAGMENT GATE-DUPLICATE GATE-DUAL-FINAL",
-    "TRUTH-BODY-EMPTY GATE-NO-REVIEW",
-    "FM-UNCLOSED GATE-UNSEALED",
+    "TRUTH-BODY-FRAGMENT GATE-DUPLICATE GATE-DUAL-FINAL SEAL-RETRACTED",
+    "TRUTH-BODY-EMPTY GATE-NO-REVIEW TRUTH-DIR SCHEMA-UNREADABLE",
+    "FM-UNCLOSED GATE-UNSEALED REVIEW-KIND-UNKNOWN SCHEMA-VERIFY-SECTIONS",
+    "REVIEW-UNREADABLE",
     "FM-MISSING GATE-SEAL-MARKER",
     "FM-DUPLICATE-KEY FIELD-REQUIRED ENUM-UNKNOWN ID-MISMATCH TRUTH-V2-FIELD REVIEW-UNTERMINATED-FENCE",
     "FM-LIST-UNCLOSED TRUTH-DERIVED-FROM REVIEW-UNTERMINATED-COMMENT",
@@ -144,6 +151,16 @@ def test_other_versions_get_one_answer(spark, root):
         edit(root, name, "version: 3", "version: 2")
     with pytest.raises(MineError, match="VER-V2-UPGRADE"):
         open_mine(spark, root)
+    for name in ("project.md", "config.yaml"):
+        edit(root, name, "version: 2", "version: 1")
+    with pytest.raises(MineError, match="VER-V1-BRIDGE"):
+        open_mine(spark, root)
+    for name in ("project.md", "config.yaml"):
+        edit(root, name, "version: 1", "version: 9")
+    with pytest.raises(MineError, match="VERSION-MISMATCH.*future"):
+        open_mine(spark, root)
+    for name in ("project.md", "config.yaml"):
+        edit(root, name, "version: 9", "version: 2")
     edit(root, "config.yaml", "version: 2", "version: 3")
     with pytest.raises(MineError, match="VERSION-MISMATCH"):
         open_mine(spark, root)
@@ -302,3 +319,36 @@ def test_review_template_is_clean():
     from plumbline.core.registers import gate_findings
 
     assert gate_findings(REVIEW.format("")) == []
+
+
+def test_a_folder_as_review_is_unknown_not_absent(spark, root):
+    BREAKS["REVIEW-UNREADABLE"](root)
+    found = codes(spark, root)
+    assert "GATE-NO-REVIEW" not in found and "REVIEW-UNREADABLE" in found
+    assert ("violation", "d1: unknown (the review is a folder)") in commands.status_open(open_mine(spark, root))
+
+
+def test_roles_of_sections_never_shift(spark, root):
+    edit(root, "truths/verify.md", "## Human queue\n", "## Human queue\n\n- [open] [user-only] is t001 verified\n")
+    BREAKS["SCHEMA-VERIFY-SECTIONS"](root)
+    assert commands.scope_counts(open_mine(spark, root))["truth", "unverified"] == 1
+    put(root, "schema", "verify.sections: Verified units|Adjudications|Human queue\ngaps.sections: |Accepted\ngaps.enum.kind: declared\n")
+    put(root, "gaps.md", "## Accepted\n\n- [declared] must not become open\n")
+    mine = open_mine(spark, root)
+    assert commands.gaps(mine)["accepted"] is None and ("gap", "unknown (the schema's sections don't hold)") in commands.status_open(mine)
+    put(root, "schema", "verify.sections: Verified units|Adjudications|Human queue\ngaps.sections: Pending|Waived\ngaps.enum.kind: own\n")
+    put(root, "gaps.md", "## Pending\n\n- [own] a gap\n\n## Waived\n\n- [own] another\n")
+    got = commands.gaps(open_mine(spark, root))
+    assert (got["open"], got["accepted"], got["malformed"]) == (1, 1, 0) and "SCHEMA-UNREADABLE" not in codes(spark, root)
+
+
+def test_pointer_block_warns_and_never_blocks(spark, root):
+    block = "<!-- mine:begin -->\nread this first\n<!-- mine:end -->\n"
+    put(root, "templates/claude-block.md", block)
+    warned = lambda: [w["code"] for w in verdict(spark, root)["warnings"]]
+    for text, codes_ in ((block.replace("\n", "\r\n") + "\r\nour own words\r\n", []), (block.replace("first", "last"), ["CLAUDE-BLOCK-STALE"]), (block + block, ["CLAUDE-BLOCK-STALE"]), ("<!-- mine:begin -->\n", ["CLAUDE-BLOCK-STALE"]), ("no block", [])):
+        put(root, "CLAUDE.md", text)
+        assert warned() == codes_ and codes(spark, root) == []
+    put(root, "CLAUDE.md", block)
+    os.unlink(os.path.join(root, "templates/claude-block.md"))
+    assert warned() == ["CLAUDE-BLOCK-NOTEMPLATE"]
