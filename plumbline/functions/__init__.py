@@ -48,6 +48,21 @@ def is_placeholder(value: Column) -> Column:
     return F.coalesce(F.regexp_like(value, F.lit(r"^\{[^{}]*\}$")), F.lit(False))
 
 
+def field_problem(value: Column) -> Column:
+    """What is wrong with a required field: missing, empty or placeholder; null if nothing is."""
+    return F.when(value.isNull(), "missing").when(F.trim(value) == "", "empty").when(is_placeholder(value), "placeholder")
+
+
+def has_field(fields: Column, names: list[str]) -> Column:
+    """Whether a map of fields has one of these names."""
+    return F.coalesce(F.arrays_overlap(F.map_keys(fields), F.array(*map(F.lit, names))), F.lit(False))
+
+
+def diagnostic_json(code: Column, message: Column) -> Column:
+    """A diagnostic as one JSON object."""
+    return F.to_json(F.struct(code.alias("code"), message.alias("message")))
+
+
 def slot_state(text: Column, known: list[str]) -> Column:
     """State of the bracketed slot that opens a text: missing, unclosed, blank, placeholder, known or unknown."""
     inner = F.regexp_extract(text, r"^\[([^\]]*)\]", 1)

@@ -31,6 +31,11 @@ def counters_behind(observed: DataFrame, namespace: str, number: str, counters:
     return counters.join(top, namespace).where(F.col("observed") >= F.col(next_)).select(namespace, "observed", next_)
 
 
+def next_numbers(observed: DataFrame, namespace: str, number: str) -> DataFrame:
+    """namespace, granted: the number that each namespace grants next, one above all that were ever seen."""
+    return observed.groupBy(namespace).agg((F.max(number) + 1).alias("granted"))
+
+
 def retag(rows: DataFrame, tags: str, old: str, new: str) -> DataFrame:
     """Rows with one tag renamed to another; where both were, they merge in the place of the first."""
     return rows.withColumn(tags, F.array_distinct(F.transform(tags, lambda t: F.when(t == old, F.lit(new)).otherwise(t))))
@@ -46,12 +51,13 @@ def groups(edges: DataFrame, a: str, b: str, shared: str, most_rounds: int = 50)
 
     Alternating stars: neighbours move to their least neighbour, first the larger
     ones, then the smaller. Each round is written to a new folder under
-    ``shared``, which all executors see, so no round is computed twice.
+    ``shared``, which all executors see, so no round is computed twice; it ends
+    when a round gives the edges that it was given.
     """
     spark, home = edges.sparkSession, f"{shared}/groups-{uuid.uuid4().hex}"
     now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), f"{home}/edges-0")
     nodes = stored(now.select(F.col("u").alias("node")).union(now.select("v")).distinct(), f"{home}/nodes")
-    before = None
+    size = None
     for turn in range(1, most_rounds + 1):
         # joins read written tables on both sides, so that a node with very many edges can be split among tasks
         both = now.union(now.select("v", "u"))
@@ -60,12 +66,13 @@ def groups(edges: DataFrame, a: str, b: str, shared: str, most_rounds: int = 50)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         lower = stored(down.groupBy("u").agg(F.min("v").alias("m")), f"{home}/lower-{turn}")
         now = stored(down.join(lower, "u").select("v", "m").union(lower.select("u", "m")).where("v <> m").toDF("u", "v").distinct(), f"{home}/edges-{turn}")
+        after = now.count()
+        settled = after == size and spark.read.parquet(f"{home}/edges-{turn - 1}").join(now, ["u", "v"], "left_anti").isEmpty()  # edges are distinct
         for name in (f"edges-{turn - 1}", f"least-{turn}", f"large-{turn}", f"lower-{turn}"):
             dropped(spark, f"{home}/{name}")
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if after == before:
+        if settled:
             return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        before = after
+        size = after
     raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
 
 

@@ -21,7 +21,8 @@ from ..core import registers as G
 from ..core import state as S
 from ..core.markdown import section
 from ..core.pointer import BEGIN, END, POINTER, TEMPLATE, block_state
-from ..operators import counts, ids, ledgers, references
+from ..operators import counts, ids, ledgers, lookup, references
+from ..operators import registers as tables
 from ..sources.mine import DIAGNOSTIC, Mine, register
 
 TRUTH_KEYS = ("id", "claim", "source", "tags")
@@ -45,7 +46,7 @@ def _diag(df: DataFrame, code, subject, detail="", path="path", severity: str =
     return df.select(as_col(code).alias("code"), F.col(path).alias("path"), F.col(subject).cast("string").alias("subject"), as_col(detail).cast("string").alias("detail"), F.lit(severity).alias("severity"))
 
 
-# --- card checks -------------------------------------------------------------
+# card checks
 
 
 def card_checks(mine: Mine) -> DataFrame:
@@ -63,7 +64,7 @@ def card_checks(mine: Mine) -> DataFrame:
         F.when(F.col("state") == "unclosed", finding("FM-UNCLOSED")),
         F.when(ok & own.isNotNull() & (own != unit), finding("ID-MISMATCH", own)),
         F.when((family != "plan") & (R.canon_id(unit) != unit), finding("ID-SPELLING", R.canon_id(unit))),
-        F.when(is_("truth") & F.arrays_overlap(F.map_keys(f), F.array(*map(F.lit, V2_KEYS))), finding("TRUTH-V2-FIELD")),
+        F.when(is_("truth") & R.has_field(f, list(V2_KEYS)), finding("TRUTH-V2-FIELD")),
         F.when(is_("truth") & (f["provenance"] == "derived") & few("derived_from"), finding("TRUTH-DERIVED-FROM")),
         F.when(is_("plan") & (f["audience"] == "external") & few("publication_labels"), finding("PLAN-LABELS")),
         F.when(is_("material") & (f["origin"] == "research") & (no("url") | no("retrieved_at")), finding("MAT-RESEARCH")),
@@ -73,7 +74,7 @@ def card_checks(mine: Mine) -> DataFrame:
     single += [F.when(is_(kind) & f[key].isNotNull() & ~R.date_valid(f[key]), finding("DATE-INVALID", f[key])) for kind, keys in DATES.items() for key in keys]
     for kind, keys in (("truth", TRUTH_KEYS), ("material", MATERIAL_KEYS), ("plan", PLAN_KEYS)):
         for key in keys:
-            problem = F.when(f[key].isNull(), "missing").when(F.trim(f[key]) == "", "empty").when(R.is_placeholder(f[key]) & lists[key].isNull(), "placeholder")
+            problem = F.when(lists[key].isNull() | (F.trim(f[key]) == ""), R.field_problem(f[key]))  # a list is no placeholder
             single.append(F.when(is_(kind) & problem.isNotNull(), finding("FIELD-REQUIRED", F.concat(F.lit(f"{key}: "), problem))))
     every = F.concat(F.array(*single), F.transform("duplicates", lambda k: finding("FM-DUPLICATE-KEY", k)), F.transform("open_lists", lambda k: finding("FM-LIST-UNCLOSED", k)))
     found = mine.cards.where(family.isin("truth", "material", "plan")).select("path", "unit", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("d"))
@@ -134,7 +135,7 @@ def ledger_checks(mine: Mine) -> list[DataFrame]:
     return out
 
 
-# --- files of which there is one ---------------------------------------------
+# files of which there is one
 
 
 def single_checks(mine: Mine) -> list[DataFrame]:
@@ -325,7 +326,7 @@ def _completeness(mine: Mine) -> str:
     return own.get("completeness", "off") if isinstance(own, dict) else "off"
 
 
-# --- documents ---------------------------------------------------------------
+# documents
 
 
 def artifact_digests(mine: Mine, family: str) -> DataFrame:
@@ -353,15 +354,7 @@ def document_checks(mine: Mine) -> list[DataFrame]:
     finals = artifact_digests(mine, "final").withColumn("path", F.concat(F.lit(mine.paths["documents"] + "/"), "doc"))
     reviews = mine.family("review").select("path", F.col("unit").alias("doc"), "fields", "body")
     shipped = references.resolved(reviews, "doc", finals, "doc")
-    import pyarrow as pa
-
-    def gate(batches):
-        for batch in batches:
-            rows = [(doc, path, code, number) for doc, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))) for number, code in G.gate_findings(text or "")]
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string(), pa.string(), pa.string(), pa.int64()])], names=["doc", "path", "code", "number"])
-
-    found = shipped.select("doc", "path", "body").mapInArrow(gate, "doc string, path string, code string, number long")
+    found = tables.gate(shipped, "path", "body").withColumn("doc", F.element_at(F.split("path", "/"), -2))
     f = F.col("fields")
     legacy, kind = F.coalesce(f["review_legacy"], F.lit("")) != "", f["reviewed_kind"]
     bound = F.array(kind, f["reviewed_digest"], f["review_context_digest"])
@@ -377,12 +370,12 @@ def document_checks(mine: Mine) -> list[DataFrame]:
     return [
         _diag(references.unresolved(finals, "doc", reviews, "doc").where(~F.col("doc").isin(*unread_reviews(mine))), "GATE-NO-REVIEW", "doc"),
         _diag(finals.where("kinds > 1"), "GATE-DUAL-FINAL", "doc"),
-        _diag(found, F.col("code"), "doc", F.concat(F.lit("line "), F.col("number").cast("string"))),
+        _diag(found, F.col("code"), "doc", F.concat(F.lit("line "), F.col("line").cast("string"))),
         _diag(seal.withColumn("code", code).where("code IS NOT NULL"), F.col("code"), "doc", F.when(F.col("code") != "GATE-UNSEALED", "").when(n == 0, "no seal").when(n < 3, "part of a seal").otherwise(F.concat(F.lit("of an unknown kind: "), kind))),
     ]
 
 
-# --- commands ----------------------------------------------------------------
+# commands
 
 
 def diagnostics(mine: Mine) -> DataFrame:
@@ -493,10 +486,7 @@ def labels(mine: Mine) -> DataFrame:
 def pull(mine: Mine, term: str) -> DataFrame:
     """Cards whose claim or tags hold the term; bodies are searched only if none does. Labels are not searched."""
     cards, needle = labels(mine), F.lit(term)
-    first = cards.where(F.contains("claim", needle) | F.array_contains("tags", needle))
-    any_ = first.limit(1).select(F.lit(1).alias("__one"))
-    body = cards.where(F.contains("body", needle)).withColumn("__one", F.lit(1)).join(any_, "__one", "left_anti").drop("__one")
-    return first.unionByName(body).orderBy("id")
+    return lookup.pull(cards, F.contains("claim", needle) | F.array_contains("tags", needle), F.contains("body", needle)).drop("lane").orderBy("id")
 
 
 def impact(mine: Mine, material: str) -> dict[str, list[str]]:
@@ -505,13 +495,13 @@ def impact(mine: Mine, material: str) -> dict[str, list[str]]:
     truths = mine.truths.where(F.col("source") == own).select("id")
     title = (mine.materials.where(F.col("id") == own).select("title").first() or [None])[0]
     files = mine.cards.where(F.col("family").isin("plan", "draft", "final"))
-    cited = mine.plans.select("doc", F.explode("cited").alias("raw")).select("doc", R.canon_id(F.col("raw")).alias("id")).join(truths, "id", "left_semi")
+    cited = mine.plans.select("doc", F.explode("cited").alias("raw")).select("doc", R.canon_id(F.col("raw")).alias("id"))
     listed = lambda df, c: [r[0] for r in df.select(c).distinct().orderBy(c).collect()]
     return {
         "truths": listed(truths, "id"),
         "by_id": listed(files.where(F.regexp_like("body", F.lit(rf"\b{own}\b"))), "unit"),
         "by_title": listed(files.where(F.contains("body", F.lit(title))), "unit") if title else [],
-        "by_truths": listed(cited, "doc"),
+        "by_truths": listed(lookup.impact(mine.truths, "source", "id", cited, "id", "doc", own), "document"),
     }
 
 
@@ -520,8 +510,9 @@ def gaps(mine: Mine, markers: str | None = None) -> dict[str, int]:
     own = mine.config.get("gaps", {})
     pattern = markers or (own.get("markers") if isinstance(own, dict) else None) or "TBD|TODO|FIXME"
     re.compile(pattern)
-    lines = mine.cards.where(F.col("family").isin("material", "truth")).select(F.explode(R.eol_lines(F.col("body"))).alias("line"))
-    got = counts.tallies(lines, markers=F.regexp_like("line", F.lit(pattern)), unchecked=F.regexp_like("line", F.lit(r"^[ \t]*[-*] \[ \]"))).first()
+    cards = mine.cards.where(F.col("family").isin("material", "truth")).select("body")
+    tally = lookup.line_tally(cards, R.eol_lines(F.col("body")), markers=pattern, unchecked=r"^[ \t]*[-*] \[ \]")
+    got = tally.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("markers", "unchecked"))).first()
     scanned, _ = register(mine, "gaps.md")
     names = mine.roster("gaps.sections")
     if not names:  # no tally by sections whose roles are unknown

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as R
-from ..operators import counts, ids, ledgers, references, sections
+from ..operators import counts, ids, ledgers, lookup, references, registers, sections
 from ..sources import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ WS_SQL = r"trim(regexp_replace({0}, '[ \t\r\n]+', ' ', 'g'), ' ')"
 LABEL_WORDS = ["verified", "failed"]
 
 
-# --- joins -----------------------------------------------------------------
+# joins
 
 
 @query(f"""
@@ -105,10 +105,7 @@ SELECT coalesce(idx.id, o.o_orderkey) AS id,
 FROM idx FULL JOIN orders o ON idx.id = o.o_orderkey WHERE o.o_orderkey IS NULL OR idx.id IS NULL OR n > 1""")
 def index_sync(spark, d):
     """Index lines against files: duplicates are told apart from the set difference."""
-    index = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("i")).agg(F.count("*").alias("n"))
-    both = index.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("o")), F.col("i") == F.col("o"), "full_outer")
-    problem = F.when(F.col("o").isNull(), "not-on-disk").when(F.col("i").isNull(), "not-indexed").when(F.col("n") > 1, "duplicate")
-    return both.select(F.coalesce("i", "o").alias("id"), problem.alias("problem"), F.coalesce("n", F.lit(0)).alias("n")).where("problem IS NOT NULL")
+    return lookup.index_sync(table(spark, d, "lineitem"), "l_orderkey", table(spark, d, "orders"), "o_orderkey")
 
 
 @query("""
@@ -140,14 +137,14 @@ def required_tag_cover(spark, d):
 @query("""
 SELECT DISTINCT l_suppkey AS card, l_partkey AS ref FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def derived_refs(spark, d):
-    cards = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("card")).agg(F.collect_set("l_partkey").alias("derived_from"))
-    return references.unresolved(references.list_refs(cards, "card", "derived_from"), "ref", table(spark, d, "supplier"), "s_suppkey")
+    refs = references.list_refs(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("card"), F.array("l_partkey").alias("derived_from")), "card", "derived_from").distinct()
+    return references.unresolved(refs, "ref", table(spark, d, "supplier"), "s_suppkey")
 
 
 @query("SELECT DISTINCT l_suppkey AS card FROM lineitem WHERE l_suppkey = l_partkey")
 def corrects_self_refs(spark, d):
-    cards = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("card")).agg(F.collect_set("l_partkey").alias("corrects"))
-    return references.self_refs(cards, "card", "corrects").select("card")
+    cards = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("card"), F.array("l_partkey").alias("corrects"))
+    return references.self_refs(cards, "card", "corrects").select("card").distinct()
 
 
 @query("SELECT DISTINCT conv_id, role FROM conversations WHERE role NOT IN ('user', 'assistant')")
@@ -181,7 +178,7 @@ def missing_conversion(spark, d):
     return references.unresolved(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", table(spark, d, "lineitem"), "l_orderkey")
 
 
-# --- aggregates ------------------------------------------------------------
+# aggregates
 
 
 @query("""
@@ -198,10 +195,22 @@ def intake_split(spark, d):
     return counts.buckets(table(spark, d, "events"), "event_type", ["click", "error", "purchase", "anchored"], "undeclared")
 
 
-@query("SELECT event_type AS ownership, count(*) AS n FROM events WHERE value >= 10 GROUP BY GROUPING SETS ((event_type), ())")
+QUEUE_SQL = """
+l AS (SELECT doc_id, quality, CASE doc_id % 4 WHEN 0 THEN 'user-only' WHEN 1 THEN 'recommended' WHEN 2 THEN 'machine' ELSE '' END AS owner FROM labels)"""
+
+
+def _queues(spark, d):
+    """A register for each label, with a human queue of one entry and what must not count: comments, fences and other sections."""
+    tag = F.when(F.col("doc_id") % 4 == 0, " [user-only]").when(F.col("doc_id") % 4 == 1, " [recommended]").when(F.col("doc_id") % 4 == 2, " [machine]").when(F.col("doc_id") % 8 == 3, " [nobody]").otherwise("")
+    line = F.concat(F.lit("- ["), F.when(F.col("quality") == 1, "open").otherwise("ruled"), F.lit("]"), tag, F.lit(" entry of "), F.col("doc_id").cast("string"))
+    text = F.concat(F.lit("## Adjudications\n\n- [open] elsewhere\n\n## Human queue\n\n<!-- - [open] hidden -->\n```\n- [open] in a fence\n```\n"), line, F.lit("\n  more of it\n"))
+    return table(spark, d, "labels").select("doc_id", text.alias("text"))
+
+
+@query(f"WITH {QUEUE_SQL} SELECT owner AS ownership, count(*) AS n FROM l WHERE quality = 1 GROUP BY GROUPING SETS ((owner), ())")
 def hq_split(spark, d):
     """Open entries by ownership, with the total as the row without one."""
-    return table(spark, d, "events").where("value >= 10").rollup(F.col("event_type").alias("ownership")).agg(F.count("*").alias("n")).select("ownership", "n")
+    return registers.queue_split(registers.queue_entries(_queues(spark, d), "doc_id", "text"))
 
 
 @query("SELECT count(*) AS population, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS digest_bound, count(*) FILTER (WHERE quality = 0) AS legacy_unbound FROM labels")
@@ -213,8 +222,8 @@ def review_seal_tally(spark, d):
 SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^[-*] ')) AS bullets, count(*) FILTER (WHERE regexp_matches(line, '(Licensed|[!]{2}|###)')) AS markers, count(*) AS lines
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1""")
 def gaps_tally(spark, d):
-    lines = sections.lines_of(table(spark, d, "documents"), "doc_id", "text")
-    return lines.groupBy("doc_id").agg(F.count_if(F.regexp_like("line", F.lit("^[-*] "))).alias("bullets"), F.count_if(F.regexp_like("line", F.lit("(Licensed|[!]{2}|###)"))).alias("markers"), F.count("*").alias("lines"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return lookup.line_tally(docs, R.eol_lines(F.col("text")), bullets="^[-*] ", markers="(Licensed|[!]{2}|###)").drop("text")
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -235,7 +244,7 @@ def tree_digest(spark, d):
     return counts.tree_digest(files, "conv_id", "name", "digest")
 
 
-# --- ledgers and windows ---------------------------------------------------
+# ledgers and windows
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -318,7 +327,7 @@ def continuation(spark, d):
     return sections.islands(lines, "doc_id", "line_no", F.endswith("line", F.lit("."))).groupBy("doc_id", "entry").agg(F.count("*").alias("lines"))
 
 
-# --- order, sets, ranges ---------------------------------------------------
+# order, sets, ranges
 
 
 @query("""
@@ -349,18 +358,24 @@ def set_difference(spark, d):
     return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
 
 
-RANGES = [("t003-t004", 3, 4), ("t009-t007", 9, 7), ("t001-t001", 1, 1), ("t001-t9000", 1, 9000), ("t100-t110", 100, 110)]
-RANGES_SQL = "(VALUES " + ", ".join(f"('{a}', CAST({b} AS BIGINT), CAST({c} AS BIGINT))" for a, b, c in RANGES) + ") r(span, lo, hi)"
+#: A range for each supplier: some are reversed, some too long.
+RANGES_SQL = "(SELECT s_suppkey, CAST(s_suppkey AS BIGINT) AS lo, CAST(s_suppkey + CASE WHEN s_suppkey % 10 = 0 THEN 1000 WHEN s_suppkey % 10 = 1 THEN 999 ELSE s_suppkey % 7 - 2 END AS BIGINT) AS hi FROM supplier) r"
+
 
+def _ranges(spark, d):
+    key = F.col("s_suppkey").cast("long")
+    width = F.when(key % 10 == 0, 1000).when(key % 10 == 1, 999).otherwise(key % 7 - 2)
+    return table(spark, d, "supplier").select("s_suppkey", key.alias("lo"), (key + width).alias("hi"))
 
-@query(f"SELECT span, unnest(CASE WHEN hi >= lo AND hi - lo < 1000 THEN range(lo, hi + 1) ELSE [] END) AS n FROM {RANGES_SQL}")
+
+@query(f"SELECT s_suppkey, unnest(CASE WHEN hi >= lo AND hi - lo < 1000 THEN range(lo, hi + 1) ELSE [] END) AS n FROM {RANGES_SQL}")
 def range_expand(spark, d):
-    return ids.expand_ranges(spark.createDataFrame(RANGES, "span string, lo long, hi long"), "lo", "hi").select("span", "n")
+    return ids.expand_ranges(_ranges(spark, d), "lo", "hi").select("s_suppkey", "n")
 
 
-@query(f"SELECT span, CASE WHEN hi < lo THEN 'reversed' ELSE 'over-cap' END AS why FROM {RANGES_SQL} WHERE hi < lo OR hi - lo >= 1000")
+@query(f"SELECT s_suppkey, CASE WHEN hi < lo THEN 'reversed' ELSE 'over-cap' END AS why FROM {RANGES_SQL} WHERE hi < lo OR hi - lo >= 1000")
 def range_named(spark, d):
-    return ids.bad_ranges(spark.createDataFrame(RANGES, "span string, lo long, hi long"), "lo", "hi").select("span", "why")
+    return ids.bad_ranges(_ranges(spark, d), "lo", "hi").select("s_suppkey", "why")
 
 
 @query("""
@@ -373,7 +388,7 @@ def reindex_check(spark, d):
     return sections.line_diff(part.where("p_size < 40").select(line), part.where("p_size > 3").select(line), "line")
 
 
-# --- scalars ---------------------------------------------------------------
+# scalars
 
 
 @query("SELECT doc_id, sha256(text) AS digest, octet_length(encode(text)) AS size FROM documents")
@@ -423,29 +438,39 @@ def is_binary(spark, d):
     return table(spark, d, "documents").select("doc_id", R.is_binary(text).alias("is_binary"))
 
 
-SLOTS = ["[open] a", "[ ] b", "[{kind}] c", "[open d", "e", "[closed] f", "[] g", "[proposed][open] h", "[Open] i", "{x}"]
-SLOTS_SQL = "(VALUES " + ", ".join(f"('{s}')" for s in SLOTS) + ") s(slot)"
+SLOTS = ["[open] a", "[ ] b", "[{kind}] c", "[open d", "e", "[closed] f", "[] g", "[proposed][open] h", "[Open] i", "{x}", "[{a} b] j", " [open] k"]
+#: A slot for each event, followed by the event's type.
+SLOTS_SQL = "(SELECT event_id, ([" + ", ".join(f"'{s}'" for s in SLOTS) + f"])[event_id % {len(SLOTS)} + 1] || ' ' || event_type AS slot FROM events) s"
 
 
 @query(rf"""
-SELECT slot, CASE WHEN NOT starts_with(slot, '[') THEN 'missing' WHEN NOT contains(slot, ']') THEN 'unclosed' WHEN trim(i) = '' THEN 'blank'
+SELECT event_id, CASE WHEN NOT starts_with(slot, '[') THEN 'missing' WHEN NOT contains(slot, ']') THEN 'unclosed' WHEN trim(i) = '' THEN 'blank'
   WHEN regexp_matches(i, '^\{{[^{{}}]*\}}$') THEN 'placeholder' WHEN i IN ('open', 'proposed', 'answered') THEN 'known' ELSE 'unknown' END AS state
-FROM (SELECT slot, regexp_extract(slot, '^\[([^\]]*)\]', 1) AS i FROM {SLOTS_SQL})""")
+FROM (SELECT event_id, slot, regexp_extract(slot, '^\[([^\]]*)\]', 1) AS i FROM {SLOTS_SQL})""")
 def slot_parse(spark, d):
-    return spark.createDataFrame([(s,) for s in SLOTS], "slot string").select("slot", R.slot_state(F.col("slot"), ["open", "proposed", "answered"]).alias("state"))
+    slot = F.concat(F.get(F.array(*map(F.lit, SLOTS)), (F.col("event_id") % len(SLOTS)).cast("int")), F.lit(" "), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", R.slot_state(slot, ["open", "proposed", "answered"]).alias("state"))
 
 
-@query(rf"SELECT slot, regexp_matches(slot, '^\{{[^{{}}]*\}}$') AS placeholder FROM (VALUES ('{{a}}'), ('{{a}} b'), ('{{}}'), ('a'), (''), ('{{a}}{{b}}')) v(slot)")
+@query(r"""
+SELECT c_custkey, regexp_matches(CASE c_custkey % 5 WHEN 0 THEN '{' || c_mktsegment || '}' WHEN 1 THEN '{' || c_mktsegment || '} b' WHEN 2 THEN '{}' WHEN 3 THEN '{a}{b}' ELSE c_mktsegment END, '^\{[^{}]*\}$') AS placeholder FROM customer""")
 def is_placeholder(spark, d):
-    return spark.createDataFrame([(s,) for s in ("{a}", "{a} b", "{}", "a", "", "{a}{b}")], "slot string").select("slot", R.is_placeholder(F.col("slot")).alias("placeholder"))
+    own, kind = F.col("c_mktsegment"), F.col("c_custkey") % 5
+    value = F.when(kind == 0, F.concat(F.lit("{"), own, F.lit("}"))).when(kind == 1, F.concat(F.lit("{"), own, F.lit("} b"))).when(kind == 2, "{}").when(kind == 3, "{a}{b}").otherwise(own)
+    return table(spark, d, "customer").select("c_custkey", R.is_placeholder(value).alias("placeholder"))
 
 
-DATES = ["2024-02-29", "2023-02-29", "2026-02-31", "2026-7-3", "2026-12-31", "20261231", "", "2000-02-29", "1900-02-29", "{date}"]
+DATES = ["2023-02-29", "2026-02-31", "2026-7-3", "20261231", "", "1900-02-29", "{date}"]
 
 
-@query("SELECT day, regexp_matches(day, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND try_strptime(day, '%Y-%m-%d') IS NOT NULL AS valid FROM (VALUES " + ", ".join(f"('{x}')" for x in DATES) + ") v(day)")
+@query(f"""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ([{", ".join(f"'{x}'" for x in DATES)}])[o_orderkey % {len(DATES)} + 1] WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-31') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders)
+SELECT o_orderkey, regexp_matches(day, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AND try_strptime(day, '%Y-%m-%d') IS NOT NULL AS valid FROM o""")
 def date_valid(spark, d):
-    return spark.createDataFrame([(x,) for x in DATES], "day string").select("day", R.date_valid(F.col("day")).alias("valid"))
+    """Days of orders, the 31st of their months, and other forms."""
+    key = F.col("o_orderkey")
+    day = F.when(key % 3 == 0, F.get(F.array(*map(F.lit, DATES)), (key % len(DATES)).cast("int"))).when(key % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-31")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, d, "orders").select("o_orderkey", R.date_valid(day).alias("valid"))
 
 
 @query("""
@@ -479,7 +504,7 @@ def eol_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: x == "")).cast("long").alias("blank"))
 
 
-# --- predicates ------------------------------------------------------------
+# predicates
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')")
@@ -498,9 +523,7 @@ UNION ALL SELECT c_custkey, 'c_note', 'missing' FROM cards""")
 def required_fields(spark, d):
     segment = F.when(F.col("c_custkey") % 5 == 0, "{segment}").when(F.col("c_custkey") % 5 == 1, "").otherwise(F.col("c_mktsegment"))
     cards = table(spark, d, "customer").select("c_custkey", F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("c_mktsegment"), segment).alias("fields"))
-    each = cards.select("c_custkey", "fields", F.explode(F.array(*map(F.lit, REQUIRED))).alias("field")).withColumn("value", F.col("fields")[F.col("field")])
-    problem = F.when(F.col("value").isNull(), "missing").when(F.trim("value") == "", "empty").when(R.is_placeholder(F.col("value")), "placeholder")
-    return each.select("c_custkey", "field", problem.alias("problem")).where("problem IS NOT NULL")
+    return lookup.required(cards, "c_custkey", "fields", REQUIRED)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N')")
@@ -512,14 +535,18 @@ def conditional_requirement(spark, d):
 
 @query("SELECT event_id FROM events WHERE json_exists(props, '$.k') AND event_type = 'error'")
 def forbidden_fields(spark, d):
-    fields = F.map_keys(F.from_json("props", "map<string,string>"))
-    return table(spark, d, "events").where(F.arrays_overlap(fields, F.array(F.lit("k"), F.lit("resolution"))) & (F.col("event_type") == "error")).select("event_id")
+    return table(spark, d, "events").where("event_type = 'error'").where(R.has_field(F.from_json("props", "map<string,string>"), ["k", "resolution"])).select("event_id")
 
 
-@query(r"SELECT value FROM (VALUES ('[a, b'), ('[a, b]'), ('a]'), ('[]'), ('['), ('[a, [b')) v(value) WHERE regexp_matches(value, '^\[') AND NOT regexp_matches(value, '\]')")
+@query("""
+SELECT c_custkey, 'tags' AS field FROM customer WHERE c_custkey % 4 IN (0, 3)""")
 def unclosed_list(spark, d):
-    rows = spark.createDataFrame([(v,) for v in ("[a, b", "[a, b]", "a]", "[]", "[", "[a, [b")], "value string")
-    return rows.where(F.startswith("value", F.lit("[")) & ~F.contains("value", F.lit("]")))
+    """Cards whose list of tags is not closed in its line, or only within a comment."""
+    kind, own = F.col("c_custkey") % 4, F.col("c_mktsegment")
+    value = F.when(kind == 0, F.concat(F.lit("[a, "), own)).when(kind == 1, F.concat(F.lit("[a, "), own, F.lit("]"))).when(kind == 2, F.concat(own, F.lit("]"))).otherwise(F.concat(F.lit("["), own, F.lit(" # ]")))
+    text = F.concat(F.lit("---\nid: "), F.col("c_custkey").cast("string"), F.lit("\ntags: "), value, F.lit("\n---\nbody [open\n"))
+    found = registers.card_states(table(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    return found.select("c_custkey", F.explode("open_lists").alias("field"))
 
 
 @query("""
@@ -533,7 +560,7 @@ def row_wellformed(spark, d):
     return table(spark, d, "events").select("event_id", R.row_state(id_, digest, F.col("event_type"), day, ["click", "view"]).alias("row_state"))
 
 
-# --- commands --------------------------------------------------------------
+# commands
 
 
 @query("""
@@ -541,19 +568,15 @@ WITH first AS (SELECT doc_id, 'claim' AS lane FROM documents WHERE contains(sour
 SELECT doc_id, lane FROM first UNION ALL SELECT doc_id, 'body' FROM documents WHERE contains(text, 'src1') AND NOT EXISTS (SELECT 1 FROM first)""")
 def pull(spark, d):
     """Cards whose claim or tags hold the term; only if there are none, those whose body does."""
-    docs, term = table(spark, d, "documents"), F.lit("src1")
-    claims = docs.where(F.contains(F.concat_ws(" ", "source", "lang"), term)).select("doc_id", F.lit("claim").alias("lane"))
-    any_ = claims.limit(1).select(F.lit(1).alias("one"))
-    body = docs.where(F.contains("text", term)).select("doc_id", F.lit("body").alias("lane"), F.lit(1).alias("one")).join(any_, "one", "left_anti").drop("one")
-    return claims.unionByName(body)
+    term = F.lit("src1")
+    found = lookup.pull(table(spark, d, "documents"), F.contains(F.concat_ws(" ", "source", "lang"), term), F.contains("text", term))
+    return found.select("doc_id", "lane")
 
 
 @query("SELECT DISTINCT l_suppkey AS material, l_orderkey AS truth, o_custkey AS document FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey = 7")
 def impact(spark, d):
     """What rests on one material, in two hops."""
-    lines = table(spark, d, "lineitem").where("l_suppkey = 7").select("l_suppkey", "l_orderkey")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("material"), F.col("l_orderkey").alias("truth"), F.col("o_custkey").alias("document")).distinct()
+    return lookup.impact(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", table(spark, d, "orders"), "o_orderkey", "o_custkey", 7)
 
 
 @query(r"""
@@ -564,10 +587,9 @@ def gaps(spark, d):
 
 
 @query("""
-SELECT o_custkey AS doc, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'drafting' WHEN bool_or(o_orderstatus = 'P') THEN 'reviewing' ELSE 'done' END AS stage, count(*) AS parts FROM orders GROUP BY 1""")
+SELECT o_custkey AS doc, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'O' WHEN bool_or(o_orderstatus = 'P') THEN 'P' ELSE 'F' END AS stage, count(*) AS parts FROM orders GROUP BY 1""")
 def status(spark, d):
-    stage = F.when(F.bool_or(F.col("o_orderstatus") == "O"), "drafting").when(F.bool_or(F.col("o_orderstatus") == "P"), "reviewing").otherwise("done")
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(stage.alias("stage"), F.count("*").alias("parts"))
+    return lookup.stages(table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), "o_orderstatus"), "doc", "o_orderstatus", ["O", "P", "F"])
 
 
 @query("SELECT tag, list_sort(list(DISTINCT p_partkey)) AS members FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1")
@@ -600,36 +622,47 @@ def idseq_behind(spark, d):
 SELECT 'customer' AS namespace, max(c_custkey) + 1 AS granted FROM customer UNION ALL SELECT 'part', max(p_partkey) + 1 FROM part""")
 def alloc(spark, d):
     """The number that each namespace grants next: one above all that were ever seen."""
-    parts = [table(spark, d, n).agg(F.lit(n).alias("namespace"), (F.max(k) + 1).alias("granted")) for n, k in (("customer", "c_custkey"), ("part", "p_partkey"))]
-    return parts[0].unionByName(parts[1])
+    seen = [table(spark, d, n).select(F.lit(n).alias("namespace"), F.col(k).alias("number")) for n, k in (("customer", "c_custkey"), ("part", "p_partkey"))]
+    return ids.next_numbers(seen[0].unionByName(seen[1]), "namespace", "number")
 
 
 @query("""
-SELECT event_id, '{"id":"c' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(3, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') || '","targets":["t' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') || '"],"created":"' || strftime(ts, '%Y-%m-%d') || '"' || CASE WHEN event_type = 'error' THEN ',"note":"error"' ELSE '' END || '}' AS entry FROM events""")
+WITH e AS (SELECT event_id, 'c' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(3, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') AS id, 't' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') AS t, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events)
+SELECT event_id, '{' || chr(10) || '  "version": 1,' || chr(10) || '  "open": [' || chr(10) || '    {' || chr(10) || '      "id": "' || id || '",' || chr(10) || '      "targets": [' || chr(10) || '        "' || t || '"' || chr(10) || '      ],' || chr(10)
+  || '      "candidates": [' || chr(10) || '        {' || chr(10) || '          "claim": "' || event_type || '",' || chr(10) || '          "source": "m001"' || chr(10) || '        }' || chr(10) || '      ],' || chr(10)
+  || '      "created": "' || day || '"' || CASE WHEN event_type = 'error' THEN ',' || chr(10) || '      "note": "error"' ELSE '' END || chr(10) || '    }' || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS store FROM e""")
 def canonical_serialization(spark, d):
-    """Entries as JSON with a fixed order of keys; an absent note is left out."""
-    pad = lambda letter, c: R.canon_id(F.concat(F.lit(letter), F.col(c).cast("string")))
-    entry = F.struct(pad("c", "event_id").alias("id"), F.array(pad("t", "user_id")).alias("targets"), F.date_format("ts", "yyyy-MM-dd").alias("created"), F.when(F.col("event_type") == "error", "error").alias("note"))
-    return table(spark, d, "events").select("event_id", F.to_json(entry).alias("entry"))
+    """Stores written with other spaces and another order of keys, in their one spelling; an absent note is left out."""
+    return registers.canonical_stores(_stores(spark, d), "event_id", "text")
 
 
 @query("""
-SELECT event_id, len(targets) = 0 AS undecided, CASE WHEN len(targets) = 0 THEN '' ELSE targets[1] END AS first_target
-FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN [] ELSE ['t' || CAST(user_id AS VARCHAR)] END AS targets FROM events)""")
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'CONF-CREATED' ELSE '' END AS refused, CASE WHEN event_id % 9 = 0 THEN NULL ELSE 't' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') END AS target,
+  CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS claim FROM events""")
 def conflict_list(spark, d):
-    targets = F.when(F.col("event_type") == "error", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("t"), F.col("user_id").cast("string"))))
-    return table(spark, d, "events").select("event_id", targets.alias("targets")).select("event_id", (F.size("targets") == 0).alias("undecided"), F.coalesce(F.get("targets", F.lit(0)), F.lit("")).alias("first_target"))
+    """The open entries of stores, and why a store is refused as a whole."""
+    found = registers.conflict_entries(_stores(spark, d, refused=True), "event_id", "text")
+    return found.select("event_id", "refused", F.get("targets", F.lit(0)).alias("target"), F.get("claims", F.lit(0)).alias("claim"))
+
+
+def _stores(spark, d, refused: bool = False):
+    """A conflict store of one entry for each event."""
+    pad = lambda letter, c: R.canon_id(F.concat(F.lit(letter), F.col(c).cast("string")))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    day = F.when(F.col("event_id") % 9 == 0, "today").otherwise(day) if refused else day
+    candidate = F.struct(F.lit("m001").alias("source"), F.col("event_type").alias("claim"))
+    entry = F.struct(F.when(F.col("event_type") == "error", "error").alias("note"), day.alias("created"), F.array(candidate).alias("candidates"), F.array(pad("t", "user_id")).alias("targets"), pad("c", "event_id").alias("id"))
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.array(entry).alias("open"), F.lit(1).alias("version"))).alias("text"))
 
 
 @query("""
 SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY text) AS root FROM documents
 WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)""")
 def upgrade_components(spark, d):
-    """Groups of cards that are in conflict with one another: here texts with equal digests, each naming the next."""
+    """Groups of cards that are in conflict with one another: here texts with equal digests, each naming the first."""
     digest = table(spark, d, "documents").select("doc_id", R.content_digest(F.col("text")).alias("digest"))
-    after = F.lead("doc_id").over(Window.partitionBy("digest").orderBy("doc_id"))
-    edges = digest.select("doc_id", after.alias("other")).where("other IS NOT NULL")
-    return ids.groups(edges, "doc_id", "other", shared_dir(spark))
+    first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    return ids.groups(digest.join(first, "digest"), "doc_id", "first", shared_dir(spark))
 
 
 @query("""
@@ -644,29 +677,56 @@ def upgrade_backfill(spark, d):
     return references.unresolved(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels"), "doc_id").withColumn("word", F.lit("legacy-unbound"))
 
 
-@query(r"""
-WITH lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations)
-SELECT conv_id, turn, count(*) FILTER (WHERE regexp_matches(line, '(^|[^A-Za-z])(de|the)[.]$')) AS covering FROM lines GROUP BY 1, 2""")
+@query("""
+SELECT doc_id, 't' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '-t' || CAST(doc_id + 2 AS VARCHAR) ELSE '' END AS unit FROM labels WHERE quality = 1""")
 def verified_units(spark, d):
-    """Lines that count only if their last token is the marker."""
-    lines = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("conv_id", "turn").agg(F.count_if(F.regexp_like("line", F.lit("(^|[^A-Za-z])(de|the)[.]$"))).alias("covering"))
+    """Lines that count only if their last token is the marker, and only in their own section."""
+    own = F.concat(F.lit("t"), F.col("doc_id").cast("string"))
+    unit = F.when(F.col("doc_id") % 3 == 0, F.concat(own, F.lit("-t"), (F.col("doc_id") + 2).cast("string"))).otherwise(own)
+    text = F.concat(F.lit("# Verified units\n\n- "), unit, F.when(F.col("quality") == 1, " by hand verified").otherwise(" was verified once"), F.lit("\n\n## Human queue\n\n- [open] is t1 verified\n"))
+    return registers.verified_ids(table(spark, d, "labels").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
-@query("""
-WITH l AS (SELECT doc_id, '- [' || CASE WHEN quality = 1 THEN 'open' ELSE 'ruled' END || ']' || CASE doc_id % 4 WHEN 0 THEN ' [user-only]' WHEN 1 THEN ' [recommended]' WHEN 2 THEN ' [machine]' ELSE '' END || ' entry' AS line FROM labels)
-SELECT doc_id, 'HQ-UNTAGGED' AS code FROM l WHERE regexp_matches(line, '^- \\[open\\]') AND NOT regexp_matches(line, '^- \\[open\\][ \\t]*\\[(user-only|recommended|machine)\\]')""".replace("\\\\", "\\"))
+@query(f"WITH {QUEUE_SQL} SELECT doc_id, 'HQ-UNTAGGED' AS code FROM l WHERE quality = 1 AND owner = ''")
 def human_queue(spark, d):
     """Open entries without a valid ownership tag."""
-    tag = F.when(F.col("doc_id") % 4 == 0, " [user-only]").when(F.col("doc_id") % 4 == 1, " [recommended]").when(F.col("doc_id") % 4 == 2, " [machine]").otherwise("")
-    line = F.concat(F.lit("- ["), F.when(F.col("quality") == 1, "open").otherwise("ruled"), F.lit("]"), tag, F.lit(" entry"))
-    rows = table(spark, d, "labels").select("doc_id", line.alias("line")).where(F.regexp_like("line", F.lit(r"^- \[open\]")))
-    return rows.where(~F.regexp_like("line", F.lit(r"^- \[open\][ \t]*\[(user-only|recommended|machine)\]"))).select("doc_id", F.lit("HQ-UNTAGGED").alias("code"))
+    return registers.untagged(registers.queue_entries(_queues(spark, d), "doc_id", "text")).select("doc_id", F.lit("HQ-UNTAGGED").alias("code"))
 
 
 @query("""
-SELECT code, to_json_list AS messages, n FROM (SELECT event_type AS code, '[' || string_agg('"e' || CAST(event_id AS VARCHAR) || '"', ',' ORDER BY event_id) || ']' AS to_json_list, count(*) AS n FROM events WHERE value > 30 GROUP BY 1)""")
+SELECT event_id, '{"code":"' || event_type || '","message":"e' || CAST(event_id AS VARCHAR) || '"}' AS diagnostic FROM events WHERE value > 30""")
 def json_output(spark, d):
-    """Diagnostics of one code as a JSON list, in order."""
-    listed = F.transform(F.array_sort(F.collect_list("event_id")), lambda i: F.concat(F.lit("e"), i.cast("string")))
-    return table(spark, d, "events").where("value > 30").groupBy(F.col("event_type").alias("code")).agg(F.to_json(listed).alias("messages"), F.count("*").alias("n"))
+    """Each diagnostic as a JSON object; a report of all is their lines."""
+    return table(spark, d, "events").where("value > 30").select("event_id", R.diagnostic_json(F.col("event_type"), F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("diagnostic"))
+
+
+GATE_SQL = """
+g AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'GATE-OPEN' WHEN 1 THEN 'REVIEW-KIND-UNKNOWN' WHEN 2 THEN 'GATE-ZONE' WHEN 3 THEN 'GATE-MISSING' WHEN 4 THEN 'REVIEW-UNTERMINATED-FENCE' END AS code FROM labels)"""
+
+
+@query(f"WITH {GATE_SQL} SELECT doc_id, code FROM g WHERE code IS NOT NULL")
+def review_gate(spark, d):
+    """What keeps the gate of each review from passing."""
+    kind = F.col("doc_id") % 6
+    entry = F.when(kind == 0, "- [unsupported] line 3").when(kind == 1, "- [typo] line 4").otherwise("- [{kind}] {what}")
+    text = F.concat(F.when(kind == 3, "## Violations").otherwise("## Fidelity violations"), F.lit("\n\n"), F.when(kind == 3, "").otherwise(entry), F.lit("\n\n## Findings\n\n"), F.when(kind == 2, "[Missing Required] here").when(kind == 4, "```\nnever ended").otherwise("A contradiction in prose."), F.lit("\n"))
+    return registers.gate(table(spark, d, "labels").select("doc_id", text.alias("text")), "doc_id", "text").select("doc_id", "code")
+
+
+@query("""
+SELECT doc_id, CASE WHEN quality = 1 THEN 'Open' ELSE 'Accepted' END AS section, CASE WHEN doc_id % 3 = 0 THEN 'malformed' WHEN doc_id % 3 = 1 THEN 'declared' ELSE 'symmetry' END AS kind FROM labels""")
+def gap_register(spark, d):
+    """The entries of gap registers with their section and kind."""
+    entry = F.concat(F.when(F.col("doc_id") % 3 == 0, "- no kind").when(F.col("doc_id") % 3 == 1, "- [declared] a gap").otherwise("- [symmetry] a gap"), F.lit("\n"))
+    open_ = F.col("quality") == 1
+    text = F.concat(F.lit("## Open\n\n"), F.when(open_, entry).otherwise(""), F.lit("\n## Accepted\n\n"), F.when(open_, "").otherwise(entry))
+    return registers.gap_entries(table(spark, d, "labels").select("doc_id", text.alias("text")), "doc_id", "text").select("doc_id", "section", "kind")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'proposed' WHEN 2 THEN 'answered' ELSE 'unrecognised' END AS state FROM labels""")
+def question_register(spark, d):
+    """Questions with their state; comments and noise are none."""
+    slot = F.get(F.array(*map(F.lit, ["[open]", "[proposed]", "[answered]", "[closed]"])), (F.col("doc_id") % 4).cast("int"))
+    text = F.concat(F.lit("# Questions\n\n<!-- - [open] hidden -->\n- [{state}] {question}\n- "), slot, F.lit(" what now\n  more of it\n"))
+    return registers.questions(table(spark, d, "labels").select("doc_id", text.alias("text")), "doc_id", "text").select("doc_id", "state")
\ No newline at end of file
