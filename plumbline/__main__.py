@@ -33,6 +33,7 @@ COMMANDS = {
     "upgrade": (0, 0, {"--check", "--apply"}),
     "lang": (0, 0, set()),
     "locale": (0, 0, set()),
+    "quotes": (0, 0, set()),
     "version": (0, 0, set()),
 }
 
@@ -104,9 +105,13 @@ def _run(spark, command, root, arguments, options, say) -> int:
         waiting = commands.status_open(mine)
         say("\n".join(f"{lane}: {text}" for lane, text in waiting) or "nothing is waiting")
     elif command == "reindex" and "--check" in options:
-        found = commands.reindex_check(mine)
-        say("\n".join(f"{n}: {'in sync' if not k else f'DIFFERS by {k} lines'}" for n, k in found.items()))
+        found = commands.reindex_diff(mine)
+        say("\n".join("\n".join([f"{n}: {'DIFFERS' if lines else 'in sync'}", *lines]) for n, lines in found.items()))
         return int(any(found.values()))
+    elif command == "quotes":
+        spans = commands.quotations(mine).orderBy("unit", "line").collect()
+        say("\n".join(f"{r.unit} line {r.line}: {r.state}{' ' + ', '.join(r.codes) if r.codes else ''}" for r in spans) or "no quotations")
+        return int(any(r.state not in ("sealed", "binary-cold-debt", "unmarked") for r in spans))
     elif command == "conflict":
         word = arguments[0]
         if word == "list" and len(arguments) == 1:

@@ -36,7 +36,11 @@ def coverage(population: DataFrame, key: str, covered: DataFrame, covered_key: s
 
 
 def tree_digest(rows: DataFrame, tree: str, name: str, digest: str) -> DataFrame:
-    """tree, tree_digest: SHA-256 over the lines name NUL digest LF in the byte order of the names."""
+    """tree, tree_digest: SHA-256 over the lines name NUL digest LF in the byte order of the names.
+
+    The digest is of one sequence, so a tree's names and digests come together in
+    one task: about 100 bytes for each file of one artifact.
+    """
     listed = F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(digest).alias("digest"))))
     lines = F.transform(listed, lambda x: F.concat(x["name"], F.lit("\x00"), x["digest"], F.lit("\n")))
     return rows.groupBy(tree).agg(F.sha2(F.array_join(lines, ""), 256).alias("tree_digest"))

@@ -42,8 +42,8 @@ def retag(rows: DataFrame, tags: str, old: str, new: str) -> DataFrame:
 
 
 def tag_tree(rows: DataFrame, key: str, tags: str) -> DataFrame:
-    """tag, members: the keys of each tag in ascending order; a row is under each of its tags."""
-    return rows.select(F.col(key), F.explode(tags).alias("tag")).distinct().groupBy("tag").agg(F.array_sort(F.collect_list(key)).alias("members"))
+    """tag, member: each key under each of its tags, once; rows and not lists, as one tag may have any number of members."""
+    return rows.select(F.explode(tags).alias("tag"), F.col(key).alias("member")).distinct()
 
 
 def groups(edges: DataFrame, a: str, b: str, shared: str, most_rounds: int = 50) -> DataFrame:

@@ -7,7 +7,9 @@ what it has looked at.
 
 from __future__ import annotations
 
+import difflib
 import functools
+import itertools
 import json
 import os
 import re
@@ -564,8 +566,17 @@ def views(mine: Mine) -> tuple[str, str]:
     rows = labels(mine).orderBy("id").collect()
     index = "".join(f"- {r.id}: {r.claim} [{r.source}] — [{', '.join(r.tags)}]" + (f" ·· {r.label}" if r.label else "") + "\n" for r in rows)
     claims = {r.id: r.claim for r in rows}
-    tree = ids.tag_tree(mine.truths, "id", "tags").orderBy("tag").collect()
-    return index, "".join(f"## {r.tag}\n\n" + "".join(f"- {t}: {claims[t]}\n" for t in r.members) + "\n" for r in tree)
+    tree = itertools.groupby(ids.tag_tree(mine.truths, "id", "tags").orderBy("tag", "member").collect(), lambda r: r.tag)
+    return index, "".join(f"## {tag}\n\n" + "".join(f"- {r.member}: {claims[r.member]}\n" for r in own) + "\n" for tag, own in tree)
+
+
+def reindex_diff(mine: Mine) -> dict[str, list[str]]:
+    """For each view the lines of the difference between the stored one and the generated one; none where they are equal."""
+    out = {}
+    for name, text in zip(("index.md", "tree.md"), views(mine)):
+        stored, _ = mine.text(mine.paths["truths"], name)
+        out[name] = list(difflib.unified_diff((stored or "").splitlines(), text.splitlines(), f"{name} (stored)", f"{name} (generated)", n=1, lineterm=""))
+    return out
 
 
 def reindex_check(mine: Mine) -> dict[str, int]:

@@ -592,7 +592,7 @@ def status(spark, d):
     return lookup.stages(table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), "o_orderstatus"), "doc", "o_orderstatus", ["O", "P", "F"])
 
 
-@query("SELECT tag, list_sort(list(DISTINCT p_partkey)) AS members FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1")
+@query("SELECT DISTINCT tag, p_partkey AS member FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part)")
 def tag_tree(spark, d):
     return ids.tag_tree(table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags")), "p_partkey", "tags")
 

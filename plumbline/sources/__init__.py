@@ -29,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, path: str) -> DataFrame:
     """The rows of df, written to a folder that all executors see and read back; cuts the lineage."""
     df.write.parquet(path)
+    store, target = _place(df.sparkSession, path)
+    store.deleteOnExit(target)  # at the latest
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a folder of stored rows that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    store, target = _place(spark, path)
+    store.delete(target, True)
