@@ -70,6 +70,33 @@ WITH RECURSIVE v AS (
 counted AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY 1)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN component USING (vec_id) LEFT JOIN counted USING (vec_id)""",
+    "op4_line_dedup": r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+inked AS (SELECT doc_id, i, line, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM e WHERE regexp_matches(line, '[^\t\n\x0B\f\r \p{Z}\x{85}]')),
+chunks AS (
+    SELECT doc_id, i AS a, j AS b FROM inked WHERE j IS NOT NULL
+    UNION ALL SELECT doc_id, i, i FROM inked WHERE regexp_matches(line, '^[\t\n\x0B\f\r \p{Z}\x{85}]*(?:[^\t\n\x0B\f\r \p{Z}\x{85}]+[\t\n\x0B\f\r \p{Z}\x{85}]+){49}[^\t\n\x0B\f\r \p{Z}\x{85}]')
+), placed AS (
+    SELECT doc_id, a, b, row_number() OVER (PARTITION BY ls[a:b] ORDER BY doc_id, a) AS place FROM chunks JOIN l USING (doc_id)
+), gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM placed WHERE place > 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, coalesce(n, 0) AS n_removed_lines
+FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op5_decontamination": r"""
+WITH own AS (
+    SELECT doc_id, list_filter(list_transform(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: trim(x, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda x: x <> '') AS w FROM documents
+), items AS (
+    SELECT item_id, list_filter(list_transform(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: trim(x, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda x: x <> '') AS w FROM benchmark
+), theirs AS (SELECT item_id, len(w) AS m, least(13, len(w)) AS k, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS q FROM items WHERE len(w) >= 8),
+mine AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM own),
+diagonals AS (
+    SELECT doc_id, item_id, n, m, k, p - q AS shift, list(q) AS qs FROM mine JOIN theirs USING (x) GROUP BY ALL HAVING 100 * count(*) >= 80 * k
+), windows AS (SELECT *, unnest(range(greatest(0, -shift), least(m, n - shift) - k + 1)) AS s FROM diagonals),
+good AS (SELECT * FROM windows WHERE 100 * len(list_filter(qs, lambda y: y >= s AND y < s + k)) >= 80 * k),
+spans AS (SELECT doc_id, item_id, shift, any_value(qs) AS qs, min(s) AS lo, max(s) + any_value(k) AS hi FROM good GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, lo + shift AS doc_start, lo AS item_start, hi - lo AS n_words, len(list_filter(qs, lambda y: y >= lo AND y < hi)) AS n_equal FROM spans""",
     "op6_ngram_join": r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents

@@ -36,7 +36,7 @@ def test_query(spark, name):
         import duckdb
 
         connection = duckdb.connect()
-        for table in ("documents", "embeddings", "pages"):
+        for table in ("documents", "embeddings", "pages", "benchmark"):
             connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
         columns = sorted(df.columns)
         want = connection.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
