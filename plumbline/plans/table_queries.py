@@ -313,8 +313,8 @@ h AS (SELECT *, last_value(CASE WHEN length(line) < 25 THEN line END IGNORE NULL
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, section FROM h""")
 def read_sections(spark, d):
     """Short lines stand for headings; each line carries the last one."""
-    lines = sections.lines_of(table(spark, d, "documents"), "doc_id", "text")
-    return sections.carried(lines, "doc_id", "line_no", F.when(F.length("line") < 25, F.col("line"))).select("doc_id", "line_no", "section")
+    found = sections.runs(table(spark, d, "documents"), "doc_id", "text", lambda line: F.length(line) < 25)
+    return found.select("doc_id", F.explode(F.sequence("first", "last")).alias("line_no"), F.col("head").alias("section"))
 
 
 @query(r"""
@@ -323,8 +323,8 @@ e AS (SELECT doc_id, line_no, sum(CASE WHEN ends_with(line, '.') THEN 1 ELSE 0 E
 SELECT doc_id, CAST(entry AS BIGINT) AS entry, count(*) AS lines FROM e GROUP BY 1, 2""")
 def continuation(spark, d):
     """Entries start at lines that end a sentence and own the lines up to the next."""
-    lines = sections.lines_of(table(spark, d, "documents"), "doc_id", "text")
-    return sections.islands(lines, "doc_id", "line_no", F.endswith("line", F.lit("."))).groupBy("doc_id", "entry").agg(F.count("*").alias("lines"))
+    found = sections.runs(table(spark, d, "documents"), "doc_id", "text", lambda line: F.endswith(line, F.lit(".")))
+    return found.select("doc_id", "entry", (F.col("last") - F.col("first") + 1).alias("lines"))
 
 
 # order, sets, ranges
@@ -405,11 +405,13 @@ def mat_digest(spark, d):
 
 
 @query(f"""
-WITH files AS (SELECT source AS tree, CAST(doc_id AS VARCHAR) AS name, sha256(text) AS digest FROM documents)
+WITH files AS (SELECT CASE WHEN doc_id % 8 = 0 THEN 'file ' || CAST(doc_id AS VARCHAR) ELSE 'tree ' || CAST(doc_id // 8 AS VARCHAR) END AS tree, CAST(doc_id AS VARCHAR) AS name, sha256(text) AS digest FROM documents)
 SELECT tree, CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(name || chr(0) || digest || chr(10), '' ORDER BY name)) END AS digest FROM files GROUP BY 1""")
 def artifact_digest(spark, d):
     """A single file's own digest, a tree's manifest digest."""
-    files = table(spark, d, "documents").select(F.col("source").alias("tree"), F.col("doc_id").cast("string").alias("name"), R.content_digest(F.col("text")).alias("digest"))
+    key = F.col("doc_id")
+    tree = F.when(key % 8 == 0, F.concat(F.lit("file "), key.cast("string"))).otherwise(F.concat(F.lit("tree "), F.floor(key / 8).cast("string")))
+    files = table(spark, d, "documents").select(tree.alias("tree"), F.col("doc_id").cast("string").alias("name"), R.content_digest(F.col("text")).alias("digest"))
     one = files.groupBy("tree").agg(F.count("*").alias("n"), F.min("digest").alias("only"))
     return counts.tree_digest(files, "tree", "name", "digest").join(one, "tree").select("tree", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("tree_digest")).alias("digest"))
 

@@ -94,5 +94,8 @@ def test_sections_islands_and_diffs(spark):
     carried = sections.carried(lines, "k", "line_no", F.when(F.startswith("line", F.lit("# ")), F.col("line"))).orderBy("line_no")
     assert [r.section for r in carried.collect()] == ["# a"] * 4 + ["# b"] * 2
     assert [r.entry for r in sections.islands(lines, "k", "line_no", F.startswith("line", F.lit("- "))).orderBy("line_no").collect()] == [0, 0, 1, 1, 1, 2]
+    texts = spark.createDataFrame([(1, "x\n- a\n  b\n\n- c"), (2, "- a"), (3, "x\ny"), (4, ""), (5, None), (6, "- a\n- b\n")], "k int, t string")
+    found = sections.runs(texts, "k", "t", lambda line: F.startswith(line, F.lit("- ")))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1, 1, None), (1, 1, 2, 4, "- a"), (1, 2, 5, 5, "- c"), (2, 1, 1, 1, "- a"), (3, 0, 1, 2, None), (4, 0, 1, 1, None), (6, 1, 1, 1, "- a"), (6, 2, 2, 3, "- b")]
     old, new = (spark.createDataFrame([(x,) for x in s], "line string") for s in ("aab", "abc"))
     assert {tuple(r) for r in sections.line_diff(old, new, "line").collect()} == {("a", "removed", 1), ("c", "added", 1)}
