@@ -15,6 +15,8 @@ class Refusal(Exception):
 @contextlib.contextmanager
 def single_writer(root: str):
     """The mine's lock. A second writer is refused, not queued; readers are never held up; a stale lock is for a human to remove."""
+    if "://" in root:
+        raise Refusal("mines are written on this machine only")
     place, nonce = os.path.join(root, ".writer-lock"), uuid.uuid4().hex
     try:
         os.mkdir(place)

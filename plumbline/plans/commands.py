@@ -11,7 +11,6 @@ import difflib
 import functools
 import itertools
 import json
-import os
 import re
 from collections import Counter
 
@@ -218,13 +217,12 @@ def single_checks(mine: Mine) -> list[DataFrame]:
     block = block_state(mine.text(POINTER)[0], mine.text(TEMPLATE)[0], BEGIN, END)
     if block not in ("none", "ok"):  # a stale pointer is no fault of the mine
         bad("CLAUDE-BLOCK-NOTEMPLATE" if block == "no-template" else "CLAUDE-BLOCK-STALE", POINTER, "", block, "warning")
-    for name in sorted(os.listdir(mine.place(truths_dir))):
-        if re.fullmatch(r"t\d+\.md", name) and os.path.isdir(mine.place(truths_dir, name)):
+    for name in mine.home.names(truths_dir):
+        if re.fullmatch(r"t\d+\.md", name) and mine.home.is_dir(truths_dir, name):
             bad("TRUTH-DIR", f"{truths_dir}/{name}", name.removesuffix(".md"))
-    documents = mine.place(mine.paths["documents"])
     finals = False
-    for doc in sorted(os.listdir(documents)):
-        own = os.listdir(os.path.join(documents, doc)) if os.path.isdir(os.path.join(documents, doc)) else []
+    for doc in mine.home.names(mine.paths["documents"]):
+        own = mine.home.names(mine.paths["documents"], doc)
         finals |= "final" in own or "final.md" in own
         if left := [x for x in own if x.startswith((".consecrate-in-flight", ".consecrate-backup"))]:
             bad("CONSEC-INTERRUPTED", f"{mine.paths['documents']}/{doc}", doc, left[0])
@@ -310,10 +308,10 @@ def config_findings(config: dict) -> list[tuple[str, str, str]]:
 def unread_reviews(mine: Mine) -> dict[str, str]:
     """Documents whose review is there but can't be read; it is unknown, not absent."""
     out = {}
-    for doc in sorted(os.listdir(mine.place(mine.paths["documents"]))):
-        place = mine.place(mine.paths["documents"], doc, "review.md")
-        if os.path.lexists(place) and not (os.path.isfile(place) and os.access(place, os.R_OK)):
-            out[doc] = "a folder" if os.path.isdir(place) else "unreadable"
+    documents = mine.paths["documents"]
+    for doc in mine.home.names(documents):
+        if "review.md" in mine.home.names(documents, doc) and not mine.home.can_read(documents, doc, "review.md"):
+            out[doc] = "a folder" if mine.home.is_dir(documents, doc, "review.md") else "unreadable"
     return out
 
 

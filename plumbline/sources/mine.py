@@ -1,4 +1,4 @@
-"""A mine as tables: materials, truths, documents and their ledgers, read from a folder.
+"""A mine as tables: materials, truths, documents and their ledgers, read from a folder or a URI.
 
 Executors read and parse the files; each file is read once, into one table of
 cards. The driver reads the few files that there is one of. Absent, unreadable
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..core import cards as C
 from ..core import registers, state
 from ..core.markdown import scan
+from .files import Local, Remote, folder
 
 SCHEMA_VERSION = 3
 PATHS = {"inbox": "inbox", "materials": "materials", "truths": "truths", "documents": "documents"}
@@ -67,6 +68,7 @@ def parse_config(text: str) -> dict[str, dict[str, str] | str]:
 class Mine:
     spark: SparkSession
     root: str
+    home: Local | Remote
     config: dict = field(default_factory=dict)
     project: C.Card = field(default_factory=C.Card)
     paths: dict[str, str] = field(default_factory=dict)
@@ -78,14 +80,8 @@ class Mine:
 
     def text(self, *parts: str) -> tuple[str | None, str]:
         """(text, state) of a file of which there is one: ok, absent, or unreadable."""
-        place = self.place(*parts)
-        if not os.path.lexists(place):
-            return None, "absent"
-        try:
-            with open(place, "rb") as f:
-                return f.read().decode("latin-1").encode("latin-1").decode("utf-8", "surrogateescape"), "ok"
-        except OSError:
-            return None, "unreadable"
+        content, read = self.home.read(*parts)
+        return (content.decode("utf-8", "surrogateescape") if content is not None else None), read
 
     @functools.cached_property
     def contract(self) -> tuple[dict[str, list[str]], list[tuple[str, str]]]:
@@ -166,7 +162,8 @@ def _classify(path: str, paths: dict[str, str]) -> tuple[str, str]:
 
 def open_mine(spark: SparkSession, root: str, version: int = SCHEMA_VERSION) -> Mine:
     """Reads a mine. Refuses one of another version, and one whose configured folders are not there."""
-    mine = Mine(spark, os.path.abspath(root))
+    home = folder(spark, root)
+    mine = Mine(spark, home.root, home)
     text, read = mine.text("config.yaml")
     if text is None:
         raise MineError("CONFIG-" + read.upper(), "config.yaml")
@@ -183,10 +180,10 @@ def open_mine(spark: SparkSession, root: str, version: int = SCHEMA_VERSION) ->
         raise MineError(code or "VERSION-MISMATCH", f"{reason or 'other'}: project {says or 'none'}, configuration {configured or 'none'}")
     own = mine.config.get("paths", {})
     mine.paths = {k: os.path.normpath(own.get(k, v)) for k, v in PATHS.items()} if isinstance(own, dict) else dict(PATHS)
-    for name, folder in mine.paths.items():
-        if not os.path.isdir(mine.place(folder)):
-            raise MineError("CFG-PATH-MISSING", f"{name}: {folder}")
-    prefix = "file:" + mine.root.rstrip("/") + "/"
+    for name, own in mine.paths.items():
+        if not home.is_dir(own):
+            raise MineError("CFG-PATH-MISSING", f"{name}: {own}")
+    prefix = home.prefix
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(mine.root)
     mine.files = found.select(F.substring(F.col("path"), len(prefix) + 1, 1_000_000).alias("path"), "content", "length")
     paths, opened = mine.paths, uuid.uuid4().hex

@@ -352,3 +352,12 @@ def test_pointer_block_warns_and_never_blocks(spark, root):
     put(root, "CLAUDE.md", block)
     os.unlink(os.path.join(root, "templates/claude-block.md"))
     assert warned() == ["CLAUDE-BLOCK-NOTEMPLATE"]
+
+
+def test_a_mine_by_its_uri(spark, root):
+    BREAKS["REVIEW-UNREADABLE"](root)
+    BREAKS["CONSEC-INTERRUPTED"](root)
+    here, there = verdict(spark, root), verdict(spark, "file://" + root)
+    assert here == there and here["result"] == "fail"
+    with pytest.raises(Refusal, match="on this machine"):
+        writers.alloc(open_mine(spark, "file://" + root), "truth")
