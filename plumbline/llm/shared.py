@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources import shared_dir, table
 
-__all__ = ["LOWER", "Rows", "ascii_lower", "dropped", "fresh_path", "pieces", "rows_where", "shared_dir", "stored", "table", "trimmed", "words_of"]
+__all__ = ["LOWER", "Rows", "ascii_lower", "deleted_at_exit", "dropped", "finished_folders", "fresh_path", "pieces", "placed", "rows_where", "shared_dir", "stored", "table", "trimmed", "words_of"]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -42,6 +42,23 @@ def _place(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> str:
+    """The path itself; its files go when the session's JVM ends."""
+    store, target = _place(spark, path)
+    store.deleteOnExit(target)
+    return path
+
+
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder whose writers finished."""
+    store, target = _place(spark, path)
+    if not store.exists(target):
+        return []
+    found = [f.getPath() for f in store.listStatus(target) if f.isDirectory()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return [f.getName() for f in found if store.exists(done(f, "_SUCCESS"))]
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes the files of stored() tables that nothing reads any more."""
     for df in frames:
@@ -51,6 +68,28 @@ def dropped(*frames: DataFrame) -> None:
             store.delete(target, True)
 
 
+def placed(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows with their place (long, from 0) in the order of all, without a task that sees them all.
+
+    Rows are dealt to ranges of the order and sorted there, so a row's number in
+    its task is its place in the range; the rows of each range, one number for
+    each task, give where it begins. Rows alike in the order may come in any, and
+    are dealt to several ranges if there are very many of them.
+    """
+    number, tie = f"__{name}_number", f"__{name}_tie"
+    ranged = rows.withColumn(tie, F.spark_partition_id()).repartitionByRange(*order, tie).sortWithinPartitions(*order).drop(tie)
+    own = stored(ranged.withColumn(number, F.monotonically_increasing_id()), name)
+    task = F.shiftright(number, 33)
+    counts = sorted(own.groupBy(task.alias("task")).agg(F.count("*")).collect())  # a row for each task
+    starts, before = [], 0
+    for at, n in counts:
+        starts.append((at, before))
+        before += n
+    begins = F.broadcast(rows.sparkSession.createDataFrame(starts, "__task int, __start long"))
+    in_range = F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+    return own.join(begins, task == F.col("__task"), "left").select(*rows.columns, (F.col("__start") + in_range).alias(name))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
