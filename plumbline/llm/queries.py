@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, line_dedup, near_vectors, ngram_join, packed_ids, packing, token_counts, toxicity, url_rules
+from . import decontamination, html_text, line_dedup, near_vectors, ngram_join, packed_ids, packing, resampling, sharding, spelling, token_counts, toxicity, url_rules
 from .shared import table
 
 
@@ -53,7 +53,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "batch_id", "batch_row")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_near_vectors, op4_line_dedup, op5_decontamination, op6_ngram_join, op7_toxicity, op8_url_filters, op9_token_ids, op10_packing)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_near_vectors, op4_line_dedup, op5_decontamination, op6_ngram_join, op7_toxicity, op8_url_filters, op9_token_ids, op10_packing, op11_spelling_variants, op12_importance_resampling, op13_virtual_slots)}
+
+#: crc32 in SQL: the look-up table from its polynomial, and the fold over the bytes of a string.
+CRC_TABLE = """bits(i, k, c) AS (
+    SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8)"""
+
+
+def crc32_sql(string: str) -> str:
+    """The unsigned crc32 of a string's bytes, where ``crc`` of CRC_TABLE is joined."""
+    steps = f"list_transform(regexp_extract_all(hex(encode({string})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce({steps}, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def lower_sql(string: str) -> str:
+    return f"translate({string}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 
 ORACLES = {
     "op3_near_vectors": """
@@ -129,4 +157,63 @@ WITH rules(rule_host, rule_path, rule_verdict) AS (
 )
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM ranked WHERE place = 1
 """,
+    "op11_spelling_variants": f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+    SELECT doc_id, unnest(regexp_extract_all({lower_sql('text')}, '[a-zÀ-ÿ]+')) AS run FROM documents
+), hashed AS (
+    SELECT run, times, {crc32_sql("doc_id || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 5 GROUP BY ALL), crc
+), written AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed
+), words AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM written WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM places),
+shorter AS (SELECT DISTINCT h.word, h.n, w.word AS other, w.n AS other_n FROM holes h JOIN words w ON w.word = h.head || h.tail),
+near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b USING (i, head, tail) WHERE a.word <> b.word
+    UNION ALL SELECT * FROM shorter UNION ALL SELECT other, other_n, word, n FROM shorter
+), best AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS form FROM near GROUP BY word
+), formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN form END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)
+), way(word, root) AS (SELECT word, word FROM formed UNION ALL SELECT way.word, f.form FROM way JOIN formed f ON f.word = way.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM formed f JOIN way ON way.word = f.word JOIN formed last ON last.word = way.root AND last.form IS NULL""",
+    "op12_importance_resampling": rf"""
+WITH RECURSIVE {CRC_TABLE}, texts AS (
+    SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), text FROM benchmark
+), cut AS (
+    SELECT side, doc_id, coalesce(regexp_extract_all({lower_sql('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts
+), runs AS (
+    SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM cut
+), named AS (SELECT f, {crc32_sql('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM runs), crc),
+found AS (SELECT side, doc_id, bucket FROM runs JOIN named USING (f)),
+tallies AS (
+    SELECT range AS bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM range(10000) LEFT JOIN found ON bucket = range GROUP BY range
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / ((s + 1) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM tallies
+), weights AS (
+    SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM found JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+    SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS fit,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+    FROM cut LEFT JOIN weights USING (doc_id) WHERE side = 'd'
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) FILTER (fit) OVER () * 25 // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= drawn THEN place END AS rank FROM ranked""",
+    "op13_virtual_slots": f"""
+WITH RECURSIVE {CRC_TABLE}, rows AS (
+    SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32 FROM documents, crc
+), hashed AS (SELECT *, CAST(CAST('0x' || substr(md5(doc_id || ':' || text_crc32), 1, 8) AS BIGINT) % 8192 AS INTEGER) AS virtual_slot FROM rows),
+slots AS (
+    SELECT virtual_slot, CAST(sum(size) AS BIGINT) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS k FROM hashed GROUP BY virtual_slot
+), dealt(k, virtual_slot, shard, loads) AS (
+    SELECT CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT), list_transform(range(24), lambda x: CAST(0 AS BIGINT))
+    UNION ALL
+    SELECT k, virtual_slot, shard, list_transform(loads, lambda x, i: CASE WHEN i = shard THEN x + bytes ELSE x END)
+    FROM (SELECT s.k, s.virtual_slot, s.bytes, d.loads, list_position(d.loads, list_min(d.loads)) AS shard FROM dealt d JOIN slots s ON s.k = d.k + 1)
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard - 1 AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, 1 AS map_version
+FROM hashed JOIN dealt USING (virtual_slot)""",
 }
