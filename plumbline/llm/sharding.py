@@ -72,8 +72,9 @@ def rebalanced(shards: list[int], sums: list[tuple[int, int, int]], n_shards: in
 
     Slots of shards that are no more go first. Then, while the fullest shard is
     over the mean by more than ``slack``, the largest of its slots whose move
-    makes the two more equal goes to the emptiest. A shard that is added is the
-    emptiest until it is full, so slots move into it alone. Empty slots follow
+    makes the two more equal goes to the emptiest; a shard that one slot fills
+    is left out of the mean. A shard that is added is the emptiest until it is
+    full, so slots move into it alone. Empty slots follow
     in the end, by number, to shards with fewer than their share.
     """
     out, size = list(shards), [0] * len(shards)
@@ -90,14 +91,18 @@ def rebalanced(shards: list[int], sums: list[tuple[int, int, int]], n_shards: in
         out[slot] = k
         own[k].append((-size[slot], slot))
         load[k] += size[slot]
-    most = sum(load) / n_shards * (1 + slack)
+    active = set(range(n_shards))
     for _ in range(2 * len(shards)):
-        full = max(range(n_shards), key=lambda k: (load[k], -k))
-        low = min(range(n_shards), key=lambda k: (load[k], k))
-        fits = [e for e in own[full] if -e[0] < load[full] - load[low]] if load[full] > most else []
-        if not fits:
+        full = max(active, key=lambda k: (load[k], -k))
+        low = min(active, key=lambda k: (load[k], k))
+        if load[full] <= sum(load[k] for k in active) / len(active) * (1 + slack):
             break
-        half = [e for e in fits if -2 * e[0] <= load[full] - load[low]]
+        gap = load[full] - load[low]
+        fits = [e for e in own[full] if -e[0] < gap]
+        if not fits:  # one slot fills it: the others are made equal without it
+            active.remove(full)
+            continue
+        half = [e for e in fits if -2 * e[0] <= gap]
         move = min(half) if half else max(fits)
         own[full].remove(move)
         own[low].append(move)
