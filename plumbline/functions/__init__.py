@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HEX64 = "^[0-9a-f]{64}$"
-ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+HEX64 = r"^[0-9a-f]{64}\z"
+ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 
@@ -15,7 +15,7 @@ def canon_id(text: Column) -> Column:
 
     Digits are handled as text, so ids of any length stay exact.
     """
-    letter, digits = F.regexp_extract(text, "^([tmc])[0-9]+$", 1), F.regexp_extract(text, "^[tmc]0*([0-9]+)$", 1)
+    letter, digits = F.regexp_extract(text, r"^([tmc])[0-9]+\z", 1), F.regexp_extract(text, r"^[tmc]0*([0-9]+)\z", 1)
     return F.when(letter != "", F.concat(letter, F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0"))))
 
 
@@ -31,7 +31,7 @@ def ws_normalize(text: Column) -> Column:
 
 def eol_lines(text: Column) -> Column:
     """Lines of a text; one CR before a line feed belongs to the line's end, a second one to the line."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\r$", ""))
+    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
 
 
 def is_binary(text: Column) -> Column:
@@ -45,7 +45,7 @@ def is_digest(text: Column) -> Column:
 
 def is_placeholder(value: Column) -> Column:
     """A value that is one brace group and nothing else."""
-    return F.coalesce(F.regexp_like(value, F.lit(r"^\{[^{}]*\}$")), F.lit(False))
+    return F.coalesce(F.regexp_like(value, F.lit(r"^\{[^{}]*\}\z")), F.lit(False))
 
 
 def field_problem(value: Column) -> Column:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import dropped, stored
+from ..sources import dropped, fresh_stored, stored
 
 #: Ids that a range may cover; a larger one covers nothing and is named.
 RANGE_CAP = 1_000
@@ -79,12 +79,13 @@ def groups(edges: DataFrame, a: str, b: str, shared: str, most_rounds: int = 50)
 def places(rows: DataFrame, name: str, order: list, shared: str) -> DataFrame:
     """Rows with their place (from 1) in the order of all, without a task that sees them all.
 
-    Rows are ranged by the order and numbered within each range; the ranges'
-    sizes, one number for each partition, give where each begins.
+    Rows are dealt to ranges of the order and sorted there, so a row's number in
+    its task is its place in the range; the ranges' sizes, one number for each
+    task, give where each begins.
     """
-    path = f"{shared}/places-{uuid.uuid4().hex}"
-    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    own = stored(ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(*order))), path)
-    sizes = own.groupBy("__range").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))
-    return own.join(F.broadcast(starts), "__range").select(*rows.columns, (F.col("__start") + F.col("__own")).cast("long").alias(name))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = fresh_stored(ranged.withColumn("__nth", F.monotonically_increasing_id()), shared, "places")
+    task, nth = F.shiftright("__nth", 33), F.col("__nth").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = own.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))
+    starts = sizes.select("__task", (F.sum("__n").over(Window.orderBy("__task")) - F.col("__n")).alias("__start"))  # a row for each task
+    return own.join(F.broadcast(starts), task == F.col("__task")).select(*rows.columns, (F.col("__start") + nth + 1).cast("long").alias(name))

@@ -7,9 +7,7 @@ what it has looked at.
 
 from __future__ import annotations
 
-import difflib
 import functools
-import itertools
 import json
 import re
 from collections import Counter
@@ -22,8 +20,9 @@ from ..core import registers as G
 from ..core import state as S
 from ..core.markdown import section
 from ..core.pointer import BEGIN, END, POINTER, TEMPLATE, block_state
-from ..operators import counts, ids, ledgers, lookup, references
+from ..operators import counts, diff, ids, ledgers, lookup, references
 from ..operators import registers as tables
+from ..sources import lines, shared_dir
 from ..sources.mine import DIAGNOSTIC, Mine, register
 
 TRUTH_KEYS = ("id", "claim", "source", "tags")
@@ -559,34 +558,53 @@ def status(mine: Mine) -> dict:
     return {"documents": {r.doc: r.stage for r in stage}, "materials": mine.family("material").count(), "queue": {o: sum(x[2] == o for x in items) for o in (*G.OWNERSHIP, "")}, "completeness": _completeness(mine)}
 
 
+VIEWS = ("index.md", "tree.md")
+
+
+def view_lines(mine: Mine) -> dict[str, DataFrame]:
+    """place, line of each generated view: one line for each card, and the cards under each of their tags."""
+    shared = shared_dir(mine.spark)
+    rows = labels(mine)
+    label = F.when(F.coalesce(F.col("label"), F.lit("")) != "", F.concat(F.lit(" ·· "), "label")).otherwise("")
+    index = F.concat(F.lit("- "), "id", F.lit(": "), F.coalesce("claim", F.lit("None")), F.lit(" ["), F.coalesce("source", F.lit("None")), F.lit("] — ["), F.array_join("tags", ", "), F.lit("]"), label)
+    members = ids.tag_tree(mine.truths, "id", "tags").join(rows.select(F.col("id").alias("member"), "claim"), "member")
+    of = lambda part, line: F.struct(F.lit(part).alias("part"), line.alias("line"))
+    heads = members.select("tag").distinct().select("tag", F.lit("").alias("member"), F.explode(F.array(of(0, F.concat(F.lit("## "), "tag")), of(1, F.lit("")), of(3, F.lit("")))).alias("x"))
+    tree = heads.unionByName(members.select("tag", "member", of(2, F.concat(F.lit("- "), "member", F.lit(": "), F.coalesce("claim", F.lit("None")))).alias("x"))).select("tag", F.col("x.part").alias("part"), "member", F.col("x.line").alias("line"))
+    return {
+        "index.md": ids.places(rows.select("id", index.alias("line")), "place", ["id"], shared).select("place", "line"),
+        "tree.md": ids.places(tree, "place", ["tag", "part", "member"], shared).select("place", "line"),
+    }
+
+
 def views(mine: Mine) -> tuple[str, str]:
-    """The generated index and tag tree."""
-    rows = labels(mine).orderBy("id").collect()
-    index = "".join(f"- {r.id}: {r.claim} [{r.source}] — [{', '.join(r.tags)}]" + (f" ·· {r.label}" if r.label else "") + "\n" for r in rows)
-    claims = {r.id: r.claim for r in rows}
-    tree = itertools.groupby(ids.tag_tree(mine.truths, "id", "tags").orderBy("tag", "member").collect(), lambda r: r.tag)
-    return index, "".join(f"## {tag}\n\n" + "".join(f"- {r.member}: {claims[r.member]}\n" for r in own) + "\n" for tag, own in tree)
+    """The generated index and tag tree as texts, to be printed or written."""
+    made = view_lines(mine)
+    return tuple("".join(r.line + "\n" for r in made[name].orderBy("place").collect()) for name in VIEWS)
+
+
+def view_scripts(mine: Mine) -> dict[str, DataFrame]:
+    """For each view the edit script from the stored file to the generated lines; ends of lines may be either kind."""
+    shared, out = shared_dir(mine.spark), {}
+    for name, made in view_lines(mine).items():
+        if mine.home.state(mine.paths["truths"], name) == "ok":
+            found = lines.numbered_lines(mine.spark, mine.home.uri(mine.paths["truths"], name))
+            stored = found.select(F.col("line_no").alias("place"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+        else:
+            stored = made.where("false")
+        out[name] = diff.edit_script(stored, made, "place", "line", shared)
+    return out
 
 
 def reindex_diff(mine: Mine) -> dict[str, list[str]]:
     """For each view the lines of the difference between the stored one and the generated one; none where they are equal."""
-    out = {}
-    for name, text in zip(("index.md", "tree.md"), views(mine)):
-        stored, _ = mine.text(mine.paths["truths"], name)
-        out[name] = list(difflib.unified_diff((stored or "").splitlines(), text.splitlines(), f"{name} (stored)", f"{name} (generated)", n=1, lineterm=""))
-    return out
+    order = ["kept_before", F.desc("change"), "place"]
+    return {name: diff.normal_format(tuple(r) for r in script.orderBy(*order).toLocalIterator()) for name, script in view_scripts(mine).items()}
 
 
 def reindex_check(mine: Mine) -> dict[str, int]:
     """For each view the number of lines by which the stored one differs."""
-    from ..operators.sections import line_diff
-
-    out = {}
-    for name, text in zip(("index.md", "tree.md"), views(mine)):
-        stored, _ = mine.text(mine.paths["truths"], name)
-        old, new = (mine.spark.createDataFrame([(x,) for x in (t or "").splitlines()], "line string") for t in (stored, text))
-        out[name] = line_diff(old, new, "line").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return out
+    return {name: script.count() for name, script in view_scripts(mine).items()}
 
 
 def ghosts(mine: Mine) -> list[str]:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as R
-from ..operators import counts, ids, ledgers, lookup, references, registers, sections
-from ..sources import shared_dir, table
+from ..operators import counts, diff, ids, ledgers, lookup, references, registers, sections
+from ..sources import fresh_path, lines, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -247,6 +247,31 @@ def tree_digest(spark, d):
 # ledgers and windows
 
 
+@query(r"""
+WITH e AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 2 ELSE 1 END AS n_lines FROM events),
+placed AS (SELECT *, sum(n_lines) OVER (ORDER BY event_id) AS row_ord FROM e)
+SELECT CAST(row_ord AS BIGINT) AS row_ord, 't' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') AS id,
+       event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AS fit,
+       event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_type IN ('click', 'view') AS known,
+       CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_type IN ('click', 'view') THEN CASE event_type WHEN 'click' THEN 'verified' ELSE 'failed' END END AS word
+FROM placed""")
+def read_tsv_ledger(spark, d):
+    """A ledger that events wrote, with comments, CRLF ends, extra fields, control characters and days that are none."""
+    e = table(spark, d, "events")
+    odd = lambda n: F.col("event_id") % n == 0
+    word = F.when(F.col("event_type") == "click", "verified").when(F.col("event_type") == "view", "failed").otherwise("verifed")
+    note = F.when(odd(13), F.lit("a\x01b")).otherwise(F.lit("standard"))
+    day = F.when(odd(17), "2024-02-30").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    row = F.concat(F.concat_ws("\t", F.concat(F.lit("t"), F.col("user_id")), F.lit("-"), word, F.lit("1"), note, day), F.when(odd(11), "\t").otherwise(""), F.when(odd(2), "\r").otherwise(""))
+    text = F.concat(F.when(odd(50), "# more\tof\tit\n").otherwise(""), row)
+    place = fresh_path(spark, "ledger")
+    e.repartitionByRange("event_id").sortWithinPartitions("event_id").select(text.alias("value")).write.text(place)
+    rows, state = lines.read_ledger(spark, place, lines.VERDICTS)
+    if state != "ok":
+        raise ValueError(state)
+    return rows.select("row_ord", "id", "fit", "known", "word")
+
+
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def last_row_wins(spark, d):
     return ledgers.last_row_wins(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "ts", "event_id").drop("ts")
@@ -388,6 +413,38 @@ def reindex_check(spark, d):
     return sections.line_diff(part.where("p_size < 40").select(line), part.where("p_size > 3").select(line), "line")
 
 
+EVENT_VIEWS_SQL = """
+WITH old AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, event_id || ' ' || event_type AS line FROM events WHERE event_id % 7 <> 0),
+new AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, event_id || ' ' || event_type AS line FROM events WHERE event_id % 5 <> 0)"""
+
+
+@query(f"""{EVENT_VIEWS_SQL}, kept AS (SELECT event_id FROM old JOIN new USING (event_id)),
+changes AS (
+    SELECT 'removed' AS change, event_id, place, line FROM old WHERE event_id NOT IN (FROM kept)
+    UNION ALL SELECT 'added', event_id, place, line FROM new WHERE event_id NOT IN (FROM kept))
+SELECT change, place, (SELECT count(*) FROM kept WHERE kept.event_id < changes.event_id) AS kept_before, line FROM changes""")
+def line_diff(spark, d):
+    """The edit script between two views of events; lines stand once, so there is one shortest script."""
+    e, shared = table(spark, d, "events"), shared_dir(spark)
+    line = F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("event_type")).alias("line")
+    view = lambda n: ids.places(e.where(F.col("event_id") % n != 0).select("event_id", line), "place", ["event_id"], shared)
+    return diff.edit_script(view(7), view(5), "place", "line", shared)
+
+
+@query("""
+WITH keyed AS (SELECT *, l_orderkey % 10 = 3 AS moved, concat_ws('/', l_returnflag, l_linestatus, l_linenumber, l_suppkey % 5) AS line FROM lineitem WHERE l_partkey % 6 <> 0)
+SELECT row_number() OVER (ORDER BY moved, l_orderkey, l_linenumber, l_partkey, l_suppkey, line) AS place, line FROM keyed""")
+def line_diff_replayed(spark, d):
+    """The view that the script makes of another: lines that stand thousands of times, an order with stretches moved, rows gone and new."""
+    rows, shared = table(spark, d, "lineitem"), shared_dir(spark)
+    line = F.concat_ws("/", "l_returnflag", "l_linestatus", "l_linenumber", F.col("l_suppkey") % 5).alias("line")
+    keyed = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_orderkey") % 10 == 3).alias("moved"), line)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "line"]
+    old = ids.places(keyed.where("l_partkey % 7 <> 0"), "place", order, shared).select("place", "line")
+    new = ids.places(keyed.where("l_partkey % 6 <> 0"), "place", ["moved", *order], shared).select("place", "line")
+    return diff.replayed(old, diff.edit_script(old, new, "place", "line", shared), "place", "line", shared)
+
+
 # scalars
 
 
@@ -629,7 +686,7 @@ def alloc(spark, d):
 
 
 @query("""
-WITH e AS (SELECT event_id, 'c' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(3, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') AS id, 't' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') AS t, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events)
+WITH e AS (SELECT event_id, 'c' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(3, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') AS id, 't' || lpad(CAST(user_id AS VARCHAR), CAST(CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER) AS INTEGER), '0') AS t, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events)
 SELECT event_id, '{' || chr(10) || '  "version": 1,' || chr(10) || '  "open": [' || chr(10) || '    {' || chr(10) || '      "id": "' || id || '",' || chr(10) || '      "targets": [' || chr(10) || '        "' || t || '"' || chr(10) || '      ],' || chr(10)
   || '      "candidates": [' || chr(10) || '        {' || chr(10) || '          "claim": "' || event_type || '",' || chr(10) || '          "source": "m001"' || chr(10) || '        }' || chr(10) || '      ],' || chr(10)
   || '      "created": "' || day || '"' || CASE WHEN event_type = 'error' THEN ',' || chr(10) || '      "note": "error"' ELSE '' END || chr(10) || '    }' || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS store FROM e""")
@@ -639,7 +696,7 @@ def canonical_serialization(spark, d):
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'CONF-CREATED' ELSE '' END AS refused, CASE WHEN event_id % 9 = 0 THEN NULL ELSE 't' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') END AS target,
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'CONF-CREATED' ELSE '' END AS refused, CASE WHEN event_id % 9 = 0 THEN NULL ELSE 't' || lpad(CAST(user_id AS VARCHAR), CAST(CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER) AS INTEGER), '0') END AS target,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS claim FROM events""")
 def conflict_list(spark, d):
     """The open entries of stores, and why a store is refused as a whole."""

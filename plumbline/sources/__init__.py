@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,19 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    store, target = _place(spark, path)
+    store.deleteOnExit(target)
+    return path
+
+
+def fresh_stored(df: DataFrame, shared: str, name: str) -> DataFrame:
+    """The rows of df, written to a new folder under ``shared`` and read back."""
+    return stored(df, f"{shared}/{name}-{uuid.uuid4().hex}")
+
+
 def _place(spark: SparkSession, path: str):
     """The file system of a path, and the path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

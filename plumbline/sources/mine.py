@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..core import cards as C
 from ..core import registers, state
 from ..core.markdown import scan
+from . import lines
 from .files import Local, Remote, folder
 
 SCHEMA_VERSION = 3
@@ -74,6 +75,7 @@ class Mine:
     paths: dict[str, str] = field(default_factory=dict)
     files: DataFrame | None = None
     cards: DataFrame | None = None
+    ledgers: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)
 
     def place(self, *parts: str) -> str:
         return os.path.join(self.root, *parts)
@@ -109,27 +111,21 @@ class Mine:
         return self.family("plan").select("path", F.col("unit").alias("doc"), "state", "fields", "lists", F.coalesce(F.col("lists")["cited_truths"], F.array()).alias("cited"))
 
     def verify_rows(self) -> tuple[DataFrame, str]:
-        text, read = self.text(self.paths["truths"], "verify-ledger.tsv")
-        return self._ledger(text, read, 6, state.verify_row_ok, ["id", "digest", "word", "round", "standard", "day"], state.VERDICTS)
+        return self._ledger("truths", "verify-ledger.tsv", lines.VERDICTS)
 
     def intake_rows(self) -> tuple[DataFrame, str]:
-        text, read = self.text(self.paths["materials"], "intake-ledger.tsv")
-        return self._ledger(text, read, 7, state.intake_row_ok, ["id", "source_digest", "word", "sources", "copy_digest", "note", "day"], state.DECLARATIONS)
-
-    def _ledger(self, text, read, columns, fit, names, words) -> tuple[DataFrame, str]:
-        """Rows in append order; word is null where the row is no evidence. A voided ledger has no rows."""
-        rows, found = [], read
-        if text is not None:
-            parsed, found = state.ledger_rows(text, columns)
-            for number, values, grammar in parsed:
-                ok = fit(values, grammar) if len(values) == columns else False
-                values = (values + [None] * columns)[:columns]
-                known = ok and values[2] in words
-                rows.append((number, state.canon_id(values[0] or "") or values[0], *values[1:2], values[2] if known else None, *values[3:], bool(ok), bool(known)))
-        if found in ("headless", "torn"):
-            rows = []
-        schema = ", ".join(["row_ord long", *(f"{n} string" for n in names), "fit boolean", "known boolean"])
-        return self.spark.createDataFrame(rows, schema), found
+        return self._ledger("materials", "intake-ledger.tsv", lines.DECLARATIONS)
+
+    def _ledger(self, family: str, name: str, grammar: lines.Grammar) -> tuple[DataFrame, str]:
+        """Rows in append order; word is null where the row is no evidence. A ledger that is voided, absent or unreadable has no rows."""
+        if name not in self.ledgers:
+            read = self.home.state(self.paths[family], name)
+            if read == "ok":
+                self.ledgers[name] = lines.read_ledger(self.spark, self.home.uri(self.paths[family], name), grammar)
+            else:
+                schema = ", ".join(["row_ord long", *(f"{n} string" for n in grammar.names), "fit boolean, known boolean"])
+                self.ledgers[name] = self.spark.createDataFrame([], schema), read
+        return self.ledgers[name]
 
     def lines_table(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
