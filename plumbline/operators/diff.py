@@ -39,6 +39,10 @@ def edit_script(old: DataFrame, new: DataFrame, place: str, line: str, shared: s
     moved further may be in it that a longer chain had kept.
     """
     old, new = (v.select(F.col(place).cast("long").alias("place"), F.col(line).alias("line")) for v in (old, new))
+    part = old.join(new.withColumnRenamed("line", "other"), "place", "full_outer").where("NOT coalesce(line = other, false)").agg(F.min("place")).first()[0]
+    if part is None:  # equal views
+        return _change(old.where("false").withColumn("gap", F.lit(0).cast("long")), "removed")
+    old, new = (fresh_stored(v.where(F.col("place") >= part), shared, "view") for v in (old, new))  # what comes before the first difference stays
     once = _once(old).select("line", F.col("place").alias("i")).join(_once(new).select("line", F.col("place").alias("j")), "line").select("i", "j")
     kept = rising(once, shared, most_runs)
     left_old, left_new = _left(old, kept, "i", shared), _left(new, kept, "j", shared)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as R
+from . import fresh_stored, shared_dir
 
 #: Characters that a field can't hold; tabs and line feeds part fields and lines.
 CONTROL = r"[\x00-\x08\x0B-\x1F\x7F]"
@@ -102,7 +103,7 @@ def read_ledger(spark: SparkSession, path: str, grammar: Grammar) -> tuple[DataF
     a row has no id. Either voids the ledger: it then has no rows, as any of them
     could have been the last of its id. A word that is no evidence is null.
     """
-    rows = ledger_rows(numbered_lines(spark, path), grammar)
+    rows = fresh_stored(ledger_rows(numbered_lines(spark, path), grammar), shared_dir(spark), "ledger-rows")
     headless, torn = not rows.where("headless").isEmpty(), not unended(spark, path).isEmpty()
     state = "headless" if headless else "torn" if torn else "ok"
     word = F.when(F.col("known"), F.col(grammar.word)).alias(grammar.word)
