@@ -81,16 +81,31 @@ def replace_all(changes: dict[str, bytes], move=os.replace) -> None:
 
 
 def append_lines(place: str, lines: list[str], header: str = "", write=None) -> None:
-    """Appends whole lines or nothing; refuses a file whose last line has no end."""
-    data = b""
-    if os.path.lexists(place):
-        if not os.path.isfile(place):
-            raise Refusal(f"{place} is no file")
-        with open(place, "rb") as f:
-            data = f.read()
-        if data and not data.endswith(b"\n"):
-            raise Refusal(f"{place} ends in a torn line")
-    else:
-        data = header.encode()
+    """Appends whole lines or nothing; refuses a file whose last line has no end. What was there is not read or written again.
+
+    If a write lands in part, the file is cut back to its old size, and that it
+    is so long again is made sure of. ``write(file, data)`` does the writing.
+    """
     new = "".join(line + "\n" for line in lines).encode("utf-8", "surrogateescape")
-    (write or replace_all)({place: data + new})
+    if not os.path.lexists(place):
+        replace_all({place: header.encode() + new})
+        return
+    if not os.path.isfile(place):
+        raise Refusal(f"{place} is no file")
+    with open(place, "r+b", buffering=0) as f:
+        size = f.seek(0, os.SEEK_END)
+        if size:
+            f.seek(size - 1)
+            if f.read(1) != b"\n":
+                raise Refusal(f"{place} ends in a torn line")
+        try:
+            done = (write or (lambda file, data: file.write(data)))(f, new)
+            if done != len(new):
+                raise OSError(f"{done} of {len(new)} bytes were written to {place}")
+            os.fsync(f.fileno())
+        except BaseException as e:
+            f.truncate(size)
+            os.fsync(f.fileno())
+            if os.fstat(f.fileno()).st_size != size:
+                raise Refusal(f"{place} could not be rolled back to {size} bytes") from e
+            raise Refusal(f"{place} was rolled back: {e}") from e

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def buckets(rows: DataFrame, bucket: str, names: list[str], other: str | None = None) -> DataFrame:
@@ -38,12 +42,33 @@ def coverage(population: DataFrame, key: str, covered: DataFrame, covered_key: s
 def tree_digest(rows: DataFrame, tree: str, name: str, digest: str) -> DataFrame:
     """tree, tree_digest: SHA-256 over the lines name NUL digest LF in the byte order of the names.
 
-    The digest is of one sequence, so a tree's names and digests come together in
-    one task: about 100 bytes for each file of one artifact.
+    A tree's rows come to one task in that order and are hashed as they come, so
+    a tree of any number of files takes the memory of one batch. Names that a
+    tree has twice follow each other by digest; a row without a name or a digest
+    adds nothing.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(digest).alias("digest"))))
-    lines = F.transform(listed, lambda x: F.concat(x["name"], F.lit("\x00"), x["digest"], F.lit("\n")))
-    return rows.groupBy(tree).agg(F.sha2(F.array_join(lines, ""), 256).alias("tree_digest"))
+    listed = rows.select(F.col(tree), F.col(name).cast("string").alias("__name"), F.col(digest).cast("string").alias("__digest"))
+
+    def hashed(batches):
+        now, state, kind = None, None, None
+        for batch in batches:
+            kind, done = batch.column(0).type, []
+            for key, own, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or key != now:
+                    if state is not None:
+                        done.append((now, state.hexdigest()))
+                    now, state = key, hashlib.sha256()
+                if own is not None and value is not None:
+                    state.update(f"{own}\0{value}\n".encode())
+            yield _digests(done, kind)
+        if state is not None:
+            yield _digests([(now, state.hexdigest())], kind)
+
+    def _digests(done, kind):
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done], pa.string())], names=[tree, "tree_digest"])
+
+    schema = StructType([listed.schema[tree], StructField("tree_digest", StringType())])
+    return listed.repartition(tree).sortWithinPartitions(tree, "__name", "__digest").mapInArrow(hashed, schema)
 
 
 def conservation(rows: DataFrame, disposition: str, known: list[str]) -> DataFrame:

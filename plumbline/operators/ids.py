@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -25,6 +26,35 @@ def bad_ranges(rows: DataFrame, lo: str, hi: str, cap: int = RANGE_CAP) -> DataF
     return rows.withColumn("why", why).where("why IS NOT NULL")
 
 
+def in_ranges(points: DataFrame, point: str, ranges: DataFrame, lo: str, hi: str, *keys: str, cap: int = RANGE_CAP) -> DataFrame:
+    """The rows of points whose number lies in a range of their keys, each once; reversed ranges and those over the cap hold nothing.
+
+    Numbers are parted into cells as wide as the cap, so a range lies in one cell
+    or two. The ranges of a cell are merged to disjoint ones, of which a cell
+    holds half the cap at most, whatever the number of ranges; a point meets the
+    one row of its cell. No range is expanded. Null numbers and keys match nothing.
+    """
+    cell = lambda c: F.floor(c / cap).cast("long")
+    fit = ranges.where((F.col(hi) >= F.col(lo)) & (F.col(hi) - F.col(lo) < cap))
+    cells = fit.select(*keys, F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.explode(F.array_distinct(F.array(cell(F.col(lo)), cell(F.col(hi))))).alias("__cell"))
+    cut = cells.select(*keys, "__cell", F.greatest("__lo", F.col("__cell") * cap).alias("__lo"), F.least("__hi", (F.col("__cell") + 1) * cap - 1).alias("__hi"))
+    furthest = cut.groupBy(*keys, "__cell", "__lo").agg(F.max("__hi").alias("__hi"))  # a row for each number of a cell at most
+    listed = furthest.groupBy(*keys, "__cell").agg(F.array_sort(F.collect_list(F.struct(F.col("__lo").alias("lo"), F.col("__hi").alias("hi")))).alias("__all"))
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+
+    def merge(had, x):
+        last = F.element_at(had, -1)
+        joined = F.concat(F.slice(had, F.lit(1), F.size(had) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))))
+        return F.when((F.size(had) > 0) & (x["lo"] <= F.try_element_at(had, F.lit(-1))["hi"] + 1), joined).otherwise(F.concat(had, F.array(x)))
+
+    merged = listed.select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__cell", F.aggregate("__all", none, merge).alias("__all"))
+    same = [F.col(k) == F.col(f"__key_{k}") for k in keys]
+    placed = points.withColumn("__at", cell(F.col(point)))
+    held = F.exists("__all", lambda r: (r["lo"] <= F.col(point)) & (F.col(point) <= r["hi"]))
+    joined = placed.join(merged, functools.reduce(lambda a, b: a & b, same, F.col("__at") == F.col("__cell")))
+    return joined.where(held).select(*points.columns)
+
+
 def counters_behind(observed: DataFrame, namespace: str, number: str, counters: DataFrame, next_: str = "next") -> DataFrame:
     """Namespaces whose next number is not above all observed ones."""
     top = observed.groupBy(namespace).agg(F.max(number).alias("observed"))

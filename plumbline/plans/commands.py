@@ -8,6 +8,7 @@ what it has looked at.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 from collections import Counter
@@ -337,14 +338,15 @@ def artifact_digests(mine: Mine, family: str) -> DataFrame:
 
 
 def context_digests(mine: Mine) -> DataFrame:
-    """doc, context_digest: a manifest of the cited cards, their sources' copies and the configuration."""
+    """doc, context_digest: a manifest of the cited cards, their sources' copies, the configuration and the schema."""
     cited = mine.plans.select("doc", F.explode("cited").alias("raw")).select("doc", R.canon_id(F.col("raw")).alias("t")).distinct()
     truths = cited.join(mine.truths.select(F.col("id").alias("t"), "source", F.col("digest").alias("d")), "t")
     parts = truths.select("doc", F.concat(F.lit("truth "), F.col("t")).alias("name"), F.col("d").alias("digest"))
     copies = mine.materials.select(F.col("id").alias("source"), "copy_digest")
     parts = parts.unionByName(truths.select("doc", "source").distinct().join(copies, "source").select("doc", F.concat(F.lit("material "), F.col("source")).alias("name"), F.col("copy_digest").alias("digest")))
-    config, _ = mine.text("config.yaml")
-    parts = parts.unionByName(mine.plans.select("doc", F.lit("config").alias("name"), F.sha2(F.lit(config or ""), 256).alias("digest")))
+    for name, file in (("config", "config.yaml"), ("schema", "schema")):
+        text, _ = mine.text(file)
+        parts = parts.unionByName(mine.plans.select("doc", F.lit(name).alias("name"), F.lit(hashlib.sha256((text or "").encode("utf-8", "surrogateescape")).hexdigest()).alias("digest")))
     return counts.tree_digest(parts, "doc", "name", "digest").withColumnRenamed("tree_digest", "context_digest")
 
 
@@ -454,7 +456,8 @@ def scope(mine: Mine) -> DataFrame:
     if not spans:
         return judged
     table = mine.lines_table(spans, "letter string, lo long, hi long")
-    old = ids.expand_ranges(table, "lo", "hi").select(R.canon_id(F.concat("letter", F.col("n").cast("string"))).alias("old")).distinct()
+    numbered = units.select(F.col("id").alias("old"), F.substring("id", 1, 1).alias("letter"), F.substring("id", 2, 100).alias("digits")).where(F.length("digits") <= 15)
+    old = ids.in_ranges(numbered.withColumn("n", F.col("digits").cast("long")), "n", table, "lo", "hi", "letter").select("old").distinct()
     old = references.unresolved(old, "old", rows, "id").withColumn("legacy", F.lit(True))
     joined = judged.join(old, F.col("id") == F.col("old"), "left")
     return joined.select("family", "id", F.when(F.col("legacy") & (F.col("family") == "truth") & (F.col("evidence") == "unverified"), "legacy-unbound").otherwise(F.col("evidence")).alias("evidence"))
@@ -631,7 +634,6 @@ def quotations(mine: Mine) -> DataFrame:
 
 def fingerprint() -> str:
     """A digest over this package's own files."""
-    import hashlib
     from pathlib import Path
 
     home = Path(__file__).resolve().parent.parent

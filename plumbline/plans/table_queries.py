@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as R
+from ..commit import parts
 from ..operators import counts, diff, ids, ledgers, lookup, references, registers, sections
 from ..sources import fresh_path, lines, shared_dir, table
 
@@ -272,6 +273,23 @@ def read_tsv_ledger(spark, d):
     return rows.select("row_ord", "id", "fit", "known", "word")
 
 
+@query(r"""
+WITH e AS (SELECT *, row_number() OVER (ORDER BY event_id % 3, event_id) AS row_ord FROM events)
+SELECT row_ord, 't' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(3, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') AS id,
+       CASE event_type WHEN 'click' THEN 'verified' ELSE 'failed' END AS word, CAST(event_id AS VARCHAR) AS round FROM e""")
+def append_ledger(spark, d):
+    """A ledger that three appends of many rows wrote, read in append order."""
+    e, place = table(spark, d, "events"), fresh_path(spark, "ledger")
+    word = F.when(F.col("event_type") == "click", "verified").otherwise("failed")
+    rows = e.select("event_id", F.concat(F.lit("t"), F.col("user_id")).alias("id"), F.lit("-").alias("digest"), word.alias("word"), F.col("event_id").alias("round"), F.lit("standard").alias("standard"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    for part in range(3):
+        parts.append_rows(rows.where(F.col("event_id") % 3 == part), place, list(lines.VERDICTS.names), ["event_id"])
+    found, state = lines.read_ledger(spark, f"{place}/{parts.PARTS}", lines.VERDICTS)
+    if state != "ok":
+        raise ValueError(state)
+    return found.select("row_ord", "id", "word", "round")
+
+
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def last_row_wins(spark, d):
     return ledgers.last_row_wins(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "ts", "event_id").drop("ts")
@@ -398,6 +416,12 @@ def range_expand(spark, d):
     return ids.expand_ranges(_ranges(spark, d), "lo", "hi").select("s_suppkey", "n")
 
 
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE EXISTS (SELECT 1 FROM {RANGES_SQL} WHERE hi >= lo AND hi - lo < 1000 AND l_partkey BETWEEN lo AND hi)")
+def range_members(spark, d):
+    """Rows whose number lies in a range, with no range expanded."""
+    return ids.in_ranges(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", _ranges(spark, d), "lo", "hi")
+
+
 @query(f"SELECT s_suppkey, CASE WHEN hi < lo THEN 'reversed' ELSE 'over-cap' END AS why FROM {RANGES_SQL} WHERE hi < lo OR hi - lo >= 1000")
 def range_named(spark, d):
     return ids.bad_ranges(_ranges(spark, d), "lo", "hi").select("s_suppkey", "why")

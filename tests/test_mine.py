@@ -310,6 +310,12 @@ def test_lock_guard_and_append(tmp_path):
         f.write("torn")
     with pytest.raises(Refusal):
         append_lines(place, ["d"])
+    place = os.path.join(root, "n.tsv")
+    append_lines(place, ["a"])
+    for fault in (lambda f, data: f.write(data[:3]), lambda f, data: f.write(data[:3]) and f.fail()):
+        with pytest.raises(Refusal, match="rolled back"):
+            append_lines(place, ["bb", "cc"], write=fault)
+        assert open(place).read() == "a\n"
     with pytest.raises(IsADirectoryError):
         replace_all({os.path.join(root, "a"): b"1", root: b"2"})
     assert not os.path.exists(os.path.join(root, "a"))
