@@ -17,6 +17,10 @@ COMMENT = re.compile(r"^\s*<!--\s*" + re.escape(KEYWORD) + r"(?=[\s-])(.*?)-->\s
 PAIR = re.compile(r'([a-z]+)=("[^"]*"|[^\s"]*)')
 QUOTED = re.compile(r"^ {0,3}>")
 NESTED = re.compile(r"^ {0,3}>[ \t]?\s*(?:>|[-*+] |\d+[.)] )|^\s*(?:[-*+]|\d+[.)])\s+>")
+#: What ends a quotation besides a blank line: a heading, a list, a fence, a rule, a comment.
+BOUNDARY = re.compile(r"^ {0,3}(?:#{1,6}(?:[ \t]|$)|[-*+](?:[ \t]|$)|\d+[.)](?:[ \t]|$)|`{3}|~{3}|(?:[-*_][ \t]*){3,}$|<!--)")
+#: Structure that hides all that follows it.
+UNENDED = {"unterminated-fence": "QUOTE-UNTERMINATED-FENCE", "unterminated-comment": "QUOTE-UNTERMINATED-COMMENT"}
 
 
 @dataclass
@@ -77,10 +81,12 @@ def read_marker(text: str) -> Marker | None:
 def spans(text: str) -> list[Span]:
     """All quotations of a text outside fences, marked or not, and markers without one.
 
-    Quotations inside lists or other quotations are not supported, and nothing
-    in a file that has one is judged.
+    Quotations inside lists or other quotations are not supported, nor are those
+    that the next line goes on without a mark of its own, and fences and comments
+    that never end; nothing in a file that has one is judged.
     """
-    lines = scan(text).lines
+    scanned = scan(text)
+    lines = scanned.lines
     offsets, at = [], 0
     for raw in text.split("\n"):
         offsets.append(at)
@@ -114,6 +120,12 @@ def spans(text: str) -> list[Span]:
                 span.state, span.codes = "malformed-marker", sorted(set(marker.errors))
             elif not span.text.strip():
                 span.state, span.codes = "empty", ["QUOTE-EMPTY"]
+            lazy = i
+            while i < len(lines) and lines[i].context == "text" and lines[i].live.strip() and not (BOUNDARY.match(lines[i].live) or read_marker(lines[i].raw)):
+                i += 1
+            if i > lazy:  # a reader sees these lines in the quotation
+                span.state, span.codes = "unsupported-structure", ["QUOTE-LAZY-CONTINUATION"]
+                span.end = offsets[i - 1] + len(lines[i - 1].raw)
             out.append(span)
             marker = None
             continue
@@ -123,6 +135,9 @@ def spans(text: str) -> list[Span]:
         i += 1
     if marker:
         out.append(Span(marked, offsets[marked - 1], offsets[marked - 1] + len(lines[marked - 1].raw), "", marker.attrs, "empty", ["QUOTE-MARKER-ORPHAN"]))
+    for number, problem in scanned.problems:
+        if problem in UNENDED and number <= len(lines):
+            out.append(Span(number, offsets[number - 1], len(text), "", {}, "unsupported-structure", [UNENDED[problem]]))
     if any(s.state == "unsupported-structure" for s in out):
         for s in out:
             if not s.state:

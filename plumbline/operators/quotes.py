@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.quotes import spans
@@ -46,30 +46,45 @@ def quote_spans(materials: DataFrame) -> DataFrame:
 
 
 def judged(spans_: DataFrame, raw: DataFrame) -> DataFrame:
-    """Spans with their final state, one of nine.
+    """Spans with their final state, one of nine, and where they stand: at and size, bytes of the source file.
 
     A quotation is sealed if its bytes, white space aside, stand in the source as
-    one block. A source file may be left out only where the material has one.
-    Binary sources can't seal; with mode not-checkable they leave a debt.
+    one block; its first place there is given, before white space is normalised.
+    A source file may be left out only where the material has one. A material
+    with a file that only looks like a source proves nothing. Binary sources
+    can't seal; with mode not-checkable they leave a debt. entry_digest is that of
+    the file that decided.
     """
     numbered = spans_.withColumn("owner", F.when(F.col("source") == "self", F.col("unit")).otherwise(F.col("source")))
-    latin = F.decode("content", "ISO-8859-1")
-    valid = raw.where("valid").select(F.col("unit").alias("o"), F.col("name"), latin.alias("body"), is_binary(latin).alias("binary"))
-    count = valid.groupBy("o").agg(F.count("*").alias("files"), F.min("name").alias("only"))
+    latin = F.decode("content", "ISO-8859-1")  # a character for each byte
+    valid = raw.where("valid").select(F.col("unit").alias("o"), F.col("name"), F.col("digest").alias("entry_digest"), latin.alias("body"), is_binary(latin).alias("binary"))
+    count = raw.groupBy(F.col("unit").alias("o")).agg(F.count_if("valid").alias("files"), F.count_if(~F.col("valid")).alias("odd"), F.min(F.when(F.col("valid"), F.col("name"))).alias("only"))
     placed = numbered.join(count, F.col("owner") == F.col("o"), "left").drop("o").withColumn("wanted", F.coalesce("file", F.when(F.col("files") == 1, F.col("only"))))
     joined = placed.join(valid, (F.col("owner") == F.col("o")) & (F.col("wanted") == F.col("name")), "left")
     quote = ws_normalize(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+    found = F.regexp_instr("body", in_any_space(quote))
     decided = (
         F.when(F.col("state") != "", F.struct(F.col("state").alias("state"), F.col("codes").alias("codes")))
-        .when(F.col("files").isNull(), _result("source-unavailable", "QUOTE-SOURCE-UNAVAILABLE"))
+        .when(F.col("odd") > 0, _result("source-unavailable", "QUOTE-SOURCE-INVALID-SET"))
+        .when(F.coalesce("files", F.lit(0)) == 0, _result("source-unavailable", "QUOTE-SOURCE-ABSENT"))
+        .when(F.col("wanted").isNull(), _result("unresolved", "QUOTE-SOURCE-AMBIGUOUS"))
         .when(F.col("name").isNull(), _result("unresolved", "QUOTE-FILE-UNRESOLVED"))
         .when(F.col("binary") & (F.col("mode") == "not-checkable"), _result("binary-cold-debt"))
         .when(F.col("binary"), _result("mismatch", "QUOTE-BINARY-NOT-VERBATIM"))
         .when(F.col("mode") == "not-checkable", _result("mismatch", "QUOTE-NOT-CHECKABLE-ON-TEXT"))
-        .when(F.contains(ws_normalize(F.col("body")), quote), _result("sealed"))
+        .when(F.col("found") > 0, _result("sealed"))
         .otherwise(_result("mismatch", "QUOTE-MISMATCH"))
     )
-    return joined.select("unit", "line", "start", "end", "text", "owner", "wanted", decided.alias("d")).select("unit", "line", "start", "end", "text", "owner", F.col("wanted").alias("file"), F.col("d.state").alias("state"), F.col("d.codes").alias("codes"))
+    kept = joined.withColumn("found", F.when((F.col("state") == "") & ~F.col("binary") & (F.col("mode") != "not-checkable"), found))
+    sealed = F.col("d.state") == "sealed"
+    out = kept.select("unit", "line", "start", "end", "text", "owner", F.col("wanted").alias("file"), decided.alias("d"), "found", "entry_digest", F.when(F.col("found") > 0, F.length(F.regexp_substr("body", in_any_space(quote)))).alias("long"))
+    return out.select("unit", "line", "start", "end", "text", "owner", "file", F.col("d.state").alias("state"), F.col("d.codes").alias("codes"), F.when(sealed, F.col("found") - 1).cast("long").alias("at"), F.when(sealed, F.col("long")).cast("long").alias("size"), "entry_digest")
+
+
+def in_any_space(quote: Column) -> Column:
+    """A pattern that finds a normalised text wherever its words stand with any white space between them."""
+    whole = F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit("\\Q"), F.replace(whole, F.lit(" "), F.lit("\\E[ \\t\\r\\n]+\\Q")), F.lit("\\E"))
 
 
 def _result(state: str, *codes: str):

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import functions as R
 from ..commit import parts
-from ..operators import counts, diff, ids, ledgers, lookup, references, registers, sections
+from ..core.quotes import KEYWORD
+from ..operators import counts, diff, ids, ledgers, lookup, quotes, references, registers, sections
 from ..sources import fresh_path, lines, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +60,37 @@ def examined(spark, d):
     return counts.tallies(quotes.join(hits, "item_id", "left"), sealed=F.col("n") > 0, failed=F.col("n").isNull())
 
 
+@query(r"""
+WITH q AS (SELECT doc_id, text, doc_id % 10 AS kind, regexp_extract(text, '[a-z]+ [a-z]+ [a-z]+ [a-z]+') AS quote, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS odd FROM documents),
+p AS (SELECT *, replace(quote, ' ', '[ \t\r\n]+') AS pattern, CASE WHEN kind = 3 THEN 'unmarked' WHEN kind = 4 THEN 'malformed-marker' WHEN kind = 5 THEN 'unsupported-structure' WHEN kind = 2 OR quote = '' THEN 'empty'
+  WHEN kind = 9 THEN 'source-unavailable' WHEN kind = 6 THEN 'unresolved' WHEN kind = 8 THEN 'binary-cold-debt' WHEN kind = 1 OR odd THEN 'mismatch' ELSE 'sealed' END AS state FROM q)
+SELECT doc_id, state, CASE WHEN state = 'sealed' THEN strlen(regexp_extract(text, '(?s)^(.*?)' || pattern, 1)) END AS at, CASE WHEN state = 'sealed' THEN strlen(regexp_extract(text, pattern)) END AS size FROM p""")
+def quote_marker_seal(spark, d):
+    """A marked quotation for each document, of each of the nine states, with the bytes of the source that it stands at."""
+    docs = table(spark, d, "documents")
+    kind, quote = F.col("doc_id") % 10, F.regexp_extract("text", "[a-z]+ [a-z]+ [a-z]+ [a-z]+", 0)
+    unit = F.concat(F.lit("m"), F.col("doc_id").cast("string"))
+    marker = lambda more: F.lit(f"<!-- {KEYWORD} {more} -->\n")
+    two = F.concat(F.lit("> "), F.regexp_replace(quote, "^([a-z]+ [a-z]+) ", "$1\n>   "))
+    one = F.concat(F.lit("> "), quote)
+    body = (
+        F.when(kind == 1, F.concat(marker("source=self"), F.when(quote == "", F.lit(">")).otherwise(F.lit("> 0 of its words"))))
+        .when(kind == 2, F.concat(marker("source=self"), F.lit(">")))
+        .when(kind == 3, one)
+        .when(kind == 4, F.concat(marker("source=t001"), one))
+        .when(kind == 5, F.concat(F.lit("- > "), quote))
+        .when(kind == 6, F.concat(marker("source=self file=source.b"), one))
+        .when(kind == 7, F.concat(marker("source=self file=source.md"), two))
+        .when(kind == 8, F.concat(marker('source=self mode=not-checkable file=source.md location="line 1"'), one))
+        .otherwise(F.concat(marker("source=self"), one))
+    )
+    content = F.encode(F.concat(F.when(kind == 8, F.lit("\x01")).otherwise(""), F.col("text")), "UTF-8")
+    files = docs.where(kind != 9).select(F.concat(F.lit("materials/"), unit, F.lit("/source.md")).alias("path"), content.alias("content"), F.length(content).cast("long").alias("length"))
+    spans = quotes.quote_spans(docs.select(unit.alias("id"), F.concat(F.lit("# a copy\n\n"), body, F.lit("\n")).alias("body")))
+    found = quotes.judged(spans, quotes.raw_sources(files, "materials"))
+    return found.select(F.substring("unit", 2, 30).cast("long").alias("doc_id"), "state", "at", "size")
+
+
 CARDS_SQL = """
 cards AS (SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN -1 ELSE doc_id END AS source, CASE doc_id % 7 WHEN 0 THEN l[1] || chr(10) || l[2] WHEN 1 THEN l[1] || chr(10) || l[3] WHEN 2 THEN l[3] || chr(10) || l[1] WHEN 3 THEN 'not in it at all'
   WHEN 4 THEN '' WHEN 5 THEN 'word' ELSE l[1] END AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) >= 3)"""

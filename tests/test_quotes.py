@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.core.quotes import KEYWORD, STATES, read_marker, spans
 from plumbline.operators import quotes as Q
@@ -29,21 +30,55 @@ def test_spans():
     assert {s.state for s in spans(text + "\n- > nested\n")} <= {"unsupported-structure", "unmarked", "empty", "malformed-marker"}
 
 
+def states(*lines):
+    return [(s.state, s.codes, s.text) for s in spans("\n".join(lines) + "\n")]
+
+
+def test_quotations_that_go_on_without_a_mark():
+    marker = mark(" source=self")
+    got = states(marker, "> alpha", "forged continuation", "and more", "", marker, "> beta")
+    assert [(s, c) for s, c, _ in got] == [("unsupported-structure", ["QUOTE-LAZY-CONTINUATION"]), ("unsupported-structure", ["QUOTE-FILE-STRUCTURE-UNSUPPORTED"])]
+    for boundary in ("# heading", "- item", "* item", "+ item", "1. item", "---", "* * *", "<!-- note -->", "```", "", "   "):
+        assert states(marker, "> alpha", boundary, *["```"] * (boundary == "```"))[0][0] == "", boundary
+    assert states(marker, "> alpha", "---x")[0][1] == ["QUOTE-LAZY-CONTINUATION"]
+
+
+def test_structure_that_never_ends_hides_nothing():
+    marker = mark(" source=self")
+    assert (states("# c", marker, "> alpha", "", "```md", marker, "> hidden")[-1][:2]) == ("unsupported-structure", ["QUOTE-UNTERMINATED-FENCE"])
+    assert states(marker, "> alpha", "", "<!-- from here on", "> hidden")[-1][1] == ["QUOTE-UNTERMINATED-COMMENT"]
+    assert {s for s, _, _ in states(marker, "> alpha", "", "```md")} == {"unsupported-structure"}
+
+
+@pytest.mark.parametrize("quote", ["a.b (c)", "x \\E y", "\\Q\\E", "[a] {2} $1 ^|*", "naïve"])
+def test_places_are_found_with_any_white_space(spark, quote):
+    body = "\u00e9 start " + quote.replace(" ", " \r\n\t") + " end"
+    row = spark.createDataFrame([(body, quote)], "body string, quote string").select(F.regexp_instr("body", Q.in_any_space(F.col("quote"))).alias("n")).first()
+    assert row.n == body.index(quote.split(" ")[0]) + 1
+
+
 def test_judged(spark):
     bodies = {
         "m001": f"{mark(' source=self')}\n> one  two\n> three\n\n{mark(' source=self')}\n> absent\n\n> loose\n",
         "m002": f"{mark(' source=m001')}\n> naïve three\n\n{mark(' source=m009')}\n> x\n\n{mark(' source=self')}\n> x\n\n{mark(' source=self file=source.b')}\n> second\n",
         "m003": f"{mark(' source=self')}\n> AB\n\n{mark(' source=self mode=not-checkable file=source.bin location=p1')}\n> AB\n",
+        "m005": f"{mark(' source=self')}\n> one\n\n{mark(' source=m002')}\n> second\n",
         "m004": f"{mark(' source=m001 mode=not-checkable file=source.md location=p1')}\n> one\n",
     }
-    files = [("materials/m001/source.md", "one two\tthree\nnaïve\nthree".encode()), ("materials/m002/source.a", b"first"), ("materials/m002/source.b", b"second \xff"), ("materials/m003/source.bin", b"\x01\x02AB"), ("materials/m003/Source.md", b"x"), ("materials/m004/converted.md", b"")]
+    files = [("materials/m001/source.md", "one two\tthree\nnaïve\nthree".encode()), ("materials/m002/source.a", b"first"), ("materials/m002/source.b", b"second \xff"), ("materials/m003/source.bin", b"\x01\x02AB"), ("materials/m005/source.md", b"one"), ("materials/m005/Source.md", b"x"), ("materials/m004/converted.md", b"")]
     table = spark.createDataFrame([(p, bytearray(c), len(c)) for p, c in files], "path string, content binary, length long")
     materials = spark.createDataFrame(list(bodies.items()), "id string, body string")
     raw = Q.raw_sources(table, "materials")
-    got = sorted((r.unit, r.line, r.state, tuple(r.codes)) for r in Q.judged(Q.quote_spans(materials), raw).collect())
-    assert [(u, s) for u, _, s, _ in got] == [("m001", "sealed"), ("m001", "mismatch"), ("m001", "unmarked"), ("m002", "sealed"), ("m002", "source-unavailable"), ("m002", "unresolved"), ("m002", "sealed"), ("m003", "mismatch"), ("m003", "binary-cold-debt"), ("m004", "mismatch")]
-    assert {s for _, _, s, _ in got} <= set(STATES) and got[-1][3] == ("QUOTE-NOT-CHECKABLE-ON-TEXT",)
-    assert {r.unit: (r.state, r.n) for r in Q.raw_states(raw, materials).collect()} == {"m001": ("complete", 1), "m002": ("complete", 2), "m003": ("invalid", 1), "m004": ("empty", 0)}
+    rows = Q.judged(Q.quote_spans(materials), raw).collect()
+    got = sorted((r.unit, r.line, r.state, tuple(r.codes)) for r in rows)
+    content = dict(files)
+    placed = {(r.unit, r.line): content[f"materials/{r.owner}/{r.file}"][r["at"] : r["at"] + r.size] for r in rows if r.state == "sealed"}
+    assert placed == {("m001", 2): b"one two\tthree", ("m002", 2): "naïve\nthree".encode(), ("m002", 11): b"second"}
+    assert all((r["at"] is None) == (r.state != "sealed") for r in rows)
+    assert [c for u, _, _, c in got if u == "m005"] == [("QUOTE-SOURCE-INVALID-SET",), ("QUOTE-SOURCE-AMBIGUOUS",)]
+    assert [(u, s) for u, _, s, _ in got] == [("m001", "sealed"), ("m001", "mismatch"), ("m001", "unmarked"), ("m002", "sealed"), ("m002", "source-unavailable"), ("m002", "unresolved"), ("m002", "sealed"), ("m003", "mismatch"), ("m003", "binary-cold-debt"), ("m004", "mismatch"), ("m005", "source-unavailable"), ("m005", "unresolved")]
+    assert {s for _, _, s, _ in got} <= set(STATES) and got[-3][3] == ("QUOTE-NOT-CHECKABLE-ON-TEXT",)
+    assert {r.unit: (r.state, r.n) for r in Q.raw_states(raw, materials).collect()} == {"m001": ("complete", 1), "m002": ("complete", 2), "m003": ("complete", 1), "m004": ("empty", 0), "m005": ("invalid", 1)}
 
 
 @pytest.mark.parametrize(("name", "valid"), [("source.md", True), ("source.tar.gz", True), ("source.a", True), ("source", False), ("source.", False), ("sources.md", False), ("SOURCE.md", False), (".source.md", False)])
