@@ -507,6 +507,13 @@ def impact(mine: Mine, material: str) -> dict[str, list[str]]:
     }
 
 
+def impact_all(mine: Mine) -> DataFrame:
+    """material, way, unit: what rests on each material; the rows that impact() gives for one, for all at once."""
+    files = mine.cards.where(F.col("family").isin("plan", "draft", "final"))
+    cited = mine.plans.select("doc", F.explode("cited").alias("raw")).select("doc", R.canon_id(F.col("raw")).alias("cited"))
+    return lookup.impact_all(mine.materials, "id", "title", mine.truths.select("source", F.col("id").alias("truth")), "source", "truth", cited, "cited", "doc", files, "unit", "body")
+
+
 def gaps(mine: Mine, markers: str | None = None) -> dict[str, int]:
     """Lines that hold a marker, unchecked boxes, and accepted gaps, over converted texts and truths."""
     own = mine.config.get("gaps", {})

@@ -694,6 +694,25 @@ def impact(spark, d):
     return lookup.impact(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", table(spark, d, "orders"), "o_orderkey", "o_custkey", 7)
 
 
+@query(rf"""
+WITH t AS MATERIALIZED (SELECT doc_id, {WS_SQL.format('text')} AS flat, 'm' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS material, regexp_extract(text, '[a-z]+ [a-z]+ [a-z]+') AS title FROM documents),
+truths AS (SELECT doc_id, material, 't' || CAST(doc_id AS VARCHAR) AS truth FROM t WHERE doc_id % 3 = 0)
+SELECT material, 'truth' AS way, truth AS unit FROM truths
+UNION SELECT material, 'by_truths', CAST(turn AS VARCHAR) || '/' || CAST(conv_id AS VARCHAR) FROM truths JOIN conversations ON truths.doc_id = conv_id
+UNION SELECT a.material, 'by_id', CAST(b.doc_id AS VARCHAR) FROM t a JOIN t b ON b.doc_id = a.doc_id + 1
+UNION SELECT a.material, 'by_title', CAST(b.doc_id AS VARCHAR) FROM t a JOIN t b ON a.title <> '' AND contains(b.flat, a.title)""")
+def impact_all(spark, d):
+    """What rests on every document, each with words of its own as title and named by the next one's id token: all ways at once."""
+    docs = table(spark, d, "documents")
+    key = F.col("doc_id").cast("string")
+    materials = docs.select(R.canon_id(F.concat(F.lit("m"), key)).alias("material"), F.regexp_extract("text", "[a-z]+ [a-z]+ [a-z]+", 0).alias("title"))
+    truths = docs.where("doc_id % 3 = 0").select(R.canon_id(F.concat(F.lit("m"), key)).alias("source"), F.concat(F.lit("t"), key).alias("truth"))
+    citing = table(spark, d, "conversations").select(F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("cited"), F.concat_ws("/", "turn", "conv_id").alias("document"))
+    before = F.when(F.col("doc_id") > 0, F.concat(F.lit("\n(m0"), (F.col("doc_id") - 1).cast("string"), F.lit(")"))).otherwise("")
+    texts = docs.select("doc_id", F.concat("text", before).alias("text"))
+    return lookup.impact_all(materials, "material", "title", truths, "source", "truth", citing, "cited", "document", texts, "doc_id", "text")
+
+
 @query(r"""
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 WHERE regexp_matches(line, '(Licensed under|password|token = )')""")

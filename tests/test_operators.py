@@ -99,3 +99,43 @@ def test_sections_islands_and_diffs(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1, 1, None), (1, 1, 2, 4, "- a"), (1, 2, 5, 5, "- c"), (2, 1, 1, 1, "- a"), (3, 0, 1, 2, None), (4, 0, 1, 1, None), (6, 1, 1, 1, "- a"), (6, 2, 2, 3, "- b")]
     old, new = (spark.createDataFrame([(x,) for x in s], "line string") for s in ("aab", "abc"))
     assert {tuple(r) for r in sections.line_diff(old, new, "line").collect()} == {("a", "removed", 1), ("c", "added", 1)}
+
+
+def test_numbers_in_ranges_equal_brute_force(spark):
+    rnd = random.Random(11)
+    spans = [(rnd.choice("tm"), lo := rnd.randint(-60, 60), lo + rnd.choice([-1, 0, 1, 3, 9, 10, 25])) for _ in range(60)]
+    spans += [("t", 200, 200)] * 50 + [(None, 1, 5), ("t", None, 5), ("t", 5, None), ("m", 119, 128)]
+    points = [(rnd.choice(["t", "m", None]), rnd.choice([None, *range(-70, 215)]), i) for i in range(500)]
+    held = lambda k, n: k is not None and n is not None and any(x == k and lo is not None and hi is not None and lo <= n <= hi and hi - lo < 10 for x, lo, hi in spans)
+    a, b = spark.createDataFrame(points, "letter string, n long, id long"), spark.createDataFrame(spans, "letter string, lo long, hi long")
+    got = ids.in_ranges(a, "n", b, "lo", "hi", "letter", cap=10)
+    assert got.columns == a.columns
+    assert sorted(r.id for r in got.collect()) == [i for k, n, i in points if held(k, n)]
+    plain = ids.in_ranges(a.select("n", "id"), "n", b.select("lo", "hi"), "lo", "hi", cap=10)
+    assert sorted(r.id for r in plain.collect()) == [i for _, n, i in points if held("t", n) or held("m", n) or n is not None and 1 <= n <= 5]
+    assert ids.in_ranges(a, "n", b.limit(0), "lo", "hi", "letter").count() == ids.in_ranges(a.limit(0), "n", b, "lo", "hi", "letter").count() == 0
+
+
+def test_trees_of_many_files_are_hashed_in_order(spark):
+    import hashlib
+
+    rows = [(7, f"f{i:05}" if i % 2 else f"é{i:05}", f"{i:x}") for i in range(30_000)] + [(8, "a", "1"), (8, "a", "0"), (8, None, "2"), (8, "b", None), (None, "x", "9"), (9, None, None)]
+    df = spark.createDataFrame(rows, "tree long, name string, digest string").repartition(5)
+    want = {}
+    for tree in (7, 8, None, 9):
+        own = sorted((n.encode(), d) for t, n, d in rows if t == tree and n is not None and d is not None)
+        want[tree] = hashlib.sha256(b"".join(n + b"\0" + d.encode() + b"\n" for n, d in own)).hexdigest()
+    assert {r.tree: r.tree_digest for r in counts.tree_digest(df, "tree", "name", "digest").collect()} == want
+    assert counts.tree_digest(df.limit(0), "tree", "name", "digest").count() == 0
+
+
+def test_impact_of_all_materials(spark):
+    from plumbline.operators import lookup
+
+    materials = spark.createDataFrame([("m001", "Rent  agreement"), ("m002", "agreement"), ("m003", " "), ("m004", None), ("m005", "Rent agreement")], "id string, title string")
+    truths = spark.createDataFrame([("m001", "t001"), ("m001", "t002"), ("m009", "t003")], "source string, truth string")
+    citing = spark.createDataFrame([("t001", "d1"), ("t001", "d1"), ("t003", "d2"), (None, "d3")], "cited string, doc string")
+    texts = spark.createDataFrame([("d1", "see m1 and m01, the Rent\nagreement"), ("d2", "am002 m0020"), ("d3", None), ("d4", "(m4)")], "unit string, body string")
+    got = lookup.impact_all(materials, "id", "title", truths, "source", "truth", citing, "cited", "doc", texts, "unit", "body")
+    want = {("m001", "truth", "t001"), ("m001", "truth", "t002"), ("m001", "by_truths", "d1"), ("m001", "by_id", "d1"), ("m004", "by_id", "d4"), ("m001", "by_title", "d1"), ("m002", "by_title", "d1"), ("m005", "by_title", "d1")}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
