@@ -64,7 +64,7 @@ def examined(spark, d):
 WITH q AS (SELECT doc_id, text, doc_id % 10 AS kind, regexp_extract(text, '[a-z]+ [a-z]+ [a-z]+ [a-z]+') AS quote, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS odd FROM documents),
 p AS (SELECT *, replace(quote, ' ', '[ \t\r\n]+') AS pattern, CASE WHEN kind = 3 THEN 'unmarked' WHEN kind = 4 THEN 'malformed-marker' WHEN kind = 5 THEN 'unsupported-structure' WHEN kind = 2 OR quote = '' THEN 'empty'
   WHEN kind = 9 THEN 'source-unavailable' WHEN kind = 6 THEN 'unresolved' WHEN kind = 8 THEN 'binary-cold-debt' WHEN kind = 1 OR odd THEN 'mismatch' ELSE 'sealed' END AS state FROM q)
-SELECT doc_id, state, CASE WHEN state = 'sealed' THEN strlen(regexp_extract(text, '(?s)^(.*?)' || pattern, 1)) END AS at, CASE WHEN state = 'sealed' THEN strlen(regexp_extract(text, pattern)) END AS size FROM p""")
+SELECT doc_id, state, CASE WHEN state = 'sealed' THEN strlen(regexp_extract(text, '(?s)^(.*?)' || pattern, 1)) END AS first_byte, CASE WHEN state = 'sealed' THEN strlen(regexp_extract(text, pattern)) END AS n_bytes FROM p""")
 def quote_marker_seal(spark, d):
     """A marked quotation for each document, of each of the nine states, with the bytes of the source that it stands at."""
     docs = table(spark, d, "documents")
@@ -88,7 +88,7 @@ def quote_marker_seal(spark, d):
     files = docs.where(kind != 9).select(F.concat(F.lit("materials/"), unit, F.lit("/source.md")).alias("path"), content.alias("content"), F.length(content).cast("long").alias("length"))
     spans = quotes.quote_spans(docs.select(unit.alias("id"), F.concat(F.lit("# a copy\n\n"), body, F.lit("\n")).alias("body")))
     found = quotes.judged(spans, quotes.raw_sources(files, "materials"))
-    return found.select(F.substring("unit", 2, 30).cast("long").alias("doc_id"), "state", "at", "size")
+    return found.select(F.substring("unit", 2, 30).cast("long").alias("doc_id"), "state", F.col("at").alias("first_byte"), F.col("size").alias("n_bytes"))
 
 
 CARDS_SQL = """
