@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder, runs
-from .shared import Rows, fresh_path, trimmed
+from .shared import Rows, deleted_at_exit, fresh_path, trimmed
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = 50_257
@@ -136,7 +136,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id"
 
     Documents are range-partitioned by id and each partition writes one file
     under ``folder`` (a URI that executors can write; by default a new one in
-    the shared folder). A file gets its name when it is complete, so attempts
+    the shared folder, which goes when the session's JVM ends). A file gets its name when it is complete, so attempts
     that were lost or ran twice leave nothing half written. Each entry has path,
     n_docs, n_tokens and first (ids in the files before); there is one for each
     partition, whatever the number of documents.
@@ -146,7 +146,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id"
     as empty and gives the end id alone. No rows give no files.
     """
     spark = docs.sparkSession
-    folder = folder or fresh_path(spark, "ids")
+    folder = folder or deleted_at_exit(spark, fresh_path(spark, "ids"))
     bits = bits_for(vocabulary)
 
     def run(batches):
