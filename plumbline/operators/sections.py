@@ -1,10 +1,10 @@
-"""Line-wise structure: sections carried forward, entries with the lines they own."""
+"""Line-wise structure: entries with the lines that they own, tallies of lines by which two sides differ."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,18 +13,6 @@ def lines_of(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key), F.posexplode(F.split(text, "\n", -1)).alias("__at", "line")).select(key, (F.col("__at") + 1).cast("long").alias("line_no"), "line")
 
 
-def carried(lines: DataFrame, key: str, order: str, heading: Column, name: str = "section") -> DataFrame:
-    """Lines with the last heading at or above them (null before the first)."""
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(heading, ignorenulls=True).over(window))
-
-
-def islands(lines: DataFrame, key: str, order: str, starts: Column, name: str = "entry") -> DataFrame:
-    """Lines with the number of the entry that owns them; 0 before the first one."""
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(window))
-
-
 def runs(rows: DataFrame, key: str, text: str, starts: Callable[[Column], Column]) -> DataFrame:
     """key, entry, first, last, head: the entries of each text, from a line that starts one to the line before the next.
 

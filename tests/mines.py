@@ -27,7 +27,7 @@ def edit(root, path, old, new):
 
 PROJECT = "---\nversion: 3\nlanguage: en\nroles: [contract, minutes]\ntone: plain\nrequired_tags: []\n---\nA project.\n"
 CONFIG = "version: 3\npaths:\n  inbox: inbox\n  materials: materials\n  truths: truths\n  documents: documents\nfidelity:\n  completeness: off\ngaps:\n  markers: TBD|TODO\n"
-REVIEW = "---\nround: 1\nconsecutive_passes: 1\n{}---\n# Review\n\n## Fidelity violations\n\n- [{{kind}}] {{what}}\n\n## Findings\n\nFine.\n\n## Adjudications\n\nNone so far.\n\n## Human queue\n\n- [ruled] [user-only] naming 🙂\n"
+REVIEW = "---\nround: 1\nconsecutive_passes: 1\n{}---\n# Review\n\n## Fidelity violations\n\n- [{{kind}}] {{what}}\n\n## Findings\n\nReads well.\n\n## Adjudications\n\nNothing to decide yet.\n\n## Human queue\n\n- [ruled] [user-only] naming 🙂\n"
 
 
 def material(n, body, **more):

@@ -88,15 +88,15 @@ BREAKS = {
     "LEDGER-VERDICT": lambda r: put(r, "truths/verify-ledger.tsv", "t001\t-\tmaybe\t1\ts\t2026-01-01\n"),
     "MAT-INTAKE-LEDGER": lambda r: edit(r, "materials/intake-ledger.tsv", "\t1\t", "\t0\t"),
     "GATE-OPEN": lambda r: edit(r, "documents/d1/review.md", "- [{kind}] {what}", "1. [unsupported] line 3"),
-    "GATE-ZONE": lambda r: edit(r, "documents/d1/review.md", "Fine.", "A [Missing Required] one."),
+    "GATE-ZONE": lambda r: edit(r, "documents/d1/review.md", "Reads well.", "A [Missing Required] one."),
     "GATE-MISSING": lambda r: edit(r, "documents/d1/review.md", "## Fidelity violations", "## Fidelity violations so far"),
     "GATE-DUPLICATE": lambda r: edit(r, "documents/d1/review.md", "## Findings", "## Fidelity violations\n\n## Findings"),
     "GATE-NO-REVIEW": lambda r: os.unlink(os.path.join(r, "documents/d1/review.md")),
     "GATE-UNSEALED": lambda r: edit(r, "documents/d1/review.md", "review_legacy: 2026-01-05\n", ""),
     "GATE-SEAL-MARKER": lambda r: edit(r, "documents/d1/review.md", "---\n#", "reviewed_kind: draft\n---\n#"),
     "GATE-DUAL-FINAL": lambda r: put(r, "documents/d1/final/one.md", "x"),
-    "REVIEW-UNTERMINATED-FENCE": lambda r: edit(r, "documents/d1/review.md", "Fine.", "```\nFine."),
-    "REVIEW-UNTERMINATED-COMMENT": lambda r: edit(r, "documents/d1/review.md", "Fine.", "<!-- Fine."),
+    "REVIEW-UNTERMINATED-FENCE": lambda r: edit(r, "documents/d1/review.md", "Reads well.", "```\nReads well."),
+    "REVIEW-UNTERMINATED-COMMENT": lambda r: edit(r, "documents/d1/review.md", "Reads well.", "<!-- Reads well."),
     "REVIEW-KIND-UNKNOWN": lambda r: edit(r, "documents/d1/review.md", "- [{kind}] {what}", "- [{kind}] {what}\n### [typo] still open"),
     "REVIEW-UNREADABLE": lambda r: (os.unlink(os.path.join(r, "documents/d1/review.md")), os.makedirs(os.path.join(r, "documents/d1/review.md"))),
     "SEAL-RETRACTED": lambda r: edit(r, "materials/m001/converted.md", "status: used", "status: retracted"),
@@ -141,7 +141,7 @@ def test_forms_that_pass(spark, root):
     edit(root, "truths/t001.md", "source: m001", "source : 'm1'  # lenient")
     edit(root, "truths/t001.md", "---\nThe", "---  \nThe")
     put(root, "truths/t001.md", get(root, "truths/t001.md").replace("\n", "\r\n"))
-    edit(root, "documents/d1/review.md", "Fine.", "Fine. A contradiction in prose, a [note], <!-- - [unsupported] archived -->")
+    edit(root, "documents/d1/review.md", "Reads well.", "Reads well. A contradiction in prose, a [note], <!-- - [unsupported] archived -->")
     put(root, "gaps.md", "## Open\n\n- [declared] a gap\n\n## Accepted\n")
     assert codes(spark, root) == []
 
