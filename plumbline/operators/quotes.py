@@ -45,27 +45,33 @@ def quote_spans(materials: DataFrame) -> DataFrame:
     return materials.select("id", "body").mapInArrow(run, SPAN_SCHEMA)
 
 
-def judged(spans_: DataFrame, raw: DataFrame) -> DataFrame:
+def judged(spans_: DataFrame, raw: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Spans with their final state, one of nine, and where they stand: at and size, bytes of the source file.
 
     A quotation is sealed if its bytes, white space aside, stand in the source as
     one block; its first place there is given, before white space is normalised.
     A source file may be left out only where the material has one. A material
-    with a file that only looks like a source proves nothing. Binary sources
+    whose set of sources is not whole, which ``states`` (unit, state) tells of,
+    proves nothing. Binary sources
     can't seal; with mode not-checkable they leave a debt. entry_digest is that of
     the file that decided.
     """
     numbered = spans_.withColumn("owner", F.when(F.col("source") == "self", F.col("unit")).otherwise(F.col("source")))
     latin = F.decode("content", "ISO-8859-1")  # a character for each byte
     valid = raw.where("valid").select(F.col("unit").alias("o"), F.col("name"), F.col("digest").alias("entry_digest"), latin.alias("body"), is_binary(latin).alias("binary"))
-    count = raw.groupBy(F.col("unit").alias("o")).agg(F.count_if("valid").alias("files"), F.count_if(~F.col("valid")).alias("odd"), F.min(F.when(F.col("valid"), F.col("name"))).alias("only"))
+    count = raw.groupBy(F.col("unit").alias("o")).agg(F.count_if("valid").alias("files"), F.min(F.when(F.col("valid"), F.col("name"))).alias("only"))
+    if states is not None:
+        unsound = states.where("state NOT IN ('complete', 'empty')").select(F.col("unit").alias("o"), F.lit(True).alias("odd"))
+        count = count.join(unsound, "o", "full_outer")
+    else:
+        count = count.withColumn("odd", F.lit(False))
     placed = numbered.join(count, F.col("owner") == F.col("o"), "left").drop("o").withColumn("wanted", F.coalesce("file", F.when(F.col("files") == 1, F.col("only"))))
     joined = placed.join(valid, (F.col("owner") == F.col("o")) & (F.col("wanted") == F.col("name")), "left")
     quote = ws_normalize(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
     found = F.regexp_instr("body", in_any_space(quote))
     decided = (
         F.when(F.col("state") != "", F.struct(F.col("state").alias("state"), F.col("codes").alias("codes")))
-        .when(F.col("odd") > 0, _result("source-unavailable", "QUOTE-SOURCE-INVALID-SET"))
+        .when(F.coalesce("odd", F.lit(False)), _result("source-unavailable", "QUOTE-SOURCE-INVALID-SET"))
         .when(F.coalesce("files", F.lit(0)) == 0, _result("source-unavailable", "QUOTE-SOURCE-ABSENT"))
         .when(F.col("wanted").isNull(), _result("unresolved", "QUOTE-SOURCE-AMBIGUOUS"))
         .when(F.col("name").isNull(), _result("unresolved", "QUOTE-FILE-UNRESOLVED"))

@@ -25,6 +25,7 @@ from ..operators import counts, diff, ids, ledgers, lookup, references
 from ..operators import registers as tables
 from ..sources import lines, shared_dir
 from ..sources.mine import DIAGNOSTIC, Mine, register
+from ..sources.raw import read_raw_sources
 
 TRUTH_KEYS = ("id", "claim", "source", "tags")
 MATERIAL_KEYS = ("id", "title", "origin", "role", "format", "added", "status", "summary")
@@ -381,7 +382,7 @@ def document_checks(mine: Mine) -> list[DataFrame]:
 
 def diagnostics(mine: Mine) -> DataFrame:
     """All diagnostics: code, path, subject, detail, severity."""
-    parts = [card_checks(mine), *reference_checks(mine), *ledger_checks(mine), *document_checks(mine), *single_checks(mine)]
+    parts = [card_checks(mine), *reference_checks(mine), *ledger_checks(mine), *document_checks(mine), *single_checks(mine), *raw_checks(mine)]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -636,7 +637,23 @@ def quotations(mine: Mine) -> DataFrame:
     """All quotations of converted texts with their state."""
     from ..operators import quotes
 
-    return quotes.judged(quotes.quote_spans(mine.materials), quotes.raw_sources(mine.files, mine.paths["materials"]))
+    return quotes.judged(quotes.quote_spans(mine.materials), quotes.raw_sources(mine.files, mine.paths["materials"]), raw_states(mine))
+
+
+def raw_checks(mine: Mine) -> list[DataFrame]:
+    """Materials whose sources are links or aliases, can't be read, or changed while they were read."""
+    states = raw_states(mine)
+    if states is None:
+        return []
+    odd = states.where("code IS NOT NULL").withColumn("path", F.concat(F.lit(mine.paths["materials"] + "/"), "unit"))
+    return [_diag(odd, F.col("code"), "unit", F.array_join(F.transform("rejected", lambda r: F.concat(r["name"], F.lit(": "), r["reason"])), ", "))]
+
+
+def raw_states(mine: Mine) -> DataFrame | None:
+    """The state of each material's raw sources; nothing for a mine given by a URI, where links are not told apart."""
+    if "://" in mine.root:
+        return None
+    return read_raw_sources(mine.materials.select("id"), "id", mine.place(mine.paths["materials"]))
 
 
 def fingerprint() -> str:

@@ -55,6 +55,7 @@ BREAKS = {
     "SEAL-QUOTE-MISSING": lambda r: edit(r, "truths/t001.md", "900", "901"),
     "SEAL-SPLIT-BLOCK": lambda r: edit(r, "truths/t001.md", "It falls due on the third.", "Notice is three months."),
     "TRUTH-BODY-FRAGMENT": lambda r: put(r, "truths/t001.md", truth(1, "rent")),
+    "RAW-SOURCE-IRREGULAR": lambda r: os.symlink("/etc/hostname", os.path.join(r, "materials/m001/source.link")),
     "TRUTH-BODY-EMPTY": lambda r: put(r, "truths/t001.md", truth(1, "")),
     "FM-UNCLOSED": lambda r: edit(r, "truths/t001.md", "---\nThe rent", "The rent"),
     "FM-MISSING": lambda r: put(r, "truths/t001.md", "no frontmatter"),
@@ -118,7 +119,7 @@ ROUNDS = [
     "TRUTH-BODY-FRAGMENT GATE-DUPLICATE GATE-DUAL-FINAL SEAL-RETRACTED",
     "TRUTH-BODY-EMPTY GATE-NO-REVIEW TRUTH-DIR SCHEMA-UNREADABLE",
     "FM-UNCLOSED GATE-UNSEALED REVIEW-KIND-UNKNOWN SCHEMA-VERIFY-SECTIONS",
-    "REVIEW-UNREADABLE",
+    "REVIEW-UNREADABLE RAW-SOURCE-IRREGULAR",
     "FM-MISSING GATE-SEAL-MARKER",
     "FM-DUPLICATE-KEY FIELD-REQUIRED ENUM-UNKNOWN ID-MISMATCH TRUTH-V2-FIELD REVIEW-UNTERMINATED-FENCE",
     "FM-LIST-UNCLOSED TRUTH-DERIVED-FROM REVIEW-UNTERMINATED-COMMENT",

@@ -69,7 +69,9 @@ def test_judged(spark):
     table = spark.createDataFrame([(p, bytearray(c), len(c)) for p, c in files], "path string, content binary, length long")
     materials = spark.createDataFrame(list(bodies.items()), "id string, body string")
     raw = Q.raw_sources(table, "materials")
-    rows = Q.judged(Q.quote_spans(materials), raw).collect()
+    unsound = spark.createDataFrame([("m005", "invalid"), ("m001", "complete")], "unit string, state string")
+    rows = Q.judged(Q.quote_spans(materials), raw, unsound).collect()
+    assert {(r.unit, r.state) for r in Q.judged(Q.quote_spans(materials.where("id = 'm005'")), raw).collect()} == {("m005", "sealed"), ("m005", "unresolved")}
     got = sorted((r.unit, r.line, r.state, tuple(r.codes)) for r in rows)
     content = dict(files)
     placed = {(r.unit, r.line): content[f"materials/{r.owner}/{r.file}"][r["at"] : r["at"] + r.size] for r in rows if r.state == "sealed"}
