@@ -549,8 +549,8 @@ def status_open(mine: Mine) -> list[tuple[str, str]]:
     if scanned is not None and (roles := mine.roster("verify.sections")):
         out += [("human-queue", f"[{o or 'untagged'}] {t}") for _, s, o, t in G.queue_items(scanned, roles[2]) if s == "open"]
     out += [("violation", f"{doc}: unknown (the review is {read})") for doc, read in unread_reviews(mine).items()]
-    for r in mine.family("review").select("unit", "body").orderBy("unit").toLocalIterator():
-        out += [("violation", f"{r.unit}: line {n}") for n, code in G.gate_findings(r.body) if code in ("GATE-OPEN", "GATE-ZONE", "REVIEW-KIND-UNKNOWN")]
+    found = tables.gate(mine.family("review").select("unit", "body"), "unit", "body").where(F.col("code").isin("GATE-OPEN", "GATE-ZONE", "REVIEW-KIND-UNKNOWN"))
+    out += [("violation", f"{r.unit}: line {r.line}") for r in found.orderBy("unit", "line").collect()]  # reviews are judged where they are read
     scanned, _ = register(mine, "gaps.md")
     names = mine.roster("gaps.sections")
     if not names:

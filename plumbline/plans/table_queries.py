@@ -420,12 +420,14 @@ UNION ALL SELECT 'question', CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VAR
 UNION ALL SELECT 'violation', CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1
 UNION ALL SELECT 'gap', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def status_open(spark, d):
-    lane = lambda df, name, subject: df.select(F.lit(name).alias("lane"), subject.alias("subject"))
-    out = lane(table(spark, d, "events").where("event_type = 'error' AND value > 20"), "conflict", F.col("event_id").cast("string"))
-    out = out.unionByName(lane(table(spark, d, "conversations").where("role = 'system'"), "question", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))))
-    out = out.unionByName(lane(table(spark, d, "labels").where("toxic = 1"), "violation", F.col("doc_id").cast("string")))
-    gaps_ = references.unresolved(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels"), "doc_id")
-    return out.unionByName(lane(gaps_, "gap", F.col("doc_id").cast("string")))
+    turns = table(spark, d, "conversations").where("role = 'system'")
+    registers_ = {
+        "conflict": (table(spark, d, "events").where("event_type = 'error' AND value > 20"), F.col("event_id")),
+        "question": (turns, F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))),
+        "violation": (table(spark, d, "labels").where("toxic = 1"), F.col("doc_id")),
+        "gap": (references.unresolved(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels"), "doc_id"), F.col("doc_id")),
+    }
+    return lookup.lanes(registers_)
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -717,7 +719,7 @@ def impact_all(spark, d):
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 WHERE regexp_matches(line, '(Licensed under|password|token = )')""")
 def gaps(spark, d):
-    return sections.lines_of(table(spark, d, "documents"), "doc_id", "text").where(F.regexp_like("line", F.lit("(Licensed under|password|token = )")))
+    return lookup.marked_lines(table(spark, d, "documents"), "doc_id", "text", "(Licensed under|password|token = )")
 
 
 @query("""

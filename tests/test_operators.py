@@ -139,3 +139,13 @@ def test_impact_of_all_materials(spark):
     got = lookup.impact_all(materials, "id", "title", truths, "source", "truth", citing, "cited", "doc", texts, "unit", "body")
     want = {("m001", "truth", "t001"), ("m001", "truth", "t002"), ("m001", "by_truths", "d1"), ("m001", "by_id", "d1"), ("m004", "by_id", "d4"), ("m001", "by_title", "d1"), ("m002", "by_title", "d1"), ("m005", "by_title", "d1")}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_marked_lines_and_lanes(spark):
+    from plumbline.operators import lookup
+
+    df = spark.createDataFrame([(1, "a TODO\n\nb\nTODO"), (2, None), (3, ""), (1, "TODO\r\n")], "id long, text string")
+    found = lookup.marked_lines(df, "id", "text", "TODO|^$")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "TODO\r"), (1, 1, "a TODO"), (1, 2, ""), (1, 2, ""), (1, 4, "TODO"), (3, 1, "")]
+    both = lookup.lanes({"gap": (df, F.col("id")), "note": (df.where("id = 1"), F.lit("x"))})
+    assert sorted(tuple(r) for r in both.collect()) == [("gap", "1"), ("gap", "1"), ("gap", "2"), ("gap", "3"), ("note", "x"), ("note", "x")]
