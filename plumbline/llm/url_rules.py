@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stored, trimmed
+from .shared import LOWER, ascii_lower, stored, trimmed
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -105,13 +105,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
     keyed = base.withColumn("key", key_of(F.col("host"))).repartitionByRange("key", "page_id")
-    if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
-    once = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.min("verdict").alias("verdict"))
-    once = once.select(key_of(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")
-    if (once.agg(F.sum(F.length("rule") + F.length("verdict") + 8)).first()[0] or 0) > most_sent:
-        return _dealt(keyed, once, default, kind, schema)
-    every = sorted((tuple(r) for r in once.collect()), key=lambda r: (r[0].encode(), r[1]))
+    every = _listed(rules) if not isinstance(rules, DataFrame) else None
+    if every is not None and sum(len(r[2]) + len(r[3]) + 8 for r in every) > most_sent:
+        rules, every = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string"), None
+    if every is None:
+        once = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.min("verdict").alias("verdict"))
+        once = once.select(key_of(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")
+        if (once.agg(F.sum(F.length("rule") + F.length("verdict") + 8)).first()[0] or 0) > most_sent:
+            return _dealt(keyed, once, default, kind, schema)
+        every = sorted((tuple(r) for r in once.collect()), key=lambda r: (r[0].encode(), r[1]))
     order = [r[0].encode() for r in every]
 
     def run(batches):
@@ -138,6 +140,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
     return keyed.sortWithinPartitions("key").mapInArrow(trimmed(run), schema)
 
 
+def _listed(rules: list[tuple[str, str, str]]) -> list[tuple[str, str, str, str]]:
+    """(key, path, rule, verdict) of rules that the caller holds, by key and path; they need no job."""
+    once: dict[tuple[str, str], str] = {}
+    for host, path, verdict in rules:
+        if None not in (host, path, verdict):
+            at = host.translate(LOWER), path
+            once[at] = min(verdict, once.get(at, verdict))
+    found = [(".".join(reversed(h.split("."))) + ".", p, h + p, v) for (h, p), v in once.items()]
+    return sorted(found, key=lambda r: (r[0].encode(), r[1]))
+
+
 def _dealt(keyed: DataFrame, rules: DataFrame, default: str, kind: str, schema: str) -> DataFrame:
     """As judge(), for rules of any number: each range of pages is swept together with the rules that meet it."""
     placed = stored(keyed.withColumn("range", F.spark_partition_id()), "urls")

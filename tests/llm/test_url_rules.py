@@ -34,6 +34,14 @@ def test_equals_brute_force(spark):
         assert run(spark, rules) == {i: brute(u, rules) for i, u in enumerate(urls())}
 
 
+def test_listed_rules_equal_those_in_rows(spark):
+    odd = [("É.CoM", "/A", "block"), ("É.com", "/A", "allow"), ("", "", "block"), (None, "/", "allow"), ("a", None, "allow"), ("a", "/", None), ("x.Y.z", "/é", "allow")]
+    table = spark.createDataFrame(odd, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://É.com/A", "http://q.x.y.z/é/", "z", None, "http://w.É.com/a"])], "page_id long, url string")
+    rows = [sorted(map(tuple, U.judge(pages, r, most_sent=m).collect())) for r in (odd, table) for m in (U.MOST_SENT, 0)]
+    assert rows[0] == rows[1] == rows[2] == rows[3]
+
+
 def test_rules_as_rows(spark):
     upper = [(h.replace("com", "CoM"), p, v) for h, p, v in RULES] + [("É.com", "/en/", "block")]
     table = spark.createDataFrame([*upper, (None, "/", "block"), ("com", None, "block"), ("org", "/es/", None)], "host string, path string, verdict string")
