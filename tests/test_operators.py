@@ -141,6 +141,31 @@ def test_impact_of_all_materials(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_titles_with_one_common_word_between_are_looked_up_by_what_stands_around_it(spark):
+    titles = [(i, f"rent{i % 50:02} of h{i:03}ouse") for i in range(600)]
+    texts = [(i, f"A{i} \t{t}s, and of their own of it") for i, t in titles] + [(700, "of of of"), (701, "rent00 of"), (702, None)]
+    flat = lambda rows, name: spark.createDataFrame([(i, norm(t)) for i, t in rows if t], f"{name} long, t string")
+    for most_sent in (1 << 20, 20_000, 0):  # quotes are sent, only hashes, nothing
+        near, few = references.candidates(flat(texts, "i"), "i", "t", flat(titles, "j").select(F.col("t").alias("q")), "q", most_sent)
+        assert few == (most_sent == 1 << 20)
+        assert sorted(map(tuple, near.collect())) == titles  # 361,200 pairs share the middle word
+        found = references.contained(spark.createDataFrame(texts, "i long, t string"), "i", "t", spark.createDataFrame(titles, "j long, q string"), "j", "q", most_sent)
+        assert sorted(map(tuple, found.collect())) == [(i, i) for i, _ in titles]
+
+
+def test_impact_by_titles_that_many_share(spark):
+    from plumbline.operators import lookup
+
+    materials = [(f"m{i:03}", ["a bb c", "bb c", "x", " "][i % 4]) for i in range(40)] + [("m000", "x"), ("m000", "a  bb c"), ("m001", "bb  c"), (None, "a bb c")]
+    texts = [(f"d{i}", ["a bb c", "za bb\ncz", "abb c", "x bb c", None][i % 5]) for i in range(30)] + [("d0", "x"), ("d0", "a bb c"), ("d7", "x")]
+    want = {(m, "by_title", d) for m, t in materials for d, text in texts if norm(t) and text and norm(t) in norm(text)}
+    empty = spark.createDataFrame([], "a string, b string")
+    a, b = spark.createDataFrame(materials, "id string, title string"), spark.createDataFrame(texts, "unit string, body string")
+    for most_sent in (1 << 20, 0):
+        got = [tuple(r) for r in lookup.impact_all(a, "id", "title", empty, "a", "b", empty, "a", "b", b, "unit", "body", most_sent=most_sent).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_marked_lines_and_lanes(spark):
     from plumbline.operators import lookup
 
