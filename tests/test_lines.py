@@ -171,6 +171,24 @@ def test_longest_chain_equals_brute_force():
         assert sum(r[2] for r in chain) == best and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
 
 
+def test_a_chain_among_many_runs_takes_few_bytes_a_run():
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = np.random.default_rng(7)
+    n = 100_000
+    runs = np.stack([np.arange(n) * 10, np.arange(n) * 10 + rnd.permutation(n) % 400, rnd.integers(1, 9, n)])
+    parts = [runs[:, lo : lo + 5_000].copy() for lo in range(0, n, 5_000)]
+    want = diff.longest_chain([tuple(r) for r in runs.T.tolist()])
+    tracemalloc.start()
+    got = sum(batch.num_rows for batch in diff._batches(parts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(want) < n
+    assert peak < 120 * n
+
+
 def test_runs_longer_than_a_cut_stay_whole(spark, monkeypatch):
     monkeypatch.setattr(diff, "CUT", 8)
     pairs = [(i, i + 3) for i in range(1, 60)] + [(70 + i, 5 + i * 0) for i in range(1)]
