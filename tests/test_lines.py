@@ -149,6 +149,24 @@ def test_equal_and_empty_views(spark):
     assert script == [("added", 1, 0, "x"), ("added", 2, 0, "x")] and back == [(1, "x"), (2, "x")]
 
 
+def test_the_first_difference_is_found_before_and_after_the_head(spark, monkeypatch):
+    monkeypatch.setattr(diff, "HEAD", 3)
+    for at in (1, 3, 4, 6):
+        old = [f"l{i}" for i in range(1, 7)]
+        new = [*old[: at - 1], "other", *old[at:]]
+        script, back = script_of(spark, old, new)
+        assert script == [("removed", at, at - 1, f"l{at}"), ("added", at, at - 1, "other")] and back == list(enumerate(new, 1))
+
+
+def test_a_chain_is_written_in_three_steps(spark, monkeypatch):
+    names = []
+    for module in (diff, ids):
+        monkeypatch.setattr(module, "fresh_stored", lambda df, shared, name, f=module.fresh_stored: names.append(name) or f(df, shared, name))
+    kept = diff.rising(spark.createDataFrame([(1, 2), (2, 3), (5, 1), (7, 9)], "i long, j long"), shared_dir(spark))
+    assert sorted(map(tuple, kept.collect())) == [(1, 2), (2, 3), (7, 9)]
+    assert names == ["runs", "dealt", "kept"]
+
+
 def test_normal_format(spark):
     old, new = ["a", "b", "c", "d", "e", "f"], ["a", "x", "y", "c", "e", "f", "g"]
     script, _ = script_of(spark, old, new)
