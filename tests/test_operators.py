@@ -166,6 +166,45 @@ def test_impact_by_titles_that_many_share(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_many_titles_shuffle_only_what_may_be_one(spark):
+    titles = [(i, f"rent{i % 50:02} of h{i:03}ouse") for i in range(400)]
+    texts = [(i, " ".join(f"w{i}x{k} {k}of{k}" for k in range(100)) + f" A{t}s") for i, t in titles]  # 80,000 words
+    a, b = spark.createDataFrame(texts, "i long, t string"), spark.createDataFrame(titles, "j long, q string")
+    sc = spark.sparkContext
+    sc.setJobGroup("many-titles", "")
+    try:
+        near, few = references.candidates(a, "i", "t", b, "q", most_sent=0)
+        got = sorted(map(tuple, near.collect()))
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup("many-titles") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == titles and not few
+    store = sc._jsc.sc().statusStore()
+    written = [x.shuffleWriteRecords() for x in map(store.lastStageAttempt, stages) if x.status().toString() == "COMPLETE"]
+    assert 400 <= max(written) < 8_000  # the table of bits has 1,024 rows and the titles' bits
+
+
+def test_impact_by_titles_of_any_length_in_lists_and_parts(spark, monkeypatch):
+    from plumbline.operators import lookup
+
+    monkeypatch.setattr(lookup, "CHUNK", 3)
+    monkeypatch.setattr(lookup, "SPREAD", 2)
+    rnd = random.Random(5)
+    words = ["a", "bb", "ccc", "ñdéd", "eeeee", "ab"]
+    body = lambda n: "".join(rnd.choice(words) + rnd.choice([" ", "\n", "  "]) for _ in range(n))
+    texts = [(f"d{i // 2}", body(rnd.randint(0, 40))) for i in range(50)] + [(None, body(30)), ("d0", None), ("d1", "")]
+    cut = lambda t: t[rnd.randrange(max(1, len(t) - 20)) :][: rnd.choice([1, 3, 5, 6, 9, 14, 25])]
+    materials = [(f"m{i:03}", cut(rnd.choice(texts[:50])[1])) for i in range(150)] + [(f"n{i}", "bb ccc ñdé") for i in range(20)]
+    materials += [("m000", "bb ccc ñdé"), ("m001", " a  bb"), (None, "b ccc ñ"), ("m002", None), ("m003", " \n"), *materials[:3]]
+    want = {(m, "by_title", d) for m, t in materials for d, text in texts if t and norm(t) and text and norm(t) in norm(text)}
+    empty = spark.createDataFrame([], "a string, b string")
+    a, b = spark.createDataFrame(materials, "id string, title string"), spark.createDataFrame(texts, "unit string, body string")
+    assert {1, 2, 3, 4, 5, 6} <= {len(norm(t).split(" ")) for _, t in materials if t and norm(t)}
+    for most_sent in (1 << 20, 0):
+        got = [tuple(r) for r in lookup.impact_all(a, "id", "title", empty, "a", "b", empty, "a", "b", b, "unit", "body", most_sent=most_sent).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_marked_lines_and_lanes(spark):
     from plumbline.operators import lookup
 
